@@ -142,7 +142,7 @@ def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
 def _finder(docs: DataFrame, items: list[tuple[int, str]]):
     shared = docs.sparkSession.sparkContext.broadcast(Index(items))
 
-    @F.pandas_udf("array<struct<item_id: long, at: int, length: int, equal: int>>")
+    @F.pandas_udf("array<struct<item_id: long, first_token: int, n_compared: int, n_equal: int>>")
     def find(texts: pd.Series) -> pd.Series:
         index = shared.value
         return pd.Series([index.search(t or "") for t in texts], dtype=object)
@@ -151,7 +151,7 @@ def _finder(docs: DataFrame, items: list[tuple[int, str]]):
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """A row for each document and test item with a verified overlap: doc_id, item_id, at (first token compared), length, equal.
+    """A row for each document and test item with a verified overlap: doc_id, item_id, first_token, n_compared, n_equal (tokens compared and equal from there on).
 
     Tokens are \\w+ of the lower-cased text. Null and empty texts and items overlap nothing; items of one or two tokens neither;
     items of three and four tokens only in full. Repeated rows of documents give repeated rows; an empty table gives none.
@@ -161,7 +161,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         hits = slim.select("doc_id", _finder(docs, items)("text").alias("h")).select("doc_id", F.explode("h").alias("h")).select("doc_id", "h.*")
         out = hits if out is None else out.unionByName(hits)
     if out is None:
-        out = slim.limit(0).select("doc_id", *(F.lit(0).cast(k).alias(c) for c, k in (("item_id", "long"), ("at", "int"), ("length", "int"), ("equal", "int"))))
+        out = slim.limit(0).select("doc_id", *(F.lit(0).cast(k).alias(c) for c, k in (("item_id", "long"), ("first_token", "int"), ("n_compared", "int"), ("n_equal", "int"))))
     return out
 
 

@@ -28,7 +28,7 @@ SAMPLE_PER_CLASS = 10_000
 MAX_FEATURES = 50_000
 #: Texts of training rows give each word and its beginnings of these lengths.
 PREFIXES = (4, 5, 6)
-MIN_Z, MIN_DOCS, PRIOR_SHARE, K, SIGNIFICANT = 3.0, 4, 0.25, 0.1, 0.05
+MIN_Z, MIN_DELTA, MIN_DOCS, PRIOR_SHARE, K, SIGNIFICANT = 3.0, 2.0, 4, 0.25, 0.1, 0.05
 TOKEN = re.compile(r"\w+")
 
 
@@ -150,29 +150,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
     every = z[0]
     for x in z[1:]:
         every = every.union(x)
-    kept = every.where(F.col("z") >= MIN_Z).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
+    kept = every.where((F.col("z") >= MIN_Z) & (F.col("delta") >= MIN_DELTA)).orderBy(F.desc("z"), "feature").limit(MAX_FEATURES).collect()
     weights = {r["feature"]: float(r["delta"]) for r in kept}
     nt, nc = total[0]
     share = min(0.5, sum(r["t"] for r in kept if r["kind"] == 0) / nt)
     chance = min(0.4, (sum(r["c"] for r in kept if r["kind"] == 0) + 0.5) / nc)
     background = min(-0.05, math.log((1 - share) / (1 - chance)))
-    top = max(weights.values(), default=1.0)
-    m = Model(weights, background, _lambda(chance, top, background))
+    m = Model(weights, background, _lambda([(r["c"] / nc, float(r["delta"])) for r in kept if r["kind"] == 0], background))
     return _calibrated(m, train)
 
 
-def _lambda(p: float, s: float, background: float) -> float:
-    """The positive root of p exp(x s) + (1 - p) exp(x background) = 1."""
-    f = lambda x: p * math.exp(x * s) + (1 - p) * math.exp(x * background) - 1
-    if p * s + (1 - p) * background >= 0:
-        return 0.1
-    lo, hi = 0.0, 1.0
-    while f(hi) < 0 and hi < 64:
+def _lambda(scores: list[tuple[float, float]], background: float) -> float:
+    """The positive root x of the mean of exp(x score) = 1 over the tokens of clean texts: (share, score) pairs, and the background."""
+    p, s = np.array([x[0] for x in scores] or [0.0]) + 1e-9, np.array([x[1] for x in scores] or [1.0])
+    rest = max(1e-6, 1 - p.sum())
+    f = lambda x: float(np.sum(p * np.exp(x * s))) + rest * math.exp(x * background) - 1
+    lo, hi = 0.0, 0.125
+    while f(hi) < 0 and hi < 8:
         lo, hi = hi, hi * 2
     for _ in range(60):
         mid = (lo + hi) / 2
         lo, hi = (mid, hi) if f(mid) < 0 else (lo, mid)
-    return max(0.05, hi)
+    return min(4.0, max(0.1, hi))
 
 
 def statistic(model: Model):
