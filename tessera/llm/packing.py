@@ -8,6 +8,7 @@ items of its length.
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 
@@ -127,6 +128,7 @@ def _batch(out: list[list], with_ids: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds.values())], names=list(kinds))
 
 
+@functools.cache  # one a worker process, not one a task
 def encoder(path: str):
     """text -> list of ids, the same as tokenizers' encode(text, add_special_tokens=False). The rank file beside `path` holds the same
     vocabulary and is some four times faster; a text that its pattern matcher gives up on goes to the tokenizers library."""
