@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from tessera.llm.decontaminate import op3_spaced_seed_overlaps
+from tessera.llm.htmltext import op7_min_cut_html
 from tessera.llm.langid import op8_ppm_language
+from tessera.llm.ngramjoin import op5_ngram_jaccard_join
 from tessera.llm.packing import op10_best_fit_packing
 from tessera.llm.sharding import op4_hypergeometric_sharding
 from tessera.llm.toxicity import op6_toxic_segments
@@ -11,7 +13,9 @@ from tessera.llm.toxicity import op6_toxic_segments
 QUERIES = {
     "op3_spaced_seed_overlaps": op3_spaced_seed_overlaps,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
+    "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
     "op6_toxic_segments": op6_toxic_segments,
+    "op7_min_cut_html": op7_min_cut_html,
     "op8_ppm_language": op8_ppm_language,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
