@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from tessera.llm.decontaminate import op3_spaced_seed_overlaps
 from tessera.llm.htmltext import op7_min_cut_html
+from tessera.llm.kneserney import op9_kneser_ney
 from tessera.llm.langid import op8_ppm_language
 from tessera.llm.ngramjoin import op5_ngram_jaccard_join
 from tessera.llm.packing import op10_best_fit_packing
@@ -17,6 +18,7 @@ QUERIES = {
     "op6_toxic_segments": op6_toxic_segments,
     "op7_min_cut_html": op7_min_cut_html,
     "op8_ppm_language": op8_ppm_language,
+    "op9_kneser_ney": op9_kneser_ney,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
