@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import atexit
 import functools
-import re
 import shutil
 import uuid
 from collections.abc import Iterator
@@ -21,16 +20,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import WORD, checkpoint, crc_mod, local_path, map_file, put_file, shared_dir, table, typed
+from tessera.llm.common import checkpoint, crc_mod, local_path, map_file, put_file, shared_dir, table, typed
 
-WORDS = re.compile(WORD)
-LOWER = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
 END, START = 1, 2  # hashes of the end token and of the context before a text
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A word that makes up more than this share of the tokens has its followers dealt over all buckets; there are at most 1 / HOT such.
 HOT = 1 / 5000
 #: Training tokens a bucket of pairs, and words a bucket of words.
-TOKENS_PER_BUCKET, WORDS_PER_BUCKET = 3_000_000, 1_000_000
+TOKENS_PER_BUCKET, WORDS_PER_BUCKET = 2_000_000, 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -44,7 +41,7 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
         h = xxhash.xxh3_64_intdigest(word)
@@ -52,9 +49,9 @@ class _Hashes(dict):
         return h
 
 
-def tokens(text: str | None, hashes: dict) -> np.ndarray:
-    """Hashes of the words, lower-cased in A-Z, and of the end token."""
-    w = WORDS.findall((text or "").translate(LOWER))
+def tokens(text: bytes | None, hashes: dict) -> np.ndarray:
+    """Hashes of the words and of the end token. On UTF-8 bytes, lower() changes A-Z only and split() cuts at space and 9-13 only."""
+    w = (text or b"").lower().split()
     out = np.empty(len(w) + 1, dtype=np.uint64)
     out[:-1] = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
     out[-1] = END
@@ -172,16 +169,16 @@ def _write_words(folder: str):
         h = t["h"].to_numpy().view(np.uint64)
         order = np.argsort(h)
         rec = np.zeros(len(h), dtype=WORD_RECORD)
-        rec["h"] = h[order]
         for c in ("c", "total", "n1", "n2", "n3", "before"):
             rec[c] = t[c].to_numpy()[order]
+        put_file(f"{folder}/words-{k}.keys", h[order].tobytes())
         put_file(f"{folder}/words-{k}", rec.tobytes())
         return pa.table({"bucket": pa.array([k], pa.int32()), "words": pa.array([len(h)], pa.int64())})
 
     return run
 
 
-WORD_RECORD = np.dtype([("h", "<u8"), ("c", "<i8"), ("total", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
+WORD_RECORD = np.dtype([("c", "<i8"), ("total", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -211,54 +208,56 @@ class Model:
         b = mix(h) % np.uint64(self.word_buckets)
         for k in np.unique(b):
             mine = np.flatnonzero(b == k)
-            rec = _file(f"{self.folder}/words-{k}", "words")
-            if len(rec):
-                keys = _file(f"{self.folder}/words-{k}", "keys")
+            keys = _file(f"{self.folder}/words-{k}.keys", "u8")
+            if len(keys):
                 at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
                 ok = keys[at] == h[mine]
-                out[mine[ok]] = rec[at[ok]]
+                out[mine[ok]] = _file(f"{self.folder}/words-{k}", "words")[at[ok]]
         return out
 
     def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
         key = pair_key(context, word)
-        u, inverse = np.unique(key, return_inverse=True)
-        first = np.zeros(len(u), np.int64)
-        first[inverse] = np.arange(len(key))
-        b, out = bucket_of(context[first], u, self.hot, self.buckets), np.zeros(len(u), np.int64)
-        for k in np.unique(b):
-            mine = np.flatnonzero(b == k)
+        order = np.argsort(key)  # a sorted search touches each page once
+        key = key[order]
+        b = bucket_of(context[order], key, self.hot, self.buckets)
+        by = np.argsort(b.astype(np.uint16) if self.buckets < 65536 else b, kind="stable")
+        cuts = np.searchsorted(b[by], np.arange(self.buckets + 1, dtype=np.uint64))
+        found = np.zeros(len(key), np.int64)
+        for k in np.flatnonzero(np.diff(cuts)):
+            mine = by[cuts[k] : cuts[k + 1]]
             keys = _file(f"{self.folder}/pairs-{k}.keys", "u8")
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, u[mine]), len(keys) - 1)
-                ok = keys[at] == u[mine]
-                out[mine[ok]] = _file(f"{self.folder}/pairs-{k}.counts", "u4")[at[ok]]
-        return out[inverse]
+                at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
+                ok = keys[at] == key[mine]
+                found[mine[ok]] = _file(f"{self.folder}/pairs-{k}.counts", "u4")[at[ok]]
+        out = np.empty(len(key), np.int64)
+        out[order] = found
+        return out
 
     def score(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of each text."""
         context, word = pairs(docs)
-        u, inverse = np.unique(np.concatenate([context, word]), return_inverse=True)
+        u, inverse = np.unique(np.append(word, np.uint64(START)), return_inverse=True)
+        w, c = inverse[:-1], np.full(len(word), inverse[-1])
+        starts = np.cumsum([0, *map(len, docs[:-1])])
+        c[1:] = w[:-1]
+        c[starts] = inverse[-1]
         rec = self.words(u)
-        c, w = rec[inverse[: len(context)]], rec[inverse[len(context) :]]
-        base = np.log10((w["c"] + 1) / (self.n + self.v + 1))
-        before = w["before"].astype(np.int64)
-        low = (np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(1, self.before)) + (self.rest if self.before else 1.0) / (self.v + 1)
-        total = np.maximum(c["total"], 1)
+        before, total = rec["before"].astype(np.int64), rec["total"].astype(np.float64)
+        base = np.log10((rec["c"] + 1) / (self.n + self.v + 1))
+        low = np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(1, self.before) + (self.rest if self.before else 1.0) / (self.v + 1)
+        left = np.where(total > 0, (self.d[1] * rec["n1"] + self.d[2] * rec["n2"] + self.d[3] * rec["n3"]) / np.maximum(total, 1), 1.0)
         n = self.pair_counts(context, word) if self.n else np.zeros(len(word), np.int64)
-        left = (self.d[1] * c["n1"] + self.d[2] * c["n2"] + self.d[3] * c["n3"]) / total
-        p = np.where(c["total"] > 0, np.maximum(n - self.d[np.minimum(n, 3)], 0) / total + left * low, low)
-        starts = np.cumsum([0, *map(len, docs[:-1])])
-        return list(zip(map(len, docs), np.add.reduceat((w["c"] > 0).astype(np.int64), starts).tolist(), np.add.reduceat(base, starts).tolist(), np.add.reduceat(np.log10(p), starts).tolist()))
+        p = np.maximum(n - self.d[np.minimum(n, 3)], 0) / np.maximum(total, 1)[c] + left[c] * low[w]
+        add = lambda x: np.add.reduceat(x, starts).tolist()
+        return list(zip(map(len, docs), add((rec["c"] > 0).astype(np.int64)[w]), add(base[w]), add(np.log10(p))))
 
 
 @functools.lru_cache(maxsize=4096)
 def _file(uri: str, what: str) -> np.ndarray:
-    """A mapped file; "keys" is a copy of a word file's hashes, so that a search touches few pages."""
+    """A mapped file of the model."""
     try:
-        if what in ("words", "keys"):
-            rec = map_file(uri, WORD_RECORD)
-            return rec["h"] if what == "keys" else rec
-        return map_file(uri, "<" + what)
+        return map_file(uri, WORD_RECORD if what == "words" else "<" + what)
     except FileNotFoundError:
         return np.zeros(0, WORD_RECORD if what == "words" else np.uint64)
 
@@ -269,7 +268,7 @@ def fit(train: DataFrame) -> Model:
     folder = f"{shared_dir(spark)}/kneserney-{uuid.uuid4().hex}"
     if p := local_path(folder):
         atexit.register(shutil.rmtree, p, ignore_errors=True)
-    train = typed(train, "text string")
+    train = typed(train, "text string").select(F.col("text").cast("binary"))
     words = checkpoint(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     hot = sorted(np.array([r[0] for r in words.where(F.col("c") > max(1.0, HOT * n)).select("h").collect()] + [START], dtype=np.int64).view(np.uint64).tolist())
@@ -314,7 +313,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
             yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return typed(docs, "doc_id long, text string").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    return typed(docs, "doc_id long, text string").withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:
