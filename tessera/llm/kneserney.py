@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, crc_mod, local_path, map_file, put_file, shared_dir, table, typed
 
+#: Words are 48 bit hashes: of a billion words some two thousand pairs would agree.
+BITS = (1 << 48) - 1
 END, START = 1, 2  # hashes of the end token and of the context before a text
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: A word that makes up more than this share of the tokens has its followers dealt over all buckets; there are at most 1 / HOT such.
@@ -42,9 +44,9 @@ def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
-        h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word) & BITS
         self[word] = h = h if h > START else h + 3
         return h
 
@@ -58,7 +60,7 @@ def tokens(text: bytes | None, hashes: dict) -> np.ndarray:
     return out
 
 
-def _texts(batches: Iterator[pa.RecordBatch], hashes: dict, most: int = 3_000_000) -> Iterator[list[np.ndarray]]:
+def _texts(batches: Iterator[pa.RecordBatch], hashes: dict, most: int = 2_000_000) -> Iterator[list[np.ndarray]]:
     """The texts' tokens, in lists of some `most` tokens."""
     got, n = [], 0
     for b in batches:
@@ -100,7 +102,8 @@ def _added(context: np.ndarray, word: np.ndarray, count: np.ndarray | None = Non
     key = key[order]
     first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     n = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count[order], first)
-    return key[first], context[order[first]], word[order[first]], n
+    order = order[first]
+    return key[first], context[order], word[order], n
 
 
 def _count_pairs(hot: np.ndarray, buckets: int):
@@ -108,16 +111,17 @@ def _count_pairs(hot: np.ndarray, buckets: int):
         hashes = _Hashes()
         for docs in _texts(batches, hashes):
             key, context, word, n = _added(*pairs(docs))
-            b = bucket_of(context, key, hot, buckets)
+            b = bucket_of(context, key, hot, buckets).astype(np.uint32)
+            del key, docs
             order = np.lexsort((context, b))
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint64))
+            cuts = np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint32))
             out: list[list] = [[], [], [], [], []]
             for k in range(buckets):
                 o = order[cuts[k] : cuts[k + 1]]
                 if not len(o):
                     continue
                 ctx, runs = np.unique(context[o], return_counts=True)
-                for col, v in zip(out, (k, ctx.tobytes(), runs.astype("<u4").tobytes(), word[o].tobytes(), _small(n[o]))):
+                for col, v in zip(out, (k, _packed(ctx), _small(runs), _packed(word[o]), _small(n[o]))):
                     col.append(v)
             kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["bucket", "contexts", "runs", "words", "counts"])
@@ -125,6 +129,17 @@ def _count_pairs(hot: np.ndarray, buckets: int):
     return run
 
 
+def _packed(h: np.ndarray) -> bytes:
+    """Hashes in six bytes each."""
+    return np.ascontiguousarray(h.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 4), "<u2")
+    out[:, :3] = np.frombuffer(data, "<u2").reshape(-1, 3)
+    return out.view("<u8").ravel()
+
+
 def _small(n: np.ndarray) -> bytes:
     """Counts in one byte each; 255 says that the count follows at the end in eight."""
     return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
@@ -143,8 +158,9 @@ def _reduce(folder: str):
         k = t["bucket"][0].as_py()
         context, word, count = [], [], []
         for c, r, w, n in zip(*(t[x].to_pylist() for x in ("contexts", "runs", "words", "counts"))):
-            context.append(np.repeat(np.frombuffer(c, np.uint64), np.frombuffer(r, "<u4")))
-            word.append(np.frombuffer(w, np.uint64))
+            c = _unpacked(c)
+            context.append(np.repeat(c, _large(r, len(c))))
+            word.append(_unpacked(w))
             count.append(_large(n, len(word[-1])))
         key, context, word, n = _added(np.concatenate(context), np.concatenate(word), np.concatenate(count))
         put_file(f"{folder}/pairs-{k}.keys", key.tobytes())
