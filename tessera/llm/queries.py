@@ -8,10 +8,13 @@ from tessera.llm.kneserney import op9_kneser_ney
 from tessera.llm.langid import op8_ppm_language
 from tessera.llm.ngramjoin import op5_ngram_jaccard_join
 from tessera.llm.packing import op10_best_fit_packing
+from tessera.llm.quality import ORACLE as OP1_SQL
+from tessera.llm.quality import op1_mcd_outliers
 from tessera.llm.sharding import op4_hypergeometric_sharding
 from tessera.llm.toxicity import op6_toxic_segments
 
 QUERIES = {
+    "op1_mcd_outliers": op1_mcd_outliers,
     "op3_spaced_seed_overlaps": op3_spaced_seed_overlaps,
     "op4_hypergeometric_sharding": op4_hypergeometric_sharding,
     "op5_ngram_jaccard_join": op5_ngram_jaccard_join,
@@ -22,4 +25,4 @@ QUERIES = {
     "op10_best_fit_packing": op10_best_fit_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op1_mcd_outliers": OP1_SQL}
