@@ -1,7 +1,7 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity, rarest first; by the prefix filter, lines of Jaccard similarity 0.8 share
-a word among the first n - ceil(0.8 n) + 1, which makes words of these prefixes the join key. Length and position filters thin the
+two words among the first n - ceil(0.8 n) + 2, which makes words of these prefixes the join key. Length and position filters thin the
 candidates, and the full sets verify them. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
 text) is similar to it. Before the join over all prefixes, each line is compared with the earliest line under either of its two
 rarest words; lines that this settles are no longer probed, so that a crowd of near copies of one line costs a pair each. Everything
@@ -18,24 +18,20 @@ from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, table, typed, w
 #: Lines with fewer distinct words take no part.
 MIN_TOKENS = 5
 #: Counters of the word order: a word's rarity is the count of its bucket, over all tokens of the corpus.
-BUCKETS = 1 << 16
+BUCKETS = 1 << 19
 #: Bits of the filter of candidate lines, at most.
 MAX_BITS = 1 << 26
 HASH_BITS = 57
 
 
-def _dense(df: DataFrame, size: int, value: Column) -> Column:
-    """A scalar array of `size` numbers from rows (i, v); places without a row hold value(0)."""
-    every = df.select("i", "v").union(df.sparkSession.range(size).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("v")))
-    rows = every.groupBy("i").agg(F.bit_or("v").alias("v")).select(F.struct("i", value.alias("v")).alias("s"))
-    return checkpoint(rows.agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["v"]).alias("a")).coalesce(1)).scalar()
-
-
 def _levels(docs: DataFrame) -> Column:
-    """For each bucket of words the level of its count, 0 to 63."""
-    w = docs.select(F.explode(words(F.translate("text", "\n", " "))).alias("w"))
-    n = w.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).alias("i")).agg(F.count("*").alias("v"))
-    return _dense(n, BUCKETS, F.least(F.lit(63), F.floor(2 * F.log2(F.col("v") + 1))).cast("long"))
+    """For each bucket of words the level of its count, 0 to 63, as a literal of one byte a bucket."""
+    w = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
+    n = w.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("i")).agg(F.count("*").alias("n"))
+    out = bytearray(BUCKETS)
+    for i, level in n.select("i", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int")).collect():  # BUCKETS rows at most
+        out[i] = level
+    return F.lit(bytes(out))
 
 
 def _tokens(line: Column, levels: Column) -> Column:
@@ -43,31 +39,34 @@ def _tokens(line: Column, levels: Column) -> Column:
 
     def token(w: Column) -> Column:
         h = F.xxhash64(w)
-        return F.shiftleft(F.element_at(levels, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int")), HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+        level = F.ascii(F.substring(levels, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), 1).cast("string")).cast("long")
+        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
     return F.sort_array(F.array_distinct(F.transform(words(line), token)))
 
 
 def _prefix(n: Column) -> Column:
-    """n - ceil(0.8 n) + 1"""
-    return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
+    """n - ceil(0.8 n) + 2: similar sets share two words of their prefixes."""
+    return (n - F.floor((4 * n + 4) / 5) + 2).cast("int")
 
 
 def _short_prefix(n: Column) -> Column:
-    """n - ceil(8 n / 9) + 1: enough for the smaller set of a pair when the larger one has its full prefix."""
-    return n - F.floor((8 * n + 8) / 9) + 1
+    """n - ceil(8 n / 9) + 2: enough for the smaller set of a pair when the larger one has its full prefix."""
+    return n - F.floor((8 * n + 8) / 9) + 2
 
 
 def _in_filter(ids: DataFrame) -> tuple[Column, int]:
-    """A bit set over the hashes of ids (doc_id, line), which lets through every one of them and few others."""
+    """A bit set over the hashes of ids (doc_id, line), which lets through every one of them and few others: a scalar array of 64 bit
+    numbers, MAX_BITS / 64 at most, and its number of bits."""
     bits = 1 << 16
     n = ids.count()
     while bits < min(MAX_BITS, 16 * n):
         bits *= 2
     bit = F.pmod(F.xxhash64("doc_id", "line"), F.lit(bits))
-    parts = ids.select(F.floor(bit / 64).alias("i"), (bit % 64).cast("int").alias("b")).groupBy("i", "b").count()
-    one = F.expr("shiftleft(1L, b)")
-    return _dense(parts.groupBy("i").agg(F.bit_or(one).alias("v")), bits // 64, F.col("v")), bits
+    parts = ids.select(F.floor(bit / 64).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, line), {bits}) % 64 as int))").alias("v"))
+    every = parts.union(ids.sparkSession.range(bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("v")))
+    rows = every.groupBy("i").agg(F.bit_or("v").alias("v"))
+    return checkpoint(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("a"))).scalar(), bits
 
 
 def _sets(docs: DataFrame, ids: DataFrame, levels: Column) -> DataFrame:
@@ -77,7 +76,7 @@ def _sets(docs: DataFrame, ids: DataFrame, levels: Column) -> DataFrame:
     bit = F.pmod(F.xxhash64("doc_id", "line"), F.lit(bits))
     word = F.element_at(array, (F.floor(bit / 64) + 1).cast("int"))
     some = lines.withColumn("_bit", (bit % 64).cast("int")).withColumn("_word", word).where(F.expr("shiftrightunsigned(_word, _bit) & 1L = 1L"))
-    t = some.withColumn("_levels", levels).select("doc_id", "line", _tokens(F.col("text"), F.col("_levels")).alias("t"))
+    t = some.select("doc_id", "line", _tokens(F.col("text"), levels).alias("t"))
     mine = t.join(F.broadcast(ids) if fits(ids, BROADCAST_ROWS) else ids, ["doc_id", "line"], "left_semi")
     return mine.select(F.xxhash64("t").alias("h"), "t").groupBy("h").agg(F.first("t").alias("t"))
 
@@ -97,12 +96,14 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs = typed(docs, "doc_id long, text string").where("doc_id is not null and text is not null")
     levels = _levels(docs)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    t = _tokens(F.col("text"), F.col("_levels"))  # through explode, as a filter would work it out twice
-    t = lines.withColumn("_levels", levels).select("doc_id", "line", F.explode(F.filter(F.array(t), lambda x: F.size(x) >= MIN_TOKENS)).alias("t"))
+    t = F.explode(F.filter(F.array(_tokens(F.col("text"), levels)), lambda x: F.size(x) >= MIN_TOKENS))  # a filter below would work it out twice
+    t = lines.select("doc_id", "line", t.alias("t"))
     n = F.size("t")
     every = checkpoint(t.select("doc_id", "line", F.xxhash64("t").alias("h"), n.alias("n"), F.slice("t", F.lit(1), _prefix(n)).alias("pre")))
     least = every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("pre").alias("pre"))
     distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "pre"))
+    every, least = every.select("doc_id", "line", "h"), None
+    every = checkpoint(every)  # without the prefixes, whose files go
 
     # each line against the earliest one under either of its two rarest words
     keyed = distinct.select("h", "n", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, 2)).alias("k"))
@@ -126,7 +127,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
         & (9 * bound >= 4 * (na + nb))
         & F.when(na <= nb, pa < _short_prefix(na)).otherwise(pb < _short_prefix(nb))
     )
-    pairs = checkpoint(x.join(y, "k").where(ok).select("a", "b").distinct())
+    pairs = checkpoint(x.join(y, "k").where(ok).groupBy("a", "b").count().where("count > 1").select("a", "b"))
     found = _similar(pairs, distinct, docs, levels)
     at = distinct.select("h", F.struct("doc_id", "line").alias("at"))
     later = found.join(at.select(F.col("h").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h").alias("b"), F.col("at").alias("at_b")), "b")
