@@ -219,9 +219,10 @@ def score(docs: DataFrame, model: Model, out: str = "_tox") -> DataFrame:
     return s.withColumn(out, F.struct(p.alias("score"), *(F.col(f"{out}.{c}").alias(c) for c in ("n_passages", "toxic_tokens", "spans"))))
 
 
-def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """The rows of docs that score below the threshold, columns unchanged. Training needs rows of docs that labels name."""
-    return score(docs, fit(docs, labels)).where(F.col("_tox.score") < threshold).drop("_tox")
+def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train: DataFrame | None = None) -> DataFrame:
+    """The rows of docs that score below the threshold, columns unchanged. The model learns from rows of train (docs where not
+    given) that labels name."""
+    return score(docs, fit(docs if train is None else train, labels)).where(F.col("_tox.score") < threshold).drop("_tox")
 
 
 def op6_toxic_segments(spark, sf_dir: str) -> DataFrame:
