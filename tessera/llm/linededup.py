@@ -1,10 +1,12 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity, rarest first; by the prefix filter, lines of Jaccard similarity 0.8 share
-two words among the first n - ceil(0.8 n) + 2, which makes words of these prefixes the join key. Length and position filters thin the
-candidates, and the full sets verify them. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
-text) is similar to it. Before the join over all prefixes, each line is compared with the earliest line under either of its two
-rarest words; lines that this settles are no longer probed, so that a crowd of near copies of one line costs a pair each. Everything
+a word among the first n - ceil(0.8 n) + 1, which makes words of these prefixes the join key. Length and position filters thin the
+candidates, and so does a 64 bit parity sketch: sets differ in at least as many words as their sketches in bits. The full sets
+verify what is left. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
+text) is similar to it. Before the join over all prefixes, lines under a word that is among the two rarest of more
+than CROWD lines are compared with the earliest of these; lines that this settles are no longer probed, so that a crowd of near
+copies of one line costs a pair each. Everything
 is DataFrame expressions.
 """
 
@@ -18,7 +20,9 @@ from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, table, typed, w
 #: Lines with fewer distinct words take no part.
 MIN_TOKENS = 5
 #: Counters of the word order: a word's rarity is the count of its bucket, over all tokens of the corpus.
-BUCKETS = 1 << 19
+BUCKETS = 1 << 17
+#: Lines under one of their two rarest words from which they count as a crowd.
+CROWD = 16
 #: Bits of the filter of candidate lines, at most.
 MAX_BITS = 1 << 26
 HASH_BITS = 57
@@ -46,37 +50,53 @@ def _tokens(line: Column, levels: Column) -> Column:
 
 
 def _prefix(n: Column) -> Column:
-    """n - ceil(0.8 n) + 2: similar sets share two words of their prefixes."""
-    return (n - F.floor((4 * n + 4) / 5) + 2).cast("int")
+    """n - ceil(0.8 n) + 1"""
+    return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
 
 
 def _short_prefix(n: Column) -> Column:
-    """n - ceil(8 n / 9) + 2: enough for the smaller set of a pair when the larger one has its full prefix."""
-    return n - F.floor((8 * n + 8) / 9) + 2
+    """n - ceil(8 n / 9) + 1: enough for the smaller set of a pair when the larger one has its full prefix."""
+    return n - F.floor((8 * n + 8) / 9) + 1
 
 
-def _in_filter(ids: DataFrame) -> tuple[Column, int]:
-    """A bit set over the hashes of ids (doc_id, line), which lets through every one of them and few others: a scalar array of 64 bit
-    numbers, MAX_BITS / 64 at most, and its number of bits."""
-    bits = 1 << 16
-    n = ids.count()
-    while bits < min(MAX_BITS, 16 * n):
-        bits *= 2
-    bit = F.pmod(F.xxhash64("doc_id", "line"), F.lit(bits))
-    parts = ids.select(F.floor(bit / 64).alias("i"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(doc_id, line), {bits}) % 64 as int))").alias("v"))
-    every = parts.union(ids.sparkSession.range(bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("v")))
-    rows = every.groupBy("i").agg(F.bit_or("v").alias("v"))
-    return checkpoint(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("a"))).scalar(), bits
+def _sketch(t: Column) -> Column:
+    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+
+
+def _close(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+    """The length filter, and that of the sketches: |x - y| + |y - x| <= (na + nb) / 9 when the similarity is 0.8 or more."""
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.bit_count(sa.bitwiseXOR(sb)) <= na + nb)
+
+
+class _Filter:
+    """A bit set over the hashes of some keys, which lets through every one of them and few others: a scalar array of 64 bit numbers,
+    MAX_BITS / 64 at most."""
+
+    def __init__(self, keys: DataFrame):
+        self.keys, self.bits = keys.columns, 1 << 16
+        n = keys.count()
+        while self.bits < min(MAX_BITS, 16 * n):
+            self.bits *= 2
+        h = F.pmod(F.xxhash64(*self.keys), F.lit(self.bits))
+        parts = keys.select(F.floor(h / 64).alias("i"), self._bit(h).alias("v"))
+        every = parts.union(keys.sparkSession.range(self.bits // 64).select(F.col("id").alias("i"), F.lit(0).cast("long").alias("v")))
+        rows = every.groupBy("i").agg(F.bit_or("v").alias("v"))
+        self.array = checkpoint(rows.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s["v"]).alias("a")))
+
+    @staticmethod
+    def _bit(h: Column) -> Column:
+        return F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
+
+    def __call__(self) -> Column:
+        h = F.pmod(F.xxhash64(*self.keys), F.lit(self.bits))
+        return F.element_at(self.array.scalar(), (F.floor(h / 64) + 1).cast("int")).bitwiseAND(self._bit(h)) != 0
 
 
 def _sets(docs: DataFrame, ids: DataFrame, levels: Column) -> DataFrame:
     """(h, t): the full sets of the lines named by ids (doc_id, line)."""
-    array, bits = _in_filter(ids)
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    bit = F.pmod(F.xxhash64("doc_id", "line"), F.lit(bits))
-    word = F.element_at(array, (F.floor(bit / 64) + 1).cast("int"))
-    some = lines.withColumn("_bit", (bit % 64).cast("int")).withColumn("_word", word).where(F.expr("shiftrightunsigned(_word, _bit) & 1L = 1L"))
-    t = some.select("doc_id", "line", _tokens(F.col("text"), levels).alias("t"))
+    in_docs, in_lines = _Filter(ids.select("doc_id")), _Filter(ids)
+    lines = docs.where(in_docs()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    t = lines.where(in_lines()).select("doc_id", "line", _tokens(F.col("text"), levels).alias("t"))
     mine = t.join(F.broadcast(ids) if fits(ids, BROADCAST_ROWS) else ids, ["doc_id", "line"], "left_semi")
     return mine.select(F.xxhash64("t").alias("h"), "t").groupBy("h").agg(F.first("t").alias("t"))
 
@@ -99,35 +119,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     t = F.explode(F.filter(F.array(_tokens(F.col("text"), levels)), lambda x: F.size(x) >= MIN_TOKENS))  # a filter below would work it out twice
     t = lines.select("doc_id", "line", t.alias("t"))
     n = F.size("t")
-    every = checkpoint(t.select("doc_id", "line", F.xxhash64("t").alias("h"), n.alias("n"), F.slice("t", F.lit(1), _prefix(n)).alias("pre")))
-    least = every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("pre").alias("pre"))
-    distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "pre"))
+    every = checkpoint(t.select("doc_id", "line", F.xxhash64("t").alias("h"), n.alias("n"), _sketch(F.col("t")).alias("sk"), F.slice("t", F.lit(1), _prefix(n)).alias("pre")))
+    least = every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("pre").alias("pre"))
+    distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "sk", "pre"))
     every, least = every.select("doc_id", "line", "h"), None
     every = checkpoint(every)  # without the prefixes, whose files go
 
-    # each line against the earliest one under either of its two rarest words
-    keyed = distinct.select("h", "n", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, 2)).alias("k"))
-    first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n")).alias("r"), F.count("*").alias("c")).where("c > 1").select("k", "r")
-    near = keyed.join(first, "k").where("h <> r.h and 5 * least(n, r.n) >= 4 * greatest(n, r.n)")
+    # crowds: each line against the earliest one
+    keyed = distinct.select("h", "n", "sk", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, 2)).alias("k"))
+    first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
+    near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), F.col("sk"), F.col("r.sk")))
     settled = checkpoint(_similar(checkpoint(near.select(F.col("h").alias("a"), F.col("r.h").alias("b")).distinct()), distinct, docs, levels).select(F.col("a").alias("h")).distinct())
 
     # the others against all lines, on every word of the prefixes; n, place and whether the line is open in one number
     marked = distinct.join(settled.withColumn("s", F.lit(1)), "h", "left")
-    e = marked.select("h", "n", "s", F.posexplode("pre").alias("pos", "k"))
+    e = marked.select("h", "n", "s", "sk", F.posexplode("pre").alias("pos", "k"))
     info = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("s").isNull(), 1).otherwise(0).cast("long"))
-    e = e.select("k", "h", info.alias("i"))
-    x, y = (e.select("k", F.col("h").alias(c), F.col("i").alias(f"i{c}")) for c in "ab")
+    e = e.select("k", "h", info.alias("i"), "sk")
+    x, y = (e.select("k", F.col("h").alias(c), F.col("i").alias(f"i{c}"), F.col("sk").alias(f"s{c}")) for c in "ab")
     part = {f"{v}{c}": q for c in "ab" for v, q in (("n", F.shiftright(F.col(f"i{c}"), 32)), ("p", F.shiftright(F.col(f"i{c}"), 1).bitwiseAND(F.lit(0x7FFFFFFF))))}
     na, nb, pa, pb = (part[k] for k in ("na", "nb", "pa", "pb"))
     bound = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
     ok = (
         (F.col("a") < F.col("b"))
         & (F.col("ia").bitwiseOR(F.col("ib")).bitwiseAND(F.lit(1)) == 1)
-        & (5 * F.least(na, nb) >= 4 * F.greatest(na, nb))
+        & _close(na, nb, F.col("sa"), F.col("sb"))
         & (9 * bound >= 4 * (na + nb))
         & F.when(na <= nb, pa < _short_prefix(na)).otherwise(pb < _short_prefix(nb))
     )
-    pairs = checkpoint(x.join(y, "k").where(ok).groupBy("a", "b").count().where("count > 1").select("a", "b"))
+    pairs = checkpoint(x.join(y, "k").where(ok).select("a", "b").distinct())
     found = _similar(pairs, distinct, docs, levels)
     at = distinct.select("h", F.struct("doc_id", "line").alias("at"))
     later = found.join(at.select(F.col("h").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h").alias("b"), F.col("at").alias("at_b")), "b")
