@@ -54,7 +54,7 @@ def finish(hits: DataFrame, ranked: DataFrame, queries: DataFrame, cfg: Settings
     """Selection and all that follows, for candidates that are scored and ranked."""
     if "budget" in queries.columns:
         ranked = ranked.join(F.broadcast(queries.select("query_id", "budget")), "query_id")
-    chosen = selection.select(ranked, cfg)
+    chosen = selection.select(ranked, cfg).persist()
     shown = assemble.stripped(chosen.where("selected"), cfg)
     contexts = assemble.compressed(shown, ["query_id"], cfg)
     base = assemble.baseline(hits)
