@@ -1,9 +1,9 @@
 """Line deduplication by an exact set-similarity join.
 
 A line is the set of its words. Words are ordered by rarity, rarest first; by the prefix filter, lines of Jaccard similarity 0.8 share
-a word among the first n - ceil(0.8 n) + 1, which makes words of these prefixes the join key. Length and position filters thin the
-candidates, and so does a 64 bit parity sketch: sets differ in at least as many words as their sketches in bits. The full sets
-verify what is left. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
+m words among the first n - ceil(0.8 n) + m, which makes words of these prefixes the join key; m grows with the line. Length and
+position filters thin the candidates, and so does a 128 bit parity sketch: sets differ in at least as many words as their sketches
+in bits. The full sets verify what is left. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
 text) is similar to it. Before the join over all prefixes, lines under a word that is among the two rarest of more
 than CROWD lines are compared with the earliest of these; lines that this settles are no longer probed, so that a crowd of near
 copies of one line costs a pair each. Everything
@@ -50,22 +50,33 @@ def _tokens(line: Column, levels: Column) -> Column:
 
 
 def _prefix(n: Column) -> Column:
-    """n - ceil(0.8 n) + 1"""
-    return (n - F.floor((4 * n + 4) / 5) + 1).cast("int")
+    """n - ceil(0.8 n) + m"""
+    return (n - F.floor((4 * n + 4) / 5) + _shared(n)).cast("int")
 
 
 def _short_prefix(n: Column) -> Column:
-    """n - ceil(8 n / 9) + 1: enough for the smaller set of a pair when the larger one has its full prefix."""
-    return n - F.floor((8 * n + 8) / 9) + 1
+    """n - ceil(8 n / 9) + m: enough for the smaller set of a pair when the larger one has its full prefix."""
+    return n - F.floor((8 * n + 8) / 9) + _shared(n)
 
 
-def _sketch(t: Column) -> Column:
-    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))))
+def _shared(n: Column) -> Column:
+    """m: words that the prefixes of two similar sets share, at least, the smaller set's m holding for a pair."""
+    return F.floor(n / 40) + 1
 
 
-def _close(na: Column, nb: Column, sa: Column, sb: Column) -> Column:
+def _sketch(t: Column, word: int) -> Column:
+    """Half of the sketch: for each of 64 places the parity of the words that fall there."""
+
+    def bit(x: Column) -> Column:
+        return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == word, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+
+
+def _close(na: Column, nb: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     """The length filter, and that of the sketches: |x - y| + |y - x| <= (na + nb) / 9 when the similarity is 0.8 or more."""
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.bit_count(sa.bitwiseXOR(sb)) <= na + nb)
+    apart = F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * apart <= na + nb)
 
 
 class _Filter:
@@ -119,35 +130,35 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     t = F.explode(F.filter(F.array(_tokens(F.col("text"), levels)), lambda x: F.size(x) >= MIN_TOKENS))  # a filter below would work it out twice
     t = lines.select("doc_id", "line", t.alias("t"))
     n = F.size("t")
-    every = checkpoint(t.select("doc_id", "line", F.xxhash64("t").alias("h"), n.alias("n"), _sketch(F.col("t")).alias("sk"), F.slice("t", F.lit(1), _prefix(n)).alias("pre")))
-    least = every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("pre").alias("pre"))
-    distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "sk", "pre"))
+    every = checkpoint(t.select("doc_id", "line", F.xxhash64("t").alias("h"), n.alias("n"), _sketch(F.col("t"), 0).alias("sk"), _sketch(F.col("t"), 1).alias("sl"), F.slice("t", F.lit(1), _prefix(n)).alias("pre")))
+    least = every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sl").alias("sl"), F.first("pre").alias("pre"))
+    distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "sk", "sl", "pre"))
     every, least = every.select("doc_id", "line", "h"), None
     every = checkpoint(every)  # without the prefixes, whose files go
 
     # crowds: each line against the earliest one
-    keyed = distinct.select("h", "n", "sk", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, 2)).alias("k"))
-    first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
-    near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), F.col("sk"), F.col("r.sk")))
+    keyed = distinct.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, 2)).alias("k"))
+    first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk", "sl")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
+    near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), (F.col("sk"), F.col("sl")), (F.col("r.sk"), F.col("r.sl"))))
     settled = checkpoint(_similar(checkpoint(near.select(F.col("h").alias("a"), F.col("r.h").alias("b")).distinct()), distinct, docs, levels).select(F.col("a").alias("h")).distinct())
 
     # the others against all lines, on every word of the prefixes; n, place and whether the line is open in one number
     marked = distinct.join(settled.withColumn("s", F.lit(1)), "h", "left")
-    e = marked.select("h", "n", "s", "sk", F.posexplode("pre").alias("pos", "k"))
+    e = marked.select("h", "n", "s", "sk", "sl", F.posexplode("pre").alias("pos", "k"))
     info = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("s").isNull(), 1).otherwise(0).cast("long"))
-    e = e.select("k", "h", info.alias("i"), "sk")
-    x, y = (e.select("k", F.col("h").alias(c), F.col("i").alias(f"i{c}"), F.col("sk").alias(f"s{c}")) for c in "ab")
+    e = e.select("k", "h", info.alias("i"), "sk", "sl")
+    x, y = (e.select("k", F.col("h").alias(c), F.col("i").alias(f"i{c}"), F.col("sk").alias(f"s{c}"), F.col("sl").alias(f"t{c}")) for c in "ab")
     part = {f"{v}{c}": q for c in "ab" for v, q in (("n", F.shiftright(F.col(f"i{c}"), 32)), ("p", F.shiftright(F.col(f"i{c}"), 1).bitwiseAND(F.lit(0x7FFFFFFF))))}
     na, nb, pa, pb = (part[k] for k in ("na", "nb", "pa", "pb"))
     bound = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
     ok = (
         (F.col("a") < F.col("b"))
         & (F.col("ia").bitwiseOR(F.col("ib")).bitwiseAND(F.lit(1)) == 1)
-        & _close(na, nb, F.col("sa"), F.col("sb"))
+        & _close(na, nb, (F.col("sa"), F.col("ta")), (F.col("sb"), F.col("tb")))
         & (9 * bound >= 4 * (na + nb))
         & F.when(na <= nb, pa < _short_prefix(na)).otherwise(pb < _short_prefix(nb))
     )
-    pairs = checkpoint(x.join(y, "k").where(ok).select("a", "b").distinct())
+    pairs = checkpoint(x.join(y, "k").where(ok).groupBy("a", "b", _shared(F.least(na, nb)).alias("m")).count().where("count >= m").select("a", "b"))
     found = _similar(pairs, distinct, docs, levels)
     at = distinct.select("h", F.struct("doc_id", "line").alias("at"))
     later = found.join(at.select(F.col("h").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h").alias("b"), F.col("at").alias("at_b")), "b")
