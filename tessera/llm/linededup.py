@@ -4,7 +4,7 @@ A line is the set of its words. Words are ordered by rarity, rarest first; by th
 m words among the first n - ceil(0.8 n) + m, which makes words of these prefixes the join key; m grows with the line. Length and
 position filters thin the candidates, and so does a 128 bit parity sketch: sets differ in at least as many words as their sketches
 in bits. The full sets verify what is left. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
-text) is similar to it. Before the join over all prefixes, lines under a word that is among the two rarest of more
+text) is similar to it. Before the join over all prefixes, lines under a word that is among the rarest of more
 than CROWD lines are compared with the earliest of these; lines that this settles are no longer probed, so that a crowd of near
 copies of one line costs a pair each. Everything
 is DataFrame expressions.
@@ -21,8 +21,8 @@ from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, table, typed, w
 MIN_TOKENS = 5
 #: Counters of the word order: a word's rarity is the count of its bucket, over all tokens of the corpus.
 BUCKETS = 1 << 17
-#: Lines under one of their two rarest words from which they count as a crowd.
-CROWD = 16
+#: More lines than this under a word that is among their so many rarest are a crowd.
+CROWD, CROWD_WORDS = 16, 6
 #: Bits of the filter of candidate lines, at most.
 MAX_BITS = 1 << 26
 HASH_BITS = 57
@@ -137,7 +137,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     every = checkpoint(every)  # without the prefixes, whose files go
 
     # crowds: each line against the earliest one
-    keyed = distinct.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, 2)).alias("k"))
+    keyed = distinct.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k"))
     first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk", "sl")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
     near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), (F.col("sk"), F.col("sl")), (F.col("r.sk"), F.col("r.sl"))))
     settled = checkpoint(_similar(checkpoint(near.select(F.col("h").alias("a"), F.col("r.h").alias("b")).distinct()), distinct, docs, levels).select(F.col("a").alias("h")).distinct())
