@@ -15,6 +15,7 @@ from tessera.functions.markup import html_to_text
 from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
 from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection
 from tessera.plans import compress as plan
+from tessera.plans.lineage import cut
 from tessera.sources import files
 
 QUERY_COUNT, WORDS, DOCS = 5, 12, 5
@@ -79,7 +80,7 @@ def _chunks(spark, d) -> DataFrame:
 
 
 def _compressed(spark, d, cfg=BLEND) -> plan.Compression:
-    return plan.compress(_chunks(spark, d).persist(), queries_of(spark, d), cfg)  # in production the index is a written table
+    return plan.compress(cut(_chunks(spark, d)), queries_of(spark, d), cfg)  # in production the index is a written table
 
 
 def _paths(spark, d) -> DataFrame:

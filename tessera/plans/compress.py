@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.config import Settings
 from tessera.functions.text import terms, token_count
 from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection
+from tessera.plans.lineage import cut
 
 
 @dataclass
@@ -45,8 +46,8 @@ def relevance(candidates: DataFrame, queries: DataFrame, cfg: Settings = Setting
 
 def compress(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> Compression:
     """queries: query_id, query and perhaps budget. Every query stays in the summary, also without hits or survivors."""
-    hits = retrieve(chunks, queries, cfg).persist()
-    ranked = mmr.mmr(relevance(decompose(hits, cfg), queries, cfg), cfg).persist()
+    hits = cut(retrieve(chunks, queries, cfg))
+    ranked = cut(mmr.mmr(relevance(cut(decompose(hits, cfg)), queries, cfg), cfg))
     return finish(hits, ranked, queries, cfg)
 
 
@@ -54,7 +55,7 @@ def finish(hits: DataFrame, ranked: DataFrame, queries: DataFrame, cfg: Settings
     """Selection and all that follows, for candidates that are scored and ranked."""
     if "budget" in queries.columns:
         ranked = ranked.join(F.broadcast(queries.select("query_id", "budget")), "query_id")
-    chosen = selection.select(ranked, cfg).persist()
+    chosen = cut(selection.select(ranked, cfg))
     shown = assemble.stripped(chosen.where("selected"), cfg)
     contexts = assemble.compressed(shown, ["query_id"], cfg)
     base = assemble.baseline(hits)

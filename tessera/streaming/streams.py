@@ -18,7 +18,6 @@ def compress_stream(queries: DataFrame, chunks: DataFrame, folder: str, checkpoi
         if not df.isEmpty():
             c = compress(chunks, df.dropDuplicates(["query_id"]), cfg)
             c.summary.write.mode("overwrite").parquet(f"{folder}/epoch={epoch}")
-            c.hits.unpersist()
 
     return queries.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
