@@ -141,10 +141,12 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -
         return Model()
     z = []
     for k, (nt, nc) in total.items():
+        if not nt or not nc:
+            continue
         # prior: PRIOR_SHARE of the toxic count, dealt out by the word's share of both classes
         a0 = PRIOR_SHARE * nt
         alpha = F.lit(a0 / (nt + nc)) * (F.col("t") + F.col("c"))
-        delta = F.log((F.col("t") + alpha) / (nt + a0 - F.col("t") - alpha)) - F.log((F.col("c") + alpha) / (nc + a0 - F.col("c") - alpha))
+        delta = F.log((F.col("t") + alpha) / F.greatest(nt + a0 - F.col("t") - alpha, F.lit(1e-9))) - F.log((F.col("c") + alpha) / F.greatest(nc + a0 - F.col("c") - alpha, F.lit(1e-9)))
         sd = F.sqrt(1 / (F.col("t") + alpha) + 1 / (F.col("c") + alpha))
         z.append(counts.where((F.col("kind") == k) & (F.col("t") >= MIN_DOCS)).select("feature", "kind", "t", "c", delta.alias("delta"), (delta / sd).alias("z")))
     every = z[0]
