@@ -29,11 +29,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint and lets the shuffle files behind it go."""
     shared_dir(df.sparkSession)
     out = df.checkpoint(eager=True)
-    gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    release(df.sparkSession)
     return out
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle and checkpoint files of what is no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def crc_mod(column: str | Column, m: int) -> Column:
     """crc32 of the value's text, modulo m (null: 0)."""
     c = F.col(column) if isinstance(column, str) else column

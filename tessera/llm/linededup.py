@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, table, typed, words
+from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, release, table, typed, words
 
 #: Lines with fewer distinct words take no part.
 MIN_TOKENS = 5
@@ -135,9 +135,17 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "sk", "sl", "pre"))
     every, least = every.select("doc_id", "line", "h"), None
     every = checkpoint(every)  # without the prefixes, whose files go
-
-    # crowds: each line against the earliest one
+    release(docs.sparkSession)
+
+    # crowds: each line against the earliest one; words of few lines are sorted out by bounded counters first
+    counters = 1 << 16
+    while counters < min(MAX_BITS, 8 * distinct.count()):
+        counters *= 2
+    bucket = F.pmod(F.xxhash64("k"), F.lit(counters)).alias("bucket")
+    many = distinct.select(F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k")).groupBy(bucket).count().where(F.col("count") > CROWD)
+    in_crowd = _Filter(checkpoint(many.select("bucket")))
     keyed = distinct.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k"))
+    keyed = checkpoint(keyed.withColumn("bucket", bucket).where(in_crowd()).drop("bucket"))
     first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk", "sl")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
     near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), (F.col("sk"), F.col("sl")), (F.col("r.sk"), F.col("r.sl"))))
     settled = checkpoint(_similar(checkpoint(near.select(F.col("h").alias("a"), F.col("r.h").alias("b")).distinct()), distinct, docs, levels).select(F.col("a").alias("h")).distinct())
