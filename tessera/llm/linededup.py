@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, release, table, typed, words
 
-#: Lines with fewer distinct words take no part.
-MIN_TOKENS = 5
+#: Lines with fewer distinct words take no part: only lines without any word.
+MIN_TOKENS = 1
+#: Smaller sets are similar to equal ones only (3 of 4 words are 0.75), which collapse by their hash and need no join.
+JOIN_TOKENS = 4
 #: Counters of the word order: a word's rarity is the count of its bucket, over all tokens of the corpus.
 BUCKETS = 1 << 17
 #: More lines than this under a word that is among their so many rarest are a crowd.
@@ -136,22 +138,23 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     every, least = every.select("doc_id", "line", "h"), None
     every = checkpoint(every)  # without the prefixes, whose files go
     release(docs.sparkSession)
+    joined = distinct.where(F.col("n") >= JOIN_TOKENS)
 
     # crowds: each line against the earliest one; words of few lines are sorted out by bounded counters first
     counters = 1 << 16
-    while counters < min(MAX_BITS, 8 * distinct.count()):
+    while counters < min(MAX_BITS, 8 * joined.count()):
         counters *= 2
     bucket = F.pmod(F.xxhash64("k"), F.lit(counters)).alias("bucket")
-    many = distinct.select(F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k")).groupBy(bucket).count().where(F.col("count") > CROWD)
+    many = joined.select(F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k")).groupBy(bucket).count().where(F.col("count") > CROWD)
     in_crowd = _Filter(checkpoint(many.select("bucket")))
-    keyed = distinct.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k"))
+    keyed = joined.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k"))
     keyed = checkpoint(keyed.withColumn("bucket", bucket).where(in_crowd()).drop("bucket"))
     first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk", "sl")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
     near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), (F.col("sk"), F.col("sl")), (F.col("r.sk"), F.col("r.sl"))))
     settled = checkpoint(_similar(checkpoint(near.select(F.col("h").alias("a"), F.col("r.h").alias("b")).distinct()), distinct, docs, levels).select(F.col("a").alias("h")).distinct())
 
     # the others against all lines, on every word of the prefixes; n, place and whether the line is open in one number
-    marked = distinct.join(settled.withColumn("s", F.lit(1)), "h", "left")
+    marked = joined.join(settled.withColumn("s", F.lit(1)), "h", "left")
     e = marked.select("h", "n", "s", "sk", "sl", F.posexplode("pre").alias("pos", "k"))
     info = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("s").isNull(), 1).otherwise(0).cast("long"))
     e = e.select("k", "h", info.alias("i"), "sk", "sl")
@@ -182,7 +185,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     """docs with the removed lines taken out of text, and _n_lines and _n_removed added; n_chars, where docs has it, follows the text.
 
     Two lines are similar when their sets of words (runs without white space, case kept) have a Jaccard similarity of 0.8 or more;
-    lines of fewer than MIN_TOKENS distinct words stay. A line goes whether the earlier one stays or not. Rows that repeat a doc_id
+    lines without a word stay. A line goes whether the earlier one stays or not. Rows that repeat a doc_id
     share its places, and equal places are not earlier than each other. Null texts and ids stay as they are; a text may become
     empty; an empty table gives no rows.
     """

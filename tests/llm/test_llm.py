@@ -91,6 +91,15 @@ def test_line_dedup_crowd_and_edges(spark):
     assert linededup.dedup_lines(edge(spark).limit(0)).count() == 0
 
 
+def test_line_dedup_takes_short_lines(spark):
+    texts = [(1, "one\none\n\n \nAll rights reserved."), (2, "a b c d\nAll rights reserved.\nb a\na b c"), (3, "e d c b a\na b\n\nreserved. All rights\nd a c"), (4, "e d c b\nnot in any other"), (5, None)]
+    got = {r[0]: set(r[1]) for r in linededup.removed_lines(make(spark, texts)).collect()}
+    # 4 of 5 words are 0.8, 3 of 4 are less; order does not count; lines without a word stay
+    assert got == {1: {1}, 2: {1}, 3: {0, 1, 3}, 4: {0}}
+    out = {r["doc_id"]: r["text"] for r in linededup.dedup_lines(make(spark, texts)).collect()}
+    assert out[1] == "one\n\n \nAll rights reserved." and out[3] == "\nd a c" and out[5] is None
+
+
 # 3
 def test_masks_find_every_window_with_two_substitutions():
     for gaps in itertools.combinations(range(decontaminate.WINDOW), 2):
