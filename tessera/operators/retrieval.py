@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -9,6 +10,9 @@ from pyspark.sql import window as W
 from tessera.config import Settings
 from tessera.functions.text import terms
 
+#: Query vectors of a pass over all vectors, and of a matrix product.
+PASS, BLOCK = 8192, 128
+
 
 def postings(items: DataFrame, key: list[str], text: str = "text") -> DataFrame:
     """key, term, tf, len: a row for each item and term."""
@@ -65,10 +69,50 @@ def bm25_pool(items: DataFrame, queries: DataFrame, key: list[str], most: int, c
 
 
 def dense_topk(vectors: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """query_id, vec_id, similarity, dense_rank: largest dot products of unit vectors. queries (query_id, qvec) is a stated set."""
-    x = vectors.join(F.broadcast(queries))
-    dot = F.aggregate(F.zip_with("embedding", "qvec", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return ranked(x.select("query_id", "vec_id", F.round(dot, 9).alias("similarity")), "similarity", ["vec_id"], most, "dense_rank")
+    """query_id, vec_id, similarity, dense_rank: largest dot products of unit vectors. queries (query_id, qvec) may be any number: they
+    are worked off in passes of about PASS, each over all vectors; a task keeps the best of its own vectors for each query. Null
+    vectors have no similarity."""
+    schema = "query_id long, vec_id long, similarity double"
+    x = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
+    q = queries.select(F.col("query_id").cast("long").alias("query_id"), F.col("qvec").cast("array<double>").alias("qvec")).where("qvec is not null")
+    passes = max(1, -(-q.count() // PASS))
+    best = None
+    for k in range(passes):
+        rows = q.where(F.pmod(F.xxhash64("query_id"), F.lit(passes)) == k).collect()
+        near = _nearest([r[0] for r in rows], np.array([r[1] for r in rows]), most)
+        part = x.mapInArrow(near, schema)
+        best = part if best is None else best.union(part)
+    return ranked(best, "similarity", ["vec_id"], most, "dense_rank")
+
+
+def _nearest(ids: list, qvecs: np.ndarray, most: int):
+    """A function over Arrow batches of (vec_id, embedding): the best of all batches for each query."""
+
+    def best(sim: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if len(sim) > most:
+            least = np.partition(sim, len(sim) - most)[len(sim) - most]
+            sim, at = sim[sim >= least], at[sim >= least]
+        order = np.lexsort((at, -sim))[:most]
+        return sim[order], at[order]
+
+    def run(batches):
+        import pyarrow as pa
+
+        kept = [(np.empty(0), np.empty(0, np.int64))] * len(ids)
+        for batch in batches:
+            if not (batch.num_rows and ids):
+                continue
+            at = batch.column(0).to_numpy(zero_copy_only=False)
+            v = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            for i in range(0, len(ids), BLOCK):
+                for j, sim in enumerate(np.round(qvecs[i : i + BLOCK] @ v.T, 9), i):
+                    s, a = best(sim, at)
+                    kept[j] = best(np.concatenate([kept[j][0], s]), np.concatenate([kept[j][1], a]))
+        for q, (sim, at) in zip(ids, kept):
+            if len(sim):
+                yield pa.RecordBatch.from_arrays([pa.array([q] * len(sim), pa.int64()), pa.array(at, pa.int64()), pa.array(sim, pa.float64())], names=["query_id", "vec_id", "similarity"])
+
+    return run
 
 
 def sparse_cosine(items: DataFrame, queries: DataFrame, key: list[str], most: int) -> DataFrame:

@@ -7,8 +7,9 @@ from conftest import DATA
 
 from tessera import catalog
 from tessera.config import Settings
+from tessera.operators import retrieval
 
-NAMES = ["bm25_topk", "rrf_fuse", "fusion_census", "query_bm25_minmax", "hybrid_score", "score_cache_stats", "score_cache_misses", "knapsack", "drop_histogram", "assemble_context", "baseline_context", "fact_retention", "sse_frames"]
+NAMES = ["bm25_topk", "rrf_fuse", "fusion_census", "query_bm25_minmax", "hybrid_score", "score_cache_stats", "score_cache_misses", "knapsack", "drop_histogram", "assemble_context", "baseline_context", "fact_retention", "sse_frames", "bm25_zero_pool"]
 
 
 def whole(sql):
@@ -16,6 +17,7 @@ def whole(sql):
     for old, new in (
         (catalog._Q, "q as (select item_id query_id, text query from benchmark)"),
         (f"hit_rank <= {catalog.DOCS})", f"hit_rank <= {Settings().top_k})"),
+        ("from q where query_id < 2)", "from q)"),
         (f"from benchmark order by item_id limit {catalog.QUERY_COUNT})", "from benchmark)"),
     ):
         sql = sql.replace(old, new)
@@ -46,3 +48,24 @@ def test_every_item_has_rows(spark, name):
     items = {r[0] for r in spark.read.parquet(f"{DATA}/benchmark.parquet").select("item_id").collect()}
     out = catalog.QUERIES[name](spark, DATA)
     assert {r[0] for r in out.select("query_id").distinct().collect()} == items
+
+
+def test_dense_topk_takes_every_fiftieth(spark, monkeypatch):
+    if not os.path.exists(DATA):
+        pytest.skip("no test data")
+    monkeypatch.setattr(retrieval, "PASS", 4)
+    got = sorted(repr(tuple(r)) for r in catalog.QUERIES["dense_topk"](spark, DATA).collect())
+    assert got == answer(DATA, catalog.ORACLE_SQL["dense_topk"].replace("a.vec_id < 5", "a.vec_id % 50 = 0")) and len(got) == 500
+
+
+def test_dense_topk_ties_and_blocks(spark):
+    import pandas as pd
+
+    v = [[1.0, 0.0] if i % 3 else [0.0, 1.0] for i in range(300)]
+    x = spark.createDataFrame(pd.DataFrame({"vec_id": range(300), "embedding": v})).repartition(7)
+    q = x.selectExpr("vec_id query_id", "embedding qvec")
+    got = {}
+    for r in retrieval.dense_topk(x, q, 5).collect():
+        got.setdefault(r["query_id"], []).append((r["dense_rank"], r["vec_id"], r["similarity"]))
+    alike = lambda i: [j for j in range(300) if v[j] == v[i]][:5]
+    assert {i: sorted(r) for i, r in got.items()} == {i: [(k + 1, j, 1.0) for k, j in enumerate(alike(i))] for i in range(300)}
