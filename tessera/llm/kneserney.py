@@ -1,9 +1,9 @@
-"""Perplexity under an interpolated modified Kneser-Ney bigram model counted in Spark.
+"""Perplexity under an interpolated modified Kneser-Ney model of any order, counted in Spark.
 
-Tasks count word pairs of their texts and send them, packed as arrays of hashes, to one bucket each; a bucket adds them up and writes
-its pairs as a sorted hash array with counts into the shared folder. Context totals, continuation counts and word counts come from
-the same buckets. Scoring workers map these files into memory and look up a batch's distinct pairs in order. The model lies in as
-many files as the corpus needs; nothing of it goes through the driver but the list of hot words, which its definition bounds.
+Tasks count the n-grams of their texts as rows of word hashes, which Spark adds up. Each lower level counts the distinct words before
+its n-grams, from the rows of the level above. N-grams with their counts, and contexts with their totals, are dealt by a hash of their
+key and written as sorted arrays into the shared folder; scoring workers map these files into memory and look up a batch's distinct
+keys in order. The model lies in as many files as the corpus needs; nothing of it but sums goes through the driver.
 """
 
 from __future__ import annotations
@@ -26,10 +26,10 @@ from tessera.llm.common import checkpoint, crc_mod, local_path, map_file, put_fi
 BITS = (1 << 48) - 1
 END, START = 1, 2  # hashes of the end token and of the context before a text
 M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-#: A word that makes up more than this share of the tokens has its followers dealt over all buckets; there are at most 1 / HOT such.
-HOT = 1 / 5000
-#: Training tokens a bucket of pairs, and words a bucket of words.
-TOKENS_PER_BUCKET, WORDS_PER_BUCKET = 2_000_000, 1_000_000
+#: Words of an n-gram, the predicted one included.
+ORDER = 3
+#: Rows of a file.
+ROWS_PER_BUCKET = 1_000_000
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -38,8 +38,9 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def pair_key(context: np.ndarray, word: np.ndarray) -> np.ndarray:
-    return mix(context * M2 + word)
+def key_of(words: list[np.ndarray]) -> np.ndarray:
+    """The key of n-grams given by their words, oldest first; of one word the word itself."""
+    return functools.reduce(lambda k, w: mix(k * M2 + w), words)
 
 
 class _Hashes(dict):
@@ -81,120 +82,63 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
 
-def bucket_of(context: np.ndarray, key: np.ndarray, hot: np.ndarray, buckets: int) -> np.ndarray:
-    at = np.minimum(np.searchsorted(hot, context), len(hot) - 1)
-    is_hot = hot[at] == context
-    return (np.where(is_hot, mix(key + M1), mix(context + M2)) >> np.uint64(20)) % np.uint64(buckets)
+def grams(docs: list[np.ndarray], order: int) -> list[np.ndarray]:
+    """For each token the words of its n-gram, oldest first; START stands for those before a text."""
+    cols = [np.concatenate(docs)]
+    starts = np.cumsum([0, *map(len, docs[:-1])])
+    for _ in range(order - 1):
+        before = np.empty_like(cols[0])
+        before[1:] = cols[0][:-1]
+        before[starts] = START
+        cols.insert(0, before)
+    return cols
 
 
-def pairs(docs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    word = np.concatenate(docs)
-    context = np.empty_like(word)
-    context[1:] = word[:-1]
-    context[np.cumsum([0, *map(len, docs[:-1])])] = START
-    return context, word
-
-
-def _added(context: np.ndarray, word: np.ndarray, count: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs by key: key, context, word, count."""
-    key = pair_key(context, word)
-    order = np.argsort(key)
-    key = key[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    n = np.diff(np.append(first, len(key))) if count is None else np.add.reduceat(count[order], first)
-    order = order[first]
-    return key[first], context[order], word[order], n
-
-
-def _count_pairs(hot: np.ndarray, buckets: int):
+def _count_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
-        for docs in _texts(batches, hashes):
-            key, context, word, n = _added(*pairs(docs))
-            b = bucket_of(context, key, hot, buckets).astype(np.uint32)
-            del key, docs
-            order = np.lexsort((context, b))
-            cuts = np.searchsorted(b[order], np.arange(buckets + 1, dtype=np.uint32))
-            out: list[list] = [[], [], [], [], []]
-            for k in range(buckets):
-                o = order[cuts[k] : cuts[k + 1]]
-                if not len(o):
-                    continue
-                ctx, runs = np.unique(context[o], return_counts=True)
-                for col, v in zip(out, (k, _packed(ctx), _small(runs), _packed(word[o]), _small(n[o]))):
-                    col.append(v)
-            kinds = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out, kinds)], names=["bucket", "contexts", "runs", "words", "counts"])
+        for docs in _texts(batches, hashes, 1_000_000):
+            cols = grams(docs, order)
+            _, at, n = np.unique(key_of(cols), return_index=True, return_counts=True)
+            for i in range(0, len(at), 100_000):
+                some = at[i : i + 100_000]
+                yield pa.RecordBatch.from_arrays([*(pa.array(c[some].view(np.int64)) for c in cols), pa.array(n[i : i + 100_000].astype(np.int64))], names=[*_names(order), "c"])
 
     return run
 
 
-def _packed(h: np.ndarray) -> bytes:
-    """Hashes in six bytes each."""
-    return np.ascontiguousarray(h.astype("<u8").view("<u2").reshape(-1, 4)[:, :3]).tobytes()
-
-
-def _unpacked(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 4), "<u2")
-    out[:, :3] = np.frombuffer(data, "<u2").reshape(-1, 3)
-    return out.view("<u8").ravel()
-
-
-def _small(n: np.ndarray) -> bytes:
-    """Counts in one byte each; 255 says that the count follows at the end in eight."""
-    return np.minimum(n, 255).astype(np.uint8).tobytes() + n[n >= 255].astype("<i8").tobytes()
-
-
-def _large(data: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(data, np.uint8, n).astype(np.int64)
-    out[out == 255] = np.frombuffer(data, "<i8", -1, n) if len(data) > n else out[out == 255]
-    return out
-
-
-def _reduce(folder: str):
-    """Adds up a bucket's pairs, writes them, and returns what each word is as a context and as a continuation."""
+def _names(k: int) -> list[str]:
+    """The columns of an n-gram of k words: w1 is the last word."""
+    return [f"w{i}" for i in range(k, 0, -1)]
 
-    def run(t: pa.Table) -> pa.Table:
-        k = t["bucket"][0].as_py()
-        context, word, count = [], [], []
-        for c, r, w, n in zip(*(t[x].to_pylist() for x in ("contexts", "runs", "words", "counts"))):
-            c = _unpacked(c)
-            context.append(np.repeat(c, _large(r, len(c))))
-            word.append(_unpacked(w))
-            count.append(_large(n, len(word[-1])))
-        key, context, word, n = _added(np.concatenate(context), np.concatenate(word), np.concatenate(count))
-        put_file(f"{folder}/pairs-{k}.keys", key.tobytes())
-        put_file(f"{folder}/pairs-{k}.counts", n.astype("<u4").tobytes())
-        order = np.argsort(context, kind="stable")
-        c, first = np.unique(context[order], return_index=True)
-        n = n[order]
-        add = lambda x: np.add.reduceat(x.astype(np.int64), first)
-        w, distinct = np.unique(word, return_counts=True)
-        rows, zero = len(c) + len(w), np.zeros(len(w), np.int64)
-        cols = {"h": np.concatenate([c, w]).view(np.int64), "total": np.concatenate([add(n), zero]), **{f"n{i}": np.concatenate([add(n == i), zero]) for i in (1, 2)}, "n3": np.concatenate([add(n >= 3), zero])}
-        cols |= {"before": np.concatenate([np.zeros(len(c), np.int64), distinct])}
-        cols |= {f"c{i}": np.concatenate([[int((n == i).sum())], np.zeros(rows - 1, np.int64)]) for i in (1, 2, 3, 4)}
-        return pa.table(cols)
 
-    return run
+def _write(df: DataFrame, key: list[str], values: list[str], uri: str) -> int:
+    """Writes the rows as files uri-K.keys and uri-K by K, the key's bucket; gives the number of buckets."""
+    buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
 
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            k = key_of([b.column(i).to_numpy().view(np.uint64) for i in range(len(key))])
+            at = (mix(k) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k.view(np.int64)), *b.columns[len(key) :]], names=["bucket", "k", *values])
 
-def _write_words(folder: str):
-    def run(t: pa.Table) -> pa.Table:
+    def write(t: pa.Table) -> pa.Table:
         k = t["bucket"][0].as_py()
-        h = t["h"].to_numpy().view(np.uint64)
+        h = t["k"].to_numpy().view(np.uint64)
         order = np.argsort(h)
-        rec = np.zeros(len(h), dtype=WORD_RECORD)
-        for c in ("c", "total", "n1", "n2", "n3", "before"):
-            rec[c] = t[c].to_numpy()[order]
-        put_file(f"{folder}/words-{k}.keys", h[order].tobytes())
-        put_file(f"{folder}/words-{k}", rec.tobytes())
-        return pa.table({"bucket": pa.array([k], pa.int32()), "words": pa.array([len(h)], pa.int64())})
+        rec = np.zeros(len(h), dtype=[(v, "<i8") for v in values])
+        for v in values:
+            rec[v] = t[v].to_numpy()[order]
+        put_file(f"{uri}-{k}.keys", h[order].tobytes())
+        put_file(f"{uri}-{k}", rec.tobytes())
+        return pa.table({"bucket": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
-    return run
+    kinds = ", ".join(f"{v} long" for v in values)
+    df.select(*key, *values).mapInArrow(keyed, f"bucket int, k long, {kinds}").groupBy("bucket").applyInArrow(write, "bucket int, n long").agg(F.sum("n")).collect()
+    return buckets
 
 
-WORD_RECORD = np.dtype([("c", "<i8"), ("total", "<i8"), ("n1", "<u4"), ("n2", "<u4"), ("n3", "<u4"), ("before", "<u4")])
+WORD, GRAM, CONTEXT = ("c", "before"), ("c",), ("total", "n1", "n2", "n3")
 
 
 def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
@@ -209,76 +153,57 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class Model:
     """Sizes, discounts and the folder of the sorted arrays; small, so that it goes to the workers as it is."""
 
-    def __init__(self, folder: str, hot: np.ndarray, buckets: int, word_buckets: int, n: int, v: int, d: tuple, before: tuple, d1: tuple):
-        self.folder, self.hot, self.buckets, self.word_buckets = folder, hot, buckets, word_buckets
-        self.n, self.v, self.d, self.d1 = n, v, np.array([0.0, *d]), np.array([0.0, *d1])
+    def __init__(self, folder: str, order: int, buckets: dict[str, int], n: int, v: int, d: dict[int, tuple], before: tuple):
+        self.folder, self.order, self.buckets, self.n, self.v = folder, order, buckets, n, v
+        self.d = {k: np.array([0.0, *x]) for k, x in d.items()}
         self.before, (a, b, c) = before[0], before[1:]
         # the share of the unigram level that goes to the uniform one over all words and an unknown one
-        self.rest = (self.d1[1] * a + self.d1[2] * b + self.d1[3] * c) / max(1, self.before)
-
-    def words(self, h: np.ndarray) -> np.ndarray:
-        """Records of sorted distinct hashes; zeros for unknown ones."""
-        out = np.zeros(len(h), dtype=WORD_RECORD)
-        if not self.n:
-            return out
-        b = mix(h) % np.uint64(self.word_buckets)
-        for k in np.unique(b):
-            mine = np.flatnonzero(b == k)
-            keys = _file(f"{self.folder}/words-{k}.keys", "u8")
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
-                ok = keys[at] == h[mine]
-                out[mine[ok]] = _file(f"{self.folder}/words-{k}", "words")[at[ok]]
-        return out
-
-    def pair_counts(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        key = pair_key(context, word)
-        order = np.argsort(key)  # a sorted search touches each page once
-        key = key[order]
-        b = bucket_of(context[order], key, self.hot, self.buckets)
-        by = np.argsort(b.astype(np.uint16) if self.buckets < 65536 else b, kind="stable")
-        cuts = np.searchsorted(b[by], np.arange(self.buckets + 1, dtype=np.uint64))
-        found = np.zeros(len(key), np.int64)
+        self.rest = (self.d[1][1] * a + self.d[1][2] * b + self.d[1][3] * c) / max(1, self.before)
+
+    def look_up(self, name: str, values: tuple, key: np.ndarray) -> np.ndarray:
+        """A record for each key; zeros for unknown ones."""
+        h, inverse = np.unique(key, return_inverse=True)  # a sorted search touches each page once
+        out = np.zeros(len(h), dtype=[(v, "<i8") for v in values])
+        b = mix(h) % np.uint64(self.buckets[name])
+        by = np.argsort(b, kind="stable")
+        cuts = np.searchsorted(b[by], np.arange(self.buckets[name] + 1, dtype=np.uint64))
         for k in np.flatnonzero(np.diff(cuts)):
             mine = by[cuts[k] : cuts[k + 1]]
-            keys = _file(f"{self.folder}/pairs-{k}.keys", "u8")
+            keys = _file(f"{self.folder}/{name}-{k}.keys", ())
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, key[mine]), len(keys) - 1)
-                ok = keys[at] == key[mine]
-                found[mine[ok]] = _file(f"{self.folder}/pairs-{k}.counts", "u4")[at[ok]]
-        out = np.empty(len(key), np.int64)
-        out[order] = found
-        return out
+                at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
+                ok = keys[at] == h[mine]
+                out[mine[ok]] = _file(f"{self.folder}/{name}-{k}", values)[at[ok]]
+        return out[inverse]
 
     def score(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of each text."""
-        context, word = pairs(docs)
-        u, inverse = np.unique(np.append(word, np.uint64(START)), return_inverse=True)
-        w, c = inverse[:-1], np.full(len(word), inverse[-1])
+        cols = grams(docs, self.order)
         starts = np.cumsum([0, *map(len, docs[:-1])])
-        c[1:] = w[:-1]
-        c[starts] = inverse[-1]
-        rec = self.words(u)
-        before, total = rec["before"].astype(np.int64), rec["total"].astype(np.float64)
+        rec = self.look_up("words", WORD, cols[-1])
         base = np.log10((rec["c"] + 1) / (self.n + self.v + 1))
-        low = np.maximum(before - self.d1[np.minimum(before, 3)], 0) / max(1, self.before) + (self.rest if self.before else 1.0) / (self.v + 1)
-        left = np.where(total > 0, (self.d[1] * rec["n1"] + self.d[2] * rec["n2"] + self.d[3] * rec["n3"]) / np.maximum(total, 1), 1.0)
-        n = self.pair_counts(context, word) if self.n else np.zeros(len(word), np.int64)
-        p = np.maximum(n - self.d[np.minimum(n, 3)], 0) / np.maximum(total, 1)[c] + left[c] * low[w]
+        p = np.maximum(rec["before"] - self.d[1][np.minimum(rec["before"], 3)], 0) / max(1, self.before) + (self.rest if self.before else 1.0) / (self.v + 1)
+        for k in range(2, self.order + 1):
+            n = self.look_up(f"grams{k}", GRAM, key_of(cols[-k:]))["c"]
+            x, d = self.look_up(f"contexts{k}", CONTEXT, key_of(cols[-k:-1])), self.d[k]
+            total = np.maximum(x["total"], 1)
+            left = np.where(x["total"] > 0, (d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / total, 1.0)
+            p = np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p
         add = lambda x: np.add.reduceat(x, starts).tolist()
-        return list(zip(map(len, docs), add((rec["c"] > 0).astype(np.int64)[w]), add(base[w]), add(np.log10(p))))
+        return list(zip(map(len, docs), add((rec["c"] > 0).astype(np.int64)), add(base), add(np.log10(p))))
 
 
 @functools.lru_cache(maxsize=4096)
-def _file(uri: str, what: str) -> np.ndarray:
-    """A mapped file of the model."""
+def _file(uri: str, values: tuple) -> np.ndarray:
+    """A mapped file of the model: records of the values, or keys where none are named."""
+    kind = np.dtype([(v, "<i8") for v in values] if values else "<u8")
     try:
-        return map_file(uri, WORD_RECORD if what == "words" else "<" + what)
+        return map_file(uri, kind)
     except FileNotFoundError:
-        return np.zeros(0, WORD_RECORD if what == "words" else np.uint64)
+        return np.zeros(0, kind)
 
 
-def fit(train: DataFrame) -> Model:
+def fit(train: DataFrame, order: int = ORDER) -> Model:
     """Counts the model over all rows of train (a column text; null: empty)."""
     spark = train.sparkSession
     folder = f"{shared_dir(spark)}/kneserney-{uuid.uuid4().hex}"
@@ -287,28 +212,21 @@ def fit(train: DataFrame) -> Model:
     train = typed(train, "text string").select(F.col("text").cast("binary"))
     words = checkpoint(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    hot = sorted(np.array([r[0] for r in words.where(F.col("c") > max(1.0, HOT * n)).select("h").collect()] + [START], dtype=np.int64).view(np.uint64).tolist())
-    hot = np.array(hot, dtype=np.uint64)
-    buckets, word_buckets = max(4, -(-n // TOKENS_PER_BUCKET)), max(1, -(-v // WORDS_PER_BUCKET))
-    kinds = "h long, total long, n1 long, n2 long, n3 long, before long, c1 long, c2 long, c3 long, c4 long"
-    about = train.mapInArrow(_count_pairs(hot, buckets), "bucket int, contexts binary, runs binary, words binary, counts binary").groupBy("bucket").applyInArrow(_reduce(folder), kinds)
-    names = [x.split()[0] for x in kinds.split(", ")][1:]
-    # hot words come from many buckets and words from several; one row a word and task goes on
-    about = checkpoint(about.groupBy("h").agg(*(F.sum(x).alias(x) for x in names)))
-    s = about.agg(*(F.coalesce(F.sum(x), F.lit(0)).alias(x) for x in ("before", "c1", "c2", "c3", "c4")), *(F.coalesce(F.sum((F.col("before") == i).cast("long")), F.lit(0)).alias(f"b{i}") for i in (1, 2, 3, 4)), F.coalesce(F.sum((F.col("before") >= 3).cast("long")), F.lit(0)).alias("b3p")).first()
-    whole = about.select("h", *names[:5]).join(words, "h", "full_outer").select("h", *(F.coalesce(x, F.lit(0)).alias(x) for x in ("c", *names[:5])))
-    whole = whole.mapInArrow(_word_bucket(word_buckets), "bucket int, h long, c long, total long, n1 long, n2 long, n3 long, before long")
-    whole.groupBy("bucket").applyInArrow(_write_words(folder), "bucket int, words long").agg(F.sum("words")).collect()
-    return Model(folder, hot, buckets, word_buckets, n, v, discounts(s["c1"], s["c2"], s["c3"], s["c4"]), (s["before"], s["b1"], s["b2"], s["b3p"]), discounts(s["b1"], s["b2"], s["b3"], s["b4"]))
-
-
-def _word_bucket(buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = (mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(k), *b.columns], names=["bucket", *b.schema.names])
-
-    return run
+    kinds = ", ".join(f"{w} long" for w in [*_names(order), "c"])
+    level = checkpoint(train.mapInArrow(_count_grams(order), kinds).groupBy(*_names(order)).agg(F.sum("c").alias("c")))
+    buckets, d = {}, {}
+    for k in range(order, 0, -1):
+        s = level.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)), F.count_if(F.col("c") >= 3)).first()
+        d[k] = discounts(*s[1:5])
+        if k == 1:
+            break
+        sums = level.groupBy(*_names(k)[:-1]).agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") >= 3).alias("n3"))
+        buckets[f"grams{k}"] = _write(level, _names(k), [*GRAM], f"{folder}/grams{k}")
+        buckets[f"contexts{k}"] = _write(checkpoint(sums), _names(k)[:-1], [*CONTEXT], f"{folder}/contexts{k}")
+        level = checkpoint(level.groupBy(*_names(k - 1)).agg(F.count("*").alias("c")))
+    both = words.join(level.select(F.col("w1").alias("h"), F.col("c").alias("before")), "h", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+    buckets["words"] = _write(both, ["h"], [*WORD], f"{folder}/words")
+    return Model(folder, order, buckets, n, v, d, (s[0], s[1], s[2], s[5]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:

@@ -277,6 +277,40 @@ def test_kneser_ney_sums_to_one(spark, corpus):
     assert kneserney.score(edge(spark), kneserney.fit(edge(spark).limit(0))).count() == 8
 
 
+def brute_kneser_ney(train, order, text):
+    """log10 of the text's probability by the definition, with counts in dictionaries."""
+    pad = lambda t: ["<s>"] * (order - 1) + t.lower().split() + ["</s>"]
+    top = collections.Counter(tuple(w[i : i + order]) for w in map(pad, train) for i in range(len(w) - order + 1))
+    level = {order: top}
+    for k in range(order - 1, 0, -1):
+        level[k] = collections.Counter(g[1:] for g in level[k + 1])
+    d = {k: [0.0, *kneserney.discounts(*(sum(n == i for n in c.values()) for i in (1, 2, 3, 4)))] for k, c in level.items()}
+    vocabulary = len({w for t in train for w in t.lower().split()} | {"</s>"})
+
+    def p(g):
+        if not g:
+            return 1 / (vocabulary + 1)
+        k = len(g)
+        alike = [n for h, n in level[k].items() if h[:-1] == g[:-1]]
+        if not alike:
+            return p(g[1:])
+        n = level[k][g]
+        return (max(n - d[k][min(n, 3)], 0) + sum(d[k][min(x, 3)] for x in alike) * p(g[1:])) / sum(alike)
+
+    w = pad(text)
+    return sum(np.log10(p(tuple(w[i : i + order]))) for i in range(len(w) - order + 1))
+
+
+def test_kneser_ney_has_higher_orders(spark, corpus):
+    train, h = [t for _, t in corpus[:40]], kneserney._Hashes()
+    asked = [train[0], " ".join(train[1].split()[3:12]), "ka never ka", ""]
+    for order in (2, 3, 4):
+        m = kneserney.fit(make(spark, corpus[:40]), order)
+        got = [x[3] for x in m.score([kneserney.tokens(t.encode(), h) for t in asked])]
+        assert got == pytest.approx([brute_kneser_ney(train, order, t) for t in asked], abs=1e-8)
+    assert kneserney.fit(make(spark, corpus[:5])).order == 3
+
+
 # 10
 def test_plan_equals_one_by_one():
     rng = random.Random(6)
