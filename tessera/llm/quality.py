@@ -142,10 +142,11 @@ def estimates(d: DataFrame) -> DataFrame:
 
 def verdicts(docs: DataFrame) -> DataFrame:
     """A row for each row of docs (doc_id, text, lang, source): doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-    base_failed, kept, distance (null where no estimate applies).
+    base_failed, kept, distance (null where the base rules reject).
 
     Rows that fail the base rules are rejected and take no part in the estimates. A language and source with under MIN_ROWS other
-    rows joins the pool of its language's small ones; rows of a pool still under it are kept. Null languages and sources are groups
+    rows joins the pool of its language's small ones; rows of a pool still under it are judged by an estimate over all rows, however
+    few. Null languages and sources are groups
     like others. Ties, repeated rows and extra columns change nothing; an empty table gives no rows.
     """
     slim = transformed(counts(typed(docs, "doc_id long, text string, lang string, source string"))).drop("text")
@@ -155,7 +156,13 @@ def verdicts(docs: DataFrame) -> DataFrame:
     own = use.groupBy("_lang", "_own").count().where(F.col("count") >= MIN_ROWS).select("_lang", "_own", F.lit(True).alias("_big"))
     rows = checked_join(slim, own, ["_lang", "_own"]).withColumn("_source", F.when(F.col("_big"), F.col("_own")).otherwise("*")).drop("_own", "_big")
     sizes = rows.where(~F.col("base_failed")).groupBy(*GROUP).agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS)
-    fit = checkpoint(checked_join(rows.where(~F.col("base_failed")).select(*GROUP, *Z), sizes, GROUP, "inner"))
+    rows = checked_join(rows, sizes.drop("n").withColumn("_enough", F.lit(True)), GROUP)
+    rows = rows.withColumns({c: F.when(F.col("_enough"), F.col(c)).otherwise("*") for c in GROUP}).drop("_enough")
+    judged = rows.where(~F.col("base_failed")).select(*GROUP, *Z)
+    fit = checked_join(judged, sizes, GROUP, "inner")
+    if judged.where("_lang = '*'").limit(1).count():
+        fit = fit.unionByName(judged.withColumns({c: F.lit("*") for c in GROUP}).withColumn("n", F.lit(judged.count())))
+    fit = checkpoint(fit)
     out = _distance(checked_join(rows, checkpoint(estimates(fit)), GROUP))
     kept = ~F.col("base_failed") & (F.coalesce(F.col("d2"), F.lit(0.0)) <= CUTOFF)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", kept.alias("kept"), F.when(~F.col("base_failed"), F.round("d2", 6)).alias("distance"))

@@ -61,6 +61,18 @@ def test_quality_rejects_outliers(spark):
     assert kept == {i for i, _ in clean}
 
 
+def test_quality_judges_rare_languages(spark):
+    rng = random.Random(2)
+    text = lambda tail="": " ".join("".join(rng.choices("abcdefgh", k=rng.randint(3, 7))) + tail for _ in range(80))
+    clean = [(i, text(), "en", "s") for i in range(120)] + [(200 + i, text(), "xx", None) for i in range(10)]
+    bad = [(300, text("###"), "xx", None), (301, text("###"), None, "t")]
+    read = lambda rows: spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = quality.verdicts(read(clean + bad)).collect()
+    assert {r["doc_id"] for r in got if r["kept"]} == {r[0] for r in clean} and all(r["distance"] is not None for r in got)
+    few = quality.verdicts(read(clean[-10:] + bad[:1])).collect()
+    assert {r["doc_id"] for r in few if not r["kept"]} == {300}
+
+
 # 2
 def brute_lines(texts):
     seen, gone = [], collections.defaultdict(set)
