@@ -3,7 +3,7 @@
 Fixed masks select some positions of a short window and ignore the others, so that a window with substituted words still gives an
 equal hash. Hashes of training texts are joined with those of the test items; each hit fixes a diagonal (text place minus item
 place) on which the overlap is then verified: a stretch of `window` tokens, or the whole of a shorter item, with at least 0.8 of
-its tokens equal. Any such stretch of 12 tokens contains a hit of one of the masks.
+its tokens equal. Any such stretch of 12 tokens contains a hit of one of the masks; items of 5 to 11 tokens have lighter masks too.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tessera.llm.common import table, typed
 #: Positions that count, in windows of up to 7 tokens (fixed values).
 MASKS = ("11111", "110111", "1011101")
 WINDOW, SHARE = 12, 0.8
+#: For items of some lengths (least, most), a run that one substitution, or two from 10 tokens on, leaves whole.
+SHORT = (("11", 5, 5), ("111", 6, 11))
 #: Test tokens that one pass over the training texts holds in memory; more are done in further passes.
 BLOCK_TOKENS = 2_000_000
 TOKEN = re.compile(r"\w+")
@@ -56,10 +58,12 @@ class Index:
         self.starts = np.cumsum([0, *map(len, bodies)])
         self.body = np.concatenate(bodies) if bodies else np.zeros(0, np.int64)
         self.tables = []
-        for m in self.masks:
+        spans = [(m, 1, len(self.body)) for m in self.masks] + [(offsets(m), least, most) for m, least, most in SHORT]
+        self.masks = [m for m, _, _ in spans]
+        for m, least, most in spans:
             h, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
             for s, b in zip(self.starts, bodies):
-                if len(b) > m[-1]:
+                if len(b) > m[-1] and least <= len(b) <= most:
                     h.append(_hashes(b, m))
                     at.append(np.arange(len(b) - m[-1]) + s)
             h, at = np.concatenate(h), np.concatenate(at)

@@ -118,6 +118,16 @@ def test_masks_find_every_window_with_two_substitutions():
         assert any(all(p + o not in gaps for o in decontaminate.offsets(m)) for m in decontaminate.MASKS for p in range(decontaminate.WINDOW - len(m) + 1))
 
 
+def test_short_items_are_found_with_substitutions():
+    for n in range(3, decontaminate.WINDOW):
+        item = [f"t{k}" for k in range(n)]
+        index = decontaminate.Index([(7, " ".join(item)), (8, "some longer item " * 8)])
+        for gaps in itertools.combinations(range(n), n // 5):
+            text = " ".join(["before", *("sub" if k in gaps else w for k, w in enumerate(item)), "after"])
+            assert index.search(text) == [(7, 1, n, n - n // 5)], (n, gaps)
+        assert not index.search(" ".join("sub" if k <= n // 5 else w for k, w in enumerate(item)))
+
+
 def test_decontamination(spark):
     rng = random.Random(5)
     items = [(i, " ".join(f"t{rng.randrange(400)}" for _ in range(20))) for i in range(8)]
