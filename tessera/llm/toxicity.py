@@ -115,7 +115,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if sum(map(len, seen)) > 400_000:
             yield _counted(seen)
             seen = Counter(), Counter()
-    yield _counted(seen)
+    if any(seen):  # a frame without rows has no string column
+        yield _counted(seen)
 
 
 def _counted(seen: tuple[Counter, Counter]) -> pd.DataFrame:

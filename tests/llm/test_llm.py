@@ -245,6 +245,13 @@ def test_toxicity(spark):
     assert toxicity.drop_toxic(edge(spark), lab.limit(0)).columns == edge(spark).columns
 
 
+def test_toxicity_with_partitions_without_labels(spark):
+    d = make(spark, [(i, f"plain words number {i}" + (" vile nasty" if i < 2 else "")) for i in range(40)]).repartition(8)
+    lab = spark.createDataFrame([(0, 1), (2, 1), (5, 0), (6, 0)], "doc_id long, toxic int")
+    assert toxicity.score(d, toxicity.fit(d, lab)).where("_tox.score between 0 and 1").count() == 40
+    assert toxicity.score(d.limit(0), toxicity.fit(d.limit(0), lab)).count() == 0
+
+
 # 7
 def test_min_cut_is_optimal():
     rng = random.Random(2)
