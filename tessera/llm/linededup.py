@@ -2,53 +2,69 @@
 
 A line is the set of its words. Words are ordered by rarity, rarest first; by the prefix filter, lines of Jaccard similarity 0.8 share
 m words among the first n - ceil(0.8 n) + m, which makes words of these prefixes the join key; m grows with the line. Length and
-position filters thin the candidates, and so does a 128 bit parity sketch: sets differ in at least as many words as their sketches
+position filters thin the candidates, and so does a parity sketch: sets differ in at least as many words as their sketches
 in bits. The full sets verify what is left. Equal sets collapse first. A line goes when an earlier one (by doc_id and place in the
 text) is similar to it. Before the join over all prefixes, lines under a word that is among the rarest of more
-than CROWD lines are compared with the earliest of these; lines that this settles are no longer probed, so that a crowd of near
-copies of one line costs a pair each. Everything
-is DataFrame expressions.
+than CROWD lines are compared with the earliest of these. Lines that this settles look for no earlier ones any more, but open lines
+still meet them, so that a crowd of near copies of one line costs a pair each. Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, release, table, typed, words
+from tessera.llm.common import BROADCAST_ROWS, checkpoint, fits, let, release, spare, table, typed
 
 #: Lines with fewer distinct words take no part: only lines without any word.
 MIN_TOKENS = 1
 #: Smaller sets are similar to equal ones only (3 of 4 words are 0.75), which collapse by their hash and need no join.
 JOIN_TOKENS = 4
-#: Counters of the word order: a word's rarity is the count of its bucket, over all tokens of the corpus.
-BUCKETS = 1 << 17
+#: Counters of the word order, a byte each: a word's rarity is the count of its bucket, over all words of the corpus.
+BUCKETS = 1 << 21
+#: Levels of rarity in a doubling of the count.
+STEPS = 4
 #: More lines than this under a word that is among their so many rarest are a crowd.
-CROWD, CROWD_WORDS = 16, 6
+CROWD, CROWD_WORDS = 64, 4
 #: Bits of the filter of candidate lines, at most.
 MAX_BITS = 1 << 26
-HASH_BITS = 57
+#: Bits of a word's hash beside its rarity.
+HASH_BITS = 56
+SPACE = r"[\x20\x09-\x0D]+"
+PLACE = ["doc_id", "line"]
+
+
+def _hashes(line: Column) -> Column:
+    """The 64 bit hashes of the line's words."""
+    return F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
 
 
 def _levels(docs: DataFrame) -> Column:
-    """For each bucket of words the level of its count, 0 to 63, as a literal of one byte a bucket."""
-    w = docs.select(F.explode(F.split("text", r"[\x20\x09-\x0D]+")).alias("w"))
-    n = w.groupBy(F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int").alias("i")).agg(F.count("*").alias("n"))
+    """The rarity of every word: the level of its bucket's count, 0 (a single word) to 127, as a literal of one byte a bucket."""
+    w = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
+    n = w.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("i")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.floor(STEPS * F.log2("n"))).cast("long")
+    place = lambda x: F.call_function("shiftleft", x, (8 * (F.col("i") % 8)).cast("int"))
+    eight = n.groupBy(F.floor(F.col("i") / 8).cast("int").alias("j")).agg(F.bit_or(place(level)).alias("v"))
+    part = eight.groupBy(F.floor(F.col("j") / 512).alias("c")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("x"))
     out = bytearray(BUCKETS)
-    for i, level in n.select("i", F.least(F.lit(63), F.floor(2 * F.log2(F.col("n") + 1))).cast("int")).collect():  # BUCKETS rows at most
-        out[i] = level
+    for js, vs in part.select("x.j", "x.v").collect():  # BUCKETS / 8 numbers at most
+        for j, v in zip(js, vs):
+            out[8 * j : 8 * j + 8] = v.to_bytes(8, "little")
     return F.lit(bytes(out))
 
 
 def _tokens(line: Column, levels: Column) -> Column:
     """The line's distinct words as numbers in order of rarity: level, then hash."""
 
-    def token(w: Column) -> Column:
-        h = F.xxhash64(w)
-        level = F.ascii(F.substring(levels, (F.pmod(h, F.lit(BUCKETS)) + 1).cast("int"), 1).cast("string")).cast("long")
+    def token(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+        level = F.ascii(F.substring(levels, at, 1).cast("string")).cast("long")
         return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(words(line), token)))
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), token)))
 
 
 def _prefix(n: Column) -> Column:
@@ -66,19 +82,18 @@ def _shared(n: Column) -> Column:
     return F.floor(n / 40) + 1
 
 
-def _sketch(t: Column, word: int) -> Column:
-    """Half of the sketch: for each of 64 places the parity of the words that fall there."""
+def _level_of(token: Column) -> Column:
+    return F.shiftright(token, HASH_BITS)
 
-    def bit(x: Column) -> Column:
-        return F.when(F.shiftright(x, 6).bitwiseAND(F.lit(1)) == word, F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
 
-    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
+def _sketch(t: Column) -> Column:
+    """For each of 64 places the parity of the words that fall there."""
+    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int"))))
 
 
-def _close(na: Column, nb: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
+def _close(na: Column, nb: Column, a: Column, b: Column) -> Column:
     """The length filter, and that of the sketches: |x - y| + |y - x| <= (na + nb) / 9 when the similarity is 0.8 or more."""
-    apart = F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
-    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * apart <= na + nb)
+    return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * F.bit_count(a.bitwiseXOR(b)) <= na + nb)
 
 
 class _Filter:
@@ -105,23 +120,49 @@ class _Filter:
         return F.element_at(self.array.scalar(), (F.floor(h / 64) + 1).cast("int")).bitwiseAND(self._bit(h)) != 0
 
 
-def _sets(docs: DataFrame, ids: DataFrame, levels: Column) -> DataFrame:
-    """(h, t): the full sets of the lines named by ids (doc_id, line)."""
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc_id, line, t): the full sets of the lines named by ids; of rows that repeat a doc_id any one."""
     in_docs, in_lines = _Filter(ids.select("doc_id")), _Filter(ids)
     lines = docs.where(in_docs()).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    t = lines.where(in_lines()).select("doc_id", "line", _tokens(F.col("text"), levels).alias("t"))
-    mine = t.join(F.broadcast(ids) if fits(ids, BROADCAST_ROWS) else ids, ["doc_id", "line"], "left_semi")
-    return mine.select(F.xxhash64("t").alias("h"), "t").groupBy("h").agg(F.first("t").alias("t"))
-
-
-def _similar(pairs: DataFrame, distinct: DataFrame, docs: DataFrame, levels: Column) -> DataFrame:
-    """Those of the pairs (a, b) of set hashes whose Jaccard similarity is 0.8 or more."""
-    both = pairs.select(F.col("a").alias("h")).union(pairs.select(F.col("b").alias("h"))).distinct()
-    ids = checkpoint(distinct.join(both, "h", "left_semi").select("doc_id", "line"))
-    sets = checkpoint(_sets(docs, ids, levels))
-    x = pairs.join(sets.select(F.col("h").alias("a"), F.col("t").alias("ta")), "a").join(sets.select(F.col("h").alias("b"), F.col("t").alias("tb")), "b")
-    common = F.size(F.array_intersect("ta", "tb"))
-    return x.where(9 * common >= 4 * (F.size("ta") + F.size("tb"))).select("a", "b")
+    t = lines.where(in_lines()).select(*PLACE, F.array_distinct(_hashes(F.col("text"))).alias("t"))
+    mine = t.join(F.broadcast(ids) if fits(ids, BROADCAST_ROWS) else ids, PLACE, "left_semi")
+    return mine.groupBy(*PLACE).agg(F.collect_set("t").alias("t"))
+
+
+def _similar(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """Those of the pairs (da, la, db, lb) of places whose lines have a Jaccard similarity of 0.8 or more."""
+    both = pairs.select(F.col("da").alias("doc_id"), F.col("la").alias("line")).union(pairs.select("db", "lb"))
+    sets = checkpoint(_sets(docs, checkpoint(both.distinct())))
+    for s in "ab":
+        pairs = pairs.join(sets.select(F.col("doc_id").alias(f"d{s}"), F.col("line").alias(f"l{s}"), F.col("t").alias(f"t{s}")), [f"d{s}", f"l{s}"])
+    alike = lambda x, y: 9 * F.size(F.array_intersect(x, y)) >= 4 * (F.size(x) + F.size(y))
+    some = F.exists("ta", lambda x: F.exists("tb", lambda y: alike(x, y)))
+    return pairs.where(some).select("da", "la", "db", "lb")
+
+
+def _settled(joined: DataFrame, docs: DataFrame) -> DataFrame:
+    """Places of lines that are similar to the earliest line of a crowd that they are in."""
+    k = F.filter(F.slice("pre", 1, CROWD_WORDS), lambda x: _level_of(x) >= int(STEPS * math.log2(CROWD + 1)))
+    keyed = checkpoint(joined.select(*PLACE, "n", "sk", F.explode(k).alias("k")))
+    first = keyed.groupBy("k").agg(F.min(F.struct(*PLACE, "n", "sk")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
+    later = (F.col("doc_id") > F.col("r.doc_id")) | ((F.col("doc_id") == F.col("r.doc_id")) & (F.col("line") > F.col("r.line")))
+    near = keyed.join(first, "k").where(later & _close(F.col("n"), F.col("r.n"), F.col("sk"), F.col("r.sk")))
+    pairs = checkpoint(near.select(F.col("r.doc_id").alias("da"), F.col("r.line").alias("la"), F.col("doc_id").alias("db"), F.col("line").alias("lb")).distinct())
+    return checkpoint(_similar(pairs, docs).select(F.col("db").alias("doc_id"), F.col("lb").alias("line")).distinct())
+
+
+def _candidates(x: DataFrame, y: DataFrame, order: bool) -> DataFrame:
+    """Pairs (da, la, db, lb) of lines of x and of y that pass the prefix, length, position and sketch filters. With order, the
+    first of a pair is the earlier one."""
+    a, b = (e.select("k", F.col("doc_id").alias(f"d{s}"), F.col("line").alias(f"l{s}"), F.col("i").alias(f"i{s}"), F.col("sk").alias(f"s{s}")) for s, e in (("a", x), ("b", y)))
+    na, nb = (F.shiftright(F.col(f"i{s}"), 32) for s in "ab")
+    pa, pb = (F.col(f"i{s}").bitwiseAND(F.lit(0xFFFFFFFF)) for s in "ab")
+    bound = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
+    ok = _close(na, nb, F.col("sa"), F.col("sb")) & (9 * bound >= 4 * (na + nb)) & F.when(na <= nb, pa < _short_prefix(na)).otherwise(pb < _short_prefix(nb))
+    if order:
+        ok = ((F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))) & ok
+    some = a.join(F.broadcast(b) if not order and fits(y) else b, "k").where(ok)
+    return some.groupBy("da", "la", "db", "lb", _shared(F.least(na, nb)).alias("m")).count().where("count >= m").select("da", "la", "db", "lb")
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
@@ -129,85 +170,59 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     docs = typed(docs, "doc_id long, text string").where("doc_id is not null and text is not null")
     levels = _levels(docs)
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    t = F.explode(F.filter(F.array(_tokens(F.col("text"), levels)), lambda x: F.size(x) >= MIN_TOKENS))  # a filter below would work it out twice
-    t = lines.select("doc_id", "line", t.alias("t"))
+    t = lines.select(*PLACE, F.explode(F.array(_tokens(F.col("text"), levels))).alias("t"))  # worked out once a line
     n = F.size("t")
-    every = checkpoint(t.select("doc_id", "line", F.xxhash64("t").alias("h"), n.alias("n"), _sketch(F.col("t"), 0).alias("sk"), _sketch(F.col("t"), 1).alias("sl"), F.slice("t", F.lit(1), _prefix(n)).alias("pre")))
-    least = every.groupBy("h").agg(F.min(F.struct("doc_id", "line")).alias("at"), F.first("n").alias("n"), F.first("sk").alias("sk"), F.first("sl").alias("sl"), F.first("pre").alias("pre"))
-    distinct = checkpoint(least.select("h", F.col("at.doc_id").alias("doc_id"), F.col("at.line").alias("line"), "n", "sk", "sl", "pre"))
-    every, least = every.select("doc_id", "line", "h"), None
-    every = checkpoint(every)  # without the prefixes, whose files go
+    prefix = F.when(n >= JOIN_TOKENS, F.filter(F.slice("t", F.lit(1), _prefix(n)), lambda x: _level_of(x) > 0))  # a word that occurs once joins nothing
+    every = checkpoint(t.where(n >= MIN_TOKENS).select(*PLACE, F.xxhash64("t").alias("h"), F.hash("t").alias("g"), n.alias("n"), _sketch(F.col("t")).alias("sk"), prefix.alias("pre")))
+    # equal sets (by 96 bits) collapse to the earliest
+    least = every.groupBy("h", "g").agg(F.min(F.struct(*PLACE)).alias("at"), *(F.first(c).alias(c) for c in ("n", "sk", "pre")))
+    distinct = checkpoint(least.select("h", "g", "at.*", "n", "sk", "pre"))
+    every = checkpoint(every.select(*PLACE, "h", "g"))  # without the prefixes, whose files go
     release(docs.sparkSession)
-    joined = distinct.where(F.col("n") >= JOIN_TOKENS)
-
-    # crowds: each line against the earliest one; words of few lines are sorted out by bounded counters first
-    counters = 1 << 16
-    while counters < min(MAX_BITS, 8 * joined.count()):
-        counters *= 2
-    bucket = F.pmod(F.xxhash64("k"), F.lit(counters)).alias("bucket")
-    many = joined.select(F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k")).groupBy(bucket).count().where(F.col("count") > CROWD)
-    in_crowd = _Filter(checkpoint(many.select("bucket")))
-    keyed = joined.select("h", "n", "sk", "sl", F.struct("doc_id", "line").alias("at"), F.explode(F.slice("pre", 1, CROWD_WORDS)).alias("k"))
-    keyed = checkpoint(keyed.withColumn("bucket", bucket).where(in_crowd()).drop("bucket"))
-    first = keyed.groupBy("k").agg(F.min(F.struct("at", "h", "n", "sk", "sl")).alias("r"), F.count("*").alias("c")).where(F.col("c") > CROWD).select("k", "r")
-    near = keyed.join(first, "k").where("h <> r.h").where(_close(F.col("n"), F.col("r.n"), (F.col("sk"), F.col("sl")), (F.col("r.sk"), F.col("r.sl"))))
-    settled = checkpoint(_similar(checkpoint(near.select(F.col("h").alias("a"), F.col("r.h").alias("b")).distinct()), distinct, docs, levels).select(F.col("a").alias("h")).distinct())
-
-    # the others against all lines, on every word of the prefixes; n, place and whether the line is open in one number
-    marked = joined.join(settled.withColumn("s", F.lit(1)), "h", "left")
-    e = marked.select("h", "n", "s", "sk", "sl", F.posexplode("pre").alias("pos", "k"))
-    info = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.shiftleft(F.col("pos").cast("long"), 1)).bitwiseOR(F.when(F.col("s").isNull(), 1).otherwise(0).cast("long"))
-    e = e.select("k", "h", info.alias("i"), "sk", "sl")
-    x, y = (e.select("k", F.col("h").alias(c), F.col("i").alias(f"i{c}"), F.col("sk").alias(f"s{c}"), F.col("sl").alias(f"t{c}")) for c in "ab")
-    part = {f"{v}{c}": q for c in "ab" for v, q in (("n", F.shiftright(F.col(f"i{c}"), 32)), ("p", F.shiftright(F.col(f"i{c}"), 1).bitwiseAND(F.lit(0x7FFFFFFF))))}
-    na, nb, pa, pb = (part[k] for k in ("na", "nb", "pa", "pb"))
-    bound = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
-    ok = (
-        (F.col("a") < F.col("b"))
-        & (F.col("ia").bitwiseOR(F.col("ib")).bitwiseAND(F.lit(1)) == 1)
-        & _close(na, nb, (F.col("sa"), F.col("ta")), (F.col("sb"), F.col("tb")))
-        & (9 * bound >= 4 * (na + nb))
-        & F.when(na <= nb, pa < _short_prefix(na)).otherwise(pb < _short_prefix(nb))
-    )
-    pairs = checkpoint(x.join(y, "k").where(ok).groupBy("a", "b", _shared(F.least(na, nb)).alias("m")).count().where("count >= m").select("a", "b"))
-    found = _similar(pairs, distinct, docs, levels)
-    at = distinct.select("h", F.struct("doc_id", "line").alias("at"))
-    later = found.join(at.select(F.col("h").alias("a"), F.col("at").alias("at_a")), "a").join(at.select(F.col("h").alias("b"), F.col("at").alias("at_b")), "b")
-    later = later.select(F.when(F.col("at_a") < F.col("at_b"), F.col("b")).otherwise(F.col("a")).alias("h"))
-    gone = later.union(settled).distinct().withColumn("g", F.lit(True))
-
-    place = distinct.select("h", F.struct("doc_id", "line").alias("first")).join(gone, "h", "left")
-    out = every.select("doc_id", "line", "h").join(place, "h").where((F.struct("doc_id", "line") > F.col("first")) | F.coalesce("g", F.lit(False)))
-    return out.groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
-
-
-def dedup_lines(docs: DataFrame) -> DataFrame:
-    """docs with the removed lines taken out of text, and _n_lines and _n_removed added; n_chars, where docs has it, follows the text.
+    joined = distinct.where(F.size("pre") > 0)
+    settled = _settled(joined, docs)
+
+    # open lines look for similar ones among all; n and the position in one number
+    marked = joined.join((F.broadcast(settled) if fits(settled) else settled).withColumn("settled", F.lit(True)), PLACE, "left")
+    skipped = _prefix(F.col("n")) - F.size("pre")
+    keyed = marked.select(*PLACE, "n", "sk", "settled", skipped.alias("skipped"), F.posexplode("pre").alias("pos", "k"))
+    i = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skipped") + F.col("pos")).cast("long"))
+    keyed = keyed.select("k", *PLACE, i.alias("i"), "sk", "settled")
+    unsettled, closed = keyed.where("settled is null").drop("settled"), keyed.where("settled").drop("settled")
+    pairs = checkpoint(_candidates(unsettled, unsettled, True).union(_candidates(unsettled, closed, False)))
+    a, b = (F.struct(F.col(f"d{s}").alias("doc_id"), F.col(f"l{s}").alias("line")) for s in "ab")
+    found = _similar(pairs, docs).select(F.greatest(a, b).alias("later")).select("later.*")
+
+    copies = every.join(distinct.select("h", "g", *PLACE), ["h", "g", *PLACE], "left_anti").select(*PLACE)
+    return copies.union(found).union(settled).groupBy("doc_id").agg(F.collect_set("line").alias("lines"))
+
+
+def dedup_lines(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataFrame:
+    """docs with the removed lines taken out of text; n_chars, where docs has it, follows the text. counts: names of two further
+    columns, the numbers of lines and of removed ones.
 
     Two lines are similar when their sets of words (runs without white space, case kept) have a Jaccard similarity of 0.8 or more;
     lines without a word stay. A line goes whether the earlier one stays or not. Rows that repeat a doc_id
     share its places, and equal places are not earlier than each other. Null texts and ids stay as they are; a text may become
-    empty; an empty table gives no rows.
+    empty; an empty table gives no rows. All other columns stay as they are, whatever their names.
     """
-    gone = checkpoint(removed_lines(docs).withColumnRenamed("lines", "_gone"))
-    x = docs.join(F.broadcast(gone) if fits(gone, BROADCAST_ROWS // 8) else gone, "doc_id", "left")
-    ls = F.split("text", "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size("_ls") - 1), F.col("_gone"))
-    x = x.withColumn("_ls", ls).withColumn("_n_lines", F.coalesce(F.size("_ls"), F.lit(0)).cast("long"))
-    x = x.withColumn("_n_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long"))
-    x = x.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(keep, lambda i: F.element_at("_ls", i + 1)), "\n")))
-    x = x.withColumn("_n_lines", F.greatest("_n_lines", F.lit(0)).cast("long")).withColumn("_n_removed", F.greatest("_n_removed", F.lit(0)).cast("long"))
-    names = [c for c in docs.columns]
-    if "n_chars" in names:
+    gone, rows = spare(docs, "gone"), checkpoint(removed_lines(docs))
+    rows = rows.withColumnRenamed("lines", gone)
+    x = docs.join(F.broadcast(rows) if fits(rows, BROADCAST_ROWS // 8) else rows, "doc_id", "left")
+    without = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: F.get(ls, i)), "\n")
+    out = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without))}
+    if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
-        x = x.withColumn("n_chars", F.when(F.col("_n_removed") > 0, F.length("text").cast(kind)).otherwise(F.col("n_chars")))
-    return x.select(*names, "_n_lines", "_n_removed")
+        out["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(out["text"]).cast(kind))
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
+    more = [size(c).alias(name) for c, name in zip((F.split("text", "\n"), F.col(gone)), counts or ())]
+    return x.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns), *more)
 
 
 def op2_line_dedup(spark, sf_dir: str) -> DataFrame:
     """Every document without its repeated lines."""
     docs = typed(table(spark, sf_dir, "documents"), "doc_id long, text string")
-    return dedup_lines(docs).select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"), "text")
+    return dedup_lines(docs, ("n_lines", "n_removed")).select("doc_id", "n_lines", "n_removed", "text")
 
 
 #: The same in DuckDB SQL: every pair of distinct sets that shares a word is counted.
