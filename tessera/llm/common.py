@@ -5,6 +5,7 @@ from __future__ import annotations
 import gc
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,6 +34,37 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return out
 
 
+class Scratch:
+    """Intermediate tables as Parquet in a folder of their own below the shared one; gone at the end, or earlier when dropped."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folder, self.uris = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+
+    def __enter__(self) -> Scratch:
+        return self
+
+    def save(self, df: DataFrame) -> DataFrame:
+        """df, written and read again."""
+        uri = f"{self.folder}/{len(self.uris)}"
+        df.write.parquet(uri)
+        out = self.spark.read.schema(df.schema).parquet(uri)
+        self.uris[id(out)] = uri
+        self.kept = [*getattr(self, "kept", []), out]
+        return out
+
+    def drop(self, df: DataFrame) -> None:
+        """Deletes the table that save() returned; what was made of it must be saved by then."""
+        delete(self.spark, self.uris[id(df)])
+
+    def __exit__(self, *_) -> None:
+        delete(self.spark, self.folder)
+
+
+def delete(spark: SparkSession, uri: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(uri)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark remove shuffle and checkpoint files of what is no longer referred to."""
     gc.collect()
