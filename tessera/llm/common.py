@@ -19,10 +19,14 @@ BROADCAST_ROWS = 200_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of checkpoints: the cluster's, or a temporary one where none is named."""
+    """The folder of checkpoints, which executors and driver share. Where none is named, a local session takes a temporary one; a
+    cluster has none that all could read."""
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tessera-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that executors and driver share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="tessera-"))
     return sc.getCheckpointDir()
 
 
@@ -38,23 +42,21 @@ class Scratch:
     """Intermediate tables as Parquet in a folder of their own below the shared one; gone at the end, or earlier when dropped."""
 
     def __init__(self, spark: SparkSession):
-        self.spark, self.folder, self.uris = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", {}
+        self.spark, self.folder, self.saved = spark, f"{shared_dir(spark)}/scratch-{uuid.uuid4().hex}", []
 
     def __enter__(self) -> Scratch:
         return self
 
     def save(self, df: DataFrame) -> DataFrame:
         """df, written and read again."""
-        uri = f"{self.folder}/{len(self.uris)}"
+        uri = f"{self.folder}/{len(self.saved)}"
         df.write.parquet(uri)
-        out = self.spark.read.schema(df.schema).parquet(uri)
-        self.uris[id(out)] = uri
-        self.kept = [*getattr(self, "kept", []), out]
-        return out
+        self.saved.append((self.spark.read.schema(df.schema).parquet(uri), uri))
+        return self.saved[-1][0]
 
     def drop(self, df: DataFrame) -> None:
         """Deletes the table that save() returned; what was made of it must be saved by then."""
-        delete(self.spark, self.uris[id(df)])
+        delete(self.spark, next(uri for x, uri in self.saved if x is df))
 
     def __exit__(self, *_) -> None:
         delete(self.spark, self.folder)
@@ -115,7 +117,7 @@ def checked_join(big: DataFrame, small: DataFrame, on: list[str], how: str = "le
     each key of big is salted over 64 tasks."""
     if fits(small, rows):
         return big.join(F.broadcast(small), on, how)
-    salt = "_salt"
+    salt = spare(big, "salt")
     s = small.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(63))))
     return big.withColumn(salt, F.pmod(F.xxhash64(*big.columns), F.lit(64)).cast("int")).join(s, [*on, salt], how).drop(salt)
 

@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import table, typed
+from tessera.llm.common import spare, table, typed
 
 #: Positions that count, in windows of up to 7 tokens (fixed values).
 MASKS = ("11111", "110111", "1011101")
@@ -151,7 +151,7 @@ def _finder(docs: DataFrame, items: list[tuple[int, str]]):
         index = shared.value
         return pd.Series([index.search(t or "") for t in texts], dtype=object)
 
-    return find
+    return find.asNondeterministic()  # so that a filter on its result does not carry it into what makes the text
 
 
 def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -170,10 +170,10 @@ def overlaps(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of docs without a verified overlap, columns unchanged."""
-    out = docs
+    """The rows of docs without a verified overlap, columns unchanged, whatever their names. Null and empty texts stay."""
+    out, hits = docs, spare(docs, "hits")
     for items in _blocks(benchmark):
-        out = out.withColumn("_hits", _finder(docs, items)(F.col("text"))).where(F.size("_hits") == 0).drop("_hits")
+        out = out.withColumn(hits, _finder(docs, items)(F.col("text"))).where(F.size(hits) == 0).drop(hits)
     return out
 
 

@@ -10,23 +10,17 @@ Before the join over all prefixes, lines under a word that is among the rarest o
 earliest of these. Under words where this settles many, the open lines are compared with the earliest open one, and so on. Settled
 lines look for no earlier ones any more, but later open lines still meet them, so that a crowd of near copies costs few pairs a line.
 
-Words are split, hashed, counted and ordered in Arrow batches; all else is DataFrame expressions.
+Everything is DataFrame expressions.
 """
 
 from __future__ import annotations
 
 import math
-import os
-from collections.abc import Iterator
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import BROADCAST_ROWS, Scratch, checkpoint, fits, let, release, spare, table, typed
-from tessera.llm.wordhash import mix, pieces
 
 #: Lines with fewer distinct words take no part: only lines without any word.
 MIN_TOKENS = 1
@@ -34,8 +28,6 @@ MIN_TOKENS = 1
 JOIN_TOKENS = 4
 #: Counters of the word order, a byte each: a word's rarity is the count of its bucket, over all words of the corpus.
 BUCKETS = 1 << 21
-#: Rows that a task's counters make, and how many of them are added up at once.
-CHUNKS, FAN_IN = 64, 256
 #: Levels of rarity in a doubling of the count.
 STEPS = 4
 #: More lines than this under a word that is among their so many rarest are a crowd.
@@ -44,101 +36,70 @@ CROWD, CROWD_WORDS = 16, 4
 MAX_BITS = 1 << 26
 #: Bits of a word's hash beside its rarity.
 HASH_BITS = 56
-#: Lines of a word that one task compares with one another, rows of a task, and pairs that it has at once.
-CELL, PER_TASK, PAIRS = 4096, 1_000_000, 1_000_000
+SPACE = r"[\x20\x09-\x0D]+"
 PLACE = ["doc_id", "line"]
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A task's counts of words by bucket, in CHUNKS rows (c, part, n); part tells tasks apart."""
-    n, some = np.zeros(BUCKETS, np.int64), []
-    for _, words in pieces(batches, 0):
-        some.append((words.hash & np.uint64(BUCKETS - 1)).astype(np.int32))
-        if sum(map(len, some)) > BUCKETS:
-            n += np.bincount(np.concatenate(some), minlength=BUCKETS)
-            some = []
-    if some:
-        n += np.bincount(np.concatenate(some), minlength=BUCKETS)
-    if n.any():
-        part = [int.from_bytes(os.urandom(4), "little")] * CHUNKS
-        yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array(part, pa.int64()), pa.array([x.tobytes() for x in n.reshape(CHUNKS, -1)], pa.binary())], names=["c", "part", "n"])
-
-
-def _added(t: pa.Table) -> pa.Table:
-    n = sum(np.frombuffer(x.as_py(), "<i8") for x in t["n"])
-    return pa.table({"c": t["c"][:1], "part": pa.array([t["part"][0].as_py() // FAN_IN], pa.int64()), "n": pa.array([n.tobytes()], pa.binary())})
-
-
-def _levels(docs: DataFrame, tmp: Scratch) -> np.ndarray:
-    """The rarity of every word: the level of its bucket's count, 0 (a single word) to 127. Counts are added up FAN_IN or so at a time."""
-    schema = "c int, part long, n binary"
-    n = tmp.save(docs.select(F.concat("text", F.lit("\n")).cast("binary")).mapInArrow(_count, schema))
-    parts = -(-n.count() // CHUNKS)
-    while parts > 1:
-        parts = -(-parts // FAN_IN)
-        n = tmp.save(n.withColumn("part", F.pmod(F.xxhash64("part"), F.lit(parts))).groupBy("c", "part").applyInArrow(_added, schema))
-    out = np.zeros((CHUNKS, BUCKETS // CHUNKS), np.int64)
-    for r in n.select("c", "n").toLocalIterator():  # CHUNKS rows of a known size
-        out[r["c"]] += np.frombuffer(r["n"], "<i8")
-    return np.minimum(127, STEPS * np.log2(np.maximum(out, 1))).astype(np.uint8).reshape(-1)
-
-
-def ordered(h: np.ndarray, count: np.ndarray, levels: np.ndarray) -> dict[str, np.ndarray]:
-    """For each line with a word, given the hashes of all words and the lines' numbers of them: at (its place among the lines), n
-    (distinct words), h and g (128 bit hash of the set), sk and sl (the sketch), skipped (words of the prefix that occur once in the
-    corpus and so join nothing), size and words (of the rest of the prefix)."""
-    at = np.flatnonzero(count)
-    owner = np.repeat(np.arange(len(at), dtype=np.uint16 if len(at) < 1 << 16 else np.int64), count[at])
-    key = (levels[(h & np.uint64(BUCKETS - 1)).astype(np.int64)].astype(np.uint64) << np.uint64(HASH_BITS)) | (h & np.uint64((1 << HASH_BITS) - 1))
-    order = np.argsort(key)
-    order = order[np.argsort(owner[order], kind="stable")]
-    key = key[order]
-    new = np.ones(len(key), dtype=bool)
-    new[1:] = (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])  # owner is in order as it is
-    key, owner = key[new], owner[new].astype(np.int64)
-    n = np.bincount(owner, minlength=len(at))
-    first = np.cumsum(n) - n
-    mixed = mix(key)
-    bit = np.uint64(1) << (mixed & np.uint64(63))
-    half = (mixed & np.uint64(64)) == 0
-    whole = lambda f, x: f.reduceat(x, first) if len(at) else np.zeros(0, np.uint64)
-    # the prefixes, n - ceil(0.8 n) + m long
-    length = np.where(n >= JOIN_TOKENS, n - (4 * n + 4) // 5 + n // 40 + 1, 0)
-    place = np.arange(length.sum()) - np.repeat(np.cumsum(length) - length, length) + np.repeat(first, length)
-    words, mine = key[place], np.repeat(np.arange(len(at)), length)
-    often = words >= np.uint64(1 << HASH_BITS)
-    size = np.bincount(mine[often], minlength=len(at))
-    return {
-        "at": at, "n": n, "h": whole(np.add, mixed), "g": whole(np.add, mixed * (mixed >> np.uint64(7) | np.uint64(1))), "sk": whole(np.bitwise_xor, bit * half), "sl": whole(np.bitwise_xor, bit * ~half),
-        "skipped": length - size, "size": size, "words": words[often],
-    }
-
-
-LINES = "doc_id long, line int, n int, h long, g long, sk long, sl long, skipped int, rec binary, pre array<long>"
-#: What the join needs of a line, in rec.
-REC = np.dtype([("doc_id", "<i8"), ("line", "<i4"), ("n", "<i4"), ("sk", "<u8"), ("sl", "<u8")])
-
-
-def _lines(levels: Broadcast):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = levels.value
-        for b, words in pieces(batches, 1):
-            ends = np.flatnonzero(words.bytes[: words.ends[-1] + 1] == 10)
-            lines = np.diff(np.searchsorted(ends, words.ends), prepend=-1)  # of each text
-            x = ordered(words.hash, words.counts(ends), table)
-            doc_id = np.repeat(b.column(0).to_numpy(), lines)
-            line = np.arange(len(ends)) - np.repeat(np.cumsum(lines) - lines, lines)
-            pre = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(x["size"])]).astype(np.int32)), pa.array(x["words"].view(np.int64)))
-            int32 = lambda v: pa.array(v.astype(np.int32))
-            x["doc_id"], x["line"] = doc_id[x["at"]], line[x["at"]]
-            rec = np.zeros(len(x["at"]), REC)
-            for c in REC.names:
-                rec[c] = x[c]
-            recs = pa.Array.from_buffers(pa.binary(REC.itemsize), len(rec), [None, pa.py_buffer(rec.tobytes())]).cast(pa.binary())
-            cols = [pa.array(x["doc_id"]), int32(x["line"]), int32(x["n"]), *(pa.array(x[c].view(np.int64)) for c in ("h", "g", "sk", "sl")), int32(x["skipped"]), recs, pre]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "line", "n", "h", "g", "sk", "sl", "skipped", "rec", "pre"])
-
-    return run
+def _hashes(line: Column) -> Column:
+    """The 64 bit hashes of the line's words."""
+    return F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
+
+
+def _levels(docs: DataFrame) -> Column:
+    """The rarity of every word: the level of its bucket's count, 0 (a single word) to 127, as a literal of one byte a bucket."""
+    w = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
+    n = w.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("i")).agg(F.count("*").alias("n"))
+    level = F.least(F.lit(127), F.floor(STEPS * F.log2("n"))).cast("long")
+    place = lambda x: F.call_function("shiftleft", x, (8 * (F.col("i") % 8)).cast("int"))
+    eight = n.groupBy(F.floor(F.col("i") / 8).cast("int").alias("j")).agg(F.bit_or(place(level)).alias("v"))
+    part = eight.groupBy(F.floor(F.col("j") / 512).alias("c")).agg(F.sort_array(F.collect_list(F.struct("j", "v"))).alias("x"))
+    out = bytearray(BUCKETS)
+    for js, vs in part.select("x.j", "x.v").collect():  # BUCKETS / 8 numbers at most
+        for j, v in zip(js, vs):
+            out[8 * j : 8 * j + 8] = v.to_bytes(8, "little")
+    return F.lit(bytes(out))
+
+
+def _tokens(line: Column, levels: Column) -> Column:
+    """The line's distinct words as numbers in order of rarity: level, then hash."""
+
+    def token(h: Column) -> Column:
+        at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+        level = F.ascii(F.substring(levels, at, 1).cast("string")).cast("long")
+        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
+
+    return F.sort_array(F.array_distinct(F.transform(_hashes(line), token)))
+
+
+def _lines(docs: DataFrame, levels: Column) -> DataFrame:
+    """For each line with a word: its place, n (distinct words), h and g (128 bit hash of the set), sk and sl (the sketch), skipped (words
+    of the prefix that occur once in the corpus and so join nothing) and pre (the rest of the prefix)."""
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
+    t = lines.select(*PLACE, F.explode(F.array(_tokens(F.col("text"), levels))).alias("t"))  # worked out once a line
+    n = F.size("t")
+    length = F.when(n >= JOIN_TOKENS, n - F.floor((4 * n + 4) / 5) + _shared(n)).otherwise(0).cast("int")
+    often = F.filter(F.slice("t", F.lit(1), length), lambda x: F.shiftright(x, HASH_BITS) > 0)
+    x = t.where(n >= MIN_TOKENS).select(*PLACE, n.alias("n"), F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), _sketch(F.col("t"), 0).alias("sk"), _sketch(F.col("t"), 1).alias("sl"), length.alias("length"), often.alias("pre"))
+    return x.select(*PLACE, "n", "h", "g", "sk", "sl", (F.col("length") - F.size("pre")).alias("skipped"), "pre")
+
+
+def _short_prefix(n: Column) -> Column:
+    """n - ceil(8 n / 9) + m: enough for the smaller set of a pair when the larger one has its full prefix."""
+    return n - F.floor((8 * n + 8) / 9) + _shared(n)
+
+
+def _shared(n: Column) -> Column:
+    """m: words that the prefixes of two similar sets share, at least, the smaller set's m holding for a pair."""
+    return F.floor(n / 40) + 1
+
+
+def _sketch(t: Column, word: int) -> Column:
+    """Half of the sketch: for each of 64 places the parity of the words that fall there."""
+
+    def bit(x: Column) -> Column:
+        return F.when(F.shiftright(x, 30).bitwiseAND(F.lit(1)) == word, F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+
+    return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
 
 
 def _close(na: Column, nb: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
@@ -189,8 +150,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         some = docs.where(_Filter(ids.select("doc_id"))()).join(wanted, "doc_id")
     own = let(F.split("text", "\n"), lambda ls: F.transform("lines", lambda i: F.struct(i.alias("line"), F.get(ls, i).alias("text"))))
     lines = some.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.*")
-    words = F.transform(F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), ""), lambda w: F.xxhash64(w))
-    return lines.select(*PLACE, F.array_distinct(words).alias("t"))
+    return lines.select(*PLACE, F.array_distinct(_hashes(F.col("text"))).alias("t"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -244,67 +204,40 @@ def _settled(joined: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
     return tmp.save(settled.distinct())
 
 
-def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Candidate pairs (da, la, db, lb, m) of the lines under each word of a partition: an open line and an earlier one that pass the
-    prefix, length, position and sketch filters. m: words that must be shared. Groups are small, see _keyed."""
-    t = [b for b in batches if b.num_rows]
-    if not t:
-        return
-    t = pa.Table.from_batches(t)
-    rec = np.frombuffer(b"".join(c.cast(pa.binary(REC.itemsize)).buffers()[1][: REC.itemsize * len(c)] for c in t["rec"].chunks), REC)
-    x = {"grp": t["grp"].to_numpy()} | {c: rec[c].astype(rec[c].dtype if c[0] == "s" else np.int64) for c in REC.names}
-    info = t["info"].to_numpy()
-    x |= {"pos": info >> 3, "is_open": (info & 4) > 0, "side": (info & 3) - 1}
-    order = np.lexsort((x["line"], x["doc_id"], x["grp"]))
-    x = {c: v[order] for c, v in x.items()}
-    new = np.ones(len(order), dtype=bool)
-    new[1:] = x["grp"][1:] != x["grp"][:-1]
-    first = np.flatnonzero(new)[np.cumsum(new) - 1]  # of the row's group
-    before = np.where(x["is_open"], np.arange(len(order)) - first, 0)  # each open line is compared with those before it
-    cuts = np.unique(np.searchsorted(np.cumsum(before), np.arange(0, before.sum() + PAIRS, PAIRS), "right"))
-    n, pos, sk, sl = x["n"], x["pos"], x["sk"], x["sl"]
-    for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(order)]):
-        k = before[lo:hi]
-        b = np.repeat(np.arange(lo, hi), k)
-        a = np.arange(len(b)) - np.repeat(np.cumsum(k) - k, k) + first[b]
-        ok = 5 * np.minimum(n[a], n[b]) >= 4 * np.maximum(n[a], n[b])
-        a, b = a[ok], b[ok]
-        na, nb, pa_, pb = n[a], n[b], pos[a], pos[b]
-        low, p = np.minimum(na, nb), np.where(na <= nb, pa_, pb)
-        shared = low // 40 + 1  # the smaller set's prefix can be shorter when the larger one has its full prefix
-        ok = (9 * (np.minimum(pa_, pb) + 1 + np.minimum(na - pa_ - 1, nb - pb - 1)) >= 4 * (na + nb)) & (p < low - (8 * low + 8) // 9 + shared)
-        ok[ok] = 9 * (np.bitwise_count(sk[a[ok]] ^ sk[b[ok]]).astype(np.int64) + np.bitwise_count(sl[a[ok]] ^ sl[b[ok]])) <= (na + nb)[ok]
-        a, b, m = a[ok], b[ok], shared[ok]
-        ok = ((x["doc_id"][a] != x["doc_id"][b]) | (x["line"][a] != x["line"][b])) & ((x["side"][a] != x["side"][b]) | (x["side"][a] < 0))
-        a, b, m = a[ok], b[ok], m[ok]
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (x["doc_id"][a], x["line"][a].astype(np.int32), x["doc_id"][b], x["line"][b].astype(np.int32), m)], names=["da", "la", "db", "lb", "m"])
-
-
-def _keyed(joined: DataFrame, settled: DataFrame, tmp: Scratch) -> DataFrame:
-    """A row (grp, info, rec) for each word of a line's prefix; info: the position, whether the line is open, and the side. Words of more
-    than CELL lines are dealt out: their lines fall into cells, and a group holds two of them (side 0 and 1) or one (side -1, as for
-    other words)."""
-    mark = (F.broadcast(settled) if fits(settled) else settled).withColumn("settled", F.lit(True))
-    rows = joined.join(mark, PLACE, "left").select("rec", "skipped", F.col("settled").isNull().cast("int").alias("is_open"), F.posexplode("pre").alias("pos", "k"))
-    info = lambda side: ((F.col("pos") + F.col("skipped")).cast("long") * 8 + F.col("is_open") * 4 + side + 1).alias("info")
-    often = joined.select(F.explode(F.filter("pre", lambda x: F.shiftright(x, HASH_BITS) >= int(STEPS * math.log2(CELL)))).alias("k"))  # a word's lines are no more than its count
-    hot = tmp.save(often.groupBy("k").count().where(F.col("count") > CELL).select("k", F.ceil(F.col("count") / CELL).cast("int").alias("cells")))
-    if not hot.count():
-        return rows.select(F.col("k").alias("grp"), info(F.lit(-1)), "rec")
-    big = rows.join(F.broadcast(hot) if fits(hot) else hot, "k", "left")
-    cell = F.pmod(F.xxhash64("rec"), F.col("cells")).cast("int")
-    pair = F.transform(F.sequence(F.lit(0), F.col("cells") - 1), lambda o: F.struct(F.least(o, cell).alias("ci"), F.greatest(o, cell).alias("cj"), F.when(o == cell, -1).otherwise((o < cell).cast("int")).alias("side")))
-    plain = big.where("cells is null").select(F.col("k").alias("grp"), info(F.lit(-1)), "rec")
-    dealt = big.where("cells is not null").withColumn("p", F.explode(pair)).select(F.xxhash64("k", "p.ci", "p.cj").alias("grp"), info(F.col("p.side")), "rec")
-    return plain.union(dealt)
-
-
-def _candidates(joined: DataFrame, settled: DataFrame, tmp: Scratch) -> DataFrame:
-    """Pairs (da, la, db, lb) of a line and a later open one that pass all filters."""
-    tasks = max(int(joined.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-joined.agg(F.coalesce(F.sum(F.size("pre")), F.lit(0))).first()[0] // PER_TASK))
-    some = _keyed(joined, settled, tmp).repartition(tasks, "grp").mapInArrow(_pairs, "da long, la int, db long, lb int, m long")
-    return some.groupBy("da", "la", "db", "lb", "m").count().where("count >= m").select("da", "la", "db", "lb")
+def _joined(x: DataFrame, y: DataFrame) -> DataFrame:
+    """A row (da, la, db, lb, m) for each word under which a line of x and a later one of y pass the prefix, length, position and sketch
+    filters. m: words that must be shared."""
+    a, b = (e.select("k", F.col("doc_id").alias(f"d{s}"), F.col("line").alias(f"l{s}"), F.col("i").alias(f"i{s}"), F.col("sk").alias(f"s{s}"), F.col("sl").alias(f"t{s}")) for s, e in (("a", x), ("b", y)))
+    na, nb = (F.shiftright(F.col(f"i{s}"), 32) for s in "ab")
+    pa, pb = (F.col(f"i{s}").bitwiseAND(F.lit(0xFFFFFFFF)) for s in "ab")
+    bound = F.least(pa, pb) + 1 + F.least(na - pa - 1, nb - pb - 1)
+    ok = (F.col("da") < F.col("db")) | ((F.col("da") == F.col("db")) & (F.col("la") < F.col("lb")))
+    ok = ok & (9 * bound >= 4 * (na + nb)) & _close(na, nb, (F.col("sa"), F.col("ta")), (F.col("sb"), F.col("tb")))
+    ok = ok & F.when(na <= nb, pa < _short_prefix(na)).otherwise(pb < _short_prefix(nb))
+    some = (F.broadcast(a) if x is not y and fits(x) else a).join(b, "k").where(ok)
+    return some.select("da", "la", "db", "lb", _shared(F.least(na, nb)).alias("m"))
+
+
+def _candidates(joined: DataFrame, settled: DataFrame) -> DataFrame:
+    """Pairs (da, la, db, lb) of a line and a later open one that pass all filters, with the number of shared words of the prefixes."""
+    i = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR((F.col("skipped") + F.col("pos")).cast("long"))  # n and the position in one number
+    keyed = lambda x: x.select(*PLACE, "n", "sk", "sl", "skipped", F.posexplode("pre").alias("pos", "k")).select("k", *PLACE, i.alias("i"), "sk", "sl")
+    unsettled = keyed(_without(joined, settled))
+    closed = keyed(joined.join(F.broadcast(settled) if fits(settled) else settled, PLACE, "left_semi"))
+    some = _joined(unsettled, unsettled).union(_joined(closed, unsettled))
+    return some.groupBy("da", "la", "db", "lb", "m").count().where("count >= m").select("da", "la", "db", "lb", "count")
+
+
+def _found(pairs: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
+    """Places of later lines of the candidate pairs that are similar. Each line's pair of the most shared words is verified first, so
+    that of lines with many similar ones few pairs are."""
+    later = lambda x: x.select(F.col("db").alias("doc_id"), F.col("lb").alias("line")).distinct()
+    best = tmp.save(pairs.groupBy("db", "lb").agg(F.max(F.struct("count", "da", "la")).alias("r")).select("r.da", "r.la", "db", "lb"))
+    first = tmp.save(later(_similar(best, tmp.save(_sets(docs, _places(best))))))
+    rest = pairs.drop("count").join(best, ["da", "la", "db", "lb"], "left_anti")
+    done = first.select(F.col("doc_id").alias("db"), F.col("line").alias("lb"))
+    rest = tmp.save(rest.join(F.broadcast(done) if fits(done) else done, ["db", "lb"], "left_anti"))
+    return first.union(later(_similar(rest, tmp.save(_sets(docs, _places(rest))))))
 
 
 def _copies(lines: DataFrame, tmp: Scratch) -> DataFrame:
@@ -321,17 +254,15 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     docs = typed(docs, "doc_id long, text string").where("doc_id is not null and text is not null")
     with Scratch(spark) as tmp:
-        levels = spark.sparkContext.broadcast(_levels(docs, tmp))  # a byte a bucket
-        every = tmp.save(docs.select("doc_id", F.concat("text", F.lit("\n")).cast("binary")).mapInArrow(_lines(levels), LINES))
+        every = tmp.save(_lines(docs, _levels(docs)))
         # of equal sets (by 128 bits) only the earliest takes part in the join
         copies = tmp.save(_copies(every.select("h", "g", *PLACE), tmp))
         joined = tmp.save(_without(every.where(F.size("pre") > 0).drop("h", "g"), copies))
         tmp.drop(every)
         settled = _settled(joined, docs, tmp)
-        pairs = tmp.save(_candidates(joined, settled, tmp))
-        found = _similar(pairs, tmp.save(_sets(docs, _places(pairs)))).select(F.col("db").alias("doc_id"), F.col("lb").alias("line"))
+        pairs = tmp.save(_candidates(joined, settled))
+        found = _found(pairs, docs, tmp)
         gone = checkpoint(copies.union(found).union(settled).groupBy("doc_id").agg(F.collect_set("line").alias("lines")))
-        levels.unpersist()
     release(spark)
     return gone
 
@@ -347,7 +278,12 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataF
     """
     gone, rows = spare(docs, "gone"), removed_lines(docs)
     rows = rows.withColumnRenamed("lines", gone)
-    x = docs.join(F.broadcast(rows) if fits(rows, BROADCAST_ROWS // 8) else rows, "doc_id", "left")
+    if fits(rows, BROADCAST_ROWS // 8):
+        x = docs.join(F.broadcast(rows), "doc_id", "left")
+    else:  # only texts that lose lines, and few others, are shuffled
+        maybe = F.coalesce(_Filter(rows.select("doc_id"))(), F.lit(False))
+        x = docs.where(maybe).join(rows, "doc_id", "left")
+        x = x.unionByName(docs.where(~maybe).withColumn(gone, F.lit(None).cast("array<int>")))
     without = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: F.get(ls, i)), "\n")
     out = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without))}
     if "n_chars" in docs.columns:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, crc_mod, table, typed
+from tessera.llm.common import checkpoint, crc_mod, spare, table, typed
 
 #: Labelled rows of either class that training reads at most: those of the least hashes of the id.
 SAMPLE_PER_CLASS = 10_000
@@ -187,7 +187,7 @@ def statistic(model: Model):
             rows = [passages(t or "", model, scores) for t in s]
             yield pd.DataFrame({"stat": [r[0] for r in rows], "n_passages": [len(r[1]) for r in rows], "toxic_tokens": [sum(b - a for a, b, _ in r[1]) for r in rows], "spans": [[x for a, b, _ in r[1] for x in (a, b)] for r in rows]})
 
-    return stat
+    return stat.asNondeterministic()  # so that a filter on its result does not carry it into what makes the text
 
 
 def _calibrated(model: Model, train: DataFrame) -> Model:
@@ -225,7 +225,8 @@ def score(docs: DataFrame, model: Model, out: str = "_tox") -> DataFrame:
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, train: DataFrame | None = None) -> DataFrame:
     """The rows of docs that score below the threshold, columns unchanged. The model learns from rows of train (docs where not
     given) that labels name."""
-    return score(docs, fit(docs if train is None else train, labels)).where(F.col("_tox.score") < threshold).drop("_tox")
+    tox = spare(docs, "tox")
+    return score(docs, fit(docs if train is None else train, labels), tox).where(F.col(tox)["score"] < threshold).drop(tox)
 
 
 def op6_toxic_segments(spark, sf_dir: str) -> DataFrame:
