@@ -27,7 +27,7 @@ MIN_TOKENS = 1
 #: Smaller sets are similar to equal ones only (3 of 4 words are 0.75), which collapse by their hash and need no join.
 JOIN_TOKENS = 4
 #: Counters of the word order, a byte each: a word's rarity is the count of its bucket, over all words of the corpus.
-BUCKETS = 1 << 21
+BUCKETS = 1 << 18
 #: Levels of rarity in a doubling of the count.
 STEPS = 4
 #: More lines than this under a word that is among their so many rarest are a crowd.
