@@ -1,9 +1,7 @@
 """Named queries of the engine and DuckDB SQL for each that SQL can express.
 
-Queries are all items of the table benchmark with their whole texts, and a query has Settings.top_k hits. The SQL of these queries is
-narrower: it still takes the first QUERY_COUNT items, their first WORDS words and DOCS hits. dense_topk searches with every vector whose id is divisible by 50, its
-SQL with the first five; bm25_zero_pool's SQL takes two items. Latencies and runs are synthetic, made
-from the table events.
+Queries are all items of the table benchmark with their whole texts, and a query has Settings.top_k hits. dense_topk searches with
+every vector whose id is divisible by 50. Latencies and runs are synthetic, made from the table events.
 """
 
 from __future__ import annotations
@@ -20,8 +18,6 @@ from tessera.plans import compress as plan
 from tessera.plans.lineage import cut
 from tessera.sources import files
 
-#: What the SQL covers.
-QUERY_COUNT, WORDS, DOCS = 5, 12, 5
 PRICE_IN, PRICE_OUT = 0.15, 0.6
 BLEND = Settings(weight_cross=0.7, weight_bm25=0.3)
 
@@ -190,7 +186,7 @@ QUERIES = {
     "query_labels": lambda s, d: table(s, d, "benchmark").select("item_id", shorten(F.col("text"), 46, 43).alias("label"), squash(F.col("text")).alias("norm")),
 }
 
-_Q = f"q as (select item_id query_id, array_to_string(list_slice(string_split(text, ' '), 1, {WORDS}), ' ') query from benchmark order by item_id limit {QUERY_COUNT})"
+_Q = "q as (select item_id query_id, text query from benchmark)"
 _D = "docs as (select doc_id::varchar doc_id, coalesce(text, '') \"text\" from documents)"
 _QT = "qt as (select query_id, term, count(*) qtf from (select query_id, unnest(regexp_extract_all(lower(query), '[a-z0-9]+')) term from q) group by all)"
 
@@ -209,7 +205,7 @@ def _bm25(name: str, items: str, key: str, scope: str = "") -> str:
 
 
 _BASE = f"with {_Q}, {_QT}, {_D}, {_bm25('b', 'docs', 'doc_id')}"
-_HITS = f"h as (select * from (select *, row_number() over (partition by query_id order by raw desc, doc_id) hit_rank from b) where hit_rank <= {DOCS})"
+_HITS = f"h as (select * from (select *, row_number() over (partition by query_id order by raw desc, doc_id) hit_rank from b) where hit_rank <= {Settings().top_k})"
 _LINES = """l as (select doc_id, i - 1 idx, ls[i] t, (coalesce(list_sum(list_transform(ls[1:i - 1], lambda x: length(x) + 1)), 0))::int o
 from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from (select doc_id, string_split("text", chr(10)) ls from docs)))"""
 _SQUASH = "lower(trim(regexp_replace({0}, '[\\s\\p{{Z}}]+', ' ', 'g')))"
@@ -245,8 +241,8 @@ _GUARD = lambda i: f"coalesce(regexp_matches(w[{i}], '\\p{{Nd}}') or lower(w[{i}
 ORACLE_SQL = {
     "lexical_terms": f"with {_D} select doc_id, len(t)::bigint n_terms, len(list_distinct(t))::bigint n_distinct from (select doc_id, regexp_extract_all(lower(\"text\"), '[a-z0-9]+') t from docs)",
     "bm25_topk": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select *, row_number() over (partition by query_id order by raw desc, doc_id) r from b) where r <= 20",
-    "bm25_zero_pool": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select query_id, doc_id, coalesce(raw, 0.0) raw, row_number() over (partition by query_id order by coalesce(raw, 0.0) desc, doc_id) r from (select query_id from q where query_id < 2) cross join docs left join b using (query_id, doc_id)) where r <= 2000",
-    "dense_topk": "select query_id, vec_id, round(sim, 6) similarity, r::int dense_rank from (select *, row_number() over (partition by query_id order by sim desc, vec_id) r from (select a.vec_id query_id, b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) sim from embeddings a cross join embeddings b where a.vec_id < 5)) where r <= 50",
+    "bm25_zero_pool": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select query_id, doc_id, coalesce(raw, 0.0) raw, row_number() over (partition by query_id order by coalesce(raw, 0.0) desc, doc_id) r from q cross join docs left join b using (query_id, doc_id)) where r <= 2000",
+    "dense_topk": "select query_id, vec_id, round(sim, 6) similarity, r::int dense_rank from (select *, row_number() over (partition by query_id order by sim desc, vec_id) r from (select a.vec_id query_id, b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) sim from embeddings a cross join embeddings b where a.vec_id % 50 = 0)) where r <= 50",
     "rrf_fuse": f"{_FUSED} select query_id, doc_id, round(rrf, 9) rrf_score, dense_rank::int dense_rank, bm25_rank::int bm25_rank, hit_rank::int hit_rank from fh",
     "fusion_census": f"{_FUSED} select query_id, count(*) filter (dense_rank is not null and bm25_rank is not null) n_both, count(*) filter (bm25_rank is null) n_dense_only, count(*) filter (dense_rank is null) n_bm25_only from fh group by 1",
     "blocks": f"with {_D}, {_LINES} select doc_id, (row_number() over (partition by doc_id order by idx) - 1)::int block_id, (o + idx)::int char_offset, regexp_replace(t, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as \"text\", false is_table, {_COUNT.format('t')}::int token_count from l where regexp_matches(t, '[^\\s\\p{{Z}}]')",
@@ -266,7 +262,7 @@ select doc_id, case when len(gone) = 0 then "text" else regexp_replace(regexp_re
 f as (select query_id, doc_id, '[SOURCE: ' || doc_id || ']' || chr(10) || string_agg(case when gap then '[...]' || chr(10) || "text" else "text" end, chr(10) order by n) t from e group by 1, 2) select query_id, string_agg(t, chr(10) || chr(10) order by doc_id) context from f group by 1""",
     "baseline_context": f"{_BASE}, {_HITS} select query_id, string_agg('[SOURCE: ' || doc_id || ']' || chr(10) || \"text\", chr(10) || chr(10) order by hit_rank) context from h join docs using (doc_id) group by 1",
     "fact_retention": f"""{_BASE}, {_HITS}, x as (select query_id, string_agg('[SOURCE: ' || doc_id || ']' || chr(10) || "text", chr(10) || chr(10) order by hit_rank) context from h join docs using (doc_id) group by 1),
-f as (select item_id query_id, text fact from benchmark order by item_id limit {QUERY_COUNT}), y as (select query_id, fact, coalesce(contains({_SQUASH.format('context')}, {_SQUASH.format('fact')}), false) held from f left join x using (query_id))
+f as (select item_id query_id, text fact from benchmark), y as (select query_id, fact, coalesce(contains({_SQUASH.format('context')}, {_SQUASH.format('fact')}), false) held from f left join x using (query_id))
 select query_id, avg(held::int::double) fact_retention, coalesce(list_sort(list(fact) filter (not held)), []) missing_facts from y group by 1""",
     "distribution_p95": f"select event_type, count(value) n, round(median(value), 6) median, round({_P95.format('value')}, 6) p95, round(min(value), 6) minimum, round(max(value), 6) maximum from events group by 1",
     "ab_summary": f"""with {_PATHS}, r as (select run_id, query_id, {', '.join(f"max({c}) filter (path = '{n}') {s}_{c}" for n, s in (('baseline', 'b'), ('compressed', 'c')) for c in ('context_tokens', 'ttft_ms', 'completion_tokens', 'cached'))} from p group by 1, 2 having count(error) = 0 and count(distinct path) = 2),
