@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from itertools import accumulate, groupby
+from operator import itemgetter
 from typing import NamedTuple
 
 import regex
@@ -10,6 +13,7 @@ import regex
 from tessera.functions.text import TOKEN
 
 TOKENS = regex.compile(TOKEN)
+#: Markers and patterns of tables, blank lines, list items and code fences.
 OPEN, CLOSE = "[TABLE]", "[/TABLE]"
 TABLE = re.compile(r"\[TABLE\].*?\[/TABLE\]", re.S)
 BLANK = re.compile(r"\n\s*\n")
@@ -50,40 +54,34 @@ def blocks(text: str) -> list[Block]:
     return out
 
 
+def spans(sizes: list[int], target: int, want: int, legacy: bool = False) -> list[tuple[int, int]]:
+    """The first and end block of each chunk, for blocks of these sizes; with running sums, a chunk's size is a difference and the
+    carry a search. off: by how much the legacy carry is mismeasured."""
+    sums = [0, *accumulate(sizes)]
+    out, start, off = [], 0, 0
+    for i, n in enumerate(sizes):
+        alone, full = n >= target, sums[i] - sums[start] + off + n > target
+        if start < i and (alone or full):
+            out.append((start, i))
+        if alone:
+            out.append((i, i + 1))
+            start, off = i + 1, 0
+        elif start < i and full:
+            last, least = (i - start, 0) if legacy else (i, start)
+            back = last - min(last, max(least, bisect_right(sums, sums[last] - want, hi=last + 1) - 1))
+            off = sums[last] - sums[last - back] - (sums[i] - sums[i - back])
+            start = i - back
+    return out + [(start, len(sizes))] * (start < len(sizes))
+
+
 def chunks(text: str, target: int = 400, overlap: float = 0.15, legacy: bool = False) -> list[tuple[int, str, int]]:
     """(offset, body, tokens) of greedily packed blocks. A block of the target or more stands alone and nothing is carried across
     it; otherwise a full chunk's last blocks are carried into the next until they hold the overlap, one block at least. With legacy
     the carry is measured with the counts of the document's first blocks."""
     bs = blocks(text)
-    sizes, want = [count(b.text) for b in bs], int(target * overlap)
-    out, held, total = [], [], 0
-
-    def emit() -> None:
-        body = "\n\n".join(bs[i].text for i in held)
-        out.append((bs[held[0]].offset, body, count(body)))
-
-    for i, n in enumerate(sizes):
-        if n >= target:
-            if held:
-                emit()
-            held = [i]
-            emit()
-            held, total = [], 0
-            continue
-        if held and total + n > target:
-            emit()
-            kept, carried = [], 0
-            for back, j in enumerate(reversed(held)):
-                if carried >= want:
-                    break
-                kept.insert(0, j)
-                carried += sizes[len(held) - 1 - back] if legacy else sizes[j]
-            held, total = kept, carried
-        held.append(i)
-        total += n
-    if held:
-        emit()
-    return out
+    cuts = spans([count(b.text) for b in bs], target, int(target * overlap), legacy)
+    bodies = ["\n\n".join(b.text for b in bs[first:end]) for first, end in cuts]
+    return [(bs[first].offset, body, count(body)) for (first, _), body in zip(cuts, bodies)]
 
 
 def sentences(text: str) -> list[tuple[str, int]]:
@@ -103,34 +101,26 @@ def sentences(text: str) -> list[tuple[str, int]]:
     return out
 
 
+def _kinds(lines: list[str]) -> list[str]:
+    """fence, code, list or prose for each line; what lies behind an odd number of fences is code."""
+    fences = [bool(FENCE.match(x)) for x in lines]
+    inside = [n % 2 == 1 for n in accumulate(fences, initial=0)]
+    return ["fence" if f else "code" if c else "list" if BULLET.match(x) else "prose" for x, f, c in zip(lines, fences, inside)]
+
+
 def units(text: str, base: int = 0) -> list[tuple[str, int, str]]:
-    """(text, offset, kind) of a chunk: tables whole, code lines, list lines, and sentences of the prose between."""
+    """(text, offset, kind) of a chunk: tables whole, code lines, blank ones too, list lines, and sentences of the prose between."""
     out: list[tuple[str, int, str]] = []
     for part, at, table in pieces(text, TABLE):
         if table:
             out.append((part.strip(), base + at, "table"))
-            continue
-        code, run, first, pos = False, [], 0, 0
-
-        def flush() -> None:
-            if run:
-                out.extend((s, base + at + first + o, "prose") for s, o in sentences("\n".join(run)))
-                run.clear()
-
-        for line in part.split("\n"):
-            fence = FENCE.match(line)
-            if fence or code or BULLET.match(line):
-                flush()
-                if fence:
-                    code = not code
-                kind = "code" if fence or code else "list"
-                body = line if kind == "code" else line.strip()
-                if body.strip():
-                    out.append((body, base + at + pos, kind))
-            else:
-                if not run:
-                    first = pos
-                run.append(line)
-            pos += len(line) + 1
-        flush()
+        elif part.strip():
+            lines = part.split("\n")
+            places = [base + at + x for x in accumulate((len(x) + 1 for x in lines), initial=0)]
+            for kind, run in groupby(zip(_kinds(lines), places, lines), key=itemgetter(0)):
+                rows = list(run)
+                if kind == "prose":
+                    out += [(s, rows[0][1] + o, kind) for s, o in sentences("\n".join(x for _, _, x in rows))]
+                else:
+                    out += [(x if kind == "code" else x.strip(), place, "list" if kind == "list" else "code") for _, place, x in rows]
     return out

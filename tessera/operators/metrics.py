@@ -11,17 +11,18 @@ from tessera.functions.text import cost, squash
 STAGES = ("retrieve", "decompose", "score", "mmr", "select", "assemble")
 
 
-def p95(x: Column) -> Column:
-    """The value at place round-half-even(0.95 n + 0.5), from 1, of the sorted values."""
-    n = F.count(x)
-    at = F.greatest(F.lit(1), F.least(n.cast("int"), F.rint(0.95 * n + 0.5).cast("int")))
-    return F.when(n > 0, F.try_element_at(F.array_sort(F.collect_list(x)), at))
-
-
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
-    """n, median, p95, minimum, maximum of the non-null values; nulls where there are none."""
-    x = F.col(value)
-    return df.groupBy(*by).agg(F.count(x).alias("n"), F.median(x).alias("median"), p95(x).alias("p95"), F.min(x).alias("minimum"), F.max(x).alias("maximum"))
+    """n, median, p95, minimum, maximum of the non-null values; nulls where there are none. p95 is the value at place
+    round-half-even(0.95 n + 0.5), from 1. Values are counted first, and places found by running sums over distinct ones."""
+    c = df.select(*by, F.col(value).alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_c"))
+    w = W.Window.partitionBy(*by)
+    c = c.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", F.sum("_c").over(w.orderBy(F.asc_nulls_last("_x")).rowsBetween(W.Window.unboundedPreceding, 0)))
+    n = F.col("_n")
+    at = lambda place: F.min(F.when(F.col("_to") >= place, F.col("_x")))
+    median = (at(F.ceil(n / 2)) + at(F.floor(n / 2) + 1)) / 2.0
+    p95 = at(F.greatest(F.lit(1), F.least(n, F.rint(0.95 * n + 0.5).cast("long"))))
+    g = c.groupBy(*by).agg(F.sum("_c").alias("n"), median.alias("median"), p95.alias("p95"), F.min("_x").alias("minimum"), F.max("_x").alias("maximum"))
+    return g.select(*by, "n", *(F.when(F.col("n") > 0, F.col(x)).alias(x) for x in ("median", "p95", "minimum", "maximum")))
 
 
 def ratio(baseline: Column, compressed: Column) -> Column:

@@ -44,8 +44,9 @@ def score(candidates: DataFrame, queries: DataFrame, cfg: Settings = Settings(),
 def probe_cache(rows: DataFrame, cache: DataFrame, model: str, parts: list[str]) -> tuple[DataFrame, DataFrame]:
     """(rows with their key k and cached value v or null, the distinct keys and parts that the cache lacks)."""
     keyed = rows.withColumn("k", cache_key(F.lit(model), *(F.col(p) for p in parts)))
-    hit = keyed.join(cache.select("k", "v"), "k", "left")
-    return hit, keyed.select("k", *parts).dropDuplicates(["k"]).join(cache.select("k"), "k", "left_anti")
+    one = cache.groupBy("k").agg(F.min("v").alias("v"))  # a key that was stored twice counts once
+    hit = keyed.join(one, "k", "left")
+    return hit, keyed.select("k", *parts).dropDuplicates(["k"]).join(one.select("k"), "k", "left_anti")
 
 
 def cache_stats(probed: DataFrame, by: str = "query_id") -> DataFrame:

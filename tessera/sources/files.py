@@ -31,7 +31,7 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
         raise FileNotFoundError(f"no .txt, .md or .pdf file in {folder}")
     name = F.substring_index(F.col("path"), "/", -1)
     doc = raw.select(F.regexp_replace(name, r"\.[^.]*$", "").alias("doc_id"), name.alias("name"), "content")
-    plain = doc.where(~F.col("name").endswith(".pdf")).select("doc_id", F.decode("content", "UTF-8").alias("text"))
+    plain = doc.where(~F.col("name").endswith(".pdf")).select("doc_id", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
     pdf = doc.where(F.col("name").endswith(".pdf"))
     return plain if pdf.isEmpty() else plain.unionByName(pdf.select("doc_id", pdf_text("content").alias("text")))
 
@@ -53,6 +53,27 @@ def append_index(chunks: DataFrame, folder: str) -> int:
     return grown
 
 
+def upsert_index(chunks: DataFrame, folder: str) -> int:
+    """Puts chunks into an index, in place of those of the same uid; the number of rows by which it grew. The new index is written
+    beside the old one and takes its place when it is whole."""
+    spark, fresh = chunks.sparkSession, require_chunks(chunks, 0)
+    old = spark.read.parquet(folder)
+    old.join(fresh.select("uid"), "uid", "left_anti").select(*old.columns).unionByName(fresh).write.mode("overwrite").parquet(f"{folder}.next")
+    before, grown = old.count(), spark.read.parquet(f"{folder}.next").count()
+    at, to = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (f"{folder}.next", folder))
+    store = to.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.delete(to, True)
+    if not store.rename(at, to):
+        raise OSError(f"{folder}.next holds the new index; it could not be moved to {folder}")
+    spark.catalog.refreshByPath(folder)
+    return grown - before
+
+
+def lookup(index: DataFrame, ranked: DataFrame) -> DataFrame:
+    """The chunks of ranked (query_id, uid, rank), each at its rank: ids that the index lacks keep their row, with nulls."""
+    return ranked.join(index, "uid", "left")
+
+
 def scan_index(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.parquet(folder).orderBy("doc_id", "chunk_id")
 

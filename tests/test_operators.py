@@ -176,3 +176,41 @@ def test_pipeline_and_stream(spark, tmp_path):
     stream = spark.readStream.schema(q.schema).parquet(str(tmp_path / "q"))
     compress_stream(stream, ch, str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+
+
+def test_d2_fences_and_blank_code_lines_count():
+    text = "Some prose here.\n  ```\ncode line\n\nmore\n  ~~~\n- item"
+    assert [u[0] for u in segment.units(text)] == ["Some prose here.", "```", "code line", "", "more", "~~~", "- item"]
+
+
+def test_s1_bad_bytes_become_replacements(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"ok \xff\xfe end")
+    assert files.read_corpus(spark, str(tmp_path)).first()["text"] == "ok �� end"
+
+
+def test_s7_upsert_replaces_the_same_uid_and_lookup_keeps_ranks(spark, tmp_path):
+    folder, schema = str(tmp_path / "index"), "doc_id string, chunk_id int, text string, uid long"
+    files.write_index(spark.createDataFrame([("a", 0, "old", 1), ("a", 1, "kept", 2)], schema), folder)
+    assert files.upsert_index(spark.createDataFrame([("a", 0, "new", 1), ("b", 0, "more", 3)], schema), folder) == 1
+    index = files.scan_index(spark, folder)
+    assert [tuple(r) for r in index.collect()] == [("a", 0, "new", 1), ("a", 1, "kept", 2), ("b", 0, "more", 3)]
+    ranked = spark.createDataFrame([(7, 3, 1), (7, 99, 2)], "query_id int, uid long, rank int")
+    assert [(r["rank"], r["text"]) for r in files.lookup(index, ranked).orderBy("rank").collect()] == [(1, "more"), (2, None)]
+
+
+def test_s11_a_key_stored_twice_counts_once(spark):
+    rows_ = spark.createDataFrame([(1, "q", "t")], "query_id int, query string, text string")
+    key = rows_.select(tx.cache_key(F.lit("m"), F.col("query"), F.col("text"))).first()[0]
+    cache = spark.createDataFrame([(key, 0.5), (key, 0.5)], "k string, v double")
+    hit, miss = scoring.probe_cache(rows_, cache, "m", ["query", "text"])
+    assert hit.count() == 1 and miss.count() == 0
+
+
+def test_g1_distribution_of_many_ties_and_nulls(spark):
+    import statistics
+
+    for n in (1, 2, 19, 20, 41):
+        v = [float(i // 3) for i in range(n)]
+        r = metrics.distribution(spark.createDataFrame([("a", x) for x in v] + [("a", None), ("b", None)], "g string, x double"), ["g"], "x").orderBy("g").collect()
+        at = max(1, min(n, round(0.95 * n + 0.5)))
+        assert tuple(r[0])[1:] == (n, statistics.median(v), v[at - 1], v[0], v[-1]) and tuple(r[1]) == ("b", 0, None, None, None, None)
