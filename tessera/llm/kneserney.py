@@ -16,76 +16,62 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import checkpoint, crc_mod, local_path, map_file, put_file, shared_dir, table, typed
+from tessera.llm.wordhash import M2, Words, mix, pieces
 
 #: Words are 48 bit hashes: of a billion words some two thousand pairs would agree.
 BITS = (1 << 48) - 1
 END, START = 1, 2  # hashes of the end token and of the context before a text
-M1, M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 #: Words of an n-gram, the predicted one included.
 ORDER = 3
 #: Rows of a file.
 ROWS_PER_BUCKET = 1_000_000
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * M1
-    x = (x ^ (x >> np.uint64(27))) * M2
-    return x ^ (x >> np.uint64(31))
-
-
 def key_of(words: list[np.ndarray]) -> np.ndarray:
     """The key of n-grams given by their words, oldest first; of one word the word itself."""
     return functools.reduce(lambda k, w: mix(k * M2 + w), words)
 
 
+def _known(h: np.ndarray) -> np.ndarray:
+    h = h & np.uint64(BITS)
+    return np.where(h > START, h, h + np.uint64(3))
+
+
 class _Hashes(dict):
+    """The hashes of single words, as _texts has them."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        h = xxhash.xxh3_64_intdigest(word) & BITS
-        self[word] = h = h if h > START else h + 3
+        h = self[word] = int(_known(Words(np.frombuffer(word + b"\n", dtype=np.uint8), np.array([len(word)])).hash)[0])
         return h
 
 
 def tokens(text: bytes | None, hashes: dict) -> np.ndarray:
     """Hashes of the words and of the end token. On UTF-8 bytes, lower() changes A-Z only and split() cuts at space and 9-13 only."""
-    w = (text or b"").lower().split()
-    out = np.empty(len(w) + 1, dtype=np.uint64)
-    out[:-1] = np.fromiter(map(hashes.__getitem__, w), dtype=np.uint64, count=len(w))
-    out[-1] = END
-    return out
-
-
-def _texts(batches: Iterator[pa.RecordBatch], hashes: dict, most: int = 2_000_000) -> Iterator[list[np.ndarray]]:
-    """The texts' tokens, in lists of some `most` tokens."""
-    got, n = [], 0
-    for b in batches:
-        for t in b.column(0).to_pylist():
-            got.append(tokens(t, hashes))
-            n += len(got[-1])
-            if n >= most:
-                yield got
-                got, n = [], 0
-    if got:
-        yield got
+    return np.array([*map(hashes.__getitem__, (text or b"").lower().split()), END], dtype=np.uint64)
+
+
+def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Rows, the tokens of their texts, and where each text begins; a bounded number of tokens at a time."""
+    for b, words in pieces(batches, column, lower=True):
+        count = words.counts()
+        out = np.full(len(words.hash) + len(count), END, dtype=np.uint64)
+        out[np.arange(len(words.hash)) + np.repeat(np.arange(len(count)), count)] = _known(words.hash)
+        yield b, out, np.cumsum(count + 1) - (count + 1)
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes = _Hashes()
-    for docs in _texts(batches, hashes):
-        w, c = np.unique(np.concatenate(docs), return_counts=True)
+    for _, t, _ in _texts(batches, 0):
+        w, c = np.unique(t, return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
 
-def grams(docs: list[np.ndarray], order: int) -> list[np.ndarray]:
+def grams(t: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """For each token the words of its n-gram, oldest first; START stands for those before a text."""
-    cols = [np.concatenate(docs)]
-    starts = np.cumsum([0, *map(len, docs[:-1])])
+    cols = [t]
     for _ in range(order - 1):
         before = np.empty_like(cols[0])
         before[1:] = cols[0][:-1]
@@ -96,9 +82,8 @@ def grams(docs: list[np.ndarray], order: int) -> list[np.ndarray]:
 
 def _count_grams(order: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for docs in _texts(batches, hashes, 1_000_000):
-            cols = grams(docs, order)
+        for _, t, starts in _texts(batches, 0):
+            cols = grams(t, starts, order)
             _, at, n = np.unique(key_of(cols), return_index=True, return_counts=True)
             for i in range(0, len(at), 100_000):
                 some = at[i : i + 100_000]
@@ -134,7 +119,11 @@ def _write(df: DataFrame, key: list[str], values: list[str], uri: str) -> int:
         return pa.table({"bucket": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64())})
 
     kinds = ", ".join(f"{v} long" for v in values)
-    df.select(*key, *values).mapInArrow(keyed, f"bucket int, k long, {kinds}").groupBy("bucket").applyInArrow(write, "bucket int, n long").agg(F.sum("n")).collect()
+    done = df.select(*key, *values).mapInArrow(keyed, f"bucket int, k long, {kinds}").groupBy("bucket").applyInArrow(write, "bucket int, n long")
+    found = {r["bucket"] for r in done.toLocalIterator()}  # a small row a file
+    for k in set(range(buckets)) - found:  # empty ones too, so that a missing file is an error
+        put_file(f"{uri}-{k}.keys", b"")
+        put_file(f"{uri}-{k}", b"")
     return buckets
 
 
@@ -178,8 +167,11 @@ class Model:
 
     def score(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of each text."""
-        cols = grams(docs, self.order)
-        starts = np.cumsum([0, *map(len, docs[:-1])])
+        return list(zip(*(x.tolist() for x in self.scores(np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])))))
+
+    def scores(self, t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base scores and scores of the texts that begin at starts."""
+        cols = grams(t, starts, self.order)
         rec = self.look_up("words", WORD, cols[-1])
         base = np.log10((rec["c"] + 1) / (self.n + self.v + 1))
         p = np.maximum(rec["before"] - self.d[1][np.minimum(rec["before"], 3)], 0) / max(1, self.before) + (self.rest if self.before else 1.0) / (self.v + 1)
@@ -189,18 +181,14 @@ class Model:
             total = np.maximum(x["total"], 1)
             left = np.where(x["total"] > 0, (d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / total, 1.0)
             p = np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p
-        add = lambda x: np.add.reduceat(x, starts).tolist()
-        return list(zip(map(len, docs), add((rec["c"] > 0).astype(np.int64)), add(base), add(np.log10(p))))
+        add = lambda x: np.add.reduceat(x, starts)
+        return np.diff(starts, append=len(t)), add((rec["c"] > 0).astype(np.int64)), add(base), add(np.log10(p))
 
 
 @functools.lru_cache(maxsize=4096)
 def _file(uri: str, values: tuple) -> np.ndarray:
-    """A mapped file of the model: records of the values, or keys where none are named."""
-    kind = np.dtype([(v, "<i8") for v in values] if values else "<u8")
-    try:
-        return map_file(uri, kind)
-    except FileNotFoundError:
-        return np.zeros(0, kind)
+    """A mapped file of the model: records of the values, or keys where none are named. A file that is not there is an error."""
+    return map_file(uri, np.dtype([(v, "<i8") for v in values] if values else "<u8"))
 
 
 def fit(train: DataFrame, order: int = ORDER) -> Model:
@@ -209,7 +197,7 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
     folder = f"{shared_dir(spark)}/kneserney-{uuid.uuid4().hex}"
     if p := local_path(folder):
         atexit.register(shutil.rmtree, p, ignore_errors=True)
-    train = typed(train, "text string").select(F.col("text").cast("binary"))
+    train = typed(train, "text string").select(_line())
     words = checkpoint(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
     n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     kinds = ", ".join(f"{w} long" for w in [*_names(order), "c"])
@@ -230,24 +218,20 @@ def fit(train: DataFrame, order: int = ORDER) -> Model:
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, n_tokens, n_known, base_score and score of each row of docs (doc_id, text; a null text is empty: one end token)."""
+    """doc_id, n_tokens, n_known, base_score and score of each row of docs (doc_id, text; a null text is empty: one end token). Repeated
+    rows and equal texts score alike, null ids stay, further columns do not count, an empty table gives no rows, and a model of an empty
+    table has the one unknown word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for b in batches:
-            ids, rows, got, n = b.column(0), [], [], 0
-            for t in b.column(1).to_pylist():
-                got.append(tokens(t, hashes))
-                n += len(got[-1])
-                if n > 1_000_000:
-                    rows += model.score(got)
-                    got, n = [], 0
-            rows += model.score(got) if got else []
-            cols = list(zip(*rows)) or [(), (), (), ()]
-            kinds = (pa.int64(), pa.int64(), pa.float64(), pa.float64())
-            yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, t) for c, t in zip(cols, kinds))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
-
-    return typed(docs, "doc_id long, text string").withColumn("text", F.col("text").cast("binary")).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+        for b, t, starts in _texts(batches, 1):
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, model.scores(t, starts))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+
+    return typed(docs, "doc_id long, text string").select("doc_id", _line()).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+
+
+def _line() -> Column:
+    """The text as pieces() takes it; a null one is empty."""
+    return F.concat(F.coalesce("text", F.lit("")), F.lit("\n")).cast("binary").alias("text")
 
 
 def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:

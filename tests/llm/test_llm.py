@@ -340,6 +340,35 @@ def test_kneser_ney_has_higher_orders(spark, corpus):
     assert kneserney.fit(make(spark, corpus[:5])).order == 3
 
 
+def test_kneser_ney_base_scores_and_missing_files(spark, corpus):
+    train, every = corpus[:40], corpus + [(900, "Ka\x0bNEVER ka"), (901, None), (901, "")]
+    m = kneserney.fit(make(spark, train))
+    c = collections.Counter(w for _, t in train for w in [*t.lower().split(), None])
+    n, v = sum(c.values()), len(c)
+    got = {(r["doc_id"], r["n_tokens"]): r for r in kneserney.score(make(spark, every), m).collect()}
+    for i, t in every:
+        w = [*(t or "").lower().split(), None]
+        r = got[i, len(w)]
+        assert r["n_known"] == sum(c[x] > 0 for x in w) and m.n == n
+        assert r["base_score"] == pytest.approx(sum(np.log10((c[x] + 1) / (n + v + 1)) for x in w), abs=1e-9)
+    gone = kneserney.Model(m.folder + "-gone", m.order, m.buckets, m.n, m.v, {k: tuple(x[1:]) for k, x in m.d.items()}, (m.before, 1, 1, 1))
+    with pytest.raises(Exception):
+        kneserney.score(make(spark, train), gone).collect()
+
+
+def test_words_hash_alike_in_bulk_and_alone():
+    rng = random.Random(9)
+    from tessera.llm.wordhash import Words
+
+    for _ in range(60):
+        texts = ["".join(rng.choice("ab \n\t\x0b\x0cé  cdefghijklmnop漢\r\xa0") for _ in range(rng.choice([0, 1, 2, 30, 200]))).encode() for _ in range(rng.randint(1, 6))]
+        x = Words(np.frombuffer(b"".join(t + b"\n" for t in texts), dtype=np.uint8), np.cumsum([len(t) + 1 for t in texts]) - 1)
+        words = [w for t in texts for w in t.split()]
+        seen = dict(zip(words, x.hash.tolist()))
+        assert len(words) == len(x.hash) and [seen[w] for w in words] == x.hash.tolist() and len(set(seen.values())) == len(seen)
+        assert x.counts().tolist() == [len(t.split()) for t in texts]
+
+
 # 10
 def test_plan_equals_one_by_one():
     rng = random.Random(6)
