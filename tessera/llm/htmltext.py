@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import html
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,9 +24,11 @@ from tessera.llm.common import table, typed
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^<>]*>|<(/?)([A-Za-z][^\s/><]*)((?:[^<>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([A-Za-z][^\s/><]*)([^<>]*)>""", re.S)
 ATTR = re.compile(r"""([^\s=/"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 #: Elements whose content is not markup, or not text that a reader sees (fixed values).
-RAW = frozenset("script style textarea title noscript template iframe svg math object select option button audio video canvas noframes xmp".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select option button audio video canvas noframes xmp datalist annotation annotation-xml".split())
+#: Of these, those that end only at their end tag, or else with the page (fixed values).
+TO_END = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img math mi mn mo mrow mtext mfrac msqrt mroot msup msub msubsup munder mover munderover semantics object".split())
 #: A start tag that ends an open element of these kinds (fixed values).
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}}
 SCOPE = frozenset("table ul ol dl div section article main body html nav aside footer header form".split())
@@ -37,6 +39,7 @@ BOILER_WORDS = frozenset(
 )
 CONTENT_WORDS = frozenset("article content post entry story main body text prose page".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
+END_TAGS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
 ADJACENT, SIBLING = 0.5, 0.75
 
 
@@ -51,10 +54,12 @@ class Block:
 
 
 class _Element:
-    __slots__ = ("tag", "place", "inside", "key")
+    __slots__ = ("tag", "place", "inside", "key", "level", "block")
 
-    def __init__(self, tag: str, place: float, inside: bool, key: int):
+    def __init__(self, tag: str, place: float, inside: bool, key: int, up: _Element | None = None):
         self.tag, self.place, self.inside, self.key = tag, place, inside, key
+        self.level = up.level + 1 if up else 0
+        self.block = up.block if up and tag in INLINE else self  # the nearest element that is not inline
 
 
 def _words(value: str) -> set[str]:
@@ -87,30 +92,42 @@ def _place(tag: str, attrs: str, up: _Element) -> tuple[float, bool]:
 def blocks(page: str) -> list[Block]:
     """The blocks of visible text in page order."""
     out: list[Block] = []
-    stack = [_Element("", 0.0, False, 0)]
-    keys, text, linked, links, at, breaks = 0, [], 0, 0, 0, 0
+    stack, opened = [_Element("", 0.0, False, 0)], Counter()  # opened: how many of each tag the stack holds
+    keys, text, linked, at, breaks = 0, [], 0, 0, 0
+
+    endless: set[str] = set()
 
     def flush() -> None:
         nonlocal text, linked
         if text:
             whole = " ".join(html.unescape("".join(text)).split())
             if whole:
-                e = next((e for e in reversed(stack) if e.tag not in INLINE), stack[0])
-                up = stack[max(0, stack.index(e) - 1)]
+                e = stack[-1].block
+                up = stack[max(0, e.level - 1)]
                 out.append(Block(whole, stack[-1].place, up.key, e.tag, linked, e.inside))
         text, linked = [], 0
 
+    def cut(i: int) -> None:
+        """Closes the elements from place i on."""
+        opened.subtract(e.tag for e in stack[i:])
+        del stack[i:]
+
+    def innermost(tags: set[str], beyond) -> int | None:
+        """The place of the innermost open element of these tags, if none that is beyond lies in it."""
+        if any(opened[t] > 0 for t in tags):
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag in tags:
+                    return i
+                if beyond(stack[i].tag):
+                    break
+        return None
+
     def close(tag: str) -> None:
-        nonlocal links
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                if tag not in INLINE:
-                    flush()
-                links -= sum(e.tag == "a" for e in stack[i:])
-                del stack[i:]
-                return
-            if tag in INLINE and stack[i].tag not in INLINE:
-                return
+        i = innermost({tag}, lambda t: tag in INLINE and t not in INLINE)
+        if i is not None:
+            if tag not in INLINE:
+                flush()
+            cut(i)
 
     n = len(page)
     while at < n:
@@ -118,7 +135,7 @@ def blocks(page: str) -> list[Block]:
         run = page[at : m.start() if m else n]
         if run:
             text.append(run)
-            if links:
+            if opened["a"] > 0:
                 linked += len(run.strip())
             if not run.isspace():
                 breaks = 0
@@ -142,9 +159,11 @@ def blocks(page: str) -> list[Block]:
                 flush()
             continue
         if tag in RAW:
-            if tag not in INLINE:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-                at = end.end() if end else n
+            if not attrs.endswith("/") or tag in TO_END:
+                end = None if tag in endless else END_TAGS[tag].search(page, at)
+                if not end:
+                    endless.add(tag)  # nor will there be one further on
+                at = end.end() if end else n if tag in TO_END else at
             text.append(" ")
             continue
         if tag in VOID:
@@ -153,30 +172,18 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag not in INLINE:
             flush()
-            if any(e.tag == "p" for e in stack[-8:]):
-                while stack[-1].tag != "p" and stack[-1].tag in INLINE:
-                    links -= stack[-1].tag == "a"
-                    stack.pop()
-                if stack[-1].tag == "p":
-                    stack.pop()
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag in ENDS.get(tag, ()):
-                    links -= sum(e.tag == "a" for e in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i].tag in SCOPE:
-                    break
+            if (i := innermost({"p"}, lambda t: t not in INLINE)) is not None:
+                cut(i)
+            if tag in ENDS and (i := innermost(ENDS[tag], SCOPE.__contains__)) is not None:
+                cut(i)
             if tag == "body":
-                stack[1:] = [e for e in stack[1:] if e.tag == "html"]
+                cut(2 if len(stack) > 1 and stack[1].tag == "html" else 1)
         if attrs.endswith("/"):
             attrs = attrs[:-1]
         keys += 1
         place, inside = _place(tag, attrs, stack[-1])
-        stack.append(_Element(tag, place, inside, keys))
-        if len(stack) > 400:  # deeper elements count as their ancestor at this depth
-            del stack[200:300]
-        if tag == "a":
-            links += 1
+        stack.append(_Element(tag, place, inside, keys, stack[-1]))
+        opened[tag] += 1
     flush()
     return out
 
@@ -308,7 +315,8 @@ def extract(pages: Iterator[pd.Series]) -> Iterator[pd.Series]:
 
 
 def op7_min_cut_html(spark, sf_dir: str) -> DataFrame:
-    """The main text of every page."""
+    """The main text of every page. A null or empty page has the empty text; pages are independent, so repeated rows have equal texts;
+    long and deeply nested pages are read whole, in time linear in their length; further columns do not count; an empty table gives no rows."""
     pages = typed(table(spark, sf_dir, "pages"), "page_id long, url string, html string")
     out = pages.select("page_id", "url", extract("html").alias("text"))
     return out.withColumn("n_chars", F.length("text").cast("long"))

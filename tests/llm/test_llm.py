@@ -272,6 +272,23 @@ def test_main_text():
     assert htmltext.main_text("<p>" + "<b>x " * 5000).count("x") == 5000
 
 
+def test_main_text_drops_nothing_else(spark):
+    assert htmltext.main_text("<article><p>Value <math><mi>x</mi><annotation>tex</annotation></math> and <svg viewBox='0'/> more.</p><p>Second.</p></article>") == "Value x and more.\n\nSecond."
+    assert htmltext.main_text("<article><p>One.<template><p>Two.</article>") == "One.\n\nTwo."
+    assert htmltext.main_text("<article>" + "<div>" * 3000 + "<p>deep one<p>deep two" + "</div>" * 3000 + "<p>after") == "deep one\n\ndeep two\n\nafter"
+    assert htmltext.main_text("<p>" + " ".join(["<i>a"] * 12) + "<p>end of it.") == " ".join("a" * 12) + "\n\nend of it."
+
+
+def test_html_pages(spark, tmp_path):
+    pages = [(1, "u", None, 5), (2, None, "", 5), (2, None, "<p>Same text here.", 5), (None, "u", "<p>Same text here.", 5), (3, "l", "<p>long one. " * 20000, 5)]
+    spark.createDataFrame(pages, "page_id long, url string, html string, n_chars int").write.parquet(str(tmp_path / "pages.parquet"))
+    out = {(r["page_id"], r["url"], r["text"][:20], r["n_chars"]) for r in htmltext.op7_min_cut_html(spark, str(tmp_path)).collect()}
+    long = "\n\n".join(["long one."] * 20000)
+    assert out == {(1, "u", "", 0), (2, None, "", 0), (2, None, "Same text here.", 15), (None, "u", "Same text here.", 15), (3, "l", long[:20], len(long))}
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert htmltext.op7_min_cut_html(spark, str(tmp_path / "none")).count() == 0
+
+
 # 8
 def test_ppm_code_lengths_and_prediction(spark):
     t = langid.Tree(*langid.counted(b"abracadabra"))
