@@ -149,6 +149,35 @@ def test_decontamination(spark):
     assert decontaminate.overlaps(edge(spark), bench.limit(0)).count() == 0
 
 
+def test_decontamination_against_brute_force(spark):
+    """Every alignment of every item of 1 to 20 tokens with every text, without seeds."""
+    rng = random.Random(11)
+    items = [(n, " ".join(f"v{rng.randrange(60)}" for _ in range(n))) for n in range(1, 21)]
+    docs = [(100, None), (101, ""), (102, "v1"), (None, items[12][1])]
+    for i in range(60):
+        w = [f"v{rng.randrange(60)}" for _ in range(rng.randrange(40))]
+        part = rng.choice(items)[1].split()
+        part = [x if rng.random() > 0.15 else "sub" for x in part]
+        docs.append((i, " ".join([*w, *part[rng.randrange(2) :], *w[:5]])))
+    docs.append(docs[-1])
+
+    def brute(text):
+        t, out = re.findall(r"\w+", (text or "").lower()), set()
+        for i, item in items:
+            b = item.split()
+            w = min(12, len(b))
+            if len(b) > 2 and any(sum(t[p + k] == b[q + k] for k in range(w)) >= 0.8 * w - 1e-9 for p in range(len(t) - w + 1) for q in range(len(b) - w + 1)):
+                out.add(i)
+        return out
+
+    bench = spark.createDataFrame(items + items[:3], "item_id long, text string")
+    frame = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in docs], "doc_id long, text string, hits string, row int, _row int").repartition(3)
+    got = collections.Counter((r["doc_id"], r["item_id"]) for r in decontaminate.overlaps(frame, bench).collect())
+    assert got == collections.Counter((i, k) for i, t in docs for k in brute(t)) and len(got) > 30
+    left = decontaminate.drop_contaminated(frame, bench)
+    assert left.columns == frame.columns and sorted(map(repr, (r["doc_id"] for r in left.collect()))) == sorted(repr(i) for i, t in docs if not brute(t))
+
+
 # 4
 def test_matrix_has_its_margins_and_law():
     m = sharding.matrix([7, 0, 13], [5, 5, 10], 1)
