@@ -89,10 +89,11 @@ def _bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(seeds: DataFrame, n: int) -> np.ndarray:
-    """A bit set over the seeds' hashes: of a power of 2, MAX_BITS at most."""
+    """A bit set over the seeds' hashes, two bits each: of a power of 2, MAX_BITS at most."""
     size = 1 << 12
-    while size < min(MAX_BITS, 16 * n):
+    while size < min(MAX_BITS, 64 * n):
         size *= 2
+    seeds = seeds.select(F.explode(F.array("h", F.shiftrightunsigned("h", 32))).alias("h"))
     h = F.col("h").bitwiseAND(F.lit(size - 1))
     bit = F.call_function("shiftleft", F.lit(1).cast("long"), (h % 64).cast("int"))
     out = np.zeros(size // 64, "<i8")
@@ -114,8 +115,10 @@ def _probe(bits: Broadcast, least: int):
             hs, ats, spans = [], [], []
             for k, (m, _, _) in enumerate(EVERY):
                 h = windows(t, k)
-                x = h & mask
-                at = np.flatnonzero((table[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1))
+                at = np.arange(len(h))
+                for shift in (0, 32):
+                    x = (h[at] >> np.uint64(shift)) & mask
+                    at = at[np.flatnonzero((table[(x >> np.uint64(6)).astype(np.int64)] >> (x & np.uint64(63))) & np.uint64(1))]
                 own = np.searchsorted(ends, at, "right")
                 ok = at + len(m) <= ends[own] if len(at) else np.zeros(0, bool)  # not across two texts
                 hs.append(h[at[ok]]), ats.append(at[ok]), spans.append(np.full(ok.sum(), len(m)))
