@@ -32,6 +32,8 @@ BUCKETS = 1 << 18
 STEPS = 4
 #: More lines than this under a word that is among their so many rarest are a crowd.
 CROWD, CROWD_WORDS = 16, 4
+#: Rounds over near copies go on while they settle one in so many of the lines left.
+ROUND = 20
 #: Bits of the filters, at most.
 MAX_BITS = 1 << 26
 #: Bits of a word's hash beside its rarity.
@@ -183,24 +185,25 @@ def _settled(joined: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
     pairs, first = _against_first(keyed, tmp)
     pairs = tmp.save(pairs)
     settled = tmp.save(later(_similar(pairs, tmp.save(_sets(docs, _places(pairs))))))
-    # crowds of which many lines were settled are near copies: rounds among the lines that are open there
-    proven = keyed.join(F.broadcast(settled) if fits(settled) else settled, PLACE, "left_semi").groupBy("k").count().where(F.col("count") > CROWD).select("k")
-    proven = tmp.save(proven)
-    rest = _without(keyed.join(F.broadcast(proven) if fits(proven) else proven, "k", "left_semi"), settled)
-    pivots = first.select("k", F.col("r.doc_id").alias("doc_id"), F.col("r.line").alias("line"))
-    rest = tmp.save(rest.join(pivots, ["k", *PLACE], "left_anti"))
-    sets, n = None, rest.count()
+    # crowds of which many lines were settled are near copies: rounds over all lines under any word of theirs, against the earliest line,
+    # then against the earliest open one, and so on
+    near = joined.join(F.broadcast(settled) if fits(settled) else settled, PLACE, "left_semi")
+    proven = tmp.save(near.select(F.explode("pre").alias("k")).groupBy("k").count().where(F.col("count") > CROWD).select("k"))
+    rest = joined.select(*PLACE, "n", "sk", "sl", F.explode("pre").alias("k"))
+    rest = tmp.save(rest.join(F.broadcast(proven) if fits(proven) else proven, "k", "left_semi"))
+    sets, n = None, rest.select(*PLACE).distinct().count()
     while n:
         sets = sets or tmp.save(_sets(docs, rest.select(*PLACE).distinct()))
         pairs, first = _against_first(rest, tmp)
-        more = tmp.save(later(_similar(pairs, sets)))
+        done = settled.select(F.col("doc_id").alias("db"), F.col("line").alias("lb"))
+        more = tmp.save(later(_similar(pairs.join(F.broadcast(done) if fits(done) else done, ["db", "lb"], "left_anti"), sets)))
         found = more.count()
-        settled = settled.union(more)
-        if not found:
+        settled = tmp.save(settled.union(more))
+        if ROUND * found < n:  # the join sees to the rest
             break
         pivots = first.select("k", F.col("r.doc_id").alias("doc_id"), F.col("r.line").alias("line"))
-        rest = tmp.save(_without(rest, more).join(pivots, ["k", *PLACE], "left_anti"))
-        n = rest.count() if 20 * found >= n else 0
+        rest = tmp.save(_without(rest, settled).join(pivots, ["k", *PLACE], "left_anti"))
+        n = rest.select(*PLACE).distinct().count()
     return tmp.save(settled.distinct())
 
 
@@ -278,12 +281,9 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataF
     """
     gone, rows = spare(docs, "gone"), removed_lines(docs)
     rows = rows.withColumnRenamed("lines", gone)
-    if fits(rows, BROADCAST_ROWS // 8):
-        x = docs.join(F.broadcast(rows), "doc_id", "left")
-    else:  # only texts that lose lines, and few others, are shuffled
-        maybe = F.coalesce(_Filter(rows.select("doc_id"))(), F.lit(False))
-        x = docs.where(maybe).join(rows, "doc_id", "left")
-        x = x.unionByName(docs.where(~maybe).withColumn(gone, F.lit(None).cast("array<int>")))
+    # only texts that lose lines, and few others, are shuffled
+    maybe = F.coalesce(_Filter(rows.select("doc_id"))(), F.lit(False))
+    x = docs.where(maybe).join(rows, "doc_id", "left").unionByName(docs.where(~maybe).withColumn(gone, F.lit(None).cast("array<int>")))
     without = lambda ls: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(ls) - 1), F.col(gone)), lambda i: F.get(ls, i)), "\n")
     out = {"text": F.when(F.col(gone).isNull(), F.col("text")).otherwise(let(F.split("text", "\n"), without))}
     if "n_chars" in docs.columns:
