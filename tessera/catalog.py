@@ -93,6 +93,8 @@ def _paths(spark, d) -> DataFrame:
         (F.col("value") * 2 + 5).alias("total_latency_ms"),
         (i % 97).alias("completion_tokens"),
         F.when(i % 50 == 0, 5).otherwise(0).alias("cached_tokens"),
+        F.when(i % 11 > 0, 1500 - i % 700).alias("prompt_tokens"),
+        (i % 40 / 4.0).alias("overhead_ms"),
         F.when(F.col("event_type") == "error", "failed").alias("error"),
     )
 
@@ -102,13 +104,13 @@ def _stream(spark, d) -> DataFrame:
     return e.select(F.floor(i / 20).alias("run_id"), F.lit("compressed").alias("path"), (i % 20).alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(i % 20 < 2, F.lit("")).otherwise(F.concat("event_type", F.lit(" "))).alias("delta"))
 
 
-METRICS = ["compression_ratio", "tokens_saved", "ttft_delta_ms", "output_token_delta", "cost_saved", "b_ttft_ms", "c_ttft_ms"]
+METRICS = [*metrics.AB, "output_token_delta", "cost_saved_actual"]
 
 
 def _summary(spark, d) -> DataFrame:
     s = metrics.ab_summary(metrics.ab_metrics(metrics.usable_runs(_paths(spark, d)), PRICE_IN, PRICE_OUT), METRICS)
     v = F.when(F.col("metric") == "ttft_delta_ms", metrics.verdict(F.col("median")))
-    return s.select("query_id", "metric", "n", *(F.round(c, 6).alias(c) for c in ("median", "p95", "minimum", "maximum")), "n_runs", "n_discarded", v.alias("verdict"))
+    return s.select("query_id", "metric", "n", *((F.round(c, 9) + 0.0).alias(c) for c in ("median", "p95", "minimum", "maximum")), "n_runs", "n_discarded", v.alias("verdict"))
 
 
 def _cache(spark, d) -> DataFrame:
@@ -233,7 +235,7 @@ de as (select * from (select query_id, doc_id, row_number() over (partition by q
 fu as (select coalesce(de.query_id, lx.query_id) query_id, coalesce(de.doc_id, lx.doc_id) doc_id, dense_rank, bm25_rank, round(coalesce(1.0::double / (60 + dense_rank), 0) + coalesce(1.0::double / (60 + bm25_rank), 0), 12) rrf from de full join lx on de.query_id = lx.query_id and de.doc_id = lx.doc_id),
 fh as (select * from (select *, row_number() over (partition by query_id order by rrf desc, dense_rank nulls last, bm25_rank nulls last, doc_id) hit_rank from fu) where hit_rank <= 20)"""
 _P95 = "case when count({0}) > 0 then list_sort(list({0}) filter ({0} is not null))[greatest(1, least(count({0}), round_even(0.95 * count({0}) + 0.5, 0)::int))] end"
-_PATHS = "p as (select event_id // 2 run_id, (event_id // 2) % 7 query_id, case when event_id % 2 = 1 then 'compressed' else 'baseline' end path, case when event_id % 2 = 1 then 200 + event_id % 300 else 1000 + event_id % 1000 end context_tokens, value ttft_ms, event_id % 97 completion_tokens, case when event_id % 50 = 0 then 5 else 0 end cached, case when event_type = 'error' then 'failed' end error from events)"
+_PATHS = "p as (select event_id // 2 run_id, (event_id // 2) % 7 query_id, case when event_id % 2 = 1 then 'compressed' else 'baseline' end path, case when event_id % 2 = 1 then 200 + event_id % 300 else 1000 + event_id % 1000 end context_tokens, value ttft_ms, event_id % 97 completion_tokens, case when event_id % 50 = 0 then 5 else 0 end cached, value * 2 + 5 total_latency_ms, case when event_id % 11 > 0 then 1500 - event_id % 700 end prompt_tokens, case when event_id % 2 = 1 then (event_id % 40) / 4.0 end overhead, case when event_type = 'error' then 'failed' end error from events)"
 _FILLED = "regexp_replace(coalesce(text, ''), ' (the|der|la|que) ', ' very ', 'g')"
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _GUARD = lambda i: f"coalesce(regexp_matches(w[{i}], '\\p{{Nd}}') or lower(w[{i}]) in {_IN(NEGATIONS)}, false)"
@@ -265,12 +267,12 @@ f as (select query_id, doc_id, '[SOURCE: ' || doc_id || ']' || chr(10) || string
 f as (select item_id query_id, text fact from benchmark), y as (select query_id, fact, coalesce(contains({_SQUASH.format('context')}, {_SQUASH.format('fact')}), false) held from f left join x using (query_id))
 select query_id, avg(held::int::double) fact_retention, coalesce(list_sort(list(fact) filter (not held)), []) missing_facts from y group by 1""",
     "distribution_p95": f"select event_type, count(value) n, round(median(value), 6) median, round({_P95.format('value')}, 6) p95, round(min(value), 6) minimum, round(max(value), 6) maximum from events group by 1",
-    "ab_summary": f"""with {_PATHS}, r as (select run_id, query_id, {', '.join(f"max({c}) filter (path = '{n}') {s}_{c}" for n, s in (('baseline', 'b'), ('compressed', 'c')) for c in ('context_tokens', 'ttft_ms', 'completion_tokens', 'cached'))} from p group by 1, 2 having count(error) = 0 and count(distinct path) = 2),
-m as (select *, b_cached > 0 or c_cached > 0 bad, 1 - c_context_tokens / b_context_tokens::double compression_ratio, (b_context_tokens - c_context_tokens)::double tokens_saved, b_ttft_ms - c_ttft_ms ttft_delta_ms, (b_completion_tokens - c_completion_tokens)::double output_token_delta, (b_context_tokens * {PRICE_IN} + b_completion_tokens * {PRICE_OUT})::double / 1e6 - (c_context_tokens * {PRICE_IN} + c_completion_tokens * {PRICE_OUT})::double / 1e6 cost_saved from r),
+    "ab_summary": f"""with {_PATHS}, r as (select run_id, query_id, {', '.join(f"max({c}) filter (path = '{n}') {s}_{c}" for n, s in (('baseline', 'b'), ('compressed', 'c')) for c in ('context_tokens', 'ttft_ms', 'completion_tokens', 'cached', 'total_latency_ms', 'prompt_tokens'))}, max(overhead) overhead_ms from p group by 1, 2 having count(error) = 0 and count(distinct path) = 2),
+m as (select *, b_cached > 0 or c_cached > 0 bad, 1 - c_context_tokens / b_context_tokens::double compression_ratio, (b_context_tokens - c_context_tokens)::double tokens_saved, b_ttft_ms - c_ttft_ms ttft_delta_ms, (b_completion_tokens - c_completion_tokens)::double output_token_delta, (b_context_tokens * {PRICE_IN} + b_completion_tokens * {PRICE_OUT})::double / 1e6 - (c_context_tokens * {PRICE_IN} + c_completion_tokens * {PRICE_OUT})::double / 1e6 cost_saved, (b_prompt_tokens * {PRICE_IN}::double + b_completion_tokens * {PRICE_OUT}::double) / 1e6 b_cost, (c_prompt_tokens * {PRICE_IN}::double + c_completion_tokens * {PRICE_OUT}::double) / 1e6 c_cost, (b_prompt_tokens * {PRICE_IN}::double + b_completion_tokens * {PRICE_OUT}::double) / 1e6 - (c_prompt_tokens * {PRICE_IN}::double + c_completion_tokens * {PRICE_OUT}::double) / 1e6 cost_saved_actual from r),
 u as (unpivot (select query_id, {', '.join(f'{c}::double {c}' for c in METRICS)} from m where not bad) on {', '.join(METRICS)} into name metric value v),
 g as (select query_id, count(*) filter (not bad) n_runs, count(*) filter (bad) n_discarded from m group by 1),
 d as (select query_id, metric, count(v) n, median(v) md, {_P95.format('v')} p95, min(v) mi, max(v) ma from u group by 1, 2)
-select query_id, metric, n, round(md, 6) median, round(p95, 6) p95, round(mi, 6) minimum, round(ma, 6) maximum, n_runs, n_discarded, case when metric = 'ttft_delta_ms' then case when md > 0 then 'WINS' else 'LOSES' end end verdict from d join g using (query_id)""",
+select query_id, metric, n, round(md, 9) + 0.0 median, round(p95, 9) + 0.0 p95, round(mi, 9) + 0.0 minimum, round(ma, 9) + 0.0 maximum, n_runs, n_discarded, case when metric = 'ttft_delta_ms' then case when md > 0 then 'WINS' else 'LOSES' end end verdict from d join g using (query_id)""",
     "run_cost": f"with {_PATHS} select run_id, path, round((context_tokens * {PRICE_IN}::double + completion_tokens * {PRICE_OUT}::double) / 1e6, 9) usd from p",
     "calibration": f"""with x as (select {_COUNT.format('text')} l, n_chars - {_COUNT.format('text')} d from documents where text is not null), a as (select count(*) n, avg(d) m, stddev_samp(d) s, min(d)::double mi, max(d)::double ma, coalesce(regr_slope(d, l), 0) * 1000 k from x)
 select n, round(m, 6) mean_delta, round(s, 6) stdev_delta, mi min_delta, ma max_delta, round(k, 6) slope_per_1k, abs(k) < 0.5 and s < 0.5 exact from a where n >= 2""",

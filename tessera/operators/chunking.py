@@ -69,8 +69,10 @@ def sentence_units(chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 def exact_dedup(sentences: DataFrame, by: list[str]) -> DataFrame:
     """The first of the sentences that agree but for case and white space, by (doc_id, char_offset), then by retrieval order."""
     ties = [c for c in ("hit_rank", "chunk_id", "sentence_index") if c in sentences.columns]
-    w = W.Window.partitionBy(*by, squash(F.col("text"))).orderBy("doc_id", "char_offset", *ties)
-    return sentences.withColumn("_first", F.row_number().over(w)).where("_first = 1").drop("_first")
+    # an aggregation combines before the shuffle, so the commonest line of a corpus is no hot task
+    first = F.min_by(F.struct(*(F.col(f"`{c}`") for c in sentences.columns)), F.struct("doc_id", "char_offset", *ties))
+    keyed = sentences.groupBy(*by, squash(F.col("text")).alias("_squashed")).agg(first.alias("_first"))
+    return keyed.select(*(F.col("_first").getField(c).alias(c) for c in sentences.columns))
 
 
 def with_order(sentences: DataFrame, by: list[str]) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import window as W
 
 from tessera.functions.text import cost, squash
 
+#: What the A/B report gives distributions of.
+AB = ["b_context_tokens", "c_context_tokens", "compression_ratio", "tokens_saved", "overhead_ms", "b_ttft_ms", "c_ttft_ms", "ttft_delta_ms", "b_total_latency_ms", "c_total_latency_ms", "b_cost", "c_cost", "cost_saved"]
 STAGES = ("retrieve", "decompose", "score", "mmr", "select", "assemble")
 
 
@@ -38,9 +40,13 @@ def overhead(stages: Column) -> Column:
 
 
 def usable_runs(paths: DataFrame) -> DataFrame:
-    """One row a run of both paths, and whether a cached prompt contaminates it; runs with an error on either path are left out."""
+    """One row a run of both paths, and whether a cached prompt contaminates it; runs with an error on either path are left out.
+    prompt_tokens (billed by the server) and overhead_ms (of the compression) are null where paths lack them."""
+    for c in ("prompt_tokens", "overhead_ms"):
+        paths = paths if c in paths.columns else paths.withColumn(c, F.lit(None).cast("double"))
     wide = paths.groupBy("run_id", "query_id").agg(
-        *(F.max(F.when(F.col("path") == p, F.col(c))).alias(f"{s}_{c}") for p, s in (("baseline", "b"), ("compressed", "c")) for c in ("context_tokens", "ttft_ms", "total_latency_ms", "completion_tokens", "cached_tokens")),
+        *(F.max(F.when(F.col("path") == p, F.col(c))).alias(f"{s}_{c}") for p, s in (("baseline", "b"), ("compressed", "c")) for c in ("context_tokens", "ttft_ms", "total_latency_ms", "completion_tokens", "cached_tokens", "prompt_tokens")),
+        F.max(F.when(F.col("path") == "compressed", F.col("overhead_ms"))).alias("overhead_ms"),
         F.count("error").alias("errors"),
         F.countDistinct("path").alias("paths"),
     )
@@ -49,13 +55,16 @@ def usable_runs(paths: DataFrame) -> DataFrame:
 
 def ab_metrics(runs: DataFrame, price_in: float, price_out: float) -> DataFrame:
     b, c = F.col("b_context_tokens"), F.col("c_context_tokens")
-    bill = lambda s: cost(F.col(f"{s}_context_tokens"), F.col(f"{s}_completion_tokens"), price_in, price_out)
+    bill = lambda s, of="context": cost(F.col(f"{s}_{of}_tokens"), F.col(f"{s}_completion_tokens"), price_in, price_out)
     return (
         runs.withColumn("compression_ratio", ratio(b, c))
         .withColumn("tokens_saved", (b - c).cast("double"))
         .withColumn("ttft_delta_ms", F.col("b_ttft_ms") - F.col("c_ttft_ms"))
         .withColumn("output_token_delta", (F.col("b_completion_tokens") - F.col("c_completion_tokens")).cast("double"))
         .withColumn("cost_saved", bill("b") - bill("c"))
+        .withColumn("b_cost", bill("b", "prompt"))
+        .withColumn("c_cost", bill("c", "prompt"))
+        .withColumn("cost_saved_actual", F.col("b_cost") - F.col("c_cost"))
     )
 
 

@@ -139,9 +139,10 @@ def fuse(dense: DataFrame, lexical: DataFrame, key: list[str], cfg: Settings = S
 
 
 def census(hits: DataFrame) -> DataFrame:
-    """Per query: hits of both rankers, and of either alone."""
+    """Per query: hits of both rankers, and of either alone; with token_count in hits, also their tokens."""
     d, b = F.col("dense_rank").isNotNull(), F.col("bm25_rank").isNotNull()
-    return hits.groupBy("query_id").agg(F.count_if(d & b).alias("n_both"), F.count_if(d & ~b).alias("n_dense_only"), F.count_if(~d & b).alias("n_bm25_only"))
+    tokens = [F.sum("token_count").cast("long").alias("tokens")] if "token_count" in hits.columns else []
+    return hits.groupBy("query_id").agg(F.count_if(d & b).alias("n_both"), F.count_if(d & ~b).alias("n_dense_only"), F.count_if(~d & b).alias("n_bm25_only"), *tokens)
 
 
 def describe(chunks: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """Hand-made cases of the engine's operators; S, C, D, ... are the ids of the operator inventory, H those of its hazards."""
 
+import json
 import random
 
 import pytest
@@ -214,3 +215,42 @@ def test_g1_distribution_of_many_ties_and_nulls(spark):
         r = metrics.distribution(spark.createDataFrame([("a", x) for x in v] + [("a", None), ("b", None)], "g string, x double"), ["g"], "x").orderBy("g").collect()
         at = max(1, min(n, round(0.95 * n + 0.5)))
         assert tuple(r[0])[1:] == (n, statistics.median(v), v[at - 1], v[0], v[-1]) and tuple(r[1]) == ("b", 0, None, None, None, None)
+
+
+def test_d9_least_of_a_group_with_nulls_and_clashing_columns(spark):
+    x = spark.createDataFrame([("b", 0, 0, None, 1), ("a", 5, 1, None, 2), ("a", 9, 2, "x Y", 3), ("a", 9, 1, "x  y", 4)], "doc_id string, char_offset int, sentence_index int, text string, _first int")
+    kept = chunking.exact_dedup(x, [])
+    assert kept.columns == x.columns and rows(kept) == [("a", 5, 1, None, 2), ("a", 9, 1, "x  y", 4)]
+    assert rows(chunking.exact_dedup(x.limit(0), [])) == []
+
+
+def test_g2_g8_report_of_runs(spark):
+    paths = spark.createDataFrame([(1, 7, "baseline", 1000, 50.0, 90.0, 10, 0, None, 1100, 0.0), (1, 7, "compressed", 400, 30.0, 60.0, 20, 0, None, None, 8.0)], "run_id int, query_id int, path string, context_tokens int, ttft_ms double, total_latency_ms double, completion_tokens int, cached_tokens int, error string, prompt_tokens int, overhead_ms double")
+    from tessera.engine import Engine
+
+    got = {r["metric"]: r for r in Engine(spark, "").ab(paths, 1.0, 2.0).collect()}
+    assert len(got) == 13 and got["overhead_ms"]["median"] == 8.0 and got["b_cost"]["median"] == 1120 / 1e6
+    assert got["c_cost"]["n"] == 0 and got["c_cost"]["median"] is None and abs(got["cost_saved"]["median"] - 580 / 1e6) < 1e-12
+    plain = {r["metric"]: r for r in Engine(spark, "").ab(paths.drop("prompt_tokens", "overhead_ms"), 1.0, 2.0).collect()}
+    assert len(plain) == 13 and plain["b_cost"]["n"] == 0 and plain["overhead_ms"]["median"] is None
+
+
+def test_engine_and_command_line(spark, tmp_path, capsys):
+    from tessera.__main__ import main
+
+    corpus = tmp_path / "corpus"
+    corpus.mkdir()
+    (corpus / "a.txt").write_text("Apples are red and sweet.\n\nThey grow on trees in Europe.")
+    (corpus / "b.md").write_text("Cars need fuel to drive.\n\nApples are cheap this year.")
+    at = ["--index", str(tmp_path / "index")]
+    with pytest.raises(ValueError):
+        main(["ingest", str(corpus), *at], spark)
+    main(["ingest", str(corpus), "--min-chunks", "1", *at], spark)
+    assert json.loads(capsys.readouterr().out)["n_chunks"] == 2
+    main(["retrieve", "apples sweet", "cars", *at], spark)
+    hits = [json.loads(x) for x in capsys.readouterr().out.splitlines()]
+    assert [h["doc_id"] for h in hits if h["hit_rank"] == 1] == ["a", "b"]
+    main(["compress", "apples sweet", "--budget", "0", "--contexts", *at], spark)
+    assert "Apples are red and sweet." in json.loads(capsys.readouterr().out)["context"]
+    main(["describe", "--out", str(tmp_path / "out"), *at], spark)
+    assert rows(spark.read.parquet(str(tmp_path / "out"))) == [(2, 2)]
