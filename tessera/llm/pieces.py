@@ -1,9 +1,10 @@
 """SentencePiece encoding by a table of distinct marked words.
 
 A model whose pieces never hold a marker after another character cuts a text at every such place: "▁▁new▁world" is "▁▁new" and
-"▁world", and no merge crosses from one to the next. So each distinct marked word of the corpus is segmented once, and a document's
-ids are its words' ids joined by position. Words that occur often go to every task as a table of bounded size; the occurrences of the
-others are few and are joined by a shuffle.
+"▁world", and no merge crosses from one to the next. So each distinct marked word is segmented once, and a document's ids are its
+words' ids joined by position. All words of all texts are counted; the common ones go to every task as a table of bounded size. The
+others have few occurrences each. With tail="join" they are segmented once too and joined to their occurrences by a shuffle; with
+tail="segment" a task segments those it meets, once a batch, as moving them and the texts costs more than segmenting them again.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, typed
+from tessera.llm.common import Scratch, checkpoint, typed
 
 MODEL = "piece_bpe_32k.model"
 MARK = "▁"
@@ -48,33 +49,39 @@ def processor(path: str):
     return sp
 
 
+def _ids_of(sp, words: list[str]) -> list[list[int]]:
+    """The ids of marked words. The library puts a text's first marker back, but not before nothing."""
+    alone = [sp.piece_to_id(MARK)]
+    return [i if len(w) > 1 else alone for w, i in zip(words, sp.encode([w[1:] for w in words], num_threads=1))] if words else []
+
+
 def _segment(path: str):
-    """(word, n) batches with the ids of each word."""
+    """word batches with the ids of each word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sp = processor(path)
-        alone = [sp.piece_to_id(MARK)]
         for b in batches:
-            bare = [w[1:] for w in b.column(0).to_pylist()]  # the library puts the first marker back, but before nothing
-            ids = [i if t else alone for t, i in zip(bare, sp.encode(bare, num_threads=1))] if bare else []
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(ids, pa.list_(pa.int32()))], names=["word", "n", "ids"])
+            ids = _ids_of(processor(path), b.column(0).to_pylist())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
 
     return run
 
 
-def word_table(docs: DataFrame, model_path: str) -> DataFrame:
-    """word, n, ids: the distinct marked words of all texts, how often they occur, and their ids."""
-    n = docs.select(F.explode(marked_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return n.mapInArrow(_segment(model_path), "word string, n long, ids array<int>")
+def word_counts(docs: DataFrame) -> DataFrame:
+    """word, n: the distinct marked words of all texts, and how often they occur."""
+    return docs.select(F.explode(marked_words(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
 
+def _table(words: DataFrame, path: str) -> DataFrame:
+    """word, ids"""
+    return words.select("word").mapInArrow(_segment(path), "word string, ids array<int>")
 
-def _common(table: DataFrame, words: int, size: int) -> Column:
-    """Which words are common: the most frequent, as far as the bounds go. Frequencies are compared by eighths of a power of two, so
-    the driver sees at most some five hundred sums."""
+
+def _common(counts: DataFrame, words: int, size: int) -> Column:
+    """Which words are common: the most frequent, as far as the bounds go; a word has no more ids than bytes. Frequencies are compared
+    by eighths of a power of two, so the driver sees some five hundred sums at most."""
     level = F.floor(F.log2("n") * 8).cast("int")
-    cost = F.octet_length("word") + 4 * F.size("ids")
     least, have, used = None, 0, 0
-    for lv, n, b in sorted(table.groupBy(level.alias("level")).agg(F.count("*"), F.sum(cost)).collect(), reverse=True):
+    for lv, n, b in sorted(counts.groupBy(level.alias("level")).agg(F.count("*"), F.sum(5 * F.octet_length("word"))).collect(), reverse=True):
         have, used = have + n, used + b
         if have > words or used > size:
             break
@@ -83,17 +90,17 @@ def _common(table: DataFrame, words: int, size: int) -> Column:
 
 
 def _occurrences(known):
-    """For documents (key, text): key, place and word of each word that is not in the common table."""
+    """For documents (doc_id, digest, text): doc_id, digest, place and word of each word that is not in the common table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, find = known.value, re.compile(WORD).findall
         for b in batches:
-            keys, places, words = [], [], []
-            for key, text in zip(b.column("key").to_pylist(), b.column("text").to_pylist()):
+            docs, digests, places, words = [], [], [], []
+            for doc_id, digest, text in zip(*(c.to_pylist() for c in b.columns)):
                 for at, w in enumerate(_words(find, text)):
                     if w not in have:
-                        keys.append(key), places.append(at), words.append(w)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["key", "place", "word"])
+                        docs.append(doc_id), digests.append(digest), places.append(at), words.append(w)
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(digests, pa.int64()), pa.array(places, pa.int32()), pa.array(words, pa.string())], names=["doc_id", "digest", "place", "word"])
 
     return run
 
@@ -102,21 +109,26 @@ def _words(find, text: str | None) -> list[str]:
     return find(MARK + text.replace(" ", MARK)) if text else []
 
 
-def _join(known):
-    """Documents (doc_id, text, rare) with their ids: those of common words from the table, the others from rare by place."""
+def _join(known, path: str):
+    """Documents (doc_id, text, rare) with their ids: those of common words from the table, the others from rare by place, or, where
+    that is null, segmented here."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, find = known.value, re.compile(WORD).findall
         for b in batches:
-            docs, flat, ends = [], [], [0]
-            for doc_id, text, rare in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+            docs, flat, ends, met = [], [], [0], {}
+            for doc_id, text, rare in zip(*(c.to_pylist() for c in b.columns)):
+                words = _words(find, text)
+                if rare is None:
+                    new = list({w for w in words if w not in have and w not in met})
+                    met.update(zip(new, _ids_of(processor(path), new)))
                 placed = {r["place"]: r["ids"] for r in rare or ()}
-                for at, w in enumerate(_words(find, text)):
-                    flat.extend(placed[at] if at in placed else have[w])
+                for at, w in enumerate(words):
+                    flat.extend(placed[at] if at in placed else have[w] if w in have else met[w])
                 docs.append(doc_id), ends.append(len(flat))
                 if len(flat) >= BATCH_IDS:
                     yield _ids(docs, flat, ends)
-                    docs, flat, ends = [], [], [0]
+                    docs, flat, ends, met = [], [], [0], {}
             if docs:
                 yield _ids(docs, flat, ends)
 
@@ -128,29 +140,34 @@ def _ids(docs: list, flat: list, ends: list) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists], names=["doc_id", "ids"])
 
 
-def encode(docs: DataFrame, model_path: str | None = None, common_words: int = COMMON_WORDS, common_bytes: int = COMMON_BYTES) -> DataFrame:
+def encode(docs: DataFrame, model_path: str | None = None, common_words: int = COMMON_WORDS, common_bytes: int = COMMON_BYTES, tail: str = "segment") -> DataFrame:
     """doc_id, ids: each document's ids, the same as sentencepiece's encode(text) without begin and end.
 
     A null text is an empty one and has no ids. Rows that repeat are encoded as often as they come, also with one doc_id and several
     texts; a null doc_id stays null. An empty table gives no rows. Other columns, whatever their names, are ignored. Texts of any
-    length are encoded whole. Results don't depend on common_words and common_bytes, which bound what each task is sent.
+    length are encoded whole. Results depend neither on common_words and common_bytes, which bound what each task is sent, nor on
+    tail, which says how the other words get their ids (see above).
     """
     import public_tokenizers
 
+    if tail not in ("segment", "join"):
+        raise ValueError("tail is segment or join")
     spark, path = docs.sparkSession, model_path or public_tokenizers.path(MODEL)
-    docs = typed(docs, "doc_id long, text string")
-    table = checkpoint(word_table(docs, path))
-    common = _common(table, common_words, common_bytes)
-    known = spark.sparkContext.broadcast({r[0]: r[1] for r in table.where(common).select("word", "ids").collect()})
-    rest = table.where(~common)
-    if rest.isEmpty():
-        return docs.withColumn("rare", F.lit(None).cast("array<struct<place:int,ids:array<int>>>")).mapInArrow(_join(known), "doc_id long, ids array<int>")
-
-    # equal rows have one key and one list; places make its repeats harmless
-    keyed = docs.withColumn("key", F.concat_ws(":", "doc_id", F.sha2("text", 256)))
-    places = keyed.select("key", "text").mapInArrow(_occurrences(known), "key string, place int, word string")
-    rare = places.join(rest.select("word", "ids"), "word").groupBy("key").agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
-    return keyed.join(rare, "key", "left").select("doc_id", "text", "rare").mapInArrow(_join(known), "doc_id long, ids array<int>")
+    docs, out = typed(docs, "doc_id long, text string"), "doc_id long, ids array<int>"
+    with Scratch(spark) as scratch:
+        counts = scratch.save(word_counts(docs))
+        common = _common(counts, common_words, common_bytes)
+        known = spark.sparkContext.broadcast({r[0]: r[1] for r in _table(counts.where(common), path).collect()})
+        rest = checkpoint(_table(counts.where(~common), path)) if tail == "join" else None
+    if rest is None:
+        return docs.withColumn("rare", F.lit(None).cast("array<struct<place:int,ids:array<int>>>")).mapInArrow(_join(known, path), out)
+
+    # equal rows have one list, in which places repeat without harm
+    keyed = docs.withColumn("digest", F.xxhash64("text"))
+    places = keyed.select("doc_id", "digest", "text").mapInArrow(_occurrences(known), "doc_id long, digest long, place int, word string")
+    lists = places.join(rest, "word").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("place", "ids")).alias("rare"))
+    same = keyed["doc_id"].eqNullSafe(lists["doc_id"]) & (keyed["digest"] == lists["digest"])
+    return keyed.join(lists, same, "left").select(keyed["doc_id"], "text", F.coalesce("rare", F.array().cast("array<struct<place:int,ids:array<int>>>")).alias("rare")).mapInArrow(_join(known, path), out)
 
 
 def _decode(path: str):
@@ -173,7 +190,7 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
 def op11_distinct_chunk_pieces(spark, sf_dir: str) -> DataFrame:
     """All documents in pieces of piece_bpe_32k and back, as digests."""
-    d = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    d = decode(encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), tail="join"))
     digest = lambda text: F.sha2(text, 256)
     ids = F.array_join(F.col("ids").cast("array<string>"), ",")
     return d.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest(ids).alias("ids_sha256"), digest(F.col("decoded")).alias("decoded_sha256"))

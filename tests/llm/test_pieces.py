@@ -31,32 +31,33 @@ def expected(sp, text):
     return ids, sp.decode(ids)
 
 
+@pytest.mark.parametrize("tail", ["segment", "join"])
 @pytest.mark.parametrize("common", [100_000, 20, 0])
-def test_equals_the_library(spark, sp, common):
+def test_equals_the_library(spark, sp, common, tail):
     data = [(i, t, "en", "x", "y", "z", 1) for i, t in enumerate(texts())]
-    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in pieces.decode(pieces.encode(spark.createDataFrame(data, DOCS), common_words=common)).collect()}
+    got = {r["doc_id"]: (r["ids"], r["decoded"]) for r in pieces.decode(pieces.encode(spark.createDataFrame(data, DOCS), common_words=common, tail=tail)).collect()}
     assert got == {i: expected(sp, t) for i, t, *_ in data}
 
 
-@pytest.mark.parametrize("common", [100_000, 1])
-def test_repeated_rows_and_ids(spark, sp, common):
+@pytest.mark.parametrize("common, tail", [(100_000, "segment"), (1, "segment"), (1, "join")])
+def test_repeated_rows_and_ids(spark, sp, common, tail):
     data = [(1, "same same"), (1, "same same"), (1, "another text"), (None, "no id"), (None, "no id either"), (2, None)]
     d = spark.createDataFrame([(i, t, None, None, None, None, None) for i, t in data], DOCS)
-    got = sorted(repr((r["doc_id"], r["ids"])) for r in pieces.encode(d, common_words=common).collect())
+    got = sorted(repr((r["doc_id"], r["ids"])) for r in pieces.encode(d, common_words=common, tail=tail).collect())
     assert got == sorted(repr((i, sp.encode(t or ""))) for i, t in data)
     assert pieces.decode(pieces.encode(d.limit(0))).collect() == []
 
 
-def test_each_word_is_segmented_once(spark):
+def test_words_of_a_text(spark):
     d = spark.createDataFrame([(1, "a b a b  a"), (2, "a b")], "doc_id long, text string")
-    t = {r["word"]: r["n"] for r in pieces.word_table(d, public_tokenizers.path(pieces.MODEL)).collect()}
+    t = {r["word"]: r["n"] for r in pieces.word_counts(d).collect()}
     assert t == {"▁a": 3, "▁b": 3, "▁▁a": 1}
 
 
 def test_bounds_of_the_common_table(spark):
-    t = spark.createDataFrame([(f"w{i}", 1 << (i % 10), [1, 2]) for i in range(100)], "word string, n long, ids array<int>")
+    t = spark.createDataFrame([(f"w{i:02}", 1 << (i % 10)) for i in range(100)], "word string, n long")
     assert t.where(pieces._common(t, 25, 1 << 20)).count() == 20  # two levels of ten words
-    assert t.where(pieces._common(t, 100, 115)).count() == 10  # a word takes ten or eleven bytes
+    assert t.where(pieces._common(t, 100, 290)).count() == 10  # a word counts 15 bytes
     assert t.where(pieces._common(t, 5, 1 << 20)).count() == 0
 
 
