@@ -13,6 +13,7 @@ import functools
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,8 +25,8 @@ MARK = "▁"
 WORD = f"{MARK}+[^{MARK}]*"
 #: The table that every task gets has at most so many words, and so many bytes of words and ids.
 COMMON_WORDS, COMMON_BYTES = 100_000, 32 << 20
-#: Ids of an Arrow batch, but for a longer document.
-BATCH_IDS = 1 << 20
+#: Bytes of ids in an Arrow batch, but for a longer document.
+BATCH_BYTES = 4 << 20
 
 
 def marked_words(text: Column) -> Column:
@@ -116,27 +117,34 @@ def _join(known, path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have, find = known.value, re.compile(WORD).findall
         for b in batches:
-            docs, flat, ends, met = [], [], [0], {}
+            docs, parts, size, met = [], [], 0, {}
             for doc_id, text, rare in zip(*(c.to_pylist() for c in b.columns)):
                 words = _words(find, text)
                 if rare is None:
                     new = list({w for w in words if w not in have and w not in met})
-                    met.update(zip(new, _ids_of(processor(path), new)))
-                placed = {r["place"]: r["ids"] for r in rare or ()}
-                for at, w in enumerate(words):
-                    flat.extend(placed[at] if at in placed else have[w] if w in have else met[w])
-                docs.append(doc_id), ends.append(len(flat))
-                if len(flat) >= BATCH_IDS:
-                    yield _ids(docs, flat, ends)
-                    docs, flat, ends, met = [], [], [0], {}
+                    met.update(zip(new, map(_packed, _ids_of(processor(path), new))))
+                    ids = b"".join([have[w] if w in have else met[w] for w in words])
+                else:
+                    placed = {r["place"]: _packed(r["ids"]) for r in rare}
+                    ids = b"".join([placed[at] if at in placed else have[w] for at, w in enumerate(words)])
+                docs.append(doc_id), parts.append(ids)
+                size += len(ids)
+                if size >= BATCH_BYTES:
+                    yield _ids(docs, parts)
+                    docs, parts, size, met = [], [], 0, {}
             if docs:
-                yield _ids(docs, flat, ends)
+                yield _ids(docs, parts)
 
     return run
 
 
-def _ids(docs: list, flat: list, ends: list) -> pa.RecordBatch:
-    lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int32()))
+def _packed(ids: list[int]) -> bytes:
+    return np.asarray(ids, "<i4").tobytes()
+
+
+def _ids(docs: list, parts: list[bytes]) -> pa.RecordBatch:
+    ends = np.cumsum([0] + [len(p) // 4 for p in parts]).astype("i4")
+    lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(parts), "<i4")))
     return pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), lists], names=["doc_id", "ids"])
 
 
@@ -157,7 +165,7 @@ def encode(docs: DataFrame, model_path: str | None = None, common_words: int = C
     with Scratch(spark) as scratch:
         counts = scratch.save(word_counts(docs))
         common = _common(counts, common_words, common_bytes)
-        known = spark.sparkContext.broadcast({r[0]: r[1] for r in _table(counts.where(common), path).collect()})
+        known = spark.sparkContext.broadcast({r[0]: _packed(r[1]) for r in _table(counts.where(common), path).collect()})
         rest = checkpoint(_table(counts.where(~common), path)) if tail == "join" else None
     if rest is None:
         return docs.withColumn("rare", F.lit(None).cast("array<struct<place:int,ids:array<int>>>")).mapInArrow(_join(known, path), out)
@@ -174,8 +182,14 @@ def _decode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sp = processor(path)
         for b in batches:
-            texts = [sp.decode(i or []) for i in b.column("ids").to_pylist()]
-            yield b.append_column("decoded", pa.array(texts, pa.string()))
+            ids = b.column("ids").fill_null([])
+            ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            start, texts = 0, []
+            for i in range(b.num_rows):
+                texts.append(sp.decode(flat[ends[i] : ends[i + 1]].tolist()))
+                if i + 1 == b.num_rows or ends[i + 1] - ends[start] >= BATCH_BYTES // 4:
+                    yield b.slice(start, i + 1 - start).append_column("decoded", pa.array(texts, pa.string()))
+                    start, texts = i + 1, []
 
     return run
 
