@@ -240,7 +240,43 @@ _FILLED = "regexp_replace(coalesce(text, ''), ' (the|der|la|que) ', ' very ', 'g
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _GUARD = lambda i: f"coalesce(regexp_matches(w[{i}], '\\p{{Nd}}') or lower(w[{i}]) in {_IN(NEGATIONS)}, false)"
 
+def bm25_sql() -> str:
+    """CTEs q, docs and b(query_id, doc_id, raw): every item's scores of all documents."""
+    return _BASE
+
+
+def squash_sql(text: str) -> str:
+    return _SQUASH.format(text)
+
+
+def count_sql(text: str) -> str:
+    return _COUNT.format(text)
+
+
+def chunks_sql(docs: str, cfg: Settings = Settings()) -> str:
+    """CTEs that end in chunks(doc_id, chunk_id, char_offset, text, token_count), for documents whose lines are paragraphs. cb are the
+    blocks; cd has a document's block sizes and their running sums; cw walks the blocks: w is the first block of the open chunk when
+    block i comes, and a full chunk's successor starts with the last blocks that hold the overlap."""
+    target, want = cfg.chunk_tokens, int(cfg.chunk_tokens * cfg.overlap)
+    return f"""with recursive docs as ({docs}), {_LINES},
+cb as (select doc_id, (row_number() over (partition by doc_id order by idx) - 1)::int i, (o + idx)::int o, regexp_replace(t, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') t, {_COUNT.format('t')}::int n from l where regexp_matches(t, '[^\\s\\p{{Z}}]')),
+cs as (select doc_id, i, n, coalesce(sum(n) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0)::int s from cb),
+cd as (select doc_id, list(n order by i) n, list(s order by i) s from cs group by 1),
+cw as (select doc_id, 0 i, 0 w from cd union all
+select doc_id, i + 1, case when n[i + 1] >= {target} then i + 1 when w < i and s[i + 1] - s[w + 1] + n[i + 1] > {target} then greatest(w, len(list_filter(s[1:i + 1], lambda x: x <= s[i + 1] - {want})) - 1) else w end from cw join cd using (doc_id) where i < len(n)),
+ce as (select doc_id, w a, i z from cw join cd using (doc_id) where w < i and (i = len(n) or n[i + 1] >= {target} or s[i + 1] - s[w + 1] + n[i + 1] > {target})
+union all select doc_id, i, i + 1 from cw join cd using (doc_id) where n[i + 1] >= {target}),
+cf as (select doc_id, (row_number() over (partition by doc_id order by z) - 1)::int chunk_id, a, z from ce),
+cg as (select doc_id, chunk_id, min(o) char_offset, string_agg(t, chr(10) || chr(10) order by i) as "text" from cf join cb using (doc_id) where i >= a and i < z group by 1, 2),
+chunks as (select *, {_COUNT.format('"text"')}::int token_count from cg)"""
+
+
+_ALL_CHUNKS = chunks_sql("select doc_id::varchar doc_id, coalesce(text, '') \"text\" from documents")
+
 ORACLE_SQL = {
+    "chunk_pack": f"{_ALL_CHUNKS} select * from chunks",
+    "ingest_stats": f"{_ALL_CHUNKS} select count(*) n_chunks, coalesce(sum(token_count), 0)::bigint total_tokens, round(avg(token_count), 6) mean_tokens from chunks",
+    "index_describe": f"{_ALL_CHUNKS} select count(*) n_chunks, count(distinct doc_id) n_documents from chunks",
     "lexical_terms": f"with {_D} select doc_id, len(t)::bigint n_terms, len(list_distinct(t))::bigint n_distinct from (select doc_id, regexp_extract_all(lower(\"text\"), '[a-z0-9]+') t from docs)",
     "bm25_topk": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select *, row_number() over (partition by query_id order by raw desc, doc_id) r from b) where r <= 20",
     "bm25_zero_pool": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select query_id, doc_id, coalesce(raw, 0.0) raw, row_number() over (partition by query_id order by coalesce(raw, 0.0) desc, doc_id) r from q cross join docs left join b using (query_id, doc_id)) where r <= 2000",
