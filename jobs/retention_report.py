@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from jobs.common import command_line, log
 from tessera.functions.text import cost, squash, token_count
-from tessera.operators import retrieval
+from tessera.plans.compress import searched
+from tessera.plans.lineage import bounded
 
 
 @dataclass(frozen=True)
@@ -39,10 +40,8 @@ def report(spark: SparkSession, documents: str, questions: str, out: str, cfg: C
         raise ValueError("depths are numbers of hits, 1 or more")
     docs = spark.read.parquet(documents).select(F.col("doc_id").cast("string").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     asked = spark.read.parquet(questions).select(F.col("item_id").cast("long").alias("query_id"), F.coalesce("text", F.lit("")).alias("query"))
-    scores = retrieval.bm25(docs, asked, ["doc_id"])
-    hits = retrieval.ranked(scores, "bm25_raw", ["doc_id"], depths[-1], "rank").select("query_id", "doc_id", "rank")
-    # one row a hit; questions and hits are as many as the questions times the depth, texts stay where a hit needs them
-    shown = docs.join(hits, "doc_id").join(asked, "query_id")
+    hits = searched(docs, ["doc_id"], lambda index: index.bm25(asked, depths[-1], "rank")).select("query_id", "doc_id", "rank")
+    shown = docs.join(bounded(hits), "doc_id").join(bounded(asked), "query_id")
     hit = shown.select("query_id", "rank", token_count(F.col("text")).cast("long").alias("tokens"), F.contains(squash(F.col("text")), squash(F.col("query"))).alias("held"))
     within = hit.select("*", F.explode(F.array(*map(F.lit, depths))).alias("depth")).where("rank <= depth")
     sums = within.groupBy("query_id", "depth").agg(F.count("*").alias("n_hits"), F.sum("tokens").alias("context_tokens"), F.min(F.when(F.col("held"), F.col("rank"))).alias("first_rank"))

@@ -15,7 +15,7 @@ from tessera.functions.markup import html_to_text
 from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
 from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection
 from tessera.plans import compress as plan
-from tessera.plans.lineage import cut
+from tessera.plans.lineage import bounded, cut
 from tessera.sources import files
 
 PRICE_IN, PRICE_OUT = 0.15, 0.6
@@ -39,13 +39,18 @@ def queries_of(spark, d) -> DataFrame:
     return table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
 
 
+def _bm25_best(spark, d, most: int, zero: bool = False) -> DataFrame:
+    q = queries_of(spark, d)
+    return plan.searched(documents(spark, d), ["doc_id"], lambda index: index.bm25(q, most, zero=zero))
+
+
 def _hits(spark, d) -> DataFrame:
-    return retrieval.ranked(retrieval.bm25(documents(spark, d), queries_of(spark, d), ["doc_id"]), "bm25_raw", ["doc_id"], Settings().top_k, "hit_rank")
+    return _bm25_best(spark, d, Settings().top_k).withColumnRenamed("bm25_rank", "hit_rank")
 
 
 def _candidates(spark, d) -> DataFrame:
     """Lines of each query's best documents, repeats removed."""
-    docs = documents(spark, d).join(F.broadcast(_hits(spark, d).select("query_id", "doc_id", "hit_rank")), "doc_id")
+    docs = documents(spark, d).join(bounded(_hits(spark, d).select("query_id", "doc_id", "hit_rank")), "doc_id")
     lines = docs.select("query_id", "doc_id", "hit_rank", F.lit(0).alias("chunk_id"), F.posexplode(_lines()).alias("sentence_index", "l"))
     lines = lines.select("query_id", "doc_id", "hit_rank", "chunk_id", "sentence_index", F.col("l.t").alias("text"), F.col("l.o").alias("char_offset"))
     lines = lines.where(F.col("text").rlike(r"[^\s\p{Z}]")).withColumn("token_count", token_count(F.col("text"))).withColumn("kind", F.lit("prose"))
@@ -115,20 +120,19 @@ def _summary(spark, d) -> DataFrame:
 
 def _cache(spark, d) -> DataFrame:
     """Hits and misses when the scores of even queries are cached."""
-    x = _candidates(spark, d).join(F.broadcast(queries_of(spark, d)), "query_id")
+    x = _candidates(spark, d).join(bounded(queries_of(spark, d)), "query_id")
     cache = x.where("query_id % 2 = 0").select(cache_key(F.lit("m"), F.col("query"), F.col("text")).alias("k"), F.lit(0.5).alias("v")).dropDuplicates(["k"])
     return scoring.cache_stats(scoring.probe_cache(x, cache, "m", ["query", "text"])[0])
 
 
 def _misses(spark, d) -> DataFrame:
-    x = _candidates(spark, d).join(F.broadcast(queries_of(spark, d)), "query_id")
+    x = _candidates(spark, d).join(bounded(queries_of(spark, d)), "query_id")
     cache = x.where("query_id % 2 = 0").select(cache_key(F.lit("m"), F.col("query"), F.col("text")).alias("k"), F.lit(0.5).alias("v")).dropDuplicates(["k"])
     return scoring.probe_cache(x, cache, "m", ["query", "text"])[1].select("k", "query")
 
 
 def _fused(spark, d) -> DataFrame:
-    docs, q, cfg = documents(spark, d), queries_of(spark, d), Settings()
-    return retrieval.fuse(retrieval.sparse_cosine(docs, q, ["doc_id"], cfg.pool()), retrieval.bm25_pool(docs, q, ["doc_id"], cfg.pool()), ["doc_id"])
+    return plan.fused(documents(spark, d), queries_of(spark, d), ["doc_id"])
 
 
 def _filled(text):
@@ -152,8 +156,8 @@ def _sample(spark, d) -> DataFrame:
 
 QUERIES = {
     "lexical_terms": lambda s, d: documents(s, d).select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("n_terms"), F.size(F.array_distinct(terms(F.col("text")))).cast("long").alias("n_distinct")),
-    "bm25_topk": lambda s, d: retrieval.ranked(retrieval.bm25(documents(s, d), queries_of(s, d), ["doc_id"]), "bm25_raw", ["doc_id"], 20, "bm25_rank").select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
-    "bm25_zero_pool": lambda s, d: retrieval.bm25_pool(documents(s, d), queries_of(s, d), ["doc_id"], 2000).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
+    "bm25_topk": lambda s, d: _bm25_best(s, d, 20).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
+    "bm25_zero_pool": lambda s, d: _bm25_best(s, d, 2000, zero=True).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
     "dense_topk": lambda s, d: retrieval.dense_topk(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 50).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
     "rrf_fuse": lambda s, d: _fused(s, d).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "bm25_rank", "hit_rank"),
     "fusion_census": lambda s, d: retrieval.census(_fused(s, d)),
@@ -172,11 +176,11 @@ QUERIES = {
     "drop_histogram": lambda s, d: selection.drop_histogram(_selected(s, d)),
     "strip_filler": lambda s, d: documents(s, d).select("doc_id", strip_filler(_filled(F.col("text"))).alias("text")),
     "assemble_context": lambda s, d: assemble.compressed(assemble.stripped(_selected(s, d).where("selected")), ["query_id"]),
-    "baseline_context": lambda s, d: assemble.baseline(documents(s, d).join(F.broadcast(_hits(s, d)), "doc_id")),
+    "baseline_context": lambda s, d: assemble.baseline(documents(s, d).join(bounded(_hits(s, d)), "doc_id")),
     "compression_summary": lambda s, d: _compressed(s, d).summary,
     "compressed_context": lambda s, d: _compressed(s, d, BLEND.but(strip=True)).contexts,
     "budget_sweep": lambda s, d: plan.sweep(_by_relevance(s, d), TIGHT),
-    "fact_retention": lambda s, d: metrics.fact_retention(assemble.baseline(documents(s, d).join(F.broadcast(_hits(s, d)), "doc_id")), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("fact"))),
+    "fact_retention": lambda s, d: metrics.fact_retention(assemble.baseline(documents(s, d).join(bounded(_hits(s, d)), "doc_id")), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("fact"))),
     "distribution_p95": lambda s, d: metrics.distribution(table(s, d, "events"), ["event_type"], "value").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("median", "p95", "minimum", "maximum"))),
     "ab_summary": _summary,
     "run_cost": lambda s, d: _paths(s, d).select("run_id", "path", F.round(cost(F.col("context_tokens"), F.col("completion_tokens"), PRICE_IN, PRICE_OUT), 9).alias("usd")),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -9,8 +10,11 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions.text import terms, token_count
-from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection
-from tessera.plans.lineage import cut
+from tessera.operators import assemble, chunking, lexical, metrics, mmr, retrieval, scoring, selection
+from tessera.operators.lexical import LexicalIndex
+from tessera.plans.lineage import bounded, cut, delete, fresh_dir
+
+KEY = ["doc_id", "chunk_id"]
 
 
 @dataclass
@@ -21,13 +25,29 @@ class Compression:
     summary: DataFrame
 
 
-def retrieve(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    """The fused hits of each query, with text and token_count."""
-    key = ["doc_id", "chunk_id"]
-    dense = retrieval.sparse_cosine(chunks, queries, key, cfg.pool())
-    lexical = retrieval.bm25_pool(chunks, queries, key, cfg.pool(), cfg)
-    hits = retrieval.fuse(dense, lexical, key, cfg)
-    return chunks.join(F.broadcast(hits), key)  # top_k rows a query
+def retrieve(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
+    """The fused hits of each query, with text and token_count, from the chunks' lexical index; without one, it is made for the call."""
+    hits = fused(chunks, queries, KEY, cfg, index)
+    return chunks.join(bounded(hits), KEY)  # top_k rows a query
+
+
+def fused(items: DataFrame, queries: DataFrame, key: list[str], cfg: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
+    """query_id, key, rrf_score, dense_rank, bm25_rank, hit_rank of the best items by both rankers."""
+
+    def search(index: LexicalIndex) -> DataFrame:
+        return retrieval.fuse(index.cosine(queries, cfg.pool()), index.bm25(queries, cfg.pool(), zero=True, cfg=cfg), key, cfg)
+
+    return cut(search(index)) if index is not None else searched(items, key, search)
+
+
+def searched(items: DataFrame, key: list[str], search: Callable[[LexicalIndex], DataFrame]) -> DataFrame:
+    """What search finds in an index of items that lasts as long as the search."""
+    spark = items.sparkSession
+    folder = fresh_dir(spark, "lexical")
+    try:
+        return cut(search(lexical.build(items, key, folder)))
+    finally:
+        delete(spark, folder)
 
 
 def decompose(hits: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -39,14 +59,14 @@ def decompose(hits: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 
 def relevance(candidates: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> DataFrame:
-    with_query = candidates.join(F.broadcast(queries.select("query_id", "query")), "query_id")
+    with_query = candidates.join(bounded(queries.select("query_id", "query")), "query_id")
     ce = scoring.overlap_logit()(terms(F.col("query")), terms(F.col("text"))) if cfg.weight_cross > 0 else None
     return scoring.score(with_query, queries, cfg, ce)
 
 
-def compress(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> Compression:
+def compress(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings(), index: LexicalIndex | None = None) -> Compression:
     """queries: query_id, query and perhaps budget. Every query stays in the summary, also without hits or survivors."""
-    hits = cut(retrieve(chunks, queries, cfg))
+    hits = cut(retrieve(chunks, queries, cfg, index))
     ranked = cut(mmr.mmr(relevance(cut(decompose(hits, cfg)), queries, cfg), cfg))
     return finish(hits, ranked, queries, cfg)
 
@@ -54,7 +74,7 @@ def compress(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings())
 def finish(hits: DataFrame, ranked: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> Compression:
     """Selection and all that follows, for candidates that are scored and ranked."""
     if "budget" in queries.columns:
-        ranked = ranked.join(F.broadcast(queries.select("query_id", "budget")), "query_id")
+        ranked = ranked.join(bounded(queries.select("query_id", "budget")), "query_id")
     chosen = cut(selection.select(ranked, cfg))
     shown = assemble.stripped(chosen.where("selected"), cfg)
     contexts = assemble.compressed(shown, ["query_id"], cfg)
