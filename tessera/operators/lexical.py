@@ -13,8 +13,9 @@ stats      number of items, mean length, mean idf of the vocabulary.
 
 from __future__ import annotations
 
+import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -71,15 +72,16 @@ def _segments(key: list[str], arrow: pa.Schema):
 
 def _segment(bucket: int, name: str, held: list, key: list[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
     held = sorted(held, key=lambda x: [(v is not None, v) for v in x[0]])  # Spark's order: nulls first, strings by code point
-    ids: dict[str, int] = {}
+    ids: defaultdict[str, int] = defaultdict()
+    ids.default_factory = ids.__len__  # a term's number is its place among those met
     at, places, counts, lens, norms = [], [], [], [], []
     for i, (_, text) in enumerate(held):
         c = Counter(TERM.findall((text or "").lower()))
-        at.extend(ids.setdefault(t, len(ids)) for t in c)
+        at.extend(map(ids.__getitem__, c))
         counts.extend(c.values())
         places.extend([i] * len(c))
         lens.append(c.total())
-        norms.append(float(sum(v * v for v in c.values())) ** 0.5)
+        norms.append(math.sqrt(math.sumprod(c.values(), c.values())))
     length = np.array(lens, np.int32)
     cols = {n: pa.nulls(1, arrow.field(n).type) for n in arrow.names}
     cols |= {"lens": pa.array([length], pa.list_(pa.int32())), "norms": pa.array([norms], pa.list_(pa.float64())), "keys": pa.array([[dict(zip(key, k)) for k, _ in held]], arrow.field("keys").type)}
