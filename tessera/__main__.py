@@ -1,4 +1,4 @@
-"""python -m tessera ingest | describe | retrieve | compress | ab | calibrate: results as JSON lines, or as Parquet with --out."""
+"""python -m tessera ingest | add | describe | retrieve | compress | ab | calibrate: results as JSON lines, or as Parquet with --out."""
 
 from __future__ import annotations
 
@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.config import Settings
 from tessera.engine import Engine
+from tessera.sources import files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -25,13 +26,18 @@ def parser() -> argparse.ArgumentParser:
     c = command("ingest", "chunk a folder of documents into a fresh index")
     c.add_argument("corpus")
     c.add_argument("--min-chunks", type=int)
+    command("add", "put a folder of documents into the index, in place of those of the same name").add_argument("corpus")
     command("describe", "size of the index")
     for name, help in (("retrieve", "fused hits of the queries"), ("compress", "compression summary of the queries")):
         c = command(name, help)
         c.add_argument("query", nargs="+")
         c.add_argument("--top-k", type=int, default=Settings.top_k)
         c.add_argument("--contexts", action="store_true", help="contexts instead of the summary") if name == "compress" else None
-        c.add_argument("--budget", type=int, default=Settings.budget, help="tokens; 0 is unlimited") if name == "compress" else None
+        if name == "compress":
+            c.add_argument("--budget", type=int, default=Settings.budget, help="tokens; 0 is unlimited")
+            c.add_argument("--lambda", dest="mmr_lambda", type=float, default=Settings.mmr_lambda, help="weight of relevance against redundancy")
+            c.add_argument("--threshold", type=float, default=Settings.relevance_threshold, help="least relevance")
+            c.add_argument("--strip", action="store_true", help="remove filler words from prose")
     c = command("ab", "distributions over runs of both paths", index=False)
     c.add_argument("paths", help="Parquet table of runs and paths")
     c.add_argument("--price-in", type=float, required=True)
@@ -46,10 +52,12 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command in ("retrieve", "compress"):
         cfg = cfg.but(top_k=a.top_k)
     if a.command == "compress":
-        cfg = cfg.but(budget=a.budget or None)
+        cfg = cfg.but(budget=a.budget or None, mmr_lambda=a.mmr_lambda, relevance_threshold=a.threshold, strip=a.strip)
     engine = Engine(spark, getattr(a, "index", ""), cfg)
     if a.command == "ingest":
         return engine.ingest(a.corpus, a.min_chunks)
+    if a.command == "add":
+        return spark.createDataFrame([engine.add(files.read_corpus(spark, a.corpus))])
     if a.command == "describe":
         return engine.describe()
     if a.command == "retrieve":

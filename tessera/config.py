@@ -13,6 +13,7 @@ class Settings:
     chunk_tokens: int = 400
     overlap: float = 0.15
     min_chunks: int = 200
+    index_buckets: int = 64
     top_k: int = 20
     rrf_k: int = 60
     min_sentence_tokens: int = 4

@@ -10,6 +10,7 @@ from tessera.config import Settings
 from tessera.operators import chunking, metrics, retrieval
 from tessera.plans import compress as plan
 from tessera.sources import files
+from tessera.sources.index import ChunkIndex
 
 
 @dataclass
@@ -29,26 +30,34 @@ class Engine:
         """Chunks a folder of documents into a fresh index; its statistics. An error if it has fewer chunks than `least`, by default
         those of the settings."""
         chunks = chunking.chunks(files.read_corpus(self.spark, folder), self.cfg)
-        return chunking.ingest_stats(files.write_index(chunks, self.index, self.cfg.min_chunks if least is None else least))
+        least = self.cfg.min_chunks if least is None else least
+        return chunking.ingest_stats(ChunkIndex.create(chunks, self.index, self.cfg.index_buckets, least).chunks())
 
-    def add(self, docs: DataFrame) -> int:
-        """Puts documents (doc_id, text) into the index, in place of chunks of the same uid; the rows by which it grew."""
-        return files.upsert_index(chunking.chunks(docs, self.cfg), self.index)
+    def add(self, docs: DataFrame) -> dict[str, int]:
+        """Puts documents (doc_id, text) into the index, in place of those of the same doc_id; its chunks before and after."""
+        return self.opened().add(docs, chunking.chunks(docs, self.cfg))
+
+    def remove(self, docs: DataFrame) -> dict[str, int]:
+        """Takes documents (doc_id) out of the index."""
+        return self.opened().remove(docs)
+
+    def opened(self) -> ChunkIndex:
+        return ChunkIndex(self.spark, self.index)
 
     def chunks(self) -> DataFrame:
-        return self.spark.read.parquet(self.index)
+        return self.opened().chunks()
 
     def describe(self) -> DataFrame:
         return retrieval.describe(self.chunks())
 
     def retrieve(self, asked: DataFrame | list[str]) -> DataFrame:
-        return plan.retrieve(self.chunks(), self.queries(asked), self.cfg)
+        return plan.retrieve(self.chunks(), self.queries(asked), self.cfg, self.opened().lexical())
 
     def census(self, asked: DataFrame | list[str]) -> DataFrame:
         return retrieval.census(self.retrieve(asked))
 
     def compress(self, asked: DataFrame | list[str]) -> plan.Compression:
-        return plan.compress(self.chunks(), self.queries(asked), self.cfg)
+        return plan.compress(self.chunks(), self.queries(asked), self.cfg, self.opened().lexical())
 
     def ab(self, paths: DataFrame, price_in: float, price_out: float) -> DataFrame:
         """Distributions of the metrics over clean runs; paths has a row for each run and path."""

@@ -44,12 +44,12 @@ def ingest_stats(chunks: DataFrame) -> DataFrame:
 
 
 def require_chunks(chunks: DataFrame, least: int) -> DataFrame:
-    """chunks, or an error when there are fewer than `least` or two of one uid."""
-    n, ids = chunks.agg(F.count("*"), F.countDistinct("uid")).first()
+    """chunks, or an error when there are fewer than `least` or two of one document and number."""
+    n, ids = chunks.agg(F.count("*"), F.countDistinct("doc_id", "chunk_id")).first()
     if n < least:
         raise ValueError(f"{n} chunks indexed, {least} needed")
     if ids != n:
-        raise ValueError(f"{n} chunks but {ids} ids")
+        raise ValueError(f"{n} chunks but {ids} of different document or number")
     return chunks
 
 

@@ -37,8 +37,11 @@ def read_corpus(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write_index(chunks: DataFrame, folder: str, least: int = 0) -> DataFrame:
-    """Writes a fresh index, and reads it again to verify that no chunk is missing."""
+    """Writes a fresh table of chunks, and counts it to verify that no chunk is missing."""
     require_chunks(chunks, least).write.mode("overwrite").parquet(folder)
+    there, want = chunks.sparkSession.read.parquet(folder).count(), chunks.count()
+    if there != want:
+        raise ValueError(f"{want} chunks but {there} written")
     return scan_index(chunks.sparkSession, folder)
 
 
