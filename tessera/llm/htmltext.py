@@ -40,37 +40,62 @@ BOILER_WORDS = frozenset(
 CONTENT_WORDS = frozenset("article content post entry story main body text prose page".split())
 BOILER_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar".split())
 END_TAGS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
+#: Of these, those that hold others' prose, however much (fixed values).
+COMMENT_WORDS = frozenset("comment comments disqus reply replies respond discussion".split())
+#: First words of class names that say something about an element's surroundings or subject, not what it is (fixed values).
+STATE_WORDS = frozenset("has have with without no not is category cat tag tags topic type format".split())
 ADJACENT, SIBLING = 0.5, 0.75
+#: What a mark of boilerplate costs, and the share of the page's prose with which an element cannot be boilerplate.
+MARK, WRAPPER = 8.0, 0.6
 
 
 @dataclass(slots=True)
 class Block:
     text: str
-    place: float  # evidence of the ancestors, positive for content
+    place: float  # evidence of the ancestors for content
+    mark: _Mark | None  # the innermost ancestor that is marked as boilerplate
     parent: int
     tag: str
     linked: int  # characters inside links
     inside: bool  # below an article or main element
 
 
+@dataclass(slots=True, eq=False)
+class _Mark:
+    """An element's marks of boilerplate: how many, by what it is itself (weak) and by what no amount of prose undoes (firm)."""
+
+    up: _Mark | None
+    weak: int
+    firm: int
+    prose: int = 0  # words of prose below
+    main: int = 0  # blocks inside an article or main element below
+    cost: float = 0.0  # with that of its ancestors
+
+
 class _Element:
-    __slots__ = ("tag", "place", "inside", "key", "level", "block")
+    __slots__ = ("tag", "place", "mark", "inside", "key", "level", "block")
 
-    def __init__(self, tag: str, place: float, inside: bool, key: int, up: _Element | None = None):
-        self.tag, self.place, self.inside, self.key = tag, place, inside, key
+    def __init__(self, tag: str, place: float, mark: _Mark | None, inside: bool, key: int, up: _Element | None = None):
+        self.tag, self.place, self.mark, self.inside, self.key = tag, place, mark, inside, key
         self.level = up.level + 1 if up else 0
         self.block = up.block if up and tag in INLINE else self  # the nearest element that is not inline
 
 
 def _words(value: str) -> set[str]:
-    return set(re.findall(r"[a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", value).lower()))
+    """The words of class names and ids, but not of those names that begin with a word of state, as has-sidebar does."""
+    out: set[str] = set()
+    for name in value.split():
+        parts = re.findall(r"[a-z]+", re.sub(r"(?<=[a-z0-9])(?=[A-Z])", " ", name).lower())
+        if len(parts) < 2 or parts[0] not in STATE_WORDS:
+            out.update(parts)
+    return out
 
 
-def _place(tag: str, attrs: str, up: _Element) -> tuple[float, bool]:
-    """Evidence that an element adds to that of its parent."""
-    place, inside = up.place, up.inside
+def _place(tag: str, attrs: str, up: _Element) -> tuple[float, int, int, bool]:
+    """The evidence for content at an element, its own weak and firm marks of boilerplate, and whether it lies in the main part."""
+    place, weak, firm, inside = up.place, 0, 0, up.inside
     if tag in BOILER_TAGS or tag == "header" and not inside:
-        place -= 8
+        weak += 1
     if tag in CONTENT_TAGS:
         place, inside = place + 4, True
     if attrs and not attrs.isspace():
@@ -78,21 +103,44 @@ def _place(tag: str, attrs: str, up: _Element) -> tuple[float, bool]:
         names = _words(f"{a.get('class', '')} {a.get('id', '')}")
         if tag not in ("html", "body"):
             if names & BOILER_WORDS and not (tag in CONTENT_TAGS and not names & {"comment", "comments", "reply", "ad", "ads", "related"}):
-                place -= 8
+                weak, firm = (weak, firm + 1) if names & COMMENT_WORDS else (weak + 1, firm)
             elif names & CONTENT_WORDS:
                 place += 2
         role = a.get("role", "").lower()
-        if role in BOILER_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
-            place -= 8
+        if "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none", a.get("style", "")):
+            firm += 1
+        elif role in BOILER_ROLES:
+            weak += 1
         elif role in ("main", "article"):
             place, inside = place + 4, True
-    return place, inside
+    return place, weak, firm, inside
+
+
+def _settle(bs: list[Block], marks: list[_Mark]) -> None:
+    """Works out what marks cost. An element with most of the page's prose, and with the whole main part if the page names one, is a
+    wrapper around the article: its weak marks cost nothing."""
+    prose = main = 0
+    for b in bs:
+        words = b.text.count(" ") + 1
+        n = words if words >= 8 and 2 * b.linked < len(b.text) else 0
+        prose, main = prose + n, main + b.inside
+        if b.mark:
+            b.mark.prose += n
+            b.mark.main += b.inside
+    for m in reversed(marks):  # an element comes after its ancestors
+        if m.up:
+            m.up.prose += m.prose
+            m.up.main += m.main
+    for m in marks:
+        wrapper = prose > 0 and m.prose >= WRAPPER * prose and m.main == main
+        m.cost = MARK * ((0 if wrapper else m.weak) + m.firm) + (m.up.cost if m.up else 0.0)
 
 
 def blocks(page: str) -> list[Block]:
     """The blocks of visible text in page order."""
     out: list[Block] = []
-    stack, opened = [_Element("", 0.0, False, 0)], Counter()  # opened: how many of each tag the stack holds
+    marks: list[_Mark] = []
+    stack, opened = [_Element("", 0.0, None, False, 0)], Counter()  # opened: how many of each tag the stack holds
     keys, text, linked, at, breaks = 0, [], 0, 0, 0
 
     endless: set[str] = set()
@@ -104,7 +152,7 @@ def blocks(page: str) -> list[Block]:
             if whole:
                 e = stack[-1].block
                 up = stack[max(0, e.level - 1)]
-                out.append(Block(whole, stack[-1].place, up.key, e.tag, linked, e.inside))
+                out.append(Block(whole, stack[-1].place, stack[-1].mark, up.key, e.tag, linked, e.inside))
         text, linked = [], 0
 
     def cut(i: int) -> None:
@@ -181,10 +229,15 @@ def blocks(page: str) -> list[Block]:
         if attrs.endswith("/"):
             attrs = attrs[:-1]
         keys += 1
-        place, inside = _place(tag, attrs, stack[-1])
-        stack.append(_Element(tag, place, inside, keys, stack[-1]))
+        place, weak, firm, inside = _place(tag, attrs, stack[-1])
+        mark = stack[-1].mark
+        if weak or firm:
+            mark = _Mark(mark, weak, firm)
+            marks.append(mark)
+        stack.append(_Element(tag, place, mark, inside, keys, stack[-1]))
         opened[tag] += 1
     flush()
+    _settle(out, marks)
     return out
 
 
@@ -192,7 +245,7 @@ def evidence(b: Block, any_inside: bool) -> float:
     """The classifier: positive for content. Weights are set by hand; pages carry no labels to learn from."""
     words = b.text.count(" ") + 1
     density = min(1.0, b.linked / max(1, len(b.text)))
-    s = b.place + min(3.0, 0.15 * words) - 4.0 * density * density
+    s = b.place - (b.mark.cost if b.mark else 0.0) + min(3.0, 0.15 * words) - 4.0 * density * density
     if b.text[-1:] in ".!?…:;\"'”»)]":
         s += 0.75
     if b.tag in ("h1", "h2", "h3"):
