@@ -97,6 +97,11 @@ def spare(df: DataFrame, name: str) -> str:
     return name
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression takes it, dots and all."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import BROADCAST_ROWS, WORD, checkpoint, fits, table, typed
+from tessera.llm.common import BROADCAST_ROWS, WORD, checkpoint, fits, quoted, table, typed
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.999
 MAX_HASHES = 128
@@ -243,7 +243,7 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose doc_id is the least of its class, columns unchanged; of rows that repeat an id all stay or none."""
     gone = join(docs, threshold).where("class_id <> doc_id").select("doc_id").distinct()
     gone = checkpoint(gone)
-    return docs.join(F.broadcast(gone) if fits(gone, BROADCAST_ROWS) else gone, "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(F.broadcast(gone) if fits(gone, BROADCAST_ROWS) else gone, "doc_id", "left_anti").select(*map(quoted, docs.columns))
 
 
 def op5_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import window as W
 
-from tessera.llm.common import checked_join, checkpoint, typed
+from tessera.llm.common import checked_join, checkpoint, quoted, typed
 
 SHARDS = 16
 SEED = 20_240_607
@@ -80,16 +80,17 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     """Every row of docs, all its columns, with shard (0..shards-1, sizes at most one apart) and slot (its place in the shard, from 0
     without gaps), uniformly at random for a seed and a division into partitions.
 
-    Clashing columns `shard` and `slot` of the input are replaced. Nulls, empty and repeated rows are rows like others; an empty
+    Columns `shard` and `slot` of the input are replaced; others may have any name, as rows travel as one struct. Nulls, empty and repeated rows are rows like others; an empty
     table gives no rows. The matrix has `shards` integers for each input partition, less than what the driver keeps for a task.
     """
-    docs = docs.drop("shard", "slot")
-    kept = checkpoint(docs.withColumn("_part", F.spark_partition_id()))
+    names = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    row = F.struct(*(F.col(quoted(c)) for c in names)) if names else F.struct(F.lit(0))
+    kept = checkpoint(docs.select(row.alias("row"), F.spark_partition_id().alias("_part")))
     sizes = {r[0]: r[1] for r in kept.groupBy("_part").count().collect()}
     parts, n = sorted(sizes), sum(sizes.values())
     target = [n // shards + (i < n % shards) for i in range(shards)]
     counts = dict(zip(parts, matrix([sizes[p] for p in parts], target, seed)))
-    schema = T.StructType([*docs.schema.fields, T.StructField("shard", T.IntegerType()), T.StructField("_u", T.LongType())])
+    schema = T.StructType([kept.schema["row"], T.StructField("shard", T.IntegerType()), T.StructField("_u", T.LongType())])
     dealt = kept.mapInArrow(_deal(counts, seed, schema.names), schema)
     # each shard is cut by the random number into cells of about per_cell rows, so that no task orders a whole shard
     cells = max(1, -(-n // (shards * per_cell)))
@@ -98,7 +99,8 @@ def shuffle_into_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED,
     start = dealt.groupBy("shard", "_cell").count().select("shard", "_cell", F.coalesce(F.sum("count").over(w), F.lit(0)).alias("_start"))
     at = W.Window.partitionBy("shard", "_cell").orderBy("_u")
     out = checked_join(dealt.withColumn("_at", F.row_number().over(at)), start, ["shard", "_cell"], "inner")
-    return out.withColumn("slot", (F.col("_start") + F.col("_at") - 1).cast("long")).select(*docs.columns, "shard", "slot")
+    slot = (F.col("_start") + F.col("_at") - 1).cast("long")
+    return out.select(*(F.col("row").getField(c).alias(c) for c in names), "shard", slot.alias("slot"))
 
 
 def op4_hypergeometric_sharding(spark, sf_dir: str) -> DataFrame:
