@@ -13,9 +13,9 @@ from pyspark.sql import window as W
 from tessera.config import Settings
 from tessera.functions.markup import html_to_text
 from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
-from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection
+from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
-from tessera.plans.lineage import bounded, cut
+from tessera.plans.lineage import bounded, cut, delete, fresh_dir
 from tessera.sources import files
 
 PRICE_IN, PRICE_OUT = 0.15, 0.6
@@ -135,6 +135,15 @@ def _fused(spark, d) -> DataFrame:
     return plan.fused(documents(spark, d), queries_of(spark, d), ["doc_id"])
 
 
+def _vector_index_topk(spark, d) -> DataFrame:
+    """Exact search by the inverted-file index, for every fiftieth vector."""
+    v, folder = table(spark, d, "embeddings").select("vec_id", "embedding"), fresh_dir(spark, "vectors")
+    index = vectors.build(v, folder)
+    found = cut(index.topk(v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 50, exact=True))
+    delete(spark, folder)
+    return found
+
+
 def _filled(text):
     return F.regexp_replace(text, " (the|der|la|que) ", " very ")
 
@@ -159,6 +168,7 @@ QUERIES = {
     "bm25_topk": lambda s, d: _bm25_best(s, d, 20).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
     "bm25_zero_pool": lambda s, d: _bm25_best(s, d, 2000, zero=True).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
     "dense_topk": lambda s, d: retrieval.dense_topk(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 50).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
+    "vector_index_topk": lambda s, d: _vector_index_topk(s, d).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
     "rrf_fuse": lambda s, d: _fused(s, d).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "bm25_rank", "hit_rank"),
     "fusion_census": lambda s, d: retrieval.census(_fused(s, d)),
     "blocks": lambda s, d: chunking.blocks(paragraphs(s, d)),
@@ -285,6 +295,7 @@ ORACLE_SQL = {
     "bm25_topk": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select *, row_number() over (partition by query_id order by raw desc, doc_id) r from b) where r <= 20",
     "bm25_zero_pool": f"{_BASE} select query_id, doc_id, round(raw, 6) score, r::int bm25_rank from (select query_id, doc_id, coalesce(raw, 0.0) raw, row_number() over (partition by query_id order by coalesce(raw, 0.0) desc, doc_id) r from q cross join docs left join b using (query_id, doc_id)) where r <= 2000",
     "dense_topk": "select query_id, vec_id, round(sim, 6) similarity, r::int dense_rank from (select *, row_number() over (partition by query_id order by sim desc, vec_id) r from (select a.vec_id query_id, b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) sim from embeddings a cross join embeddings b where a.vec_id % 50 = 0)) where r <= 50",
+    "vector_index_topk": "select query_id, vec_id, round(sim, 6) similarity, r::int dense_rank from (select *, row_number() over (partition by query_id order by sim desc, vec_id) r from (select a.vec_id query_id, b.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]), 9) sim from embeddings a cross join embeddings b where a.vec_id % 50 = 0)) where r <= 50",
     "rrf_fuse": f"{_FUSED} select query_id, doc_id, round(rrf, 9) rrf_score, dense_rank::int dense_rank, bm25_rank::int bm25_rank, hit_rank::int hit_rank from fh",
     "fusion_census": f"{_FUSED} select query_id, count(*) filter (dense_rank is not null and bm25_rank is not null) n_both, count(*) filter (bm25_rank is null) n_dense_only, count(*) filter (dense_rank is null) n_bm25_only from fh group by 1",
     "blocks": f"with {_D}, {_LINES} select doc_id, (row_number() over (partition by doc_id order by idx) - 1)::int block_id, (o + idx)::int char_offset, regexp_replace(t, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g') as \"text\", false is_table, {_COUNT.format('t')}::int token_count from l where regexp_matches(t, '[^\\s\\p{{Z}}]')",
