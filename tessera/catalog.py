@@ -13,7 +13,7 @@ from pyspark.sql import window as W
 from tessera.config import Settings
 from tessera.functions.markup import html_to_text
 from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
-from tessera.operators import assemble, chunking, metrics, mmr, retrieval, scoring, selection, vectors
+from tessera.operators import assemble, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
 from tessera.sources import files
@@ -135,6 +135,18 @@ def _fused(spark, d) -> DataFrame:
     return plan.fused(documents(spark, d), queries_of(spark, d), ["doc_id"])
 
 
+def _learned(spark, d, most: int) -> DataFrame:
+    """The documents nearest to each item, by an encoder learned from all documents."""
+    docs, q = documents(spark, d), queries_of(spark, d)
+    model = encoder.fit(docs, ["doc_id"])
+    found = retrieval.dense_topk(
+        model.encode(docs, ["doc_id"]).select(F.col("doc_id").cast("long").alias("vec_id"), "embedding"),
+        model.encode(q, ["query_id"], "query").select("query_id", F.col("embedding").alias("qvec")),
+        most,
+    )
+    return cut(found.select("query_id", F.col("vec_id").cast("string").alias("doc_id"), "similarity", "dense_rank"))
+
+
 def _vector_index_topk(spark, d) -> DataFrame:
     """Exact search by the inverted-file index, for every fiftieth vector."""
     v, folder = table(spark, d, "embeddings").select("vec_id", "embedding"), fresh_dir(spark, "vectors")
@@ -169,6 +181,8 @@ QUERIES = {
     "bm25_zero_pool": lambda s, d: _bm25_best(s, d, 2000, zero=True).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
     "dense_topk": lambda s, d: retrieval.dense_topk(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 50).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
     "vector_index_topk": lambda s, d: _vector_index_topk(s, d).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
+    "encoder_topk": lambda s, d: _learned(s, d, 20).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
+    "encoder_fuse": lambda s, d: plan.fused(documents(s, d), queries_of(s, d), ["doc_id"], dense=_learned(s, d, Settings().pool())).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "bm25_rank", "hit_rank"),
     "rrf_fuse": lambda s, d: _fused(s, d).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "bm25_rank", "hit_rank"),
     "fusion_census": lambda s, d: retrieval.census(_fused(s, d)),
     "blocks": lambda s, d: chunking.blocks(paragraphs(s, d)),

@@ -31,11 +31,12 @@ def retrieve(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings(),
     return chunks.join(bounded(hits), KEY)  # top_k rows a query
 
 
-def fused(items: DataFrame, queries: DataFrame, key: list[str], cfg: Settings = Settings(), index: LexicalIndex | None = None) -> DataFrame:
-    """query_id, key, rrf_score, dense_rank, bm25_rank, hit_rank of the best items by both rankers."""
+def fused(items: DataFrame, queries: DataFrame, key: list[str], cfg: Settings = Settings(), index: LexicalIndex | None = None, dense: DataFrame | None = None) -> DataFrame:
+    """query_id, key, rrf_score, dense_rank, bm25_rank, hit_rank of the best items by both rankers. dense (query_id, key, dense_rank):
+    the pool of a dense encoder; by default that of term-frequency cosines."""
 
     def search(index: LexicalIndex) -> DataFrame:
-        return retrieval.fuse(index.cosine(queries, cfg.pool()), index.bm25(queries, cfg.pool(), zero=True, cfg=cfg), key, cfg)
+        return retrieval.fuse(index.cosine(queries, cfg.pool()) if dense is None else dense, index.bm25(queries, cfg.pool(), zero=True, cfg=cfg), key, cfg)
 
     return cut(search(index)) if index is not None else searched(items, key, search)
 
