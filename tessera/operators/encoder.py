@@ -23,10 +23,10 @@ from pyspark.sql import types as T
 from tessera.functions.text import terms
 from tessera.plans.lineage import cut
 
-FEATURES, DIMS, EXTRA = 1 << 16, 64, 8
-SAMPLE, ROUNDS, SEED = 20_000, 5, 7
-#: Features of a row in which tasks hand on their sums.
-SLICE = 2048
+FEATURES, DIMS, EXTRA = 1 << 15, 64, 8
+SAMPLE, ROUNDS, SEED = 20_000, 4, 7
+#: Tasks that the sample is dealt to, and features of a row in which they hand on their sums.
+TASKS, SLICE = 8, 2048
 
 TERM = re.compile("[a-z0-9]+")
 
@@ -77,7 +77,7 @@ def _vectors(idf):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [_sparse(t, idf.value) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.float64()))], names=["at", "w"])
+            yield pa.RecordBatch.from_arrays([pa.array([a.astype("i4") for a, _ in found], pa.list_(pa.int32())), pa.array([w.astype("f4") for _, w in found], pa.list_(pa.float32()))], names=["at", "w"])
 
     return run
 
@@ -93,26 +93,35 @@ def _products(block):
                 i, x = at.values.to_numpy(), w.values.to_numpy()
                 if len(i):
                     total[i] += np.outer(x, x @ q[i])  # a row's features differ
-        starts = [s for s in range(0, len(q), SLICE) if total[s : s + SLICE].any()]
-        yield pa.RecordBatch.from_arrays([pa.array(starts, pa.int64()), pa.array([total[s : s + SLICE].tobytes() for s in starts], pa.binary())], names=["start", "sums"])
+        some = np.flatnonzero(total.any(axis=1))  # few of all features, where a task has few rows
+        cuts = [x for x in np.split(some, np.searchsorted(some, np.arange(SLICE, len(q), SLICE))) if len(x)]
+        columns = [pa.array([int(x[0]) // SLICE for x in cuts], pa.int64()), pa.array([x.astype("i4").tobytes() for x in cuts], pa.binary()), pa.array([total[x].astype("f4").tobytes() for x in cuts], pa.binary())]
+        yield pa.RecordBatch.from_arrays(columns, names=["slice", "at", "sums"])
 
     return run
 
 
-def _added(rows: pa.Table) -> pa.Table:
-    parts = [np.frombuffer(x, float) for x in rows["sums"].to_pylist()]
-    return pa.table({"start": rows["start"][:1], "sums": [np.sum(parts, axis=0).tobytes()]})
+def _added(width: int):
+    """The sums of all tasks for one slice."""
+
+    def run(rows: pa.Table) -> pa.Table:
+        total = np.zeros((SLICE, width))
+        for of, at, sums in zip(rows["slice"].to_pylist(), rows["at"].to_pylist(), rows["sums"].to_pylist()):
+            total[np.frombuffer(at, "i4") - of * SLICE] += np.frombuffer(sums, "f4").reshape(-1, width)
+        return pa.table({"slice": rows["slice"][:1], "sums": [total.tobytes()]})
+
+    return run
 
 
 def _round(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """A'A q, added up slice by slice in Spark; as large as q, which the features bound."""
     spark = rows.sparkSession
     block = spark.sparkContext.broadcast(q)
-    schema = "start long, sums binary"
     z = np.zeros_like(q)
-    for start, sums in rows.mapInArrow(_products(block), schema).groupBy("start").applyInArrow(_added, schema).collect():
-        part = np.frombuffer(sums, float).reshape(-1, q.shape[1])
-        z[start : start + len(part)] = part
+    parts = rows.mapInArrow(_products(block), "slice long, at binary, sums binary")
+    for of, sums in parts.groupBy("slice").applyInArrow(_added(q.shape[1]), "slice long, sums binary").collect():
+        whole = np.frombuffer(sums, float).reshape(SLICE, -1)
+        z[of * SLICE : (of + 1) * SLICE] = whole[: len(z) - of * SLICE]
     block.unpersist()
     return z
 
@@ -128,7 +137,7 @@ def fit(items: DataFrame, key: list[str], dims: int = DIMS, features: int = FEAT
         idf[f] = np.log((1 + n) / (1 + c)) + 1
     chosen = items if n <= sample else items.where(F.pmod(F.xxhash64(*key), F.lit(n)) < sample)
     sent = items.sparkSession.sparkContext.broadcast(idf)
-    rows = cut(chosen.select(F.coalesce("text", F.lit(""))).mapInArrow(_vectors(sent), "at array<long>, w array<double>"))
+    rows = cut(chosen.select(F.coalesce("text", F.lit(""))).mapInArrow(_vectors(sent), "at array<int>, w array<float>").repartition(TASKS))
     width = min(dims + EXTRA, features)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)) * (idf > 0)[:, None])[0]
     for _ in range(rounds):
