@@ -25,8 +25,8 @@ from tessera.plans.lineage import cut
 
 FEATURES, DIMS, EXTRA = 1 << 15, 64, 8
 SAMPLE, ROUNDS, SEED = 20_000, 4, 7
-#: Tasks that the sample is dealt to, and features of a row in which they hand on their sums.
-TASKS, SLICE = 8, 2048
+#: Items of the sample for each task that it is dealt to, and features of a row in which tasks hand on their sums.
+PER_TASK, SLICE = 2500, 2048
 
 TERM = re.compile("[a-z0-9]+")
 
@@ -87,7 +87,7 @@ def _products(block):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
-        total = np.zeros_like(q)
+        total = np.zeros(q.shape)
         for b in batches:
             for at, w in zip(b.column("at"), b.column("w")):
                 i, x = at.values.to_numpy(), w.values.to_numpy()
@@ -116,13 +116,13 @@ def _added(width: int):
 def _round(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     """A'A q, added up slice by slice in Spark; as large as q, which the features bound."""
     spark = rows.sparkSession
-    block = spark.sparkContext.broadcast(q)
+    block = spark.sparkContext.broadcast(q.astype("f4"))
     z = np.zeros_like(q)
     parts = rows.mapInArrow(_products(block), "slice long, at binary, sums binary")
     for of, sums in parts.groupBy("slice").applyInArrow(_added(q.shape[1]), "slice long, sums binary").collect():
         whole = np.frombuffer(sums, float).reshape(SLICE, -1)
         z[of * SLICE : (of + 1) * SLICE] = whole[: len(z) - of * SLICE]
-    block.unpersist()
+    block.destroy()
     return z
 
 
@@ -137,7 +137,7 @@ def fit(items: DataFrame, key: list[str], dims: int = DIMS, features: int = FEAT
         idf[f] = np.log((1 + n) / (1 + c)) + 1
     chosen = items if n <= sample else items.where(F.pmod(F.xxhash64(*key), F.lit(n)) < sample)
     sent = items.sparkSession.sparkContext.broadcast(idf)
-    rows = cut(chosen.select(F.coalesce("text", F.lit(""))).mapInArrow(_vectors(sent), "at array<int>, w array<float>").repartition(TASKS))
+    rows = cut(chosen.select(F.coalesce("text", F.lit(""))).mapInArrow(_vectors(sent), "at array<int>, w array<float>").repartition(max(1, -(-min(n, sample) // PER_TASK))))
     width = min(dims + EXTRA, features)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)) * (idf > 0)[:, None])[0]
     for _ in range(rounds):
