@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import window as W
 
 from tessera.functions.text import cost, squash
+from tessera.operators.ranks import running
 
 #: What the A/B report gives distributions of.
 AB = ["b_context_tokens", "c_context_tokens", "compression_ratio", "tokens_saved", "overhead_ms", "b_ttft_ms", "c_ttft_ms", "ttft_delta_ms", "b_total_latency_ms", "c_total_latency_ms", "b_cost", "c_cost", "cost_saved"]
@@ -15,10 +15,14 @@ STAGES = ("retrieve", "decompose", "score", "mmr", "select", "assemble")
 
 def distribution(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """n, median, p95, minimum, maximum of the non-null values; nulls where there are none. p95 is the value at place
-    round-half-even(0.95 n + 0.5), from 1. Values are counted first, and places found by running sums over distinct ones."""
-    c = df.select(*by, F.col(value).alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_c"))
-    w = W.Window.partitionBy(*by)
-    c = c.withColumn("_n", F.sum("_c").over(w)).withColumn("_to", F.sum("_c").over(w.orderBy(F.asc_nulls_last("_x")).rowsBetween(W.Window.unboundedPreceding, 0)))
+    round-half-even(0.95 n + 0.5), from 1. Values are counted first, and places found by running sums over distinct ones, range by
+    range, so that no task holds a group's values."""
+    c = running(df.select(*by, F.col(value).alias("_x")).groupBy(*by, "_x").agg(F.count("_x").alias("_c")), by, ["_x"], "_to", "_c")
+    total = c.groupBy(*by).agg(F.sum("_c").alias("_n")).select(*(F.col(k).alias(f"_of_{k}") for k in by), "_n")
+    same = F.lit(True)
+    for k in by:
+        same = same & F.col(k).eqNullSafe(F.col(f"_of_{k}"))
+    c = c.join(total, same).drop(*(f"_of_{k}" for k in by))
     n = F.col("_n")
     at = lambda place: F.min(F.when(F.col("_to") >= place, F.col("_x")))
     median = (at(F.ceil(n / 2)) + at(F.floor(n / 2) + 1)) / 2.0
@@ -90,9 +94,10 @@ def calibration(samples: DataFrame) -> DataFrame:
 
 
 def systematic_sample(df: DataFrame, order: list[str], n: int, total: int) -> DataFrame:
-    """Every floor(total / n)-th row, the first n of them: a sampling operator over a bounded list."""
+    """Every floor(total / n)-th row in this order, the first n of them: a sampling operator."""
     step = max(1, total // n)
-    return df.withColumn("_r", F.row_number().over(W.Window.orderBy(*order)) - 1).where((F.col("_r") % step == 0) & (F.col("_r") < step * n)).drop("_r")
+    r = F.col("_place") - 1
+    return running(df, [], order, "_place").where((r % step == 0) & (r < step * n)).drop("_place")
 
 
 def first_token(events: DataFrame) -> DataFrame:
