@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.config import Settings
 from tessera.engine import Engine
+from tessera.functions.tokens import RankCounter
 from tessera.sources import files
 
 
@@ -21,6 +22,8 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--out", help="folder for the result as Parquet")
         if index:
             c.add_argument("--index", required=True)
+            c.add_argument("--ranks", nargs="*", default=[], help="rank files of a byte-pair vocabulary; the first that can be read counts the tokens")
+            c.add_argument("--pattern", help="pattern that splits texts into words for the rank file")
         return c
 
     c = command("ingest", "chunk a folder of documents into a fresh index")
@@ -49,6 +52,10 @@ def parser() -> argparse.ArgumentParser:
 
 def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     cfg = Settings()
+    if getattr(a, "ranks", []):
+        if not a.pattern:
+            raise ValueError("a rank file needs --pattern")
+        cfg = cfg.but(counter=RankCounter.resolve(spark, a.ranks, a.pattern))
     if a.command in ("retrieve", "compress"):
         cfg = cfg.but(top_k=a.top_k)
     if a.command == "compress":

@@ -13,6 +13,7 @@ from pyspark.sql import window as W
 from tessera.config import Settings
 from tessera.functions.markup import html_to_text
 from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
+from tessera.functions.tokens import RankCounter
 from tessera.operators import assemble, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
@@ -170,6 +171,15 @@ def _calibration(spark, d) -> DataFrame:
     return c.select("n", *(F.round(k, 6).alias(k) for k in ("mean_delta", "stdev_delta", "min_delta", "max_delta", "slope_per_1k")), "exact")
 
 
+def _subwords(spark, d) -> DataFrame:
+    """Tokens of every document by the byte-pair vocabulary that the box offers, beside those of the stand-in."""
+    import public_tokenizers
+
+    counter = RankCounter.read(spark, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    text = F.col("text")
+    return documents(spark, d).select("doc_id", counter.column(text).alias("n_tokens"), token_count(text).alias("n_approximate"), F.lit(counter.name).alias("token_counter"))
+
+
 def _sample(spark, d) -> DataFrame:
     docs = table(spark, d, "documents")
     return metrics.systematic_sample(docs.select("doc_id", "lang"), ["doc_id"], 12, docs.count())
@@ -186,6 +196,7 @@ QUERIES = {
     "rrf_fuse": lambda s, d: _fused(s, d).select("query_id", "doc_id", F.round("rrf_score", 9).alias("rrf_score"), "dense_rank", "bm25_rank", "hit_rank"),
     "fusion_census": lambda s, d: retrieval.census(_fused(s, d)),
     "blocks": lambda s, d: chunking.blocks(paragraphs(s, d)),
+    "subword_counts": _subwords,
     "chunk_pack": lambda s, d: _chunks(s, d).drop("uid"),
     "ingest_stats": lambda s, d: chunking.ingest_stats(_chunks(s, d)).withColumn("mean_tokens", F.round("mean_tokens", 6)),
     "index_describe": lambda s, d: retrieval.describe(_chunks(s, d)),

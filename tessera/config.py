@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from tessera.functions.tokens import RegexCounter, TokenCounter
+
 #: A budget that no context exceeds; a null budget column means the same.
 UNLIMITED = None
 
 
 @dataclass(frozen=True)
 class Settings:
+    counter: TokenCounter = RegexCounter()
     chunk_tokens: int = 400
     overlap: float = 0.15
     min_chunks: int = 200

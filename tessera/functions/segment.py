@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Callable
 from itertools import accumulate, groupby
 from operator import itemgetter
 from typing import NamedTuple
@@ -74,10 +75,10 @@ def spans(sizes: list[int], target: int, want: int, legacy: bool = False) -> lis
     return out + [(start, len(sizes))] * (start < len(sizes))
 
 
-def chunks(text: str, target: int = 400, overlap: float = 0.15, legacy: bool = False) -> list[tuple[int, str, int]]:
+def chunks(text: str, target: int = 400, overlap: float = 0.15, legacy: bool = False, count: Callable[[str], int] = count) -> list[tuple[int, str, int]]:
     """(offset, body, tokens) of greedily packed blocks. A block of the target or more stands alone and nothing is carried across
     it; otherwise a full chunk's last blocks are carried into the next until they hold the overlap, one block at least. With legacy
-    the carry is measured with the counts of the document's first blocks."""
+    the carry is measured with the counts of the document's first blocks. count: the tokens of a text."""
     bs = blocks(text)
     cuts = spans([count(b.text) for b in bs], target, int(target * overlap), legacy)
     bodies = ["\n\n".join(b.text for b in bs[first:end]) for first, end in cuts]

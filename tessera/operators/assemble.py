@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from tessera.config import Settings
-from tessera.functions.text import strip_filler, token_count
+from tessera.functions.text import strip_filler
 
 
 def stripped(selected: DataFrame, cfg: Settings = Settings()) -> DataFrame:
@@ -19,7 +19,7 @@ def stripped(selected: DataFrame, cfg: Settings = Settings()) -> DataFrame:
 
 def strip_savings(shown: DataFrame, by: list[str], cfg: Settings = Settings()) -> DataFrame:
     """Tokens that stripping saved in each query; null when it did not run."""
-    saved = F.sum(token_count(F.col("text")) - token_count(F.col("shown"))) if cfg.strip else F.max(F.lit(None).cast("long"))
+    saved = F.sum(cfg.counter.column(F.col("text")) - cfg.counter.column(F.col("shown"))) if cfg.strip else F.max(F.lit(None).cast("long"))
     return shown.groupBy(*by).agg(saved.cast("long").alias("strip_tokens_saved"))
 
 

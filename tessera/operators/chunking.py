@@ -11,7 +11,7 @@ from pyspark.sql import window as W
 
 from tessera.config import Settings
 from tessera.functions import segment
-from tessera.functions.text import has_word, informative_short, squash, token_count
+from tessera.functions.text import has_word, informative_short, squash
 
 
 def _apply(fn, schema: str):
@@ -25,16 +25,16 @@ def _apply(fn, schema: str):
     return run
 
 
-def blocks(docs: DataFrame) -> DataFrame:
+def blocks(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, block_id, char_offset, text, is_table, token_count."""
     f = _apply(lambda t: [(b.text, b.offset, b.table) for b in segment.blocks(t)], "text: string, char_offset: int, is_table: boolean")
     b = docs.select("doc_id", F.posexplode(f("text")).alias("block_id", "b"))
-    return b.select("doc_id", "block_id", "b.char_offset", "b.text", "b.is_table").withColumn("token_count", token_count(F.col("text")))
+    return b.select("doc_id", "block_id", "b.char_offset", "b.text", "b.is_table").withColumn("token_count", cfg.counter.column(F.col("text")))
 
 
 def chunks(docs: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """doc_id, chunk_id, char_offset, text, token_count, uid."""
-    f = _apply(lambda t: segment.chunks(t, cfg.chunk_tokens, cfg.overlap, cfg.legacy_overlap), "char_offset: int, text: string, token_count: int")
+    f = _apply(lambda t: segment.chunks(t, cfg.chunk_tokens, cfg.overlap, cfg.legacy_overlap, cfg.counter.count), "char_offset: int, text: string, token_count: int")
     c = docs.select("doc_id", F.posexplode(f("text")).alias("chunk_id", "c"))
     return c.select("doc_id", "chunk_id", "c.char_offset", "c.text", "c.token_count").withColumn("uid", F.xxhash64("doc_id", "chunk_id"))
 
@@ -59,7 +59,7 @@ def sentence_units(chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     f = _apply(segment.units, "text: string, at: int, kind: string")
     u = chunks.select("doc_id", "chunk_id", "char_offset", F.posexplode(f("text")).alias("sentence_index", "u"))
     u = u.select("doc_id", "chunk_id", "sentence_index", "u.text", (F.col("char_offset") + F.col("u.at")).alias("char_offset"), "u.kind")
-    u = u.withColumn("token_count", token_count(F.col("text")))
+    u = u.withColumn("token_count", cfg.counter.column(F.col("text")))
     body = F.regexp_replace("text", r"\[/?TABLE\]", "") if cfg.filter_table_body else F.col("text")
     keep = F.when(F.col("kind") == "prose", (F.col("token_count") >= cfg.min_sentence_tokens) | informative_short(F.col("text"))).otherwise(has_word(body))
     sid = F.concat("doc_id", F.lit("#"), F.col("chunk_id").cast("string"), F.lit("."), F.col("sentence_index").cast("string"))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.config import Settings
-from tessera.functions.text import terms, token_count
+from tessera.functions.text import terms
 from tessera.operators import assemble, chunking, lexical, metrics, mmr, retrieval, scoring, selection
 from tessera.operators.lexical import LexicalIndex
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
@@ -86,10 +86,10 @@ def finish(hits: DataFrame, ranked: DataFrame, queries: DataFrame, cfg: Settings
     for part in (tokens, kept, contexts, base.withColumnRenamed("context", "baseline_context"), assemble.strip_savings(shown, ["query_id"], cfg)):
         s = s.join(part, "query_id", "left")
     s = s.withColumn("context", F.coalesce("context", F.lit(""))).withColumn("baseline_context", F.coalesce("baseline_context", F.lit("")))
-    s = s.withColumn("compressed_context_tokens", token_count(F.col("context")).cast("long")).withColumn("baseline_context_tokens", token_count(F.col("baseline_context")).cast("long"))
+    s = s.withColumn("compressed_context_tokens", cfg.counter.column(F.col("context")).cast("long")).withColumn("baseline_context_tokens", cfg.counter.column(F.col("baseline_context")).cast("long"))
     s = s.withColumn("tokens_saved", F.col("baseline_context_tokens") - F.col("compressed_context_tokens"))
     s = s.withColumn("compression_ratio", F.round(metrics.ratio(F.col("baseline_context_tokens"), F.col("compressed_context_tokens")), 6))
-    s = s.na.fill(0, ["n_hits", "n_candidates", "n_kept", "selected_tokens", "retrieved_tokens"]).withColumn("token_counter", F.lit("regex-approx"))
+    s = s.na.fill(0, ["n_hits", "n_candidates", "n_kept", "selected_tokens", "retrieved_tokens"]).withColumn("token_counter", F.lit(cfg.counter.name))
     return Compression(hits, chosen, s.select("query_id", "baseline_context", "context"), s.drop("context", "baseline_context"))
 
 
