@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from jobs.common import command_line, log
 from tessera.config import Settings
 from tessera.operators import chunking
+from tessera.sources.files import exact_pattern
 
 
 @dataclass(frozen=True)
@@ -59,19 +60,13 @@ def ingest(spark: SparkSession, documents: str, out: str, checkpoint: str, cfg:
         log.info("ingest_stream %s", done[-1])
 
     schema = spark.read.parquet(documents).select("doc_id", "text").schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", cfg.files_per_batch).parquet(_pattern(documents))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", cfg.files_per_batch).parquet(exact_pattern(documents))
     query = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
     log.info("ingest_stream %s: %d new batches from %s", out, len(done), documents)
     return done
 
 
-def _pattern(path: str) -> str:
-    """path as a pattern that matches it alone; a stream takes a single file only by a pattern."""
-    folder, _, name = path.rstrip("/").rpartition("/")
-    return path if any(c in path for c in "*?[{") else f"{folder}/{{{name}}}" if folder else f"{{{name}}}"
-
-
 def _put(rows: DataFrame, folder: str) -> None:
     """Writes rows in place of the partitions (batch) that they belong to."""
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(folder)

@@ -18,6 +18,7 @@ from tessera.operators import assemble, chunking, encoder, metrics, mmr, retriev
 from tessera.plans import compress as plan
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
 from tessera.sources import files
+from tessera.streaming.streams import follow_runs
 
 PRICE_IN, PRICE_OUT = 0.15, 0.6
 BLEND = Settings(weight_cross=0.7, weight_bm25=0.3)
@@ -110,6 +111,21 @@ def _stream(spark, d) -> DataFrame:
     return e.select(F.floor(i / 20).alias("run_id"), F.lit("compressed").alias("path"), (i % 20).alias("seq"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts_ms"), F.when(i % 20 < 2, F.lit("")).otherwise(F.concat("event_type", F.lit(" "))).alias("delta"))
 
 
+LATE_MINUTES, IDLE_MS = 30, 3_600_000
+
+
+def _run_stream(spark, d) -> DataFrame:
+    """The runs that are over by the watermark when all events have been taken as a stream; two of three have an end event."""
+    path, folder = f"{d}/events.parquet", fresh_dir(spark, "runs")
+    i = F.col("event_id")
+    e = spark.readStream.schema(spark.read.parquet(path).schema).parquet(files.exact_pattern(path))
+    e = e.select(F.floor(i / 20).alias("run_id"), F.lit("compressed").alias("path"), (i % 20).alias("seq"), F.col("ts").cast("timestamp").alias("ts"), F.when(i % 20 < 2, "").otherwise(F.concat("event_type", F.lit(" "))).alias("delta"), ((i % 20 == 19) & (F.floor(i / 20) % 3 > 0)).alias("ended"))
+    runs = follow_runs(e, f"{LATE_MINUTES} minutes", IDLE_MS)
+    q = runs.writeStream.format("parquet").option("path", f"{folder}/runs").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(runs.schema).parquet(f"{folder}/runs")
+
+
 METRICS = [*metrics.AB, "output_token_delta", "cost_saved_actual"]
 
 
@@ -221,6 +237,7 @@ QUERIES = {
     "run_cost": lambda s, d: _paths(s, d).select("run_id", "path", F.round(cost(F.col("context_tokens"), F.col("completion_tokens"), PRICE_IN, PRICE_OUT), 9).alias("usd")),
     "calibration": _calibration,
     "ttft_first_event": lambda s, d: metrics.first_token(_stream(s, d)),
+    "run_stream": _run_stream,
     "systematic_sample": _sample,
     "html_text": lambda s, d: table(s, d, "pages").select("page_id", html_to_text("html").alias("text")),
     "sse_frames": lambda s, d: files.sse(_hits(s, d), "hit", ["query_id", "doc_id", "hit_rank"]).select("query_id", "doc_id", "frame"),
@@ -354,6 +371,9 @@ select query_id, metric, n, round(md, 9) + 0.0 median, round(p95, 9) + 0.0 p95,
 select n, round(m, 6) mean_delta, round(s, 6) stdev_delta, mi min_delta, ma max_delta, round(k, 6) slope_per_1k, abs(k) < 0.5 and s < 0.5 exact from a where n >= 2""",
     "ttft_first_event": """with e as (select event_id // 20 run_id, event_id % 20 seq, epoch_us(ts) // 1000 ts, case when event_id % 20 < 2 then '' else event_type || ' ' end delta from events)
 select run_id, 'compressed' path, min(ts) filter (delta <> '') - min(ts) ttft_ms, max(ts) - min(ts) total_latency_ms, max(ts) - min(ts) filter (delta <> '') stream_ms, string_agg(delta, '' order by seq) answer from e group by 1""",
+    "run_stream": f"""with e as (select event_id // 20 run_id, event_id % 20 seq, epoch_us(ts) // 1000 ms, case when event_id % 20 < 2 then '' else event_type || ' ' end delta, event_id % 20 = 19 and (event_id // 20) % 3 > 0 e from events),
+g as (select run_id, 'compressed' path, min(ms) filter (delta <> '') - min(ms) ttft_ms, max(ms) - min(ms) total_latency_ms, max(ms) - min(ms) filter (delta <> '') stream_ms, string_agg(delta, '' order by seq) answer, bool_or(e) ended, max(ms) z from e group by 1)
+select * exclude z from g where z + case when ended then 1 else {IDLE_MS + 1} end < (select max(ms) from e) - {LATE_MINUTES * 60_000}""",
     "systematic_sample": "select doc_id, lang from (select doc_id, lang, row_number() over (order by doc_id) - 1 r, greatest(1, count(*) over () // 12) s from documents) where r % s = 0 and r < s * 12",
     "sse_frames": f"{_BASE}, {_HITS} select query_id, doc_id, 'event: hit' || chr(10) || 'data: {{\"query_id\":' || query_id || ',\"doc_id\":\"' || doc_id || '\",\"hit_rank\":' || hit_rank || '}}' || chr(10) || chr(10) frame from h",
     "query_labels": f"select item_id, case when length(text) >= 46 then left(text, 43) || '...' else text end as \"label\", {_SQUASH.format('text')} norm from benchmark",

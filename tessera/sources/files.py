@@ -72,6 +72,12 @@ def upsert_index(chunks: DataFrame, folder: str) -> int:
     return grown - before
 
 
+def exact_pattern(path: str) -> str:
+    """path as a pattern that matches it alone; a stream takes a single file only by a pattern."""
+    folder, _, name = path.rstrip("/").rpartition("/")
+    return path if any(c in path for c in "*?[{") else f"{folder}/{{{name}}}" if folder else f"{{{name}}}"
+
+
 def lookup(index: DataFrame, ranked: DataFrame) -> DataFrame:
     """The chunks of ranked (query_id, uid, rank), each at its rank: ids that the index lacks keep their row, with nulls."""
     return ranked.join(index, "uid", "left")

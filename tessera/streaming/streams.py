@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tessera.config import Settings
 from tessera.plans.compress import compress
@@ -29,3 +33,43 @@ def run_latencies(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     g = events.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"), "run_id", "path")
     out = g.agg(F.min(F.when(text, F.col("ts"))).alias("first_text"), F.max("ts").alias("last"))
     return out.select("run_id", "path", "first_text", "last", (F.unix_millis("last") - F.unix_millis("first_text")).alias("stream_ms"))
+
+
+RUN = "run_id {0}, path string, ttft_ms long, total_latency_ms long, stream_ms long, answer string, ended boolean"
+SEEN = "first long, first_text long, last long, ended boolean, seqs array<long>, deltas array<string>"
+
+
+def follow_runs(events: DataFrame, late: str = "10 minutes", idle_ms: int = 600_000) -> DataFrame:
+    """A row for each run and path of a stream of (run_id, path, seq, ts, delta, ended), once it is over: milliseconds to the first
+    event with text (null if none had), to the last event and between, and the answer, its pieces in order of seq.
+
+    A run is over when the watermark has passed its end event, so that what came out of order before it is there too, or, where no
+    end event came, idle_ms after its last event. It may last as long as it likes. State holds the pieces of open runs only. Events
+    behind the watermark are left out; a run that goes on after it was given up is a new one. Rows without run_id are left out.
+    """
+    key = events.schema["run_id"].dataType.simpleString()
+    x = events.where("run_id is not null").withWatermark("ts", late)
+    x = x.select("run_id", "path", F.col("seq").cast("long").alias("seq"), "ts", F.unix_millis("ts").alias("ms"), F.coalesce("delta", F.lit("")).alias("delta"), F.coalesce("ended", F.lit(False)).alias("ended"))
+
+    def step(run: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        first, text, last, ended, seqs, deltas = state.get if state.exists else (None, None, None, False, [], [])
+        if state.hasTimedOut:
+            state.remove()
+            answer = "".join(d for _, d in sorted(zip(seqs, deltas)))
+            row = [*run, None if text is None else text - first, last - first, None if text is None else last - text, answer, ended]
+            yield pd.DataFrame([row], columns=["run_id", "path", "ttft_ms", "total_latency_ms", "stream_ms", "answer", "ended"]).astype({"ttft_ms": "Int64", "stream_ms": "Int64"})
+            return
+        seqs, deltas = list(seqs), list(deltas)
+        for b in batches:
+            spoken = b.loc[b["delta"] != "", "ms"]
+            first = min(int(b["ms"].min()), first if first is not None else int(b["ms"].min()))
+            last = max(int(b["ms"].max()), last if last is not None else 0)
+            if len(spoken):
+                text = min(int(spoken.min()), text if text is not None else int(spoken.min()))
+            ended = ended or bool(b["ended"].any())
+            seqs += b["seq"].tolist()
+            deltas += b["delta"].tolist()
+        state.update((first, text, last, ended, seqs, deltas))
+        state.setTimeoutTimestamp(max(last + (0 if ended else idle_ms), state.getCurrentWatermarkMs()) + 1)
+
+    return x.groupBy("run_id", "path").applyInPandasWithState(step, RUN.format(key), SEEN, "append", GroupStateTimeout.EventTimeTimeout)
