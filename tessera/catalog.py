@@ -17,7 +17,7 @@ from tessera.functions.tokens import RankCounter
 from tessera.operators import assemble, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
-from tessera.sources import files
+from tessera.sources import caches, files
 from tessera.streaming.streams import follow_runs
 
 PRICE_IN, PRICE_OUT = 0.15, 0.6
@@ -142,6 +142,18 @@ def _cache(spark, d) -> DataFrame:
     return scoring.cache_stats(scoring.probe_cache(x, cache, "m", ["query", "text"])[0])
 
 
+def _vector_cache(spark, d) -> DataFrame:
+    """Hits and misses of each language when a learned encoder's vectors of all English texts are cached before those of all texts
+    are asked for."""
+    docs, folder = table(spark, d, "documents").select("doc_id", "lang", "text"), fresh_dir(spark, "vector-cache")
+    model, cache = encoder.fit(docs.select("doc_id", "text"), ["doc_id"]), caches.vector_cache(spark, folder)
+    compute = lambda lacking: model.encode(lacking, ["k"]).withColumnRenamed("embedding", "value")
+    cache.through(docs.where("lang = 'en'"), "svd", ["text"], compute)
+    found = cut(caches.hit_counts(cache.through(docs, "svd", ["text"], compute), ["lang"]))
+    delete(spark, folder)
+    return found
+
+
 def _misses(spark, d) -> DataFrame:
     x = _candidates(spark, d).join(bounded(queries_of(spark, d)), "query_id")
     cache = x.where("query_id % 2 = 0").select(cache_key(F.lit("m"), F.col("query"), F.col("text")).alias("k"), F.lit(0.5).alias("v")).dropDuplicates(["k"])
@@ -222,6 +234,7 @@ QUERIES = {
     "hybrid_score": lambda s, d: _scored(s, d, BLEND).select("query_id", "sid", F.round("ce_raw", 6).alias("ce_raw"), F.round("ce_norm", 6).alias("ce_norm"), F.round("relevance", 6).alias("relevance")),
     "score_cache_stats": _cache,
     "score_cache_misses": _misses,
+    "vector_cache_hits": _vector_cache,
     "mmr_greedy": lambda s, d: mmr.mmr(_scored(s, d)).select("query_id", "sid", "mmr_rank", F.round("mmr_score", 6).alias("mmr_score"), "redundant_with", F.round("similarity", 6).alias("similarity"), F.col("drop_reason").isNotNull().alias("dropped")),
     "knapsack": lambda s, d: _selected(s, d).select("query_id", "sid", "token_count", "selected", "drop_type"),
     "drop_histogram": lambda s, d: selection.drop_histogram(_selected(s, d)),
@@ -348,6 +361,7 @@ y as (select *, case when len(a) > 0 and len(b) > 0 then 8.0::double * len(list_
 n as (select *, coalesce(1 / (1 + exp(-ce)), 0.0) cn from y) select query_id, sid, round(ce, 6) ce_raw, round(cn, 6) ce_norm, round(round(0.7::double * cn + 0.3::double * norm, 9), 6) relevance from n""",
     "score_cache_stats": f"{_BASE}, {_CAND}, k as (select query_id, sha256('m' || chr(0) || query || chr(0) || \"text\" || chr(0)) k from c join q using (query_id)) select query_id, count(*) filter (k in (select k from k where query_id % 2 = 0)) hits, count(*) filter (k not in (select k from k where query_id % 2 = 0)) misses from k group by 1",
     "score_cache_misses": f"{_BASE}, {_CAND}, k as (select query_id, query, 's:' || sha256('m' || chr(0) || query || chr(0) || \"text\" || chr(0)) k from c join q using (query_id)) select distinct k, query from k where k not in (select k from k where query_id % 2 = 0)",
+    "vector_cache_hits": "select lang, count(*) filter (text in (select text from documents where lang = 'en' and text is not null)) hits, count(*) filter (text not in (select text from documents where lang = 'en' and text is not null)) misses from documents group by 1",
     "knapsack": f"{_CHOSEN} select query_id, sid, tok::int token_count, selected, drop_type from z",
     "drop_histogram": f"{_CHOSEN} select drop_type reason, count(*) n from z where drop_type is not null group by 1",
     "strip_filler": f"""with a as (select doc_id::varchar doc_id, {_FILLED} as "text" from documents), b as (select *, regexp_extract_all("text", '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') w from a),

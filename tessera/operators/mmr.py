@@ -25,6 +25,13 @@ def unit_rows(bags: list) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
 
 
+def dense_rows(vectors: list) -> np.ndarray:
+    """Vectors of unit length as a matrix; one that is null is similar to nothing."""
+    width = max((len(v) for v in vectors if v is not None), default=1)
+    m = np.array([np.zeros(width) if v is None else np.asarray(v, float) for v in vectors])
+    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12)
+
+
 def greedy(relevance: np.ndarray, vectors: np.ndarray, lam: float, limit: float) -> list[tuple[int, float | None, int, float, bool]]:
     """(candidate, score, nearest chosen one or -1, similarity to it, dropped) in the order of choice, then of drops. The candidate that
     comes next is dropped, not skipped over, when it is `limit` similar to a chosen one; ties go to the least index."""
@@ -47,17 +54,19 @@ def greedy(relevance: np.ndarray, vectors: np.ndarray, lam: float, limit: float)
 
 def mmr(scored: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """scored (query_id, sid, text, cand_idx, relevance, ...) with mmr_score, mmr_rank, redundant_with, similarity and drop_reason.
+    Similarity is the cosine of the column embedding where there is one, else that of term frequencies.
 
     A query's candidates are the sentences of its top_k chunks, so that a group is small whatever the corpus.
     """
     lam, limit = cfg.mmr_lambda, cfg.duplicate_similarity
-    slim = scored.select("query_id", "sid", "cand_idx", "relevance", terms(F.col("text")).alias("bag"))
+    dense = "embedding" in scored.columns
+    slim = scored.select("query_id", "sid", "cand_idx", "relevance", F.col("embedding") if dense else terms(F.col("text")).alias("bag"))
 
     def one(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values("cand_idx", kind="stable")
         sids = g["sid"].tolist()
         rows = []
-        for rank, (i, value, near, sim, gone) in enumerate(greedy(g["relevance"].to_numpy(float), unit_rows(g["bag"].tolist()), lam, limit), 1):
+        for rank, (i, value, near, sim, gone) in enumerate(greedy(g["relevance"].to_numpy(float), (dense_rows(g["embedding"].tolist()) if dense else unit_rows(g["bag"].tolist())), lam, limit), 1):
             other = sids[near] if near >= 0 else None
             rows.append((g["query_id"].iloc[0], sids[i], value, rank, other, sim if other else 0.0, f"redundant with {other} (sim {sim:.2f})" if gone else None))
         return pd.DataFrame(rows, columns=["query_id", "sid", "mmr_score", "mmr_rank", "redundant_with", "similarity", "drop_reason"])

@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 from tessera.config import Settings
 from tessera.functions.text import terms
-from tessera.operators import assemble, chunking, lexical, metrics, mmr, retrieval, scoring, selection
+from tessera.operators import assemble, chunking, encoder, lexical, metrics, mmr, retrieval, scoring, selection
 from tessera.operators.lexical import LexicalIndex
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
+from tessera.sources.caches import Cache
 
 KEY = ["doc_id", "chunk_id"]
+Embed = Callable[[DataFrame], DataFrame]
 
 
 @dataclass
@@ -65,13 +67,25 @@ def relevance(candidates: DataFrame, queries: DataFrame, cfg: Settings = Setting
     return scoring.score(with_query, queries, cfg, ce)
 
 
-def compress(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings(), index: LexicalIndex | None = None) -> Compression:
-    """queries: query_id, query and perhaps budget. Every query stays in the summary, also without hits or survivors."""
+def compress(chunks: DataFrame, queries: DataFrame, cfg: Settings = Settings(), index: LexicalIndex | None = None, embed: Embed | None = None) -> Compression:
+    """queries: query_id, query and perhaps budget. Every query stays in the summary, also without hits or survivors. embed adds the
+    column embedding to the scored candidates, by which redundancy is then judged."""
     hits = cut(retrieve(chunks, queries, cfg, index))
-    ranked = cut(mmr.mmr(relevance(cut(decompose(hits, cfg)), queries, cfg), cfg))
+    scored = relevance(cut(decompose(hits, cfg)), queries, cfg)
+    ranked = cut(mmr.mmr(scored if embed is None else cut(embed(scored)), cfg).drop("embedding"))
     return finish(hits, ranked, queries, cfg)
 
 
+def embedder(model: encoder.Encoder, name: str, cache: Cache) -> Embed:
+    """Vectors of a learned encoder by way of a cache; name stands for the model in the cache's keys."""
+
+    def embed(candidates: DataFrame) -> DataFrame:
+        compute = lambda lacking: model.encode(lacking, ["k"]).withColumnRenamed("embedding", "value")
+        return cache.through(candidates, name, ["text"], compute).withColumnRenamed("value", "embedding").drop("hit")
+
+    return embed
+
+
 def finish(hits: DataFrame, ranked: DataFrame, queries: DataFrame, cfg: Settings = Settings()) -> Compression:
     """Selection and all that follows, for candidates that are scored and ranked."""
     if "budget" in queries.columns:
