@@ -1,4 +1,4 @@
-"""python -m tessera ingest | add | describe | retrieve | compress | ab | calibrate: results as JSON lines, or as Parquet with --out."""
+"""python -m tessera ingest | add | describe | retrieve | compress | learn-ends | ab | calibrate: results as JSON lines, or as Parquet with --out."""
 
 from __future__ import annotations
 
@@ -9,7 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessera.config import Settings
 from tessera.engine import Engine
+from tessera.functions.splitters import LearnedSplitter
 from tessera.functions.tokens import RankCounter
+from tessera.operators import boundaries
 from tessera.sources import files
 
 
@@ -41,6 +43,10 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--lambda", dest="mmr_lambda", type=float, default=Settings.mmr_lambda, help="weight of relevance against redundancy")
             c.add_argument("--threshold", type=float, default=Settings.relevance_threshold, help="least relevance")
             c.add_argument("--strip", action="store_true", help="remove filler words from prose")
+            c.add_argument("--ends", help="table of sentence ends that learn-ends wrote; rules without it")
+    c = command("learn-ends", "learn where sentences end from a folder of documents", index=False)
+    c.add_argument("corpus")
+    c.add_argument("--least", type=int, default=5, help="how often something must be seen")
     c = command("ab", "distributions over runs of both paths", index=False)
     c.add_argument("paths", help="Parquet table of runs and paths")
     c.add_argument("--price-in", type=float, required=True)
@@ -60,6 +66,8 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         cfg = cfg.but(top_k=a.top_k)
     if a.command == "compress":
         cfg = cfg.but(budget=a.budget or None, mmr_lambda=a.mmr_lambda, relevance_threshold=a.threshold, strip=a.strip)
+        if a.ends:
+            cfg = cfg.but(splitter=LearnedSplitter.of(spark.read.parquet(a.ends), a.ends))
     engine = Engine(spark, getattr(a, "index", ""), cfg)
     if a.command == "ingest":
         return engine.ingest(a.corpus, a.min_chunks)
@@ -72,6 +80,8 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
     if a.command == "compress":
         done = engine.compress(a.query)
         return (done.contexts if a.contexts else done.summary).orderBy("query_id")
+    if a.command == "learn-ends":
+        return boundaries.learn(files.read_corpus(spark, a.corpus), a.least)
     if a.command == "ab":
         return engine.ab(spark.read.parquet(a.paths), a.price_in, a.price_out)
     return engine.calibrate(spark.read.parquet(a.samples))

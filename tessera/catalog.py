@@ -12,9 +12,10 @@ from pyspark.sql import window as W
 
 from tessera.config import Settings
 from tessera.functions.markup import html_to_text
+from tessera.functions.splitters import CLOSING, END_BEFORE, NUMBER, OPENING, SPACE, STOP, LearnedSplitter
 from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
 from tessera.functions.tokens import RankCounter
-from tessera.operators import assemble, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
+from tessera.operators import assemble, boundaries, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
 from tessera.sources import caches, files
@@ -229,6 +230,8 @@ QUERIES = {
     "ingest_stats": lambda s, d: chunking.ingest_stats(_chunks(s, d)).withColumn("mean_tokens", F.round("mean_tokens", 6)),
     "index_describe": lambda s, d: retrieval.describe(_chunks(s, d)),
     "sentence_units": lambda s, d: chunking.sentence_units(_chunks(s, d)),
+    "sentence_ends": lambda s, d: boundaries.learn(documents(s, d)).withColumn("score", F.round("score", 6)),
+    "learned_sentence_units": lambda s, d: chunking.sentence_units(_chunks(s, d), Settings(splitter=LearnedSplitter.of(boundaries.learn(documents(s, d))))),
     "exact_dedup": lambda s, d: chunking.exact_dedup(documents(s, d).select("doc_id", F.posexplode(_lines()).alias("sentence_index", "l")).select("doc_id", "sentence_index", F.col("l.t").alias("text"), F.col("l.o").alias("char_offset")), []).select("doc_id", "sentence_index", "char_offset", "text"),
     "query_bm25_minmax": lambda s, d: _scored(s, d).select("query_id", "sid", F.round("bm25_raw", 6).alias("bm25_raw"), F.round("bm25_norm", 6).alias("bm25_norm"), "cand_idx"),
     "hybrid_score": lambda s, d: _scored(s, d, BLEND).select("query_id", "sid", F.round("ce_raw", 6).alias("ce_raw"), F.round("ce_norm", 6).alias("ce_norm"), F.round("relevance", 6).alias("relevance")),
@@ -342,7 +345,41 @@ chunks as (select *, {_COUNT.format('"text"')}::int token_count from cg)"""
 
 _ALL_CHUNKS = chunks_sql("select doc_id::varchar doc_id, coalesce(text, '') \"text\" from documents")
 
+
+
+def _like(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+def ends_sql(docs: str, least: int = 5) -> str:
+    """boundaries.learn in SQL, for documents docs."""
+    bare = lambda x: f"regexp_replace(regexp_replace({x}, {_like(CLOSING)}, ''), {_like(OPENING)}, '')"
+    kind = lambda x: f"case when regexp_matches({bare(x)}, {_like(NUMBER)}) then '0' when regexp_matches({bare(x)}, '\\p{{L}}') then lower({bare(x)}) end"
+    ll = lambda k, n, p: f"(case when {k} > 0 then ({k}) * ln(case when {k} > 0 then {p} else 1 end) else 0 end + case when {n} > {k} then ({n} - ({k})) * ln(case when {n} > {k} then 1 - {p} else 1 end) else 0 end)"
+    tie = lambda a, b, c, n: f"2 * ({ll(c, a, f'(({c})::double / ({a}))')} + {ll(f'({b} - {c})', f'({n} - {a})', f'(({b} - {c})::double / nullif({n} - {a}, 0))')} - {ll(c, a, f'(({b})::double / ({n}))')} - {ll(f'({b} - {c})', f'({n} - {a})', f'(({b})::double / ({n}))')})"
+    length = "greatest(length(replace(w, '.', '')), 1)"
+    return f"""with docs as ({docs}), lines as (select unnest(string_split("text", chr(10))) line from docs),
+lw as (select list_filter(regexp_split_to_array(line, {_like(SPACE)}), lambda x: x <> '') l from lines),
+bw as (select unnest(list_zip(list_concat([null], l)[1:len(l)], l)) x from lw where len(l) > 0),
+wd as (select before, word, {kind('before')} p, {kind('word')} w from (select x[1] before, x[2] word from bw)),
+ty as (select w, count(*) n, count(*) filter (regexp_matches(word, {_like(STOP)})) n_stop, count(*) filter (regexp_matches(regexp_replace(word, {_like(OPENING)}, ''), '^\\p{{Ll}}')) n_lower, count(*) filter (before is not null and not regexp_matches(before, {_like(END_BEFORE)}) and regexp_matches(word, '^\\p{{Lu}}')) n_upper from wd where w is not null group by 1),
+tt as (select sum(n)::bigint n_all, least(greatest(sum(n_stop)::double / sum(n), 1e-12), 1 - 1e-12) rate from ty),
+sc as (select w, n_stop, 2 * ({ll('n_stop', 'n', '0.99::double')} - {ll('n_stop', 'n', 'rate')}) * exp(-{length}) * (1 + length(w) - length(replace(w, '.', ''))) * pow({length}::double, n_stop - n) score from ty, tt where n >= {least} and n_stop > 0 and w <> '0'),
+ab as (select * from sc where score >= 0.3),
+pa as (select p, w, count(*) n_pair from wd where regexp_matches(before, {_like(STOP)}) and regexp_matches(regexp_replace(word, {_like(OPENING)}, ''), '^[\\p{{Lu}}0-9]') and p is not null and w is not null group by 1, 2),
+ar as (select p, w, n_pair, (p in (select w from ab) or p = '0' or length(p) = 1) special from pa),
+br as (select sum(n_pair)::bigint n_break from ar where not special),
+st as (select w, after, {tie('n_break', 'n', 'after', 'n_all')} score from (select w, sum(n_pair)::bigint after from ar where not special group by 1) join ty using (w), br, tt where after >= {least} and after * n_all::double > n * n_break::double),
+sr as (select * from st where score >= 30),
+co as (select p, w, n_pair, {tie('s.n_stop', 't.n', 'n_pair', 'n_all')} score from ar join ty t using (w) join (select w p, n_stop from ty) s using (p), tt where special and n_pair >= {least} and n_pair * n_all::double > s.n_stop * t.n::double and w not in (select w from sr)),
+ca as (select w, n_lower, n_upper from (select w, sum(n_pair) after from ar where special group by 1) join ty using (w) where after >= {least} and w <> '0')
+select 'abbreviation' kind, w word, null::varchar "next", n_stop n, round(score, 6) score from ab
+union all select 'starter', w, null, after, round(score, 6) from sr union all select 'collocation', p, w, n_pair, round(score, 6) from co where score >= 7.88
+union all select 'common', w, null, n_lower, null from ca where n_lower > 0 and n_upper * 10 <= n_lower union all select 'proper', w, null, n_upper, null from ca where n_upper > 0 and n_lower * 10 <= n_upper"""
+
+
 ORACLE_SQL = {
+    "sentence_ends": ends_sql("select coalesce(text, '') \"text\" from documents"),
     "chunk_pack": f"{_ALL_CHUNKS} select * from chunks",
     "ingest_stats": f"{_ALL_CHUNKS} select count(*) n_chunks, coalesce(sum(token_count), 0)::bigint total_tokens, round(avg(token_count), 6) mean_tokens from chunks",
     "index_describe": f"{_ALL_CHUNKS} select count(*) n_chunks, count(distinct doc_id) n_documents from chunks",

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
+from tessera.functions.splitters import RuleSplitter, SentenceSplitter
 from tessera.functions.tokens import RegexCounter, TokenCounter
 
 #: A budget that no context exceeds; a null budget column means the same.
@@ -13,6 +14,7 @@ UNLIMITED = None
 @dataclass(frozen=True)
 class Settings:
     counter: TokenCounter = RegexCounter()
+    splitter: SentenceSplitter = RuleSplitter()
     chunk_tokens: int = 400
     overlap: float = 0.15
     min_chunks: int = 200

@@ -85,15 +85,19 @@ def chunks(text: str, target: int = 400, overlap: float = 0.15, legacy: bool = F
     return [(bs[first].offset, body, count(body)) for (first, _), body in zip(cuts, bodies)]
 
 
-def sentences(text: str) -> list[tuple[str, int]]:
-    """(sentence, offset) of prose: ends at . ! ? before white space and a capital or digit, not after abbreviations, and at blank lines."""
+def ends(para: str) -> list[int]:
+    """Where sentences end by rules: . ! ? before white space and a capital or digit, not after abbreviations."""
+    return [m.end() for m in END.finditer(para) if not ABBREVIATION.search(para[: m.end()][-12:])]
+
+
+def sentences(text: str, ends: Callable[[str], list[int]] = ends) -> list[tuple[str, int]]:
+    """(sentence, offset) of prose, cut at blank lines and at the ends within each paragraph."""
     out = []
     for para, at, sep in pieces(text, BLANK):
         if sep:
             continue
         start = 0
-        cuts = [m.end() for m in END.finditer(para) if not ABBREVIATION.search(para[: m.end()][-12:])]
-        for end in [*cuts, len(para)]:
+        for end in [*ends(para), len(para)]:
             raw = para[start:end]
             lead = len(raw) - len(raw.lstrip())
             if raw.strip():
@@ -109,7 +113,7 @@ def _kinds(lines: list[str]) -> list[str]:
     return ["fence" if f else "code" if c else "list" if BULLET.match(x) else "prose" for x, f, c in zip(lines, fences, inside)]
 
 
-def units(text: str, base: int = 0) -> list[tuple[str, int, str]]:
+def units(text: str, base: int = 0, ends: Callable[[str], list[int]] = ends) -> list[tuple[str, int, str]]:
     """(text, offset, kind) of a chunk: tables whole, code lines, blank ones too, list lines, and sentences of the prose between."""
     out: list[tuple[str, int, str]] = []
     for part, at, table in pieces(text, TABLE):
@@ -121,7 +125,7 @@ def units(text: str, base: int = 0) -> list[tuple[str, int, str]]:
             for kind, run in groupby(zip(_kinds(lines), places, lines), key=itemgetter(0)):
                 rows = list(run)
                 if kind == "prose":
-                    out += [(s, rows[0][1] + o, kind) for s, o in sentences("\n".join(x for _, _, x in rows))]
+                    out += [(s, rows[0][1] + o, kind) for s, o in sentences("\n".join(x for _, _, x in rows), ends)]
                 else:
                     out += [(x if kind == "code" else x.strip(), place, "list" if kind == "list" else "code") for _, place, x in rows]
     return out

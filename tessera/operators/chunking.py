@@ -56,7 +56,7 @@ def require_chunks(chunks: DataFrame, least: int) -> DataFrame:
 def sentence_units(chunks: DataFrame, cfg: Settings = Settings()) -> DataFrame:
     """Informative typed units of chunks: doc_id, chunk_id, sentence_index (with gaps where units were dropped), sid, text,
     char_offset, token_count, kind."""
-    f = _apply(segment.units, "text: string, at: int, kind: string")
+    f = _apply(lambda t: segment.units(t, 0, cfg.splitter.ends), "text: string, at: int, kind: string")
     u = chunks.select("doc_id", "chunk_id", "char_offset", F.posexplode(f("text")).alias("sentence_index", "u"))
     u = u.select("doc_id", "chunk_id", "sentence_index", "u.text", (F.col("char_offset") + F.col("u.at")).alias("char_offset"), "u.kind")
     u = u.withColumn("token_count", cfg.counter.column(F.col("text")))
