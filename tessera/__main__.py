@@ -12,7 +12,7 @@ from tessera.engine import Engine
 from tessera.functions.splitters import LearnedSplitter
 from tessera.functions.tokens import RankCounter
 from tessera.operators import boundaries
-from tessera.sources import files
+from tessera.sources import events, files
 
 
 def parser() -> argparse.ArgumentParser:
@@ -43,6 +43,7 @@ def parser() -> argparse.ArgumentParser:
             c.add_argument("--lambda", dest="mmr_lambda", type=float, default=Settings.mmr_lambda, help="weight of relevance against redundancy")
             c.add_argument("--threshold", type=float, default=Settings.relevance_threshold, help="least relevance")
             c.add_argument("--strip", action="store_true", help="remove filler words from prose")
+            c.add_argument("--frames", help="folder for whole results, sentences included, as server-sent events in text files")
             c.add_argument("--ends", help="table of sentence ends that learn-ends wrote; rules without it")
     c = command("learn-ends", "learn where sentences end from a folder of documents", index=False)
     c.add_argument("corpus")
@@ -79,6 +80,8 @@ def result(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
         return engine.retrieve(a.query).orderBy("query_id", "hit_rank")
     if a.command == "compress":
         done = engine.compress(a.query)
+        if a.frames:
+            events.write(events.compression_frames(done), a.frames, "overwrite")
         return (done.contexts if a.contexts else done.summary).orderBy("query_id")
     if a.command == "learn-ends":
         return boundaries.learn(files.read_corpus(spark, a.corpus), a.least)

@@ -18,7 +18,7 @@ from tessera.functions.tokens import RankCounter
 from tessera.operators import assemble, boundaries, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
 from tessera.plans.lineage import bounded, cut, delete, fresh_dir
-from tessera.sources import caches, files
+from tessera.sources import caches, events, files
 from tessera.streaming.streams import follow_runs
 
 PRICE_IN, PRICE_OUT = 0.15, 0.6
@@ -127,6 +127,16 @@ def _run_stream(spark, d) -> DataFrame:
     return spark.read.schema(runs.schema).parquet(f"{folder}/runs")
 
 
+def _sse_events(spark, d) -> DataFrame:
+    """The hits of all queries, out as frames in files and back in by a stream of them."""
+    folder, hit = fresh_dir(spark, "events"), "query_id long, doc_id string, hit_rank int"
+    events.write(_hits(spark, d).select(events.frame("hit", F.struct("query_id", "doc_id", "hit_rank")).alias("frame")), f"{folder}/frames")
+    came = events.rows(events.read(spark, f"{folder}/frames", stream=True), "hit", hit)
+    q = came.writeStream.format("parquet").option("path", f"{folder}/rows").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(hit).parquet(f"{folder}/rows")
+
+
 METRICS = [*metrics.AB, "output_token_delta", "cost_saved_actual"]
 
 
@@ -257,6 +267,7 @@ QUERIES = {
     "systematic_sample": _sample,
     "html_text": lambda s, d: table(s, d, "pages").select("page_id", html_to_text("html").alias("text")),
     "sse_frames": lambda s, d: files.sse(_hits(s, d), "hit", ["query_id", "doc_id", "hit_rank"]).select("query_id", "doc_id", "frame"),
+    "sse_events": _sse_events,
     "query_labels": lambda s, d: table(s, d, "benchmark").select("item_id", shorten(F.col("text"), 46, 43).alias("label"), squash(F.col("text")).alias("norm")),
 }
 
@@ -426,6 +437,7 @@ select run_id, 'compressed' path, min(ts) filter (delta <> '') - min(ts) ttft_ms
 g as (select run_id, 'compressed' path, min(ms) filter (delta <> '') - min(ms) ttft_ms, max(ms) - min(ms) total_latency_ms, max(ms) - min(ms) filter (delta <> '') stream_ms, string_agg(delta, '' order by seq) answer, bool_or(e) ended, max(ms) z from e group by 1)
 select * exclude z from g where z + case when ended then 1 else {IDLE_MS + 1} end < (select max(ms) from e) - {LATE_MINUTES * 60_000}""",
     "systematic_sample": "select doc_id, lang from (select doc_id, lang, row_number() over (order by doc_id) - 1 r, greatest(1, count(*) over () // 12) s from documents) where r % s = 0 and r < s * 12",
+    "sse_events": f"{_BASE}, {_HITS} select query_id, doc_id, hit_rank::int hit_rank from h",
     "sse_frames": f"{_BASE}, {_HITS} select query_id, doc_id, 'event: hit' || chr(10) || 'data: {{\"query_id\":' || query_id || ',\"doc_id\":\"' || doc_id || '\",\"hit_rank\":' || hit_rank || '}}' || chr(10) || chr(10) frame from h",
     "query_labels": f"select item_id, case when length(text) >= 46 then left(text, 43) || '...' else text end as \"label\", {_SQUASH.format('text')} norm from benchmark",
 }
