@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from tessera import sql
 from tessera.config import Settings
 from tessera.functions.markup import html_to_text
 from tessera.functions.splitters import CLOSING, END_BEFORE, NUMBER, OPENING, SPACE, STOP, LearnedSplitter
@@ -204,6 +205,34 @@ def _selected(spark, d) -> DataFrame:
     return selection.select(_by_relevance(spark, d), TIGHT)
 
 
+def _sql_chunks(spark, d) -> DataFrame:
+    sql.register(spark)
+    return spark.sql("select d.doc_id, c.* from {docs} d, lateral tessera_chunks(d.text) c", docs=paragraphs(spark, d))
+
+
+def _sql_units(spark, d) -> DataFrame:
+    """Informative units: prose of four tokens or more, or short with a word and a number or name; of other kinds those with a word."""
+    sql.register(spark)
+    return spark.sql(
+        r"""select doc_id, chunk_id, sentence_index, text, char_offset, kind, token_count from (
+        select c.doc_id, c.chunk_id, u.sentence_index, u.text, c.char_offset + u.at char_offset, u.kind, u.token_count from {chunks} c, lateral tessera_units(c.text) u)
+        where tessera_has_word(text) and (kind <> 'prose' or token_count >= 4 or text rlike r'\p{{Nd}}' or text rlike r'(?s)\S+\s+.*\b[A-Z][a-zA-Z]{{2,}}') or kind = 'prose' and token_count >= 4""",
+        chunks=_sql_chunks(spark, d),
+    )
+
+
+def _sql_knapsack(spark, d) -> DataFrame:
+    """The candidates that are relevant enough, and which of them the budget takes."""
+    sql.register(spark)
+    ranked = spark.sql(
+        """select query_id, sid, token_count, cast({budget} as int) budget, row_number() over (partition by query_id order by best desc, density desc, mmr_rank) place from (
+        select *, row_number() over (partition by query_id order by relevance desc, mmr_rank) = 1 best, round(greatest(0.0d, coalesce(mmr_score, relevance)) / greatest(1, token_count), 12) density
+        from {ranked} where drop_reason is null and relevance >= {least})""",
+        ranked=_by_relevance(spark, d), least=TIGHT.relevance_threshold, budget=TIGHT.budget,
+    )
+    return spark.sql("select query_id, sid, token_count, selected from tessera_knapsack(table({ranked}))", ranked=ranked)
+
+
 def _calibration(spark, d) -> DataFrame:
     x = table(spark, d, "documents").where("text is not null").select(token_count(F.col("text")).alias("local_tokens"), F.col("n_chars").alias("server_tokens"))
     c = metrics.calibration(x)
@@ -268,6 +297,9 @@ QUERIES = {
     "html_text": lambda s, d: table(s, d, "pages").select("page_id", html_to_text("html").alias("text")),
     "sse_frames": lambda s, d: files.sse(_hits(s, d), "hit", ["query_id", "doc_id", "hit_rank"]).select("query_id", "doc_id", "frame"),
     "sse_events": _sse_events,
+    "sql_chunks": _sql_chunks,
+    "sql_sentence_units": _sql_units,
+    "sql_knapsack": _sql_knapsack,
     "query_labels": lambda s, d: table(s, d, "benchmark").select("item_id", shorten(F.col("text"), 46, 43).alias("label"), squash(F.col("text")).alias("norm")),
 }
 
@@ -392,6 +424,7 @@ union all select 'common', w, null, n_lower, null from ca where n_lower > 0 and
 ORACLE_SQL = {
     "sentence_ends": ends_sql("select coalesce(text, '') \"text\" from documents"),
     "chunk_pack": f"{_ALL_CHUNKS} select * from chunks",
+    "sql_chunks": f"{_ALL_CHUNKS} select * from chunks",
     "ingest_stats": f"{_ALL_CHUNKS} select count(*) n_chunks, coalesce(sum(token_count), 0)::bigint total_tokens, round(avg(token_count), 6) mean_tokens from chunks",
     "index_describe": f"{_ALL_CHUNKS} select count(*) n_chunks, count(distinct doc_id) n_documents from chunks",
     "lexical_terms": f"with {_D} select doc_id, len(t)::bigint n_terms, len(list_distinct(t))::bigint n_distinct from (select doc_id, regexp_extract_all(lower(\"text\"), '[a-z0-9]+') t from docs)",
@@ -410,6 +443,7 @@ n as (select *, coalesce(1 / (1 + exp(-ce)), 0.0) cn from y) select query_id, si
     "score_cache_stats": f"{_BASE}, {_CAND}, k as (select query_id, sha256('m' || chr(0) || query || chr(0) || \"text\" || chr(0)) k from c join q using (query_id)) select query_id, count(*) filter (k in (select k from k where query_id % 2 = 0)) hits, count(*) filter (k not in (select k from k where query_id % 2 = 0)) misses from k group by 1",
     "score_cache_misses": f"{_BASE}, {_CAND}, k as (select query_id, query, 's:' || sha256('m' || chr(0) || query || chr(0) || \"text\" || chr(0)) k from c join q using (query_id)) select distinct k, query from k where k not in (select k from k where query_id % 2 = 0)",
     "vector_cache_hits": "select lang, count(*) filter (text in (select text from documents where lang = 'en' and text is not null)) hits, count(*) filter (text not in (select text from documents where lang = 'en' and text is not null)) misses from documents group by 1",
+    "sql_knapsack": f"{_CHOSEN} select query_id, sid, tok::int token_count, selected from z where drop_type is null or drop_type = 'over budget'",
     "knapsack": f"{_CHOSEN} select query_id, sid, tok::int token_count, selected, drop_type from z",
     "drop_histogram": f"{_CHOSEN} select drop_type reason, count(*) n from z where drop_type is not null group by 1",
     "strip_filler": f"""with a as (select doc_id::varchar doc_id, {_FILLED} as "text" from documents), b as (select *, regexp_extract_all("text", '[\\p{{L}}\\p{{N}}_]+|[^\\p{{L}}\\p{{N}}_]+') w from a),
