@@ -21,6 +21,7 @@ CLOSING = r"[\"'”’»)\],;:!?.…]+$"
 NUMBER = r"^[-+]?[0-9][0-9.,]*$"
 STOP = r"[^.]\.[\"'”’»)\],;:!?]*$"
 END_BEFORE = r"[.!?…:][\"'”’»)\]]*$"
+CAN_END = ".!?…:\"'”’»)]"  #: what can be the last character of what END_BEFORE matches
 
 
 class SentenceSplitter(Protocol):

@@ -7,10 +7,12 @@ around a full stop. The result is a small table, to be kept and given to a Learn
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.splitters import CLOSING, END_BEFORE, NUMBER, OPENING, SPACE, STOP
+from tessera.functions.splitters import CAN_END, CLOSING, END_BEFORE, NUMBER, OPENING, SPACE, STOP
 from tessera.plans.lineage import cut
 
 ABBREVIATION, COLLOCATION, STARTER = 0.3, 7.88, 30.0  #: least scores of each kind, those of the paper
@@ -20,31 +22,43 @@ RATIO = 10  #: how many times more often a word must have one case than the othe
 def word_type(word: Column) -> Column:
     """The word in lower case without the punctuation around it; all numbers are the type 0; null where there is neither letter nor number."""
     bare = F.regexp_replace(F.regexp_replace(word, CLOSING, ""), OPENING, "")
-    return F.when(bare.rlike(NUMBER), "0").when(bare.rlike(r"\p{L}"), F.lower(bare))
+    kind = lambda b: F.when(b.rlike(NUMBER), "0").when(b.rlike(r"\p{L}"), F.lower(b))
+    return F.transform(F.array(bare), kind)[0]  # bound once
+
+
+def _typed(words: DataFrame, word: str, name: str) -> DataFrame:
+    """words that have a type, with it. A generator, as a filter on the type would work it out again."""
+    return words.select("*", F.explode(F.array_compact(F.array(word_type(F.col(word))))).alias(name))
 
 
-def _words(docs: DataFrame) -> DataFrame:
-    """Each word of each line with the one before it, null at a line's start: before, word, p and w (their types)."""
+def _words(docs: DataFrame, only: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Each word of each line with the one before it, null at a line's start: before, word. only: of which pairs (b, a)."""
     line = docs.select(F.explode(F.split("text", "\n")).alias("line"))
     words = line.select(F.filter(F.split("line", SPACE), lambda x: x != "").alias("l"))
-    pair = F.explode(F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("l")).alias("b"), F.col("l").alias("a"))).alias("x")
-    both = words.where(F.size("l") > 0).select(pair).select(F.col("x.b").alias("before"), F.col("x.a").alias("word")).where("word is not null")
-    return both.select("before", "word", word_type(F.col("before")).alias("p"), word_type(F.col("word")).alias("w"))
+    pairs = F.arrays_zip(F.concat(F.array(F.lit(None).cast("string")), F.col("l")).alias("b"), F.col("l").alias("a"))
+    x = words.where(F.size("l") > 0).select(F.explode(pairs if only is None else F.filter(pairs, only)).alias("x"))
+    return x.select(F.col("x.b").alias("before"), F.col("x.a").alias("word")).where("word is not null")
 
 
 def types(docs: DataFrame) -> DataFrame:
     """Of each type: w, n, n_stop (with a full stop behind it), n_lower (beginning with a small letter), n_upper (beginning with a
     capital inside a sentence, as far as can be seen)."""
-    inside = F.col("before").isNotNull() & ~F.col("before").rlike(END_BEFORE)
+    last = F.substring("before", -1, 1)
+    ends = F.contains(F.lit(CAN_END), last) & F.col("before").rlike(END_BEFORE)  # most words end with a letter: no pattern is tried on them
+    inside = (F.col("before").isNotNull() & ~F.coalesce(ends, F.lit(False))).alias("inside")
+    forms = _words(docs).groupBy("word", inside).agg(F.count("*").alias("n"))  # spellings first: patterns see each of them once
     lower = F.regexp_replace("word", OPENING, "").rlike(r"^\p{Ll}")
-    count = [F.count("*").alias("n"), F.count_if(F.col("word").rlike(STOP)).alias("n_stop"), F.count_if(lower).alias("n_lower"), F.count_if(inside & F.col("word").rlike(r"^\p{Lu}")).alias("n_upper")]
-    return _words(docs).where("w is not null").groupBy("w").agg(*count)
+    some = lambda test: F.coalesce(F.sum(F.when(test, F.col("n"))), F.lit(0)).cast("long")
+    count = [F.sum("n").alias("n"), some(F.col("word").rlike(STOP)).alias("n_stop"), some(lower).alias("n_lower"), some(F.col("inside") & F.col("word").rlike(r"^\p{Lu}")).alias("n_upper")]
+    return _typed(forms, "word", "w").groupBy("w").agg(*count)
 
 
 def pairs(docs: DataFrame) -> DataFrame:
-    """p, w, n: how often type w, with a capital or a digit first, follows type p and its full stop."""
+    """p, w, n_pair: how often type w, with a capital or a digit first, follows type p and its full stop."""
+    forms = _words(docs, lambda x: F.contains(x["b"], F.lit("."))).groupBy("before", "word").agg(F.count("*").alias("n"))
     starts = F.regexp_replace("word", OPENING, "").rlike(r"^[\p{Lu}0-9]")
-    return _words(docs).where(F.col("before").rlike(STOP) & starts & F.col("p").isNotNull() & F.col("w").isNotNull()).groupBy("p", "w").agg(F.count("*").alias("n_pair"))
+    typed = _typed(_typed(forms.where(F.col("before").rlike(STOP) & starts), "before", "p"), "word", "w")
+    return typed.groupBy("p", "w").agg(F.sum("n").alias("n_pair"))
 
 
 def _log_likelihood(k: Column, n: Column, p: Column) -> Column:
