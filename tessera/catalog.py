@@ -14,7 +14,7 @@ from tessera import sql
 from tessera.config import Settings
 from tessera.functions.markup import html_to_text
 from tessera.functions.splitters import CLOSING, END_BEFORE, NUMBER, OPENING, SPACE, STOP, LearnedSplitter
-from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, shorten, squash, strip_filler, terms, token_count
+from tessera.functions.text import FILLER, NEGATIONS, TOKEN, cache_key, cost, rounded, shorten, squash, strip_filler, terms, token_count
 from tessera.functions.tokens import RankCounter
 from tessera.operators import assemble, boundaries, chunking, encoder, metrics, mmr, retrieval, scoring, selection, vectors
 from tessera.plans import compress as plan
@@ -255,8 +255,8 @@ def _sample(spark, d) -> DataFrame:
 
 QUERIES = {
     "lexical_terms": lambda s, d: documents(s, d).select("doc_id", F.size(terms(F.col("text"))).cast("long").alias("n_terms"), F.size(F.array_distinct(terms(F.col("text")))).cast("long").alias("n_distinct")),
-    "bm25_topk": lambda s, d: _bm25_best(s, d, 20).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
-    "bm25_zero_pool": lambda s, d: _bm25_best(s, d, 2000, zero=True).select("query_id", "doc_id", F.round("bm25_raw", 6).alias("score"), "bm25_rank"),
+    "bm25_topk": lambda s, d: _bm25_best(s, d, 20).select("query_id", "doc_id", rounded(F.col("bm25_raw"), 6).alias("score"), "bm25_rank"),
+    "bm25_zero_pool": lambda s, d: _bm25_best(s, d, 2000, zero=True).select("query_id", "doc_id", rounded(F.col("bm25_raw"), 6).alias("score"), "bm25_rank"),
     "dense_topk": lambda s, d: retrieval.dense_topk(table(s, d, "embeddings").select("vec_id", "embedding"), table(s, d, "embeddings").where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec")), 50).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
     "vector_index_topk": lambda s, d: _vector_index_topk(s, d).select("query_id", "vec_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
     "encoder_topk": lambda s, d: _learned(s, d, 20).select("query_id", "doc_id", F.round("similarity", 6).alias("similarity"), "dense_rank"),
@@ -272,7 +272,7 @@ QUERIES = {
     "sentence_ends": lambda s, d: boundaries.learn(documents(s, d)).withColumn("score", F.round("score", 6)),
     "learned_sentence_units": lambda s, d: chunking.sentence_units(_chunks(s, d), Settings(splitter=LearnedSplitter.of(boundaries.learn(documents(s, d))))),
     "exact_dedup": lambda s, d: chunking.exact_dedup(documents(s, d).select("doc_id", F.posexplode(_lines()).alias("sentence_index", "l")).select("doc_id", "sentence_index", F.col("l.t").alias("text"), F.col("l.o").alias("char_offset")), []).select("doc_id", "sentence_index", "char_offset", "text"),
-    "query_bm25_minmax": lambda s, d: _scored(s, d).select("query_id", "sid", F.round("bm25_raw", 6).alias("bm25_raw"), F.round("bm25_norm", 6).alias("bm25_norm"), "cand_idx"),
+    "query_bm25_minmax": lambda s, d: _scored(s, d).select("query_id", "sid", rounded(F.col("bm25_raw"), 6).alias("bm25_raw"), rounded(F.col("bm25_norm"), 6).alias("bm25_norm"), "cand_idx"),
     "hybrid_score": lambda s, d: _scored(s, d, BLEND).select("query_id", "sid", F.round("ce_raw", 6).alias("ce_raw"), F.round("ce_norm", 6).alias("ce_norm"), F.round("relevance", 6).alias("relevance")),
     "score_cache_stats": _cache,
     "score_cache_misses": _misses,

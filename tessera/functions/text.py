@@ -81,6 +81,12 @@ def strip_filler(text: Column, legacy: bool = False) -> Column:
     return F.transform(F.array(parts), body)[0]
 
 
+def rounded(x: Column, digits: int) -> Column:
+    """x to so many digits as DuckDB rounds: the nearest whole number of x times the power of ten, halves away from zero. Spark's round
+    takes the decimal that x prints as, so that 133.0332695, times a million less than a half in floating point, goes up."""
+    return F.round(x * 10.0**digits, 0) / 10.0**digits
+
+
 def cost(prompt: Column, completion: Column, price_in: float, price_out: float) -> Column:
     """USD for token counts and prices a million; null if a count is."""
     return (prompt * price_in + completion * price_out) / 1e6

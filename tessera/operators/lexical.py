@@ -163,8 +163,10 @@ def _refresh(spark: SparkSession, folder: str, schema: T.StructType) -> LexicalI
     # lens come to some bytes an item; their sums, and idf's, are one row
     size = seg.where("kind = 'items'").agg(F.coalesce(F.sum(F.size("lens")), F.lit(0)).alias("n"), F.sum(F.aggregate("lens", F.lit(0).cast("long"), lambda a, x: a + x)).alias("total"))
     df = spark.read.schema(TERMS).parquet(f"{folder}/terms")
-    idf = _idf(F.lit(size.first()["n"]), F.col("df"))
-    stats = size.select("n", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl")).crossJoin(df.agg(F.avg(idf).alias("mean_idf")))
+    # an idf times its number of terms: a sum of millions of idf is off by what the last digits of a score show
+    alike = df.groupBy("df").agg(F.count("*").alias("m"))
+    mean = alike.agg((F.sum(_idf(F.lit(size.first()["n"]), F.col("df")) * F.col("m")) / F.sum("m")).alias("mean_idf"))
+    stats = size.select("n", (F.col("total") / F.nullif(F.col("n"), F.lit(0))).alias("avgdl")).crossJoin(mean)
     # a column of the keys' type, so that an index without items has it too
     stats.withColumn("keys", F.lit(None).cast(schema["keys"].dataType)).write.mode("overwrite").parquet(f"{folder}/stats")
     return LexicalIndex(spark, folder)

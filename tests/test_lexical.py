@@ -116,3 +116,15 @@ def test_index_of_nothing(spark, tmp_path):
     assert rows(index.bm25(q, 3)) == [] and rows(index.cosine(q, 3)) == []
     only = lexical.build(spark.createDataFrame([("a", 1, None, 0, "", 0)], ITEMS), ["doc_id", "chunk_id"], str(tmp_path / "j"))
     assert rows(only.bm25(q, 3)) == [] and len(rows(only.bm25(q, 3, zero=True))) == 7
+
+
+def test_scores_round_as_their_sql_does(spark):
+    import duckdb
+    from pyspark.sql import functions as F
+
+    from tessera.functions.text import rounded
+
+    x = [133.0332695, 65.5557985, 66.6275705, 101.8064325, -133.0332695, 0.0, 7.25]
+    got = [r[0] for r in spark.createDataFrame([(i, v) for i, v in enumerate(x)], "i int, v double").orderBy("i").select(rounded(F.col("v"), 6)).collect()]
+    assert got == [duckdb.sql(f"select round({v}::double, 6)").fetchall()[0][0] for v in x]
+    assert got[0] == 133.033269  # by its decimal digits it would go up
