@@ -4,23 +4,30 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import window as W
 
 from tessera.config import Settings
 from tessera.functions import segment
+from tessera.functions.arrow import slices
 from tessera.functions.text import has_word, informative_short, squash
 
 
 def _apply(fn, schema: str):
-    """A column function that maps each text to a list of rows."""
+    """A column function that maps each text to a list of rows. A batch of texts is worked off slice by slice, so that what a task holds
+    beside it is the rows of a few texts."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
-    @F.pandas_udf(f"array<struct<{schema}>>")
-    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for s in texts:
-            yield pd.Series([fn(t or "") for t in s], dtype=object)
+    kind = T._parse_datatype_string(f"array<struct<{schema}>>")
+    rows = to_arrow_type(kind)
+
+    @F.arrow_udf(kind)
+    def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for s in slices(texts):
+            yield pa.array([fn(t or "") for t in s.to_pylist()], rows)
 
     return run
 
