@@ -4,7 +4,8 @@
     select u.* from chunks c, lateral tessera_units(c.text) u where tessera_has_word(u.text)
     select * from tessera_knapsack(table(candidates))
 
-Scalar functions are expressions, written into the plan like any other; table functions run in Arrow batches of rows.
+Scalar functions are expressions, written into the plan like any other. Those of a text run on rows, of which Spark hands on some hundred
+at a time, as an Arrow batch of texts would be held whole; the knapsack's short rows come in Arrow batches.
 """
 
 from __future__ import annotations
@@ -68,8 +69,8 @@ def register(spark: SparkSession, cfg: Settings = Settings()) -> None:
             for i, (unit, at, kind) in enumerate(segment.units(text or "", 0, cfg.splitter.ends)):
                 yield i, unit, at, kind, cfg.counter.count(unit)
 
-    spark.udtf.register("tessera_chunks", udtf(Chunks, returnType="chunk_id int, char_offset int, text string, token_count int", useArrow=True))
-    spark.udtf.register("tessera_units", udtf(Units, returnType="sentence_index int, text string, at int, kind string, token_count int", useArrow=True))
+    spark.udtf.register("tessera_chunks", udtf(Chunks, returnType="chunk_id int, char_offset int, text string, token_count int", useArrow=False))
+    spark.udtf.register("tessera_units", udtf(Units, returnType="sentence_index int, text string, at int, kind string, token_count int", useArrow=False))
     spark.udtf.register("tessera_knapsack", udtf(Knapsack, useArrow=True))
     for name, (kind, body) in SCALAR.items():
         spark.sql(f"create or replace temporary function {name}(t string) returns {kind} return {body}")
