@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.config import Settings
+from tessera.functions.arrow import slices
 from tessera.operators.retrieval import query_terms, ranked
 
 #: Items, and characters of text, of a segment at most (one longer item is a segment of its own).
@@ -47,44 +49,54 @@ def _schema(items: DataFrame, key: list[str]) -> T.StructType:
     return s.add(T.StructField("keys", T.ArrayType(T.StructType([T.StructField(k, items.schema[k].dataType) for k in key]))))
 
 
+class _Held:
+    """The items of a segment, as numbers in arrays while they come; a text is counted and let go."""
+
+    def __init__(self) -> None:
+        self.keys, self.chars = [], 0
+        self.ids: defaultdict[str, int] = defaultdict()
+        self.ids.default_factory = self.ids.__len__  # a term's number is its place among those met
+        self.at, self.counts, self.sizes, self.lens, self.norms = array("i"), array("i"), array("i"), array("i"), array("d")
+
+    def add(self, key: list, text: str | None) -> None:
+        c = Counter(TERM.findall((text or "").lower()))
+        self.keys.append(key)
+        self.chars += len(text or "")
+        self.at.extend(map(self.ids.__getitem__, c))
+        self.counts.extend(c.values())
+        self.sizes.append(len(c))
+        self.lens.append(c.total())
+        self.norms.append(math.sqrt(math.sumprod(c.values(), c.values())))
+
+
 def _segments(key: list[str], arrow: pa.Schema):
     """Batches of (bucket, key, text, gone), in the order of buckets, to rows of segments; a row with gone is no item, but makes sure
     that its bucket has a segment."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, made = TaskContext.get().partitionId(), 0
-        held, chars, of = [], 0, None
-        for b in batches:
+        held, of = _Held(), None
+        for b in slices(batches):
             for bucket, *k, text, gone in zip(*(c.to_pylist() for c in b.columns)):
-                size = len(text or "")
-                if of is not None and (bucket != of or len(held) >= SEGMENT_ITEMS or (held and chars + size > SEGMENT_CHARS)):
+                if of is not None and (bucket != of or len(held.keys) >= SEGMENT_ITEMS or (held.keys and held.chars + len(text or "") > SEGMENT_CHARS)):
                     yield from _segment(of, f"{of}-{part}-{made}", held, key, arrow)
-                    held, chars, made = [], 0, made + 1
+                    held, made = _Held(), made + 1
                 of = bucket
                 if not gone:
-                    held.append((k, text))
-                    chars += size
+                    held.add(k, text)
         if of is not None:
             yield from _segment(of, f"{of}-{part}-{made}", held, key, arrow)
 
     return run
 
 
-def _segment(bucket: int, name: str, held: list, key: list[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
-    held = sorted(held, key=lambda x: [(v is not None, v) for v in x[0]])  # Spark's order: nulls first, strings by code point
-    ids: defaultdict[str, int] = defaultdict()
-    ids.default_factory = ids.__len__  # a term's number is its place among those met
-    at, places, counts, lens, norms = [], [], [], [], []
-    for i, (_, text) in enumerate(held):
-        c = Counter(TERM.findall((text or "").lower()))
-        at.extend(map(ids.__getitem__, c))
-        counts.extend(c.values())
-        places.extend([i] * len(c))
-        lens.append(c.total())
-        norms.append(math.sqrt(math.sumprod(c.values(), c.values())))
-    length = np.array(lens, np.int32)
+def _segment(bucket: int, name: str, held: _Held, key: list[str], arrow: pa.Schema) -> Iterator[pa.RecordBatch]:
+    # Spark's order of keys: nulls first, strings by code point
+    by_key = sorted(range(len(held.keys)), key=lambda i: [(v is not None, v) for v in held.keys[i]])
+    ids, turn = held.ids, np.array(by_key, np.int64)
+    length, norms = np.array(held.lens, np.int32)[turn], np.array(held.norms)[turn]
     cols = {n: pa.nulls(1, arrow.field(n).type) for n in arrow.names}
-    cols |= {"lens": pa.array([length], pa.list_(pa.int32())), "norms": pa.array([norms], pa.list_(pa.float64())), "keys": pa.array([[dict(zip(key, k)) for k, _ in held]], arrow.field("keys").type)}
+    cols |= {"lens": pa.array([length], pa.list_(pa.int32())), "norms": pa.array([norms], pa.list_(pa.float64())), "keys": pa.array([[dict(zip(key, held.keys[i])) for i in by_key]], arrow.field("keys").type)}
     yield _rows(cols, bucket, "items", name, arrow)
 
     if not ids:  # a row of no term, so that this bucket's older lists give way
@@ -92,12 +104,15 @@ def _segment(bucket: int, name: str, held: list, key: list[str], arrow: pa.Schem
         yield _rows(cols, bucket, "postings", name, arrow)
         return
     names = sorted(ids)
-    rank = np.empty(len(names), np.int64)
+    rank = np.empty(len(names), np.int32)
     rank[[ids[t] for t in names]] = np.arange(len(names))
-    term = rank[np.array(at, np.int64)]
-    order = np.argsort(term, kind="stable")  # places of a term ascend
-    place, count = np.array(places, np.int32)[order], np.array(counts, np.int32)[order]
+    place_of = np.empty(len(turn), np.int32)
+    place_of[turn] = np.arange(len(turn))
+    term, place = rank[np.frombuffer(held.at, np.int32)], np.repeat(place_of, np.frombuffer(held.sizes, np.int32))
+    order = np.lexsort((place, term))  # places of a term ascend
+    place, count = place[order], np.frombuffer(held.counts, np.int32)[order]
     ends = np.searchsorted(term[order], np.arange(len(names) + 1)).astype(np.int32)
+    del term, order
     step = 4096
     for i in range(0, len(names), step):
         e = ends[i : i + step + 1]

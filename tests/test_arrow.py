@@ -3,7 +3,7 @@
 import pyarrow as pa
 
 from tessera.functions import arrow, segment
-from tessera.operators import chunking
+from tessera.operators import chunking, lexical
 
 
 def test_slices_keep_order_and_size():
@@ -18,3 +18,11 @@ def test_texts_of_a_batch_are_segmented_slice_by_slice(spark):
     assert got == [(i, k, *c) for i, t in enumerate(texts) for k, c in enumerate(segment.chunks(t or ""))]
     plan = chunking.chunks(docs)._jdf.queryExecution().executedPlan().toString()
     assert "ArrowEvalPython" in plan
+
+
+def test_a_segment_keeps_no_texts():
+    held = lexical._Held()
+    for i in range(100):
+        held.add([i], "same words here " * 50)
+    assert not any("words here" in str(v) for v in vars(held).values()) and held.chars == 80_000
+    assert len(held.at) == len(held.counts) == 300 and list(held.lens) == [150] * 100
