@@ -7,13 +7,14 @@ from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 from typing import Protocol
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import segment
+from tessera.functions.arrow import slices
 from tessera.functions.text import token_count
 
 #: Entries that a rank file may have; it is sent to every executor.
@@ -83,10 +84,10 @@ class RankCounter:
         return sum(words[m.group()] for m in regex.finditer(self._pattern, text))
 
     def column(self, text: Column) -> Column:
-        @F.pandas_udf("int")
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in texts:
-                yield pd.Series([None if t is None else self.count(t) for t in s], dtype="Int32")
+        @F.arrow_udf("int")
+        def run(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+            for s in slices(texts):
+                yield pa.array([None if t is None else self.count(t) for t in s.to_pylist()], pa.int32())
 
         return run(text)
 
