@@ -1,9 +1,14 @@
 """Perplexity under an interpolated modified Kneser-Ney model of any order, counted in Spark.
 
-Tasks count the n-grams of their texts as rows of word hashes, which Spark adds up. Each lower level counts the distinct words before
-its n-grams, from the rows of the level above. N-grams with their counts, and contexts with their totals, are dealt by a hash of their
-key and written as sorted arrays into the shared folder; scoring workers map these files into memory and look up a batch's distinct
-keys in order. The model lies in as many files as the corpus needs; nothing of it but sums goes through the driver.
+Each level of n-grams is counted from the texts by rounds over a hash of their contexts, so that only a share of the n-grams is in the
+shuffle at once: tasks hand on the n-grams of their texts as records of hashes, and a task for each bucket adds them up (at the order
+itself), or counts the distinct words before them (at lower levels), and writes n-grams with their counts and contexts with their totals
+as sorted arrays into the shared folder. Contexts of common words are dealt over several buckets, whose parts Spark adds up. Scoring
+workers map these files into memory and look up a batch's distinct keys in order. The model lies in as many files as the corpus needs;
+nothing of it but sums and the words of over ROWS_PER_BUCKET occurrences goes through the driver.
+
+Where the texts to be scored are known, n-grams and contexts met once are kept only if a text that is not learned from has them; in the
+texts learned from, what is not kept was met once.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import checkpoint, crc_mod, local_path, map_file, put_file, shared_dir, table, typed
+from tessera.llm.common import Scratch, crc_mod, local_path, map_file, put_file, release, shared_dir, table, typed
 from tessera.llm.wordhash import M2, Words, mix, pieces
 
 #: Words are 48 bit hashes: of a billion words some two thousand pairs would agree.
@@ -27,8 +32,13 @@ BITS = (1 << 48) - 1
 END, START = 1, 2  # hashes of the end token and of the context before a text
 #: Words of an n-gram, the predicted one included.
 ORDER = 3
-#: Rows of a file.
-ROWS_PER_BUCKET = 1_000_000
+#: Tokens to a bucket, on average, and rows of a file of words. Contexts of more tokens than that may lie in several buckets.
+ROWS_PER_BUCKET = 500_000
+#: Rounds in which the n-grams of a level are counted.
+ROUNDS = 4
+#: An n-gram on its way to its bucket: hashes of its context and of itself, and its count or, below the order, the hash of the n-gram with
+#: the word before it; 0 for one that is only asked for.
+RECORD = np.dtype([("context", "<u8"), ("gram", "<u8"), ("x", "<u8")])
 
 
 def key_of(words: list[np.ndarray]) -> np.ndarray:
@@ -64,11 +74,16 @@ def _texts(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for _, t, _ in _texts(batches, 0):
-        w, c = np.unique(t, return_counts=True)
+    for b, t, starts in _texts(batches, 0):
+        w, c = np.unique(t[~_flags(b, t, starts)], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
 
 
+def _flags(b: pa.RecordBatch, t: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The last column, for each token of its row."""
+    return np.repeat(b.column(b.num_columns - 1).to_numpy(zero_copy_only=False), np.diff(starts, append=len(t)))
+
+
 def grams(t: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     """For each token the words of its n-gram, oldest first; START stands for those before a text."""
     cols = [t]
@@ -80,50 +95,150 @@ def grams(t: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
     return cols
 
 
-def _count_grams(order: int):
+def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal keys are neighbours, and where the groups begin in it."""
+    order = np.argsort(keys)
+    k = keys[order]
+    return order, np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else order
+
+
+class Places:
+    """Buckets of n-grams. Those of one context share a bucket, below `buckets`, unless all words of the context are common: then they lie
+    in the upper half, in one of so many buckets as the context may fill."""
+
+    def __init__(self, buckets: int, common: dict[int, int]):
+        self.buckets = buckets
+        self.words = np.array(sorted(common), dtype=np.uint64)
+        self.parts = np.array([common[int(w)] for w in self.words], dtype=np.uint64)
+
+    def shares(self, context: list[np.ndarray]) -> np.ndarray:
+        """The number of buckets of each context, given by its words."""
+        out = np.ones(len(context[0]), dtype=np.uint64)
+        if len(self.words):
+            found = []
+            for w in context:
+                at = np.minimum(np.searchsorted(self.words, w), len(self.words) - 1)
+                found.append(np.where(self.words[at] == w, self.parts[at], np.uint64(1)))
+            out = functools.reduce(np.minimum, found)
+        return out
+
+    def bucket(self, shares: np.ndarray, context: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        n = np.uint64(self.buckets)
+        return mix(context + mix(gram) % shares) % n + np.where(shares > 1, n, np.uint64(0))
+
+
+def _deal(order: int, k: int, places: Places, rounds: int, now: int):
+    """The n-grams of k words of the round, as blocks of records by bucket."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, t, starts in _texts(batches, 0):
-            cols = grams(t, starts, order)
-            _, at, n = np.unique(key_of(cols), return_index=True, return_counts=True)
-            for i in range(0, len(at), 100_000):
-                some = at[i : i + 100_000]
-                yield pa.RecordBatch.from_arrays([*(pa.array(c[some].view(np.int64)) for c in cols), pa.array(n[i : i + 100_000].astype(np.int64))], names=[*_names(order), "c"])
+        for b, t, starts in _texts(batches, 0):
+            asked, cols = _flags(b, t, starts), grams(t, starts, min(order, k + 1))
+            gram, more = key_of(cols[-k:]), key_of(cols)
+            # single words have no context; the words before one are dealt like its n-grams
+            context = key_of(cols[-k:-1]) if k > 1 else gram
+            at = places.bucket(places.shares(cols[-k:-1] if k > 1 else [gram]), context, gram if k > 1 else more)
+            mine = at % np.uint64(rounds) == now
+            asked, context, gram, more, at = (x[mine] for x in (asked, context, gram, more, at))
+            i = np.flatnonzero(~asked)
+            by, starting = _groups(more[i])
+            some = i[by[starting]]
+            x = more[some] if k < order else np.diff(starting, append=len(i)).astype(np.uint64)
+            if k > 1:
+                j = np.flatnonzero(asked)
+                by, starting = _groups(gram[j])
+                some, x = np.concatenate([some, j[by[starting]]]), np.concatenate([x, np.zeros(len(starting), dtype=np.uint64)])
+            some, x = some[o := np.argsort(at[some], kind="stable")], x[o]
+            rec = np.empty(len(some), dtype=RECORD)
+            rec["context"], rec["gram"], rec["x"] = context[some], gram[some], x
+            buckets, first = np.unique(at[some], return_index=True)
+            cuts = (np.append(first, len(some)) * RECORD.itemsize).astype(np.int32)
+            data = pa.Array.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(rec.tobytes())])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), data], names=["bucket", "data"])
+
+    return run
+
+
+def _records(t: pa.Table) -> np.ndarray:
+    out = []
+    for c in t["data"].chunks:
+        _, offsets, data = c.buffers()
+        cuts = np.frombuffer(offsets, dtype=np.int32)[c.offset : c.offset + len(c) + 1]
+        out.append(np.frombuffer(data, dtype=np.uint8)[cuts[0] : cuts[-1]].view(RECORD))
+    return np.concatenate(out)
+
+
+def _add_up(order: int, k: int, half: int, lean: bool, folder: str):
+    """Counts a bucket's n-grams and writes them. Gives one row without a key, the sums of the level; with keys, the totals of contexts
+    that other buckets share; at the lowest level the words with their counts, and nothing else."""
+
+    def run(t: pa.Table) -> pa.Table:
+        bucket, rec = t["bucket"][0].as_py(), _records(t)
+        if k < order:  # each n-gram and word before it counts once
+            by, first = _groups(rec["x"])
+            if len(by) and rec["x"][by[0]] == 0:  # of those asked for all stay
+                first = np.concatenate([np.arange(np.count_nonzero(rec["x"] == 0)), first[1:]])
+            rec = rec[by[first]]
+        by, first = _groups(rec["gram"])
+        asked = np.logical_or.reduceat(rec["x"][by] == 0, first)
+        n = np.add.reduceat((rec["x"] if k == order else (rec["x"] != 0))[by].astype(np.int64), first)
+        context, gram = rec["context"][by[first]], rec["gram"][by[first]]
+        if k == 1:
+            return _rows(gram, n)
+        keep = (n > 1) | ((n == 1) & (asked if lean else True))
+        put_arrays(f"{folder}/grams{k}-{bucket}", gram[keep], {"c": n[keep]})
+        by, first = _groups(context)
+        n, add = n[by], lambda x: np.add.reduceat(x.astype(np.int64), first)
+        total, few = add(n), [add(n == i) for i in (1, 2)] + [add(n > 2)]
+        keep = total > (lean & ~np.logical_or.reduceat(asked[by], first) if bucket < half else 0)
+        x = dict(zip(CONTEXT, (v[keep] for v in (total, *few))))
+        context = context[by[first]][keep]
+        put_arrays(f"{folder}/contexts{k}-{bucket}", context if bucket < half else context[:0], {v: x[v] if bucket < half else x[v][:0] for v in CONTEXT})
+        shared = _rows(context, *x.values()) if bucket >= half else _rows(context[:0], n[:0])
+        sums = [n.sum(), *((n == i).sum() for i in (1, 2, 3, 4)), (n > 2).sum()]
+        return pa.concat_tables([_rows(np.zeros(1, dtype=np.uint64), *sums, bucket=bucket), shared])
 
     return run
 
 
-def _names(k: int) -> list[str]:
-    """The columns of an n-gram of k words: w1 is the last word."""
-    return [f"w{i}" for i in range(k, 0, -1)]
+#: Rows that counting a bucket gives. bucket is null for keys.
+ROWS = "bucket int, k long, a long, b long, c long, d long, e long, f long"
+
+
+def _rows(key: np.ndarray, *values, bucket: int | None = None) -> pa.Table:
+    nothing = pa.nulls(len(key), pa.int64())
+    cols = [pa.array(np.broadcast_to(v, len(key)).astype(np.int64)) for v in values]
+    return pa.table([pa.array([bucket] * len(key), pa.int32()), pa.array(key.view(np.int64)), *cols, *[nothing] * (6 - len(cols))], names=["bucket", "k", *"abcdef"])
 
 
-def _write(df: DataFrame, key: list[str], values: list[str], uri: str) -> int:
-    """Writes the rows as files uri-K.keys and uri-K by K, the key's bucket; gives the number of buckets."""
+def put_arrays(uri: str, keys: np.ndarray, values: dict[str, np.ndarray]) -> None:
+    """Writes a file of the number of keys and the bytes of a value, the sorted keys and their records."""
+    order = np.argsort(keys)
+    wide = 8 if any(len(v) and v.max() >= 1 << 32 for v in values.values()) else 4
+    rec = np.empty(len(keys), dtype=[(v, f"<u{wide}") for v in values])
+    for v in values:
+        rec[v] = values[v][order]
+    put_file(uri, np.array([len(keys), wide], dtype=np.uint64).tobytes() + keys[order].tobytes() + rec.tobytes())
+
+
+def _write(df: DataFrame, values: list[str], uri: str) -> int:
+    """Writes the rows (h, values) as files uri-K by K, the key's bucket; gives the number of buckets."""
     buckets = max(1, -(-df.count() // ROWS_PER_BUCKET))
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            k = key_of([b.column(i).to_numpy().view(np.uint64) for i in range(len(key))])
-            at = (mix(k) % np.uint64(buckets)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(k.view(np.int64)), *b.columns[len(key) :]], names=["bucket", "k", *values])
+            at = (mix(b.column(0).to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(at), *b.columns], names=["bucket", "h", *values])
 
     def write(t: pa.Table) -> pa.Table:
         k = t["bucket"][0].as_py()
-        h = t["k"].to_numpy().view(np.uint64)
-        order = np.argsort(h)
-        rec = np.zeros(len(h), dtype=[(v, "<i8") for v in values])
-        for v in values:
-            rec[v] = t[v].to_numpy()[order]
-        put_file(f"{uri}-{k}.keys", h[order].tobytes())
-        put_file(f"{uri}-{k}", rec.tobytes())
-        return pa.table({"bucket": pa.array([k], pa.int32()), "n": pa.array([len(h)], pa.int64())})
+        put_arrays(f"{uri}-{k}", t["h"].to_numpy().view(np.uint64), {v: t[v].to_numpy() for v in values})
+        return pa.table({"bucket": pa.array([k], pa.int32())})
 
     kinds = ", ".join(f"{v} long" for v in values)
-    done = df.select(*key, *values).mapInArrow(keyed, f"bucket int, k long, {kinds}").groupBy("bucket").applyInArrow(write, "bucket int, n long")
+    done = df.select("h", *values).mapInArrow(keyed, f"bucket int, h long, {kinds}").groupBy("bucket").applyInArrow(write, "bucket int")
     found = {r["bucket"] for r in done.toLocalIterator()}  # a small row a file
     for k in set(range(buckets)) - found:  # empty ones too, so that a missing file is an error
-        put_file(f"{uri}-{k}.keys", b"")
-        put_file(f"{uri}-{k}", b"")
+        put_arrays(f"{uri}-{k}", np.zeros(0, dtype=np.uint64), {v: np.zeros(0, dtype=np.int64) for v in values})
     return buckets
 
 
@@ -142,42 +257,56 @@ def discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]:
 class Model:
     """Sizes, discounts and the folder of the sorted arrays; small, so that it goes to the workers as it is."""
 
-    def __init__(self, folder: str, order: int, buckets: dict[str, int], n: int, v: int, d: dict[int, tuple], before: tuple):
-        self.folder, self.order, self.buckets, self.n, self.v = folder, order, buckets, n, v
+    def __init__(self, folder: str, order: int, buckets: dict[str, int], n: int, v: int, d: dict[int, tuple], before: tuple, places: Places | None = None, lean: bool = False):
+        self.folder, self.order, self.buckets, self.n, self.v, self.lean = folder, order, buckets, n, v, lean
+        self.places = places or Places(buckets["grams"], {})
         self.d = {k: np.array([0.0, *x]) for k, x in d.items()}
         self.before, (a, b, c) = before[0], before[1:]
         # the share of the unigram level that goes to the uniform one over all words and an unknown one
         self.rest = (self.d[1][1] * a + self.d[1][2] * b + self.d[1][3] * c) / max(1, self.before)
 
-    def look_up(self, name: str, values: tuple, key: np.ndarray) -> np.ndarray:
-        """A record for each key; zeros for unknown ones."""
-        h, inverse = np.unique(key, return_inverse=True)  # a sorted search touches each page once
+    def look_up(self, name: str, values: tuple, key: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
+        """A record for each key; zeros for unknown ones. bucket: where it lies, if that does not follow from the key."""
+        by, first = _groups(key)  # a sorted search touches each page once
+        inverse = np.empty(len(key), dtype=np.int64)
+        inverse[by] = np.repeat(np.arange(len(first)), np.diff(first, append=len(key)))
+        h = key[by[first]]
         out = np.zeros(len(h), dtype=[(v, "<i8") for v in values])
-        b = mix(h) % np.uint64(self.buckets[name])
+        b = mix(h) % np.uint64(self.buckets[name]) if bucket is None else bucket[by[first]]
         by = np.argsort(b, kind="stable")
-        cuts = np.searchsorted(b[by], np.arange(self.buckets[name] + 1, dtype=np.uint64))
-        for k in np.flatnonzero(np.diff(cuts)):
-            mine = by[cuts[k] : cuts[k + 1]]
-            keys = _file(f"{self.folder}/{name}-{k}.keys", ())
+        buckets, cuts = np.unique(b[by], return_index=True)
+        for k, i, j in zip(buckets.tolist(), cuts, np.append(cuts[1:], len(by))):
+            mine = by[i:j]
+            keys, records = _file(f"{self.folder}/{name}-{k}", values)
             if len(keys):
                 at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
                 ok = keys[at] == h[mine]
-                out[mine[ok]] = _file(f"{self.folder}/{name}-{k}", values)[at[ok]]
+                out[mine[ok]] = records[at[ok]]
         return out[inverse]
 
     def score(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of each text."""
         return list(zip(*(x.tolist() for x in self.scores(np.concatenate(docs), np.cumsum([0, *map(len, docs[:-1])])))))
 
-    def scores(self, t: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
-        """Tokens, known tokens, base scores and scores of the texts that begin at starts."""
+    def scores(self, t: np.ndarray, starts: np.ndarray, learned: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+        """Tokens, known tokens, base scores and scores of the texts that begin at starts. learned: the tokens of texts learned from,
+        without which a lean model lacks n-grams."""
         cols = grams(t, starts, self.order)
         rec = self.look_up("words", WORD, cols[-1])
         base = np.log10((rec["c"] + 1) / (self.n + self.v + 1))
         p = np.maximum(rec["before"] - self.d[1][np.minimum(rec["before"], 3)], 0) / max(1, self.before) + (self.rest if self.before else 1.0) / (self.v + 1)
         for k in range(2, self.order + 1):
-            n = self.look_up(f"grams{k}", GRAM, key_of(cols[-k:]))["c"]
-            x, d = self.look_up(f"contexts{k}", CONTEXT, key_of(cols[-k:-1])), self.d[k]
+            context, gram, d = key_of(cols[-k:-1]), key_of(cols[-k:]), self.d[k]
+            shares = self.places.shares(cols[-k:-1])
+            at = self.places.bucket(shares, context, gram)
+            n = self.look_up(f"grams{k}", GRAM, gram, at)["c"]
+            x = np.zeros(len(t), dtype=[(v, "<i8") for v in CONTEXT])
+            for some, name, bucket in ((shares == 1, f"contexts{k}", at), (shares > 1, f"shared{k}", None)):
+                if some.any():
+                    x[some] = self.look_up(name, CONTEXT, context[some], None if bucket is None else bucket[some])
+            if self.lean:  # what is not there was met once
+                n[learned & (n == 0)] = 1
+                x[learned & (x["total"] == 0)] = (1, 1, 0, 0)
             total = np.maximum(x["total"], 1)
             left = np.where(x["total"] > 0, (d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / total, 1.0)
             p = np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p
@@ -186,47 +315,73 @@ class Model:
 
 
 @functools.lru_cache(maxsize=4096)
-def _file(uri: str, values: tuple) -> np.ndarray:
-    """A mapped file of the model: records of the values, or keys where none are named. A file that is not there is an error."""
-    return map_file(uri, np.dtype([(v, "<i8") for v in values] if values else "<u8"))
+def _file(uri: str, values: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """A mapped file of the model: keys, and records of the values. A file that is not there is an error."""
+    data = map_file(uri, np.uint8)
+    n, wide = (int(x) for x in data[:16].view("<u8"))
+    return data[16 : 16 + 8 * n].view("<u8"), data[16 + 8 * n :].view([(v, f"<u{wide}") for v in values])
 
 
-def fit(train: DataFrame, order: int = ORDER) -> Model:
-    """Counts the model over all rows of train (a column text; null: empty)."""
+def fit(train: DataFrame, order: int = ORDER, held: Column | None = None) -> Model:
+    """Counts the model over all rows of train (a column text; null: empty). held: rows that are not learned from; the model then serves
+    these texts and those learned from, and no others."""
     spark = train.sparkSession
     folder = f"{shared_dir(spark)}/kneserney-{uuid.uuid4().hex}"
     if p := local_path(folder):
         atexit.register(shutil.rmtree, p, ignore_errors=True)
-    train = typed(train, "text string").select(_line())
-    words = checkpoint(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
-    n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    kinds = ", ".join(f"{w} long" for w in [*_names(order), "c"])
-    level = checkpoint(train.mapInArrow(_count_grams(order), kinds).groupBy(*_names(order)).agg(F.sum("c").alias("c")))
-    buckets, d = {}, {}
-    for k in range(order, 0, -1):
-        s = level.agg(F.coalesce(F.sum("c"), F.lit(0)), *(F.count_if(F.col("c") == i) for i in (1, 2, 3, 4)), F.count_if(F.col("c") >= 3)).first()
-        d[k] = discounts(*s[1:5])
-        if k == 1:
-            break
-        sums = level.groupBy(*_names(k)[:-1]).agg(F.sum("c").alias("total"), F.count_if(F.col("c") == 1).alias("n1"), F.count_if(F.col("c") == 2).alias("n2"), F.count_if(F.col("c") >= 3).alias("n3"))
-        buckets[f"grams{k}"] = _write(level, _names(k), [*GRAM], f"{folder}/grams{k}")
-        buckets[f"contexts{k}"] = _write(checkpoint(sums), _names(k)[:-1], [*CONTEXT], f"{folder}/contexts{k}")
-        level = checkpoint(level.groupBy(*_names(k - 1)).agg(F.count("*").alias("c")))
-    both = words.join(level.select(F.col("w1").alias("h"), F.col("c").alias("before")), "h", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-    buckets["words"] = _write(both, ["h"], [*WORD], f"{folder}/words")
-    return Model(folder, order, buckets, n, v, d, (s[0], s[1], s[2], s[5]))
-
-
-def score(docs: DataFrame, model: Model) -> DataFrame:
+    lean = held is not None
+    train = train.select(F.col("text").cast("string"), (F.coalesce(held, F.lit(False)) if lean else F.lit(False)).alias("held")).select(_line(), "held")
+    with Scratch(spark) as tmp:
+        words = tmp.save(train.mapInArrow(_count_words, "h long, c long").groupBy("h").agg(F.sum("c").alias("c")))
+        release(spark)
+        n, v = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
+        # words of more than a bucket of tokens: n / ROWS_PER_BUCKET at most; the context before a text is as common as its end
+        common = {r["h"]: -(-r["c"] // ROWS_PER_BUCKET) for r in words.where(F.col("c") > ROWS_PER_BUCKET).toLocalIterator()}
+        if END in common:
+            common[START] = common[END]
+        places = Places(max(1, -(-n // ROWS_PER_BUCKET)), common)
+        buckets, d = {"grams": places.buckets}, {}
+        for k in range(order, 0, -1):
+            parts, rounds = [], min(places.buckets, ROUNDS)
+            for now in range(rounds):
+                dealt = train.mapInArrow(_deal(order, k, places, rounds, now), "bucket int, data binary")
+                parts.append(tmp.save(dealt.groupBy("bucket").applyInArrow(_add_up(order, k, places.buckets, lean, folder), ROWS)))
+                release(spark)
+            rows = functools.reduce(DataFrame.union, parts)
+            if k == 1:
+                level = rows.groupBy(F.col("k").alias("h")).agg(F.sum("a").alias("before"))
+                s = level.agg(F.coalesce(F.sum("before"), F.lit(0)), *(F.count_if(F.col("before") == i) for i in (1, 2, 3, 4)), F.count_if(F.col("before") > 2)).first()
+            else:
+                own = rows.where("bucket is not null")
+                s = own.agg(*(F.coalesce(F.sum(x), F.lit(0)) for x in "abcdef")).first()
+                found = {r["bucket"] for r in own.select("bucket").toLocalIterator()}  # a small row a file
+                for b in set(range(2 * places.buckets if common else places.buckets)) - found:  # empty ones too, so that a missing file is an error
+                    for name, values in (("grams", GRAM), ("contexts", CONTEXT)):
+                        put_arrays(f"{folder}/{name}{k}-{b}", np.zeros(0, dtype=np.uint64), {x: np.zeros(0, dtype=np.int64) for x in values})
+                if common:
+                    shared = rows.where("bucket is null").groupBy(F.col("k").alias("h")).agg(*(F.sum(x).alias(y) for x, y in zip("abcd", CONTEXT)))
+                    buckets[f"shared{k}"] = _write(tmp.save(shared), [*CONTEXT], f"{folder}/shared{k}")
+            d[k] = discounts(*s[1:5])
+        both = words.join(level, "h", "left").withColumn("before", F.coalesce("before", F.lit(0)))
+        buckets["words"] = _write(tmp.save(both), [*WORD], f"{folder}/words")
+    release(spark)
+    return Model(folder, order, buckets, n, v, d, (s[0], s[1], s[2], s[5]), places, lean)
+
+
+def score(docs: DataFrame, model: Model, held: Column | None = None) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score and score of each row of docs (doc_id, text; a null text is empty: one end token). Repeated
     rows and equal texts score alike, null ids stay, further columns do not count, an empty table gives no rows, and a model of an empty
-    table has the one unknown word."""
+    table has the one unknown word. held: as in fit, for a model that was fitted with it, whose table docs is."""
+    if model.lean != (held is not None):
+        raise ValueError("give held to fit and score, or to neither")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, t, starts in _texts(batches, 1):
-            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, model.scores(t, starts))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *map(pa.array, model.scores(t, starts, ~_flags(b, t, starts)))], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-    return typed(docs, "doc_id long, text string").select("doc_id", _line()).mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
+    flag = (F.lit(False) if held is None else F.coalesce(held, F.lit(False))).alias("held")
+    have = typed(docs, "doc_id long, text string") if held is None else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), flag)
+    return have.select("doc_id", _line(), flag if held is None else "held").mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
 def _line() -> Column:
@@ -238,5 +393,5 @@ def op9_kneser_ney(spark, sf_dir: str) -> DataFrame:
     """The log10 probability of every document under a model of those whose crc32 of the id modulo 7 is not 2."""
     docs = typed(table(spark, sf_dir, "documents"), "doc_id long, text string")
     held = crc_mod("doc_id", 7) == 2
-    model = fit(docs.where(~held))
-    return score(docs, model).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")
+    model = fit(docs, held=held)
+    return score(docs, model, held).select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(model.n).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,6 +1,7 @@
 """The training-data operators against brute force, exact round trips and hand-made edge cases."""
 
 import collections
+import glob
 import itertools
 import os
 import random
@@ -402,6 +403,30 @@ def test_kneser_ney_base_scores_and_missing_files(spark, corpus):
         kneserney.score(make(spark, train), gone).collect()
 
 
+def test_kneser_ney_counts_by_rounds_and_shares_common_contexts(spark, corpus, monkeypatch):
+    monkeypatch.setattr(kneserney, "ROWS_PER_BUCKET", 40)  # many buckets, and common words whose contexts lie in several
+    train, h = [t for _, t in corpus[:40]], kneserney._Hashes()
+    asked = [train[0], " ".join(train[1].split()[3:12]), "ka never ka", ""]
+    for order in (1, 2, 3, 4):
+        m = kneserney.fit(make(spark, corpus[:40]), order)
+        assert len(m.places.words) > 1 and m.places.parts.max() > 1
+        got = [x[3] for x in m.score([kneserney.tokens(t.encode(), h) for t in asked])]
+        assert got == pytest.approx([brute_kneser_ney(train, order, t) for t in asked], abs=1e-8)
+
+
+def test_kneser_ney_of_known_texts_keeps_what_they_need(spark, corpus, monkeypatch):
+    monkeypatch.setattr(kneserney, "ROWS_PER_BUCKET", 200)
+    rows = corpus[:40] + [(900, " ".join(corpus[50][1].split()[:9]) + " ka NEVER"), (901, None), (902, corpus[3][1])]
+    d, held = make(spark, rows), F.col("doc_id") % 5 == 2
+    lean, whole = kneserney.fit(d, held=held), kneserney.fit(d.where(~held))
+    a, b = ({r["doc_id"]: tuple(r) for r in x.collect()} for x in (kneserney.score(d, lean, held), kneserney.score(d, whole)))
+    assert a.keys() == b.keys() and all(a[i] == pytest.approx(b[i], abs=1e-9) for i in a)
+    size = lambda m: sum(os.path.getsize(f) for f in glob.glob(kneserney.local_path(m.folder) + "/*"))
+    assert size(lean) < size(whole)
+    with pytest.raises(ValueError):
+        kneserney.score(d, lean)
+
+
 def test_words_hash_alike_in_bulk_and_alone():
     rng = random.Random(9)
     from tessera.llm.wordhash import Words
