@@ -1,6 +1,6 @@
 """Perplexity under an interpolated modified Kneser-Ney model of any order, counted in Spark.
 
-Each level of n-grams is counted from the texts by rounds over a hash of their contexts, so that only a share of the n-grams is in the
+Each level of n-grams is counted from the texts by rounds over a hash of their contexts (single words from pairs), so that only a share of the n-grams is in the
 shuffle at once: tasks hand on the n-grams of their texts as records of hashes, and a task for each bucket adds them up (at the order
 itself), or counts the distinct words before them (at lower levels), and writes n-grams with their counts and contexts with their totals
 as sorted arrays into the shared folder. Contexts of common words are dealt over several buckets, whose parts Spark adds up. Scoring
@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.common import Scratch, crc_mod, local_path, map_file, put_file, release, shared_dir, table, typed
-from tessera.llm.wordhash import M2, Words, mix, pieces
+from tessera.llm.wordhash import M2, Words, mix, pieces, unmix
 
 #: Words are 48 bit hashes: of a billion words some two thousand pairs would agree.
 BITS = (1 << 48) - 1
@@ -104,10 +104,11 @@ def _groups(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 class Places:
     """Buckets of n-grams. Those of one context share a bucket, below `buckets`, unless all words of the context are common: then they lie
-    in the upper half, in one of so many buckets as the context may fill."""
+    in the upper half, in one of so many buckets as the context may fill. A bucket belongs to one round, that of the context's last word."""
 
     def __init__(self, buckets: int, common: dict[int, int]):
-        self.buckets = buckets
+        self.rounds = min(buckets, ROUNDS)
+        self.buckets = -(-buckets // self.rounds) * self.rounds
         self.words = np.array(sorted(common), dtype=np.uint64)
         self.parts = np.array([common[int(w)] for w in self.words], dtype=np.uint64)
 
@@ -122,23 +123,29 @@ class Places:
             out = functools.reduce(np.minimum, found)
         return out
 
-    def bucket(self, shares: np.ndarray, context: np.ndarray, gram: np.ndarray) -> np.ndarray:
-        n = np.uint64(self.buckets)
-        return mix(context + mix(gram) % shares) % n + np.where(shares > 1, n, np.uint64(0))
+    def round(self, last: np.ndarray) -> np.ndarray:
+        return last % np.uint64(self.rounds)
 
+    def bucket(self, last: np.ndarray, shares: np.ndarray, context: np.ndarray, gram: np.ndarray) -> np.ndarray:
+        """last: the last word of the context."""
+        salt = mix(gram) % shares if len(self.words) else np.uint64(0)
+        at = mix(context + salt) % np.uint64(self.buckets // self.rounds) * np.uint64(self.rounds) + self.round(last)
+        return (at + np.where(shares > 1, np.uint64(self.buckets), np.uint64(0))).astype(np.int32)
 
-def _deal(order: int, k: int, places: Places, rounds: int, now: int):
+
+def _deal(order: int, k: int, places: Places, now: int):
     """The n-grams of k words of the round, as blocks of records by bucket."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, t, starts in _texts(batches, 0):
             asked, cols = _flags(b, t, starts), grams(t, starts, min(order, k + 1))
-            gram, more = key_of(cols[-k:]), key_of(cols)
-            # single words have no context; the words before one are dealt like its n-grams
-            context = key_of(cols[-k:-1]) if k > 1 else gram
-            at = places.bucket(places.shares(cols[-k:-1] if k > 1 else [gram]), context, gram if k > 1 else more)
-            mine = at % np.uint64(rounds) == now
-            asked, context, gram, more, at = (x[mine] for x in (asked, context, gram, more, at))
+            last = cols[-2] if k > 1 else cols[-1]  # a single word has no context, and is dealt as its own
+            mine = np.flatnonzero(places.round(last) == now)
+            asked, cols = asked[mine], [c[mine] for c in cols]
+            words = cols[-k:-1] or cols[-1:]
+            context, gram = key_of(words), key_of(cols[-k:])
+            more = key_of(cols) if k < order else gram
+            at = places.bucket(words[-1], places.shares(words), context, gram)
             i = np.flatnonzero(~asked)
             by, starting = _groups(more[i])
             some = i[by[starting]]
@@ -147,17 +154,22 @@ def _deal(order: int, k: int, places: Places, rounds: int, now: int):
                 j = np.flatnonzero(asked)
                 by, starting = _groups(gram[j])
                 some, x = np.concatenate([some, j[by[starting]]]), np.concatenate([x, np.zeros(len(starting), dtype=np.uint64)])
-            some, x = some[o := np.argsort(at[some], kind="stable")], x[o]
+            o, buckets, cuts = _by_bucket(at[some])
             rec = np.empty(len(some), dtype=RECORD)
-            rec["context"], rec["gram"], rec["x"] = context[some], gram[some], x
-            buckets, first = np.unique(at[some], return_index=True)
-            cuts = (np.append(first, len(some)) * RECORD.itemsize).astype(np.int32)
-            data = pa.Array.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer(cuts.tobytes()), pa.py_buffer(rec.tobytes())])
-            yield pa.RecordBatch.from_arrays([pa.array(buckets.astype(np.int32)), data], names=["bucket", "data"])
+            rec["context"], rec["gram"], rec["x"] = context[some[o]], gram[some[o]], x[o]
+            data = pa.Array.from_buffers(pa.binary(), len(buckets), [None, pa.py_buffer((cuts * RECORD.itemsize).astype(np.int32).tobytes()), pa.py_buffer(rec)])
+            yield pa.RecordBatch.from_arrays([pa.array(buckets), data], names=["bucket", "data"])
 
     return run
 
 
+def _by_bucket(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """An order by bucket, the buckets, and where each begins in it, and the end."""
+    order = np.argsort(at.astype(np.uint16) if len(at) and at.max() < 1 << 16 else at, kind="stable")  # few bits are sorted in linear time
+    buckets, first = np.unique(at[order], return_index=True)
+    return order, buckets.astype(np.int32), np.append(first, len(at))
+
+
 def _records(t: pa.Table) -> np.ndarray:
     out = []
     for c in t["data"].chunks:
@@ -169,7 +181,8 @@ def _records(t: pa.Table) -> np.ndarray:
 
 def _add_up(order: int, k: int, half: int, lean: bool, folder: str):
     """Counts a bucket's n-grams and writes them. Gives one row without a key, the sums of the level; with keys, the totals of contexts
-    that other buckets share; at the lowest level the words with their counts, and nothing else."""
+    that other buckets share. Of single words a row each, and nothing else; and below pairs of words, in g, how many of the bucket's pairs
+    end in a word, from which the level of single words follows."""
 
     def run(t: pa.Table) -> pa.Table:
         bucket, rec = t["bucket"][0].as_py(), _records(t)
@@ -184,6 +197,9 @@ def _add_up(order: int, k: int, half: int, lean: bool, folder: str):
         context, gram = rec["context"][by[first]], rec["gram"][by[first]]
         if k == 1:
             return _rows(gram, n)
+        if k == 2:  # the last word, from the key of the pair
+            by, first = _groups(unmix(gram[n > 0]) - context[n > 0] * M2)
+            words = _rows((unmix(gram[n > 0]) - context[n > 0] * M2)[by[first]], ends=np.diff(first, append=len(by)))
         keep = (n > 1) | ((n == 1) & (asked if lean else True))
         put_arrays(f"{folder}/grams{k}-{bucket}", gram[keep], {"c": n[keep]})
         by, first = _groups(context)
@@ -195,19 +211,20 @@ def _add_up(order: int, k: int, half: int, lean: bool, folder: str):
         put_arrays(f"{folder}/contexts{k}-{bucket}", context if bucket < half else context[:0], {v: x[v] if bucket < half else x[v][:0] for v in CONTEXT})
         shared = _rows(context, *x.values()) if bucket >= half else _rows(context[:0], n[:0])
         sums = [n.sum(), *((n == i).sum() for i in (1, 2, 3, 4)), (n > 2).sum()]
-        return pa.concat_tables([_rows(np.zeros(1, dtype=np.uint64), *sums, bucket=bucket), shared])
+        return pa.concat_tables([_rows(np.zeros(1, dtype=np.uint64), *sums, bucket=bucket), shared, *([words] if k == 2 else [])])
 
     return run
 
 
 #: Rows that counting a bucket gives. bucket is null for keys.
-ROWS = "bucket int, k long, a long, b long, c long, d long, e long, f long"
+ROWS = "bucket int, k long, a long, b long, c long, d long, e long, f long, g long"
 
 
-def _rows(key: np.ndarray, *values, bucket: int | None = None) -> pa.Table:
+def _rows(key: np.ndarray, *values, bucket: int | None = None, ends: np.ndarray | None = None) -> pa.Table:
     nothing = pa.nulls(len(key), pa.int64())
     cols = [pa.array(np.broadcast_to(v, len(key)).astype(np.int64)) for v in values]
-    return pa.table([pa.array([bucket] * len(key), pa.int32()), pa.array(key.view(np.int64)), *cols, *[nothing] * (6 - len(cols))], names=["bucket", "k", *"abcdef"])
+    at = pa.nulls(len(key), pa.int32()) if bucket is None else pa.array([bucket] * len(key), pa.int32())
+    return pa.table([at, pa.array(key.view(np.int64)), *cols, *[nothing] * (6 - len(cols)), nothing if ends is None else pa.array(ends)], names=["bucket", "k", *"abcdefg"])
 
 
 def put_arrays(uri: str, keys: np.ndarray, values: dict[str, np.ndarray]) -> None:
@@ -265,24 +282,20 @@ class Model:
         # the share of the unigram level that goes to the uniform one over all words and an unknown one
         self.rest = (self.d[1][1] * a + self.d[1][2] * b + self.d[1][3] * c) / max(1, self.before)
 
-    def look_up(self, name: str, values: tuple, key: np.ndarray, bucket: np.ndarray | None = None) -> np.ndarray:
-        """A record for each key; zeros for unknown ones. bucket: where it lies, if that does not follow from the key."""
-        by, first = _groups(key)  # a sorted search touches each page once
-        inverse = np.empty(len(key), dtype=np.int64)
-        inverse[by] = np.repeat(np.arange(len(first)), np.diff(first, append=len(key)))
-        h = key[by[first]]
-        out = np.zeros(len(h), dtype=[(v, "<i8") for v in values])
-        b = mix(h) % np.uint64(self.buckets[name]) if bucket is None else bucket[by[first]]
-        by = np.argsort(b, kind="stable")
-        buckets, cuts = np.unique(b[by], return_index=True)
-        for k, i, j in zip(buckets.tolist(), cuts, np.append(cuts[1:], len(by))):
-            mine = by[i:j]
+    def look_up(self, name: str, values: tuple, key: np.ndarray, bucket: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """The values of each key; zeros for unknown ones. bucket: where it lies, if that does not follow from the key."""
+        out = {v: np.zeros(len(key), dtype=np.int64) for v in values}
+        by, buckets, cuts = _by_bucket((mix(key) % np.uint64(self.buckets[name])).astype(np.int32) if bucket is None else bucket)
+        h = key[by]
+        for k, i, j in zip(buckets.tolist(), cuts, cuts[1:]):
             keys, records = _file(f"{self.folder}/{name}-{k}", values)
             if len(keys):
-                at = np.minimum(np.searchsorted(keys, h[mine]), len(keys) - 1)
-                ok = keys[at] == h[mine]
-                out[mine[ok]] = records[at[ok]]
-        return out[inverse]
+                at = np.minimum(np.searchsorted(keys, h[i:j]), len(keys) - 1)
+                ok = np.flatnonzero(keys[at] == h[i:j])
+                mine, found = by[i:j][ok], records[at[ok]]
+                for v in values:
+                    out[v][mine] = found[v]
+        return out
 
     def score(self, docs: list[np.ndarray]) -> list[tuple[int, int, float, float]]:
         """(tokens, known tokens, base score, score) of each text."""
@@ -298,15 +311,16 @@ class Model:
         for k in range(2, self.order + 1):
             context, gram, d = key_of(cols[-k:-1]), key_of(cols[-k:]), self.d[k]
             shares = self.places.shares(cols[-k:-1])
-            at = self.places.bucket(shares, context, gram)
+            at = self.places.bucket(cols[-2], shares, context, gram)
             n = self.look_up(f"grams{k}", GRAM, gram, at)["c"]
-            x = np.zeros(len(t), dtype=[(v, "<i8") for v in CONTEXT])
-            for some, name, bucket in ((shares == 1, f"contexts{k}", at), (shares > 1, f"shared{k}", None)):
-                if some.any():
-                    x[some] = self.look_up(name, CONTEXT, context[some], None if bucket is None else bucket[some])
+            x = self.look_up(f"contexts{k}", CONTEXT, context, at)  # those of shared buckets have none there
+            if len(some := np.flatnonzero(shares > 1)):
+                for v, found in self.look_up(f"shared{k}", CONTEXT, context[some]).items():
+                    x[v][some] = found
             if self.lean:  # what is not there was met once
                 n[learned & (n == 0)] = 1
-                x[learned & (x["total"] == 0)] = (1, 1, 0, 0)
+                once = learned & (x["total"] == 0)
+                x["total"][once] = x["n1"][once] = 1
             total = np.maximum(x["total"], 1)
             left = np.where(x["total"] > 0, (d[1] * x["n1"] + d[2] * x["n2"] + d[3] * x["n3"]) / total, 1.0)
             p = np.maximum(n - d[np.minimum(n, 3)], 0) / total + left * p
@@ -342,14 +356,18 @@ def fit(train: DataFrame, order: int = ORDER, held: Column | None = None) -> Mod
         places = Places(max(1, -(-n // ROWS_PER_BUCKET)), common)
         buckets, d = {"grams": places.buckets}, {}
         for k in range(order, 0, -1):
-            parts, rounds = [], min(places.buckets, ROUNDS)
-            for now in range(rounds):
-                dealt = train.mapInArrow(_deal(order, k, places, rounds, now), "bucket int, data binary")
+            parts = []
+            for now in range(places.rounds if k > 1 or order == 1 else 0):
+                dealt = train.mapInArrow(_deal(order, k, places, now), "bucket int, data binary")
                 parts.append(tmp.save(dealt.groupBy("bucket").applyInArrow(_add_up(order, k, places.buckets, lean, folder), ROWS)))
                 release(spark)
-            rows = functools.reduce(DataFrame.union, parts)
+            rows = functools.reduce(DataFrame.union, parts) if parts else rows
             if k == 1:
-                level = rows.groupBy(F.col("k").alias("h")).agg(F.sum("a").alias("before"))
+                level = rows.where("bucket is null").select(F.col("k").alias("h"), F.col("a" if parts else "g").alias("n")).where("n is not null").groupBy("h").agg(F.sum("n").alias("before"))
+                level = tmp.save(level)
+                for x in parts or below:
+                    tmp.drop(x)
+                release(spark)
                 s = level.agg(F.coalesce(F.sum("before"), F.lit(0)), *(F.count_if(F.col("before") == i) for i in (1, 2, 3, 4)), F.count_if(F.col("before") > 2)).first()
             else:
                 own = rows.where("bucket is not null")
@@ -359,11 +377,15 @@ def fit(train: DataFrame, order: int = ORDER, held: Column | None = None) -> Mod
                     for name, values in (("grams", GRAM), ("contexts", CONTEXT)):
                         put_arrays(f"{folder}/{name}{k}-{b}", np.zeros(0, dtype=np.uint64), {x: np.zeros(0, dtype=np.int64) for x in values})
                 if common:
-                    shared = rows.where("bucket is null").groupBy(F.col("k").alias("h")).agg(*(F.sum(x).alias(y) for x, y in zip("abcd", CONTEXT)))
+                    shared = rows.where("bucket is null and a is not null").groupBy(F.col("k").alias("h")).agg(*(F.sum(x).alias(y) for x, y in zip("abcd", CONTEXT)))
                     buckets[f"shared{k}"] = _write(tmp.save(shared), [*CONTEXT], f"{folder}/shared{k}")
-            d[k] = discounts(*s[1:5])
+            d[k], below = discounts(*s[1:5]), parts
         both = words.join(level, "h", "left").withColumn("before", F.coalesce("before", F.lit(0)))
-        buckets["words"] = _write(tmp.save(both), [*WORD], f"{folder}/words")
+        both = tmp.save(both)
+        for x in (words, level):
+            tmp.drop(x)
+        release(spark)
+        buckets["words"] = _write(both, [*WORD], f"{folder}/words")
     release(spark)
     return Model(folder, order, buckets, n, v, d, (s[0], s[1], s[2], s[5]), places, lean)
 

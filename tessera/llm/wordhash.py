@@ -28,6 +28,16 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def unmix(x: np.ndarray) -> np.ndarray:
+    """The number that mix() makes x of."""
+
+    def unshift(x: np.ndarray, by: int) -> np.ndarray:
+        return x ^ (x >> np.uint64(by)) ^ (x >> np.uint64(2 * by))
+
+    x = unshift(x, 31) * np.uint64(pow(int(M2), -1, 1 << 64))
+    return unshift(unshift(x, 27) * np.uint64(pow(int(M1), -1, 1 << 64)), 30)
+
+
 class Words:
     """Of texts that end in a line feed each: hash, the hashes of all words in order; at, the bytes where they begin; ends, the last
     byte of each text. lower: A-Z become a-z first. Takes some 40 bytes a word while it runs."""
