@@ -30,6 +30,8 @@ JOIN_TOKENS = 4
 BUCKETS = 1 << 18
 #: Levels of rarity in a doubling of the count.
 STEPS = 4
+#: Lines of more words have a sketch of 128 bits, others of 64.
+LONG = 64
 #: More lines than this under a word that is among their so many rarest are a crowd.
 CROWD, CROWD_WORDS = 16, 4
 #: Rounds over near copies go on while they settle one in so many of the lines left.
@@ -42,14 +44,20 @@ SPACE = r"[\x20\x09-\x0D]+"
 PLACE = ["doc_id", "line"]
 
 
+def _split(line: Column) -> Column:
+    """The line's words, and empty strings. Few lines have another white space than spaces, at which no pattern is needed to split."""
+    other = line.contains("\t") | line.contains("\r") | line.contains("\x0b") | line.contains("\x0c")
+    return F.when(other, F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
 def _hashes(line: Column) -> Column:
-    """The 64 bit hashes of the line's words."""
-    return F.transform(F.array_remove(F.split(line, SPACE), ""), lambda w: F.xxhash64(w))
+    """The 64 bit hashes of the line's distinct words."""
+    return F.array_distinct(F.transform(F.array_remove(_split(line), ""), lambda w: F.xxhash64(w)))
 
 
 def _levels(docs: DataFrame) -> Column:
     """The rarity of every word: the level of its bucket's count, 0 (a single word) to 127, as a literal of one byte a bucket."""
-    w = docs.select(F.explode(F.split("text", SPACE)).alias("w"))
+    w = docs.select(F.explode(F.split("text", "\n")).alias("line")).select(F.explode(_split(F.col("line"))).alias("w"))
     n = w.groupBy(F.xxhash64("w").bitwiseAND(F.lit(BUCKETS - 1)).cast("int").alias("i")).agg(F.count("*").alias("n"))
     level = F.least(F.lit(127), F.floor(STEPS * F.log2("n"))).cast("long")
     place = lambda x: F.call_function("shiftleft", x, (8 * (F.col("i") % 8)).cast("int"))
@@ -62,26 +70,32 @@ def _levels(docs: DataFrame) -> Column:
     return F.lit(bytes(out))
 
 
-def _tokens(line: Column, levels: Column) -> Column:
-    """The line's distinct words as numbers in order of rarity: level, then hash."""
+def _token(h: Column, levels: Column) -> Column:
+    """A word as a number that orders words by rarity: level, then hash."""
+    at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
+    level = F.ascii(F.substring(levels, at, 1).cast("string")).cast("long")
+    return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    def token(h: Column) -> Column:
-        at = h.bitwiseAND(F.lit(BUCKETS - 1)).cast("int") + 1
-        level = F.ascii(F.substring(levels, at, 1).cast("string")).cast("long")
-        return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << HASH_BITS) - 1)))
 
-    return F.sort_array(F.array_distinct(F.transform(_hashes(line), token)))
+def _once(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """(PLACE, name) with value worked out once a row. Spark compiles no expression around or below a lambda: what can be compiled goes
+    into steps of its own."""
+    return rows.select(*PLACE, F.explode(F.array(value)).alias(name))
 
 
 def _lines(docs: DataFrame, levels: Column) -> DataFrame:
     """For each line with a word: its place, n (distinct words), h and g (128 bit hash of the set), sk and sl (the sketch), skipped (words
     of the prefix that occur once in the corpus and so join nothing) and pre (the rest of the prefix)."""
     lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "text"))
-    t = lines.select(*PLACE, F.explode(F.array(_tokens(F.col("text"), levels))).alias("t"))  # worked out once a line
+    words = _once(lines, F.array_remove(_split(F.col("text")), ""), "w").where(F.size("w") >= MIN_TOKENS)
+    hashes = _once(words, F.transform("w", lambda w: F.xxhash64(w)), "t")
+    tokens = _once(_once(hashes, F.array_distinct("t"), "t"), F.transform("t", lambda h: _token(h, levels)), "t")
+    t = _once(tokens, F.sort_array("t"), "t")
     n = F.size("t")
     length = F.when(n >= JOIN_TOKENS, n - F.floor((4 * n + 4) / 5) + _shared(n)).otherwise(0).cast("int")
-    often = F.filter(F.slice("t", F.lit(1), length), lambda x: F.shiftright(x, HASH_BITS) > 0)
-    x = t.where(n >= MIN_TOKENS).select(*PLACE, n.alias("n"), F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), _sketch(F.col("t"), 0).alias("sk"), _sketch(F.col("t"), 1).alias("sl"), length.alias("length"), often.alias("pre"))
+    prefix = F.slice("t", F.lit(1), length)
+    often = F.when(F.shiftright(F.get("t", F.lit(0)), HASH_BITS) > 0, prefix).otherwise(F.filter(prefix, lambda x: F.shiftright(x, HASH_BITS) > 0))
+    x = t.select(*PLACE, n.alias("n"), F.xxhash64("t").alias("h"), F.xxhash64(F.lit(1), "t").alias("g"), _sketch(F.col("t")).alias("sk"), F.when(n > LONG, _sketch(F.col("t"), True)).otherwise(0).alias("sl"), length.alias("length"), often.alias("pre"))
     return x.select(*PLACE, "n", "h", "g", "sk", "sl", (F.col("length") - F.size("pre")).alias("skipped"), "pre")
 
 
@@ -95,18 +109,21 @@ def _shared(n: Column) -> Column:
     return F.floor(n / 40) + 1
 
 
-def _sketch(t: Column, word: int) -> Column:
-    """Half of the sketch: for each of 64 places the parity of the words that fall there."""
+def _sketch(t: Column, half: bool = False) -> Column:
+    """For each of 64 places the parity of the words that fall there; half: of one half of the words."""
 
     def bit(x: Column) -> Column:
-        return F.when(F.shiftright(x, 30).bitwiseAND(F.lit(1)) == word, F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(x, 24).bitwiseAND(F.lit(63)).cast("int"))).otherwise(F.lit(0).cast("long"))
+        one = F.shiftright(x, 30).bitwiseAND(F.lit(1).cast("long")) if half else F.lit(1).cast("long")
+        return F.call_function("shiftleft", one, F.shiftright(x, 24).bitwiseAND(F.lit(63).cast("long")).cast("int"))
 
     return F.aggregate(t, F.lit(0).cast("long"), lambda s, x: s.bitwiseXOR(bit(x)))
 
 
 def _close(na: Column, nb: Column, a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
-    """The length filter, and that of the sketches: |x - y| + |y - x| <= (na + nb) / 9 when the similarity is 0.8 or more."""
-    apart = F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
+    """The length filter, and that of the sketches: |x - y| + |y - x| <= (na + nb) / 9 when the similarity is 0.8 or more. In long lines
+    either half of the words has a sketch of its own: sl, and that of all without it."""
+    every, one = a[0].bitwiseXOR(b[0]), a[1].bitwiseXOR(b[1])
+    apart = F.when(F.least(na, nb) > LONG, F.bit_count(every.bitwiseXOR(one)) + F.bit_count(one)).otherwise(F.bit_count(every))
     return (5 * F.least(na, nb) >= 4 * F.greatest(na, nb)) & (9 * apart <= na + nb)
 
 
@@ -152,7 +169,7 @@ def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         some = docs.where(_Filter(ids.select("doc_id"))()).join(wanted, "doc_id")
     own = let(F.split("text", "\n"), lambda ls: F.transform("lines", lambda i: F.struct(i.alias("line"), F.get(ls, i).alias("text"))))
     lines = some.select("doc_id", F.explode(own).alias("x")).select("doc_id", "x.*")
-    return lines.select(*PLACE, F.array_distinct(_hashes(F.col("text"))).alias("t"))
+    return lines.select(*PLACE, _hashes(F.col("text")).alias("t"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -182,6 +199,8 @@ def _settled(joined: DataFrame, docs: DataFrame, tmp: Scratch) -> DataFrame:
     later = lambda pairs: pairs.select(F.col("db").alias("doc_id"), F.col("lb").alias("line")).distinct()
     k = F.filter(F.slice("pre", 1, CROWD_WORDS), lambda x: F.shiftright(x, HASH_BITS) >= int(STEPS * math.log2(CROWD + 1)))
     keyed = tmp.save(joined.select(*PLACE, "n", "sk", "sl", F.explode(k).alias("k")))
+    many = tmp.save(keyed.groupBy("k").count().where(F.col("count") > CROWD).select("k"))
+    keyed = tmp.save(keyed.join(F.broadcast(many) if fits(many) else many, "k"))
     pairs, first = _against_first(keyed, tmp)
     pairs = tmp.save(pairs)
     settled = tmp.save(later(_similar(pairs, tmp.save(_sets(docs, _places(pairs))))))
@@ -289,8 +308,8 @@ def dedup_lines(docs: DataFrame, counts: tuple[str, str] | None = None) -> DataF
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType
         out["n_chars"] = F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length(out["text"]).cast(kind))
-    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0)).cast("long")
-    more = [size(c).alias(name) for c, name in zip((F.split("text", "\n"), F.col(gone)), counts or ())]
+    ends = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
+    more = [F.coalesce(c, F.lit(0)).cast("long").alias(name) for c, name in zip((ends + 1, F.size(gone)), counts or ())]
     return x.select(*(out[c].alias(c) if c in out else F.col(f"`{c}`") for c in docs.columns), *more)
 
 

@@ -113,6 +113,37 @@ def test_line_dedup_takes_short_lines(spark):
     assert out[1] == "one\n\n \nAll rights reserved." and out[3] == "\nd a c" and out[5] is None
 
 
+def test_line_dedup_where_no_side_is_small(spark, monkeypatch):
+    """Lines longer and shorter than those of one sketch, with other spaces, on the paths of large tables."""
+    monkeypatch.setattr(linededup, "fits", lambda *_: False)
+    rng = random.Random(5)
+    texts = []
+    for i in range(60):
+        n = 20 if i % 2 else linededup.LONG + rng.randint(-6, 12)
+        words = [f"base{j}" for j in range(n)]
+        for _ in range(rng.randint(0, n // 8)):
+            words[rng.randrange(n)] = f"new{rng.randrange(200)}"
+        texts.append((i, rng.choice([" ", "\t", "  ", " \r"]).join(words) + rng.choice(["", "\nbase0\x0bbase1\x0c", "\n"])))
+    got = {r[0]: set(r[1]) for r in linededup.removed_lines(make(spark, texts)).collect()}
+    assert got == brute_lines(texts) and len(got) > 40
+    counts = {r["doc_id"]: (r["a"], r["b"]) for r in linededup.dedup_lines(make(spark, [*texts, (99, None), (98, "")]), ("a", "b")).collect()}
+    assert counts == {i: (len(t.split("\n")), len(got.get(i, ()))) for i, t in texts} | {99: (0, 0), 98: (1, 0)}
+
+
+def test_line_sketches_bound_the_difference(spark):
+    rng = random.Random(6)
+    lines = [sorted(rng.sample(range(1 << 40, (1 << 40) + (1 << 34), 12345), rng.choice([40, 60, 64, 65, 70, 90]))) for _ in range(20)]
+    lines += [sorted(rng.sample(x, int(len(x) * rng.uniform(0.9, 1)))) for x in lines]
+    n = F.size("t")
+    sk = spark.createDataFrame([(x,) for x in lines], "t array<long>").select("t", n.alias("n"), linededup._sketch(F.col("t")).alias("sk"), F.when(n > linededup.LONG, linededup._sketch(F.col("t"), True)).otherwise(0).alias("sl"))
+    a, b = sk.toDF("ta", "na", "ska", "sla"), sk.toDF("tb", "nb", "skb", "slb")
+    close = linededup._close(F.col("na"), F.col("nb"), (F.col("ska"), F.col("sla")), (F.col("skb"), F.col("slb")))
+    rows = a.crossJoin(b).select("ta", "tb", close.alias("close")).collect()
+    alike = [9 * len(set(r["ta"]) & set(r["tb"])) >= 4 * (len(r["ta"]) + len(r["tb"])) for r in rows]
+    assert all(r["close"] for r, x in zip(rows, alike) if x) and sum(alike) > 60
+    assert sum(r["close"] for r in rows) < 1.5 * sum(alike)
+
+
 # 3
 def test_masks_find_every_window_with_two_substitutions():
     for gaps in itertools.combinations(range(decontaminate.WINDOW), 2):
