@@ -1,9 +1,9 @@
 """A dense encoder learned from the corpus: a truncated singular value decomposition of hashed tf-idf vectors.
 
 Terms are hashed to a fixed number of features, so that the model is a matrix of features by dimensions whatever the vocabulary.
-Document frequencies are counted over all items. The right singular vectors are found by block power iteration with a random start:
-each round is one pass in which every task multiplies its own rows by the current block and hands on sums by feature. Rounds run
-over the rows that a hash of the key picks, about SAMPLE of them; with fewer items than that, over all.
+Features and their counts are worked out of the texts once and written, for the time of the fit. Document frequencies and rounds are
+of all items. The right singular vectors are found by block power iteration with a random start: each round is one pass over the written
+counts in which every task multiplies its own rows by the current block and hands on sums by feature.
 """
 
 from __future__ import annotations
@@ -22,14 +22,15 @@ from pyspark.sql import types as T
 
 from tessera.functions.arrow import slices
 from tessera.functions.text import terms
-from tessera.plans.lineage import cut
+from tessera.plans.lineage import delete, fresh_dir
 
 FEATURES, DIMS, EXTRA = 1 << 15, 64, 8
-SAMPLE, ROUNDS, SEED = 20_000, 4, 7
-#: Items of the sample for each task that it is dealt to, and features of a row in which tasks hand on their sums.
-PER_TASK, SLICE = 2500, 2048
+ROUNDS, SEED = 4, 7
+#: Tasks of a round for each core at most, as each hands on a sum for every feature, and features of a row in which it does.
+PER_CORE, SLICE = 2, 2048
 
 TERM = re.compile("[a-z0-9]+")
+COUNTS = "hash long, at array<int>, n array<int>"
 
 
 @dataclass(frozen=True)
@@ -74,24 +75,35 @@ def _encoded(model):
     return run
 
 
-def _vectors(idf):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
-            found = [_sparse(t, idf.value) for t in b.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([a.astype("i4") for a, _ in found], pa.list_(pa.int32())), pa.array([w.astype("f4") for _, w in found], pa.list_(pa.float32()))], names=["at", "w"])
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(hash, the features of a text's terms) to (hash, its features, the count of each)."""
+    for b in slices(batches):
+        of = b.column(1)
+        row = np.repeat(np.arange(len(of)), of.value_lengths().to_numpy())
+        pairs, n = np.unique(row << 32 | of.flatten().to_numpy(), return_counts=True)
+        ends = pa.array(np.searchsorted(pairs >> 32, np.arange(len(of) + 1)).astype("i4"))
+        at = (pairs & 0xFFFFFFFF).astype("i4")
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(ends, pa.array(at)), pa.ListArray.from_arrays(ends, pa.array(n.astype("i4")))], names=["hash", "at", "n"])
 
-    return run
 
+def _weighted(b: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The features of each row of counts and their weights, as _sparse has them of a text."""
+    sizes = b.column("at").value_lengths().to_numpy()
+    row, at = np.repeat(np.arange(len(sizes)), sizes), b.column("at").flatten().to_numpy()
+    w = (1 + np.log(b.column("n").flatten().to_numpy())) * idf[at]
+    w = (w / np.sqrt(np.bincount(row, w * w))[row]).astype("f4")
+    ends = np.cumsum(sizes)[:-1]
+    return zip(np.split(at, ends), np.split(w, ends))
 
-def _products(block):
+
+def _products(idf, block):
     """Of the rows of a task, A, and the block Q: the slices of A'(A Q)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
         total = np.zeros(q.shape)
-        for b in batches:
-            for at, w in zip(b.column("at"), b.column("w")):
-                i, x = at.values.to_numpy(), w.values.to_numpy()
+        for b in slices(batches):
+            for i, x in _weighted(b, idf.value):
                 if len(i):
                     total[i] += np.outer(x, x @ q[i])  # a row's features differ
         some = np.flatnonzero(total.any(axis=1))  # few of all features, where a task has few rows
@@ -114,12 +126,12 @@ def _added(width: int):
     return run
 
 
-def _round(rows: DataFrame, q: np.ndarray) -> np.ndarray:
+def _round(rows: DataFrame, idf, q: np.ndarray) -> np.ndarray:
     """A'A q, added up slice by slice in Spark; as large as q, which the features bound."""
     spark = rows.sparkSession
     block = spark.sparkContext.broadcast(q.astype("f4"))
     z = np.zeros_like(q)
-    parts = rows.mapInArrow(_products(block), "slice long, at binary, sums binary")
+    parts = rows.mapInArrow(_products(idf, block), "slice long, at binary, sums binary")
     for of, sums in parts.groupBy("slice").applyInArrow(_added(q.shape[1]), "slice long, sums binary").collect():
         whole = np.frombuffer(sums, float).reshape(SLICE, -1)
         z[of * SLICE : (of + 1) * SLICE] = whole[: len(z) - of * SLICE]
@@ -127,23 +139,33 @@ def _round(rows: DataFrame, q: np.ndarray) -> np.ndarray:
     return z
 
 
-def fit(items: DataFrame, key: list[str], dims: int = DIMS, features: int = FEATURES, sample: int = SAMPLE, rounds: int = ROUNDS, seed: int = SEED) -> Encoder:
+def fit(items: DataFrame, key: list[str], dims: int = DIMS, features: int = FEATURES, sample: int | None = None, rounds: int = ROUNDS, seed: int = SEED) -> Encoder:
     """The encoder of items (key, text). Null texts are empty; where the corpus has fewer directions than dims, the rest count nothing.
-    What the driver holds is features by dims numbers."""
+    What the driver holds is features by dims numbers. sample: by default the decomposition is of all items; with a number, of about so
+    many that a hash of the key picks."""
+    spark, folder = items.sparkSession, fresh_dir(items.sparkSession, "features")
     feature = F.transform(terms(F.coalesce("text", F.lit(""))), lambda t: (F.crc32(t.cast("binary")) % features).cast("int"))
-    df = items.select(F.explode(F.array_distinct(feature)).alias("f")).groupBy("f").count().collect()  # at most one row a feature
-    n = items.count()
-    idf = np.zeros(features)
-    for f, c in df:
-        idf[f] = np.log((1 + n) / (1 + c)) + 1
-    chosen = items if n <= sample else items.where(F.pmod(F.xxhash64(*key), F.lit(n)) < sample)
-    sent = items.sparkSession.sparkContext.broadcast(idf)
-    rows = cut(chosen.select(F.coalesce("text", F.lit(""))).mapInArrow(_vectors(sent), "at array<int>, w array<float>").repartition(max(1, -(-min(n, sample) // PER_TASK))))
+    try:
+        items.select(F.xxhash64(*key).alias("hash"), feature.alias("f")).mapInArrow(_counted, COUNTS).write.parquet(folder)
+        rows = spark.read.schema(COUNTS).parquet(folder)
+        n = rows.count()
+        idf = np.zeros(features)
+        for f, c in rows.select(F.explode("at").alias("f")).groupBy("f").count().collect():  # at most one row a feature
+            idf[f] = np.log((1 + n) / (1 + c)) + 1
+        if sample is not None and n > sample:
+            rows = rows.where(F.pmod("hash", F.lit(n)) < sample)
+        return _decomposed(rows.select("at", "n").coalesce(PER_CORE * spark.sparkContext.defaultParallelism), idf, dims, rounds, seed)
+    finally:
+        delete(spark, folder)
+
+
+def _decomposed(rows: DataFrame, idf: np.ndarray, dims: int, rounds: int, seed: int) -> Encoder:
+    features, sent = len(idf), rows.sparkSession.sparkContext.broadcast(idf)
     width = min(dims + EXTRA, features)
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(features, width)) * (idf > 0)[:, None])[0]
     for _ in range(rounds):
-        q = np.linalg.qr(_round(rows, q))[0]
-    inner = q.T @ _round(rows, q)
+        q = np.linalg.qr(_round(rows, sent, q))[0]
+    inner = q.T @ _round(rows, sent, q)
     values, turn = np.linalg.eigh((inner + inner.T) / 2)
     order = np.argsort(-values)[:dims]
     values = np.sqrt(np.maximum(values[order], 0))

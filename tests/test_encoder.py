@@ -46,6 +46,15 @@ def test_topics_are_near(spark):
     assert (sim.argmax(axis=1) % 4 == np.arange(len(v)) % 4).mean() > 0.95
 
 
+def test_all_items_are_decomposed(spark):
+    rng = random.Random(5)
+    docs = [(f"d{i}", " ".join(rng.choices(("sun", "car", "tree", "code", "rain", "road"), (9, 7, 5, 4, 2, 1), k=4))) for i in range(24_000)]
+    e = encoder.fit(spark.createDataFrame(docs, "doc_id string, text string").repartition(5), ["doc_id"], dims=4, features=64, rounds=8)
+    a = dense([x for _, x in docs], e.idf)
+    want = np.linalg.svd(a.T @ a, compute_uv=False)[:4]
+    assert np.allclose(e.values**2, want, rtol=1e-3)  # the squares of 20,000 rows add up to a sixth less
+
+
 def test_sample_and_odd_rows(spark):
     docs = [*corpus(), (None, None), ("e", ""), ("x", "!?"), ("twin", "sun1 sun2"), ("twin", "sun1 sun2")]
     d = spark.createDataFrame(docs, "doc_id string, text string")
