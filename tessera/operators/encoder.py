@@ -102,10 +102,14 @@ def _products(idf, block):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         q = block.value
         total = np.zeros(q.shape)
+        part, sums = np.empty_like(q), np.empty_like(total)  # for a row's part of both, as new arrays of that size are slow to get
         for b in slices(batches):
             for i, x in _weighted(b, idf.value):
-                if len(i):
-                    total[i] += np.outer(x, x @ q[i])  # a row's features differ
+                p, z = part[: len(i)], sums[: len(i)]
+                y = x @ np.take(q, i, axis=0, out=p, mode="clip")
+                np.take(total, i, axis=0, out=z, mode="clip")
+                z += np.multiply(x[:, None], y, out=p)
+                total[i] = z  # a row's features differ
         some = np.flatnonzero(total.any(axis=1))  # few of all features, where a task has few rows
         cuts = [x for x in np.split(some, np.searchsorted(some, np.arange(SLICE, len(q), SLICE))) if len(x)]
         columns = [pa.array([int(x[0]) // SLICE for x in cuts], pa.int64()), pa.array([x.astype("i4").tobytes() for x in cuts], pa.binary()), pa.array([total[x].astype("f4").tobytes() for x in cuts], pa.binary())]
