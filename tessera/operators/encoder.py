@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 
 from tessera.functions.arrow import slices
 from tessera.functions.text import terms
-from tessera.plans.lineage import delete, fresh_dir
+from tessera.plans.lineage import delete, fresh_dir, release
 
 FEATURES, DIMS, EXTRA = 1 << 15, 64, 8
 ROUNDS, SEED = 4, 7
@@ -133,6 +133,7 @@ def _added(width: int):
 def _round(rows: DataFrame, idf, q: np.ndarray) -> np.ndarray:
     """A'A q, added up slice by slice in Spark; as large as q, which the features bound."""
     spark = rows.sparkSession
+    release(spark)  # what the round before handed on
     block = spark.sparkContext.broadcast(q.astype("f4"))
     z = np.zeros_like(q)
     parts = rows.mapInArrow(_products(idf, block), "slice long, at binary, sums binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -37,6 +38,12 @@ def delete(spark: SparkSession, uri: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark remove shuffle files of what is no longer referred to."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def bounded(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, marked for broadcast where it has at most so many rows; else the join shuffles. Reads df, so cut it before."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
