@@ -51,9 +51,10 @@ class Encoder:
 
 def _sparse(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The features of a text and their weights, of unit length."""
-    c: Counter = Counter()
+    c: dict[int, int] = {}
     for t, n in Counter(TERM.findall((text or "").lower())).items():
-        c[zlib.crc32(t.encode()) % len(idf)] += n
+        f = zlib.crc32(t.encode()) % len(idf)
+        c[f] = c.get(f, 0) + n
     at = np.fromiter(c, np.int64, len(c))
     w = (1 + np.log(np.fromiter(c.values(), float, len(c)))) * idf[at]
     size = np.linalg.norm(w)
@@ -63,11 +64,12 @@ def _sparse(text: str | None, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _encoded(model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = model.value
+        part = np.empty_like(m.directions)  # for the directions of a text's features
         for b in slices(batches):
             out = []
             for text in b.column(b.num_columns - 1).to_pylist():
                 at, w = _sparse(text, m.idf)
-                v = w @ m.directions[at]
+                v = w @ np.take(m.directions, at, axis=0, out=part[: len(at)], mode="clip")
                 size = np.linalg.norm(v)
                 out.append((v / size).astype("f4") if size > 1e-9 else None)
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(out, pa.list_(pa.float32()))], names=[*b.schema.names[:-1], "embedding"])
